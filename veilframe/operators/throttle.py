@@ -1,0 +1,226 @@
+"""Token-bucket replay: which events of a log exceed a caller's rate.
+
+A bucket holds up to ``burst`` tokens and gains ``rate`` per second; an event
+takes one if there is one and is over rate otherwise. Denied events take
+nothing, so the answer depends on all earlier events of the caller in order.
+
+Most callers are replayed in one group each. A caller with more than
+``group_rows`` events is cut into blocks in time order that are replayed side
+by side. That needs the level at the start of each block, found exactly:
+
+* ``low``, the level of a bucket that may also be charged for denied events but
+  never falls below zero, is a chain of "cap, subtract, floor" steps. Such a
+  chain over a whole block is again one such step, so blocks are summarised
+  alone and chained over their summaries.
+* the true level is always in ``[low, low + 1 token)``, and charging whole
+  tokens does not change its fraction. The fraction (``phase``) changes only
+  when the bucket is full, and a block maps a phase either to itself or to a
+  constant. Those maps are few intervals and are chained the same way.
+
+Levels are integers in units of a millionth of a token and are kept relative to
+the refill since the start of the log, so that only events change them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from veilframe.config import RATE_BURST, RATE_PER_SECOND
+from veilframe.operators.ordered import BLOCK, null_safe_join, time_blocks
+
+TOKEN = 1_000_000
+GROUP_ROWS = 1_000_000
+_HUGE = 2**62
+
+
+def replay(times: list[int], level: int, rate: int, burst: int) -> tuple[list[bool], int]:
+    """Decisions for events at ``times`` (microseconds) and the level after them."""
+    full, allowed = burst * TOKEN, []
+    for t in times:
+        refill = rate * t
+        if level + refill > full:
+            level = full - refill
+        ok = level + refill >= TOKEN
+        if ok:
+            level -= TOKEN
+        allowed.append(ok)
+    return allowed, level
+
+
+def low_step(times: list[int], rate: int, burst: int) -> tuple[int, int, int]:
+    """A block's effect on the low level: ``max(min(level, cap) - cost, floor)``."""
+    full, cap, cost, floor = burst * TOKEN, _HUGE, 0, -_HUGE
+    for t in times:
+        refill = rate * t
+        top = full - refill
+        cap = min(cap, top + cost)
+        cost += TOKEN
+        floor = max(min(floor, top) - TOKEN, -refill)
+    return cap, cost, floor
+
+
+def phase_map(times: list[int], low: int, rate: int, burst: int) -> list[tuple[int, int | None]]:
+    """A block's effect on the phase: ``(from, constant or None)`` pieces of [0, TOKEN)."""
+    full = burst * TOKEN
+    pieces: list[tuple[int, int | None]] = [(0, None)]
+    for t in times:
+        refill = rate * t
+        top = full - refill
+        room = top - low
+        if room <= 0:
+            pieces = [(0, top % TOKEN)]
+            low = top
+        elif room < TOKEN - 1:
+            pieces = _overflow(pieces, (low + room + 1) % TOKEN, low % TOKEN, top % TOKEN)
+        low = max(low - TOKEN, -refill)
+    return pieces
+
+
+def _overflow(
+    pieces: list[tuple[int, int | None]], begin: int, end: int, constant: int
+) -> list[tuple[int, int | None]]:
+    """Phases in the circular interval [begin, end) become ``constant``."""
+    inside = lambda p: (begin <= p < end) if begin <= end else (p >= begin or p < end)
+    out: list[tuple[int, int | None]] = []
+    for k, (start, value) in enumerate(pieces):
+        stop = pieces[k + 1][0] if k + 1 < len(pieces) else TOKEN
+        cuts = [start]
+        if value is None:
+            cuts += sorted(c for c in (begin, end) if start < c < stop)
+        for c in cuts:
+            hit = inside(c if value is None else value)
+            now = constant if hit else value
+            if not out or out[-1][1] != now:
+                out.append((c, now))
+    return out
+
+
+def _micros(pdf: pd.DataFrame) -> list[int]:
+    return pdf["_t"].tolist()
+
+
+def over_rate(
+    log: DataFrame,
+    key: str,
+    ts: str,
+    ident: str,
+    rate: int = RATE_PER_SECOND,
+    burst: int = RATE_BURST,
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """``key, ts, ident, allowed`` for every event; ties in time go by ``ident``."""
+    if rate < 1 or burst < 1:
+        raise ValueError("rate and burst are whole numbers of at least one")
+    span = log.agg(F.min(F.unix_micros(ts)).alias("a"), F.max(F.unix_micros(ts)).alias("b")).first()
+    origin = span["a"] or 0
+    if ((span["b"] or 0) - origin) * rate + burst * TOKEN >= _HUGE:
+        raise ValueError("rate times log length is too large")
+    rows = log.select(
+        F.col(key), F.col(ts), F.col(ident), (F.unix_micros(ts) - F.lit(origin)).alias("_t")
+    )
+    # At most len(log) / group_rows callers are busy.
+    busy = (
+        log.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_rows)
+        .select(F.col(key).alias("_busy"))
+    )
+    hot = rows.join(busy, rows[key].eqNullSafe(F.col("_busy")), "left_semi")
+    cold = rows.join(busy, rows[key].eqNullSafe(F.col("_busy")), "left_anti")
+    start = F.lit(burst * TOKEN).cast("bigint")
+    every = cold.withColumn(BLOCK, F.lit(0).cast("bigint")).withColumn("_level", start)
+    if not busy.isEmpty():
+        every = every.unionByName(_with_levels(hot, key, ts, ident, rate, burst, group_rows))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_t", ident], kind="stable")
+        pdf["allowed"], _ = replay(_micros(pdf), int(pdf["_level"].iloc[0]), rate, burst)
+        return pdf[[key, ts, ident, "allowed"]]
+
+    schema = log.select(key, ts, ident).withColumn("allowed", F.lit(True)).schema
+    return every.groupBy(key, BLOCK).applyInPandas(decide, schema)
+
+
+def _with_levels(
+    hot: DataFrame, key: str, ts: str, ident: str, rate: int, burst: int, group_rows: int
+) -> DataFrame:
+    """Busy callers' rows with their block and the level at its start."""
+    key_ddl = f"`{key}` {hot.schema[key].dataType.simpleString()}"
+    coarse = time_blocks(hot, ts)
+    in_block = Window.partitionBy(key, BLOCK).orderBy("_t", ident)
+    part = F.floor((F.row_number().over(in_block) - 1) / group_rows).cast("bigint")
+    blocks = coarse.withColumn("_part", part).withColumn(
+        BLOCK, F.col(BLOCK).cast("bigint") * F.lit(2**31) + F.col("_part")
+    ).drop("_part")
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        cap, cost, floor = low_step(sorted(_micros(pdf)), rate, burst)
+        return pd.DataFrame(
+            {key: [pdf[key].iloc[0]], BLOCK: [pdf[BLOCK].iloc[0]],
+             "cap": [cap], "cost": [cost], "floor": [floor]}
+        )
+
+    def chain_low(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(BLOCK)
+        low, lows = burst * TOKEN, []
+        for cap, cost, floor in zip(pdf["cap"], pdf["cost"], pdf["floor"]):
+            lows.append(low)
+            low = max(min(low, int(cap)) - int(cost), int(floor))
+        pdf["_low"] = lows
+        return pdf[[key, BLOCK, "_low"]]
+
+    def map_phases(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = int(pdf["_low"].iloc[0])
+        pieces = phase_map(sorted(_micros(pdf)), low, rate, burst)
+        return pd.DataFrame(
+            {key: [pdf[key].iloc[0]], BLOCK: [pdf[BLOCK].iloc[0]], "_low": [low],
+             "froms": [[p[0] for p in pieces]],
+             "values": [[-1 if p[1] is None else p[1] for p in pieces]]}
+        )
+
+    def chain_phases(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(BLOCK)
+        phase, levels = (burst * TOKEN) % TOKEN, []
+        for low, froms, values in zip(pdf["_low"], pdf["froms"], pdf["values"]):
+            levels.append(int(low) + (phase - int(low)) % TOKEN)
+            value = [v for f, v in zip(froms, values) if f <= phase][-1]
+            phase = phase if value < 0 else int(value)
+        pdf["_level"] = levels
+        return pdf[[key, BLOCK, "_level"]]
+
+    steps = blocks.groupBy(key, BLOCK).applyInPandas(
+        summarise, f"{key_ddl}, {BLOCK} bigint, cap bigint, cost bigint, floor bigint"
+    )
+    lows = steps.groupBy(key).applyInPandas(chain_low, f"{key_ddl}, {BLOCK} bigint, _low bigint")
+    maps = null_safe_join(blocks, lows, [key, BLOCK]).groupBy(key, BLOCK).applyInPandas(
+        map_phases,
+        f"{key_ddl}, {BLOCK} bigint, _low bigint, froms array<bigint>, values array<bigint>",
+    )
+    levels = maps.groupBy(key).applyInPandas(
+        chain_phases, f"{key_ddl}, {BLOCK} bigint, _level bigint"
+    )
+    return null_safe_join(blocks, levels, [key, BLOCK])
+
+
+def over_rate_stream(
+    events: DataFrame, rate: int = RATE_PER_SECOND, burst: int = RATE_BURST
+) -> DataFrame:
+    """Streaming form over ``caller string, event_id bigint, ts timestamp``."""
+    def step(
+        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+        micros = (batch["ts"].astype("int64") // 1000 if batch["ts"].dtype == "datetime64[ns]"
+                  else batch["ts"].astype("datetime64[us]").astype("int64")).tolist()
+        level, origin = state.get if state.exists else (burst * TOKEN, micros[0])
+        batch["allowed"], level = replay([m - origin for m in micros], level, rate, burst)
+        state.update((level, origin))
+        yield batch[["caller", "event_id", "ts", "allowed"]]
+
+    return events.groupBy("caller").applyInPandasWithState(
+        step, "caller string, event_id bigint, ts timestamp, allowed boolean",
+        "level bigint, origin bigint", "append", GroupStateTimeout.NoTimeout,
+    )
