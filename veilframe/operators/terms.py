@@ -6,7 +6,7 @@ never meets a half-written list and an update never overwrites what it reads.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,7 +108,7 @@ def _term_udf(terms: tuple[str, ...]):
     import ahocorasick
 
     @F.pandas_udf(SPANS_TYPE)
-    def find(batches: Iterable[pd.Series]) -> Iterable[pd.Series]:
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = ahocorasick.Automaton()
         for t in terms:
             automaton.add_word(fold(t), len(fold(t)))

@@ -36,8 +36,8 @@ def hits_sql(src: str, key: str, regex: str, extra: str = "") -> str:
     return f"""
 SELECT {key}, s, s + length(h) AS e, h{extra} FROM (
   SELECT {key}, hits[i] AS h,
-    coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0)
-    + coalesce(list_sum(list_transform(hits[1:i-1], lambda g: length(g))), 0) AS s
+    cast(coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0)
+      + coalesce(list_sum(list_transform(hits[1:i-1], lambda g: length(g))), 0) AS bigint) AS s
   FROM (SELECT {key}, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
     SELECT {key}, regexp_extract_all(text, {r}) AS hits, string_split_regex(text, {r}) AS gaps
     FROM ({src}) WHERE regexp_matches(text, {r}))))"""
@@ -301,8 +301,8 @@ ALLOWED = " OR ".join(
 HOSTS = f"SELECT page_id, url, {HOST} AS host FROM pages"
 
 KEYED = (f"SELECT request_id, CASE WHEN event_id % 7 = 0 THEN 'Basic ' ELSE 'Bearer ' END || 'key-' || user_id "
-         f"AS authorization FROM ({LOG})")
-LISTED = ("authorization LIKE 'Bearer %' AND substring(authorization, 8) IN "
+         f"AS \"authorization\" FROM ({LOG})")
+LISTED = ("\"authorization\" LIKE 'Bearer %' AND substring(\"authorization\", 8) IN "
           "(SELECT 'key-' || cast(c_custkey AS varchar) FROM customer WHERE c_acctbal > 0)")
 
 UPLOADS = f"""
@@ -498,7 +498,7 @@ UNION ALL SELECT DISTINCT doc_id, 'x' || token, NULL, NULL, NULL FROM ({TOKENS})
         ),
         "size_limit": "SELECT doc_id, strlen(text) <= 2000 AS within FROM documents",
         "key_admission": f"SELECT request_id FROM ({KEYED}) WHERE {LISTED}",
-        "key_rejection": f"SELECT request_id, authorization FROM ({KEYED}) WHERE NOT ({LISTED})",
+        "key_rejection": f"SELECT request_id, \"authorization\" FROM ({KEYED}) WHERE NOT ({LISTED})",
         "audit_entries": audit_sql(),
         "audit_sink": audit_sql(),
         "requests_by_status": (

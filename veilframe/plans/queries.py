@@ -730,7 +730,7 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = spark.readStream.schema(tables.DOCUMENT_SCHEMA).parquet(f"{sf_dir}/documents.parquet")
+    stream = tables.table_stream(spark, sf_dir, "documents", tables.DOCUMENT_SCHEMA)
     return stream.select(
         "doc_id", F.expr(tables.RICH_TEXT).alias("text"),
         F.expr("cast(doc_id as string)").alias("scope"),
@@ -798,7 +798,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.readStream.schema(tables.EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    events = tables.table_stream(spark, sf_dir, "events", tables.EVENT_SCHEMA)
     log = events.withColumn("ts", F.col("ts").cast("timestamp"))
     counts = counters.running_counts(log, "ts", ["event_type"], width="1 day")
     out = _run_batches(
@@ -812,7 +812,7 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_over_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.readStream.schema(tables.EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    events = tables.table_stream(spark, sf_dir, "events", tables.EVENT_SCHEMA)
     micros = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 100_000)
     log = events.select(
         F.expr("cast(user_id as string)").alias("caller"), "event_id",
