@@ -79,8 +79,8 @@ class Pattern:
     ``first`` lists the characters a match can start with: a one-character
     look-ahead that spares the engine the costly boundary test elsewhere.
     ``any_of`` lists literals of which a matching text must hold one; ``needs``
-    is a cheap regex it must match. ``glue`` lists the characters that can stand
-    right before white space inside a match.
+    is a cheap regex it must match; ``digits`` says a match holds a digit. ``glue``
+    lists the characters that can stand right before white space inside a match.
     """
 
     name: str
@@ -92,6 +92,7 @@ class Pattern:
     needs: str = ""
     glue: str = ""
     luhn: bool = False
+    digits: bool = False
 
     @property
     def detector_name(self) -> str:
@@ -124,22 +125,22 @@ class Pattern:
 
 PATTERNS = (
     Pattern("email", "email", 0.95, EMAIL, any_of=("@",)),
-    Pattern("ssn", "ssn", 0.98, SSN, first="0-9", needs="[0-9]{3}-[0-9]"),
+    Pattern("ssn", "ssn", 0.98, SSN, first="0-9", needs="[0-9]{3}-[0-9]", digits=True),
     Pattern(
         "credit_card", "credit_card", 0.90, CREDIT_CARD,
-        first="3-6", needs="[3-6][0-9]{3}", glue="0123456789", luhn=True,
+        first="3-6", needs="[3-6][0-9]{3}", glue="0123456789", luhn=True, digits=True,
     ),
     Pattern(
         "phone_us", "phone", 0.85, PHONE_US,
-        first="0-9+(", needs=r"[0-9]{3}\)?[-.\t\n\f\r ]?[0-9]{3}", glue="0123456789)",
+        first="0-9+(", needs=r"[0-9]{3}\)?[-.\t\n\f\r ]?[0-9]{3}", glue="0123456789)", digits=True,
     ),
     Pattern(
         "phone_intl", "phone", 0.80, PHONE_INTL,
-        first="+", any_of=("+",), glue="0123456789",
+        first="+", any_of=("+",), glue="0123456789", digits=True,
     ),
     Pattern(
         "ip_address", "ip_address", 0.75, IP_ADDRESS,
-        first="0-9", needs=r"[0-9]\.[0-9]",
+        first="0-9", needs=r"[0-9]\.[0-9]", digits=True,
     ),
     Pattern(
         "api_key_generic", "api_key", 0.90, API_KEY,

@@ -10,11 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.functions.checks import luhn_valid
+
 SPAN_TYPE = (
     "struct<type:string,start:int,end:int,value:string,"
     "confidence:double,detector_name:string>"
 )
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
+MATCHES_TYPE = (
+    "array<struct<type:string,confidence:double,detector_name:string,luhn:boolean,"
+    "hits:array<string>,gaps:array<string>>>"
+)
 _HITS_TYPE = "array<struct<start:int,value:string>>"
 _PIECES_TYPE = "array<struct<start:int,text:string>>"
 
@@ -28,6 +34,25 @@ def empty(array_type: str = SPANS_TYPE) -> Column:
     return F.array().cast(array_type)
 
 
+def _placed(hits: Column, gaps: Column) -> Column:
+    """Matches and the gaps around them as ``array<struct<start,value>>``."""
+    return F.aggregate(
+        F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))),
+        F.struct(F.lit(0).alias("pos"), empty(_HITS_TYPE).alias("out")),
+        lambda acc, p: let(
+            acc["pos"] + F.length(p["gap"]),
+            lambda start: F.struct(
+                (start + F.length(p["hit"])).alias("pos"),
+                F.concat(
+                    acc["out"],
+                    F.array(F.struct(start.alias("start"), p["hit"].alias("value"))),
+                ).alias("out"),
+            ),
+        ),
+        lambda acc: acc["out"],
+    )
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """Every leftmost, non-overlapping match as ``array<struct<start,value>>``.
 
@@ -35,40 +60,44 @@ def find_all(text: Column, pattern: str) -> Column:
     match starts after all gaps and matches before it.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(hits.alias("hit"), gaps.alias("gap"))
-    return F.aggregate(
-        F.filter(parts, lambda p: p["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("pos"), empty(_HITS_TYPE).alias("out")),
-        lambda acc, p: F.struct(
-            (acc["pos"] + F.length(p["gap"]) + F.length(p["hit"])).alias("pos"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["pos"] + F.length(p["gap"])).alias("start"),
-                        p["hit"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    return _placed(hits, F.split(text, pattern, -1))
+
+
+def matches(
+    text: Column, pattern: str, type_: str, confidence: float, detector_name: str,
+    luhn: bool = False, gate: Column | None = None,
+) -> Column:
+    """One pattern's matches, not yet placed; NULL where ``gate`` is false."""
+    found = F.struct(
+        F.lit(type_).alias("type"),
+        F.lit(float(confidence)).alias("confidence"),
+        F.lit(detector_name).alias("detector_name"),
+        F.lit(luhn).alias("luhn"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
+        F.split(text, pattern, -1).alias("gaps"),
     )
+    return found if gate is None else F.when(gate, found)
 
 
-def spans_of(hits: Column, type_: str, confidence: float, detector_name: str) -> Column:
-    """Dress find-all hits as spans."""
-    return F.transform(
-        hits,
-        lambda h: F.struct(
-            F.lit(type_).alias("type"),
-            h["start"].alias("start"),
-            (h["start"] + F.length(h["value"])).alias("end"),
-            h["value"].alias("value"),
-            F.lit(float(confidence)).alias("confidence"),
-            F.lit(detector_name).alias("detector_name"),
-        ),
-    )
+def place(found: Column) -> Column:
+    """Spans of an array of ``matches``, in its order.
+
+    The placing expression appears once, whatever the number of patterns.
+    """
+    def one(m: Column) -> Column:
+        kept = F.filter(
+            _placed(m["hits"], m["gaps"]), lambda h: ~m["luhn"] | luhn_valid(h["value"])
+        )
+        return F.transform(
+            kept,
+            lambda h: F.struct(
+                m["type"], h["start"],
+                (h["start"] + F.length(h["value"])).alias("end"),
+                h["value"], m["confidence"], m["detector_name"],
+            ),
+        )
+
+    return F.flatten(F.transform(F.array_compact(found), one))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -192,14 +221,15 @@ def units(text: Column, unit_chars: int, glue: str | None) -> Column:
     space nor in ``glue``. Pieces concatenate to the text. With ``glue=None``
     (a detector whose matches are unknown) the text stays whole.
     """
+    whole = F.when(
+        F.length(text) > 0,
+        F.array(F.struct(F.lit(0).alias("start"), text.alias("text"))),
+    ).otherwise(empty(_PIECES_TYPE))
     if glue is None:
-        return F.when(
-            F.length(text) > 0,
-            F.array(F.struct(F.lit(0).alias("start"), text.alias("text"))),
-        ).otherwise(empty(_PIECES_TYPE))
+        return whole
     pieces = F.regexp_extract_all(text, F.lit(unit_pattern(unit_chars, glue)), F.lit(0))
-    return F.aggregate(
-        F.coalesce(pieces, F.array().cast("array<string>")),
+    placed = F.aggregate(
+        pieces,
         F.struct(F.lit(0).alias("pos"), empty(_PIECES_TYPE).alias("out")),
         lambda acc, p: F.struct(
             (acc["pos"] + F.length(p)).alias("pos"),
@@ -209,6 +239,7 @@ def units(text: Column, unit_chars: int, glue: str | None) -> Column:
         ),
         lambda acc: acc["out"],
     )
+    return F.when(F.length(text) > unit_chars, placed).otherwise(whole)
 
 
 def cut_class(glue: str) -> str:

@@ -182,11 +182,14 @@ def replace_text(body: Column, texts: Column, provider: str, direction: str = "r
 
 
 def by_provider(provider: Column, build) -> Column:
-    """One expression per registered format, chosen by the row's provider."""
+    """One expression per distinct format, chosen by the row's provider."""
+    alike: dict[ChatFormat, list[str]] = {}
+    for name, fmt in _FORMATS.items():
+        alike.setdefault(fmt, []).append(name)
     chain = None
-    for name in formats():
-        cond = provider == F.lit(name)
-        chain = F.when(cond, build(name)) if chain is None else chain.when(cond, build(name))
+    for names in alike.values():
+        cond, out = provider.isin(*names), build(names[0])
+        chain = F.when(cond, out) if chain is None else chain.when(cond, out)
     return chain
 
 

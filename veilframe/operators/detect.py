@@ -9,22 +9,22 @@ piece by piece, which keeps the work linear in the text length.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import groupby
 from typing import Protocol, runtime_checkable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.config import ScanConfig
-from veilframe.functions.checks import luhn_valid
 from veilframe.functions.patterns import PATTERNS, Pattern
 from veilframe.functions.spans import (
+    MATCHES_TYPE,
     SPANS_TYPE,
     empty,
-    find_all,
-    let,
+    matches,
+    place,
     resolve,
     shift,
-    spans_of,
     units,
 )
 
@@ -65,19 +65,21 @@ class PatternDetector:
         """Leave out patterns whose fixed score is below the threshold."""
         return PatternDetector(p for p in self.patterns if p.confidence >= confidence)
 
-    def spans(self, text: Column) -> Column:
-        if not self.patterns:
-            return empty()
-        return F.concat(*[pattern_spans(text, p) for p in self.patterns])
+    def matches(self, text: Column) -> Column:
+        parts = [empty(MATCHES_TYPE)]
+        # Neighbours that need a digit share one test; list order is kept.
+        for digits, group in groupby(self.patterns, key=lambda p: p.digits):
+            found = F.array(*[self._one(text, p) for p in group])
+            parts.append(F.when(text.rlike("[0-9]"), found).otherwise(parts[0]) if digits else found)
+        return F.concat(*parts)
 
+    def _one(self, text: Column, p: Pattern) -> Column:
+        return matches(
+            text, p.jdk, p.type, p.confidence, p.detector_name, p.luhn, gate=p.gate(text)
+        )
 
-def pattern_spans(text: Column, pattern: Pattern) -> Column:
-    """Find-all for one pattern, behind its cheap test."""
-    hits = find_all(text, pattern.jdk)
-    if pattern.luhn:
-        hits = F.filter(hits, lambda h: luhn_valid(h["value"]))
-    found = spans_of(hits, pattern.type, pattern.confidence, pattern.detector_name)
-    return F.when(pattern.gate(text), found).otherwise(empty())
+    def spans(self, text: Column) -> Column:
+        return place(self.matches(text))
 
 
 class TermDetector:
@@ -97,15 +99,19 @@ class TermDetector:
     def glue(self) -> str:
         return term_glue(self.terms)
 
-    def spans(self, text: Column) -> Column:
+    def matches(self, text: Column) -> Column:
         if not self.terms:
-            return empty()
-        return F.concat(*[self._one(text, t) for t in self.terms])
+            return empty(MATCHES_TYPE)
+        # One pass tells whether any term occurs; few texts need the rest.
+        starts = "".join(f"\\x{{{ord(c):x}}}" for t in self.terms for c in letter_cases(t[0]))
+        any_term = f"(?=[{starts}])(?iu)(?:{'|'.join(map(quote, self.terms))})"
+        found = [
+            matches(text, "(?iu)" + quote(t), "blocklist", 1.0, self.name) for t in self.terms
+        ]
+        return F.when(text.rlike(any_term), F.array(*found)).otherwise(empty(MATCHES_TYPE))
 
-    def _one(self, text: Column, term: str) -> Column:
-        pattern = "(?iu)" + quote(term)
-        found = spans_of(find_all(text, pattern), "blocklist", 1.0, self.name)
-        return F.when(text.rlike(pattern), found).otherwise(empty())
+    def spans(self, text: Column) -> Column:
+        return place(self.matches(text))
 
 
 def clean_terms(terms: Iterable[str]) -> tuple[str, ...]:
@@ -124,10 +130,15 @@ def term_glue(terms: Iterable[str]) -> str:
         for i in range(1, len(term))
         if term[i] in "\t\n\f\r " and term[i - 1] not in "\t\n\f\r "
     }
-    cases = {v for c in lefts for v in (c, c.lower(), c.upper()) if len(v) == 1}
-    # Letters with a further case partner outside their own pair.
-    extra = {"k": "K", "s": "ſ", "å": "Å", "i": "İı"}
-    return "".join(sorted(cases | {x for c in cases for x in extra.get(c.lower(), "")}))
+    return "".join(sorted({v for c in lefts for v in letter_cases(c)}))
+
+
+def letter_cases(c: str) -> set[str]:
+    """All characters that equal ``c`` when letter case is ignored."""
+    # Letters with a case partner outside their own pair.
+    extra = {"k": "K", "s": "ſ", "å": "Å", "i": "İı", "ß": "ẞ", "µ": "μ", "ω": "Ω"}
+    more = extra.get(c.lower(), "") if len(c.lower()) == 1 else ""
+    return {v for v in (c, c.lower(), c.upper(), *more) if len(v) == 1}
 
 
 def quote(term: str) -> str:
@@ -149,10 +160,21 @@ class RowDetector:
         return F.coalesce(self._udf(text).cast(SPANS_TYPE), empty())
 
 
-def unit_spans(text: Column, cfg: ScanConfig, extra: list[Column] = ()) -> Column:
+def all_spans(text: Column, detectors: Iterable[Detector]) -> Column:
+    """All detectors' output in order, overlaps included."""
+    parts = [empty()]
+    for listed, group in groupby(detectors, key=lambda d: hasattr(d, "matches")):
+        if listed:
+            parts.append(place(F.concat(*[d.matches(text) for d in group])))
+        else:
+            parts += [d.spans(text) for d in group]
+    return F.concat(*parts)
+
+
+def unit_spans(text: Column, cfg: ScanConfig, extra: Iterable[Column] = ()) -> Column:
     """Resolved, thresholded, allow-listed spans of one piece of text."""
-    found = [d.spans(text) for d in _active(cfg) if not d.on_rows] + list(extra)
-    return keep_allowed(above(resolve(F.concat(empty(), *found)), cfg.threshold), cfg.allowlist)
+    found = all_spans(text, [d for d in _active(cfg) if not d.on_rows])
+    return keep_allowed(above(resolve(F.concat(found, *extra)), cfg.threshold), cfg.allowlist)
 
 
 def _active(cfg: ScanConfig) -> list:
@@ -221,9 +243,10 @@ def scan(df: DataFrame, text: str, cfg: ScanConfig, out: str = "spans") -> DataF
 
 def raw_spans(text: Column, cfg: ScanConfig) -> Column:
     """All detectors' output joined, before resolution, threshold and allowlist."""
-    one = lambda t: F.concat(empty(), *[d.spans(t) for d in cfg.detectors if not d.on_rows])
+    columns = [d for d in cfg.detectors if not d.on_rows]
     found = F.transform(
-        units(text, cfg.unit_chars, glue_of(cfg)), lambda u: shift(one(u["text"]), u["start"])
+        units(text, cfg.unit_chars, glue_of(cfg)),
+        lambda u: shift(all_spans(u["text"], columns), u["start"]),
     )
     return F.coalesce(F.flatten(found), empty())
 

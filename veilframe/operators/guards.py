@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.config import MAX_BODY_BYTES
 from veilframe.functions.patterns import INJECTION_PATTERNS, to_jdk
+from veilframe.functions.spans import let
 
 # --- fixed values: reserved address ranges ------------------------------------
 PRIVATE_V4 = (
@@ -89,32 +92,42 @@ def _v4_range(cidr: str) -> tuple[int, int]:
 
 def _v6_hex(ip: Column) -> Column:
     """An IPv6 address as 32 hex digits, NULL if malformed."""
-    lower = F.lower(ip)
-    dotted = F.regexp_extract(lower, r"^(?:.*:)([0-9.]+)$", 1)
-    as_number = _v4_number(F.nullif(dotted, F.lit("")))
-    two_groups = F.concat(
-        F.hex(F.floor(as_number / 65536).cast("bigint")), F.lit(":"), F.hex(as_number % 65536)
-    )
-    plain = F.when(
-        F.contains(lower, F.lit(".")),
-        F.concat(F.regexp_extract(lower, r"^(.*:)[0-9.]+$", 1), F.lower(two_groups)),
-    ).otherwise(lower)
-    filled = lambda part: F.array_join(
-        F.transform(
-            F.filter(F.split(part, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0")
-        ),
-        "",
-    )
-    halves = F.split(plain, "::", -1)
-    left, right = filled(F.get(halves, 0)), filled(F.coalesce(F.get(halves, 1), F.lit("")))
-    zeros = F.repeat(F.lit("0"), F.lit(32) - F.length(left) - F.length(right))
-    whole = F.concat(left, zeros, right)
-    compressed = F.size(halves) == 2
-    fits = F.when(compressed, F.length(left) + F.length(right) <= 28).otherwise(
-        (F.size(halves) == 1) & (F.length(left) == 32)
-    )
-    tidy = plain.rlike(r"\A(?:[0-9a-f]{1,4}:)*(?::|[0-9a-f]{1,4}|(?::[0-9a-f]{1,4})+)?\z")
-    return F.when(tidy & fits & F.contains(plain, F.lit(":")), whole)
+    def undotted(lower: Column) -> Column:
+        """A trailing dotted quad as two groups."""
+        number = _v4_number(F.regexp_extract(lower, r"^(?:.*:)([0-9.]+)$", 1))
+        groups = let(
+            number,
+            lambda n: F.lower(
+                F.concat(
+                    F.hex(F.floor(n / 65536).cast("bigint")), F.lit(":"), F.hex(n % 65536)
+                )
+            ),
+        )
+        head = F.regexp_extract(lower, r"^(.*:)[0-9.]+$", 1)
+        return F.when(F.contains(lower, F.lit(".")), F.concat(head, groups)).otherwise(lower)
+
+    def filled(part: Column) -> Column:
+        groups = F.filter(F.split(part, ":"), lambda g: g != "")
+        return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+
+    def whole(sides: Column) -> Column:
+        given = F.length(sides["left"]) + F.length(sides["right"])
+        fits = F.when(sides["n"] == 2, given <= 28).otherwise((sides["n"] == 1) & (given == 32))
+        zeros = F.repeat(F.lit("0"), F.lit(32) - given)
+        return F.when(fits, F.concat(sides["left"], zeros, sides["right"]))
+
+    def parsed(plain: Column) -> Column:
+        halves = F.split(plain, "::", -1)
+        sides = F.struct(
+            filled(F.get(halves, 0)).alias("left"),
+            filled(F.coalesce(F.get(halves, 1), F.lit(""))).alias("right"),
+            F.size(halves).alias("n"),
+        )
+        run = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+        tidy = plain.rlike(rf"\A(?:{run})?(?:::(?:{run})?)?\z")
+        return F.when(tidy, let(sides, whole))
+
+    return F.when(F.contains(ip, F.lit(":")), let(undotted(F.lower(ip)), parsed))
 
 
 def _v6_test(digits: Column, cidr: str) -> Column:
@@ -139,19 +152,18 @@ def is_private_ip(ip: Column) -> Column:
 
     IPv4 written as ``::ffff:a.b.c.d`` is judged as IPv4.
     """
-    v6 = _v6_hex(ip)
-    mapped = F.when(
-        F.startswith(v6, F.lit("0" * 20 + "ffff")),
-        F.conv(F.substring(v6, 25, 8), 16, 10).cast("bigint"),
-    )
-    v4 = F.coalesce(_v4_number(ip), mapped)
-    in_v4 = F.lit(False)
-    for cidr in PRIVATE_V4:
-        in_v4 = in_v4 | v4.between(*_v4_range(cidr))
-    in_v6 = F.lit(False)
-    for cidr in PRIVATE_V6:
-        in_v6 = in_v6 | _v6_test(v6, cidr)
-    return F.when(v4.isNotNull(), in_v4).when(v6.isNotNull(), in_v6)
+    def in_v4(number: Column) -> Column:
+        return reduce(or_, [number.between(*_v4_range(c)) for c in PRIVATE_V4])
+
+    def judge_v6(digits: Column) -> Column:
+        mapped = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
+        return F.when(
+            F.startswith(digits, F.lit("0" * 20 + "ffff")), let(mapped, in_v4)
+        ).otherwise(reduce(or_, [_v6_test(digits, c) for c in PRIVATE_V6]))
+
+    return F.when(
+        F.contains(ip, F.lit(":")), let(_v6_hex(ip), lambda d: F.when(d.isNotNull(), judge_v6(d)))
+    ).otherwise(let(_v4_number(ip), in_v4))
 
 
 def host_of(url: Column) -> Column:

@@ -12,6 +12,7 @@ from veilframe.functions.crypto import Keyring, decrypt, with_keys, without_keys
 from veilframe.functions.spans import empty, find_all, let, shift
 from veilframe.functions.tokens import TOKEN_PATTERN, TOKEN_PREFIX, token_verifies
 from veilframe.operators.redact import REDACTED_SPANS_TYPE, redact_column
+from veilframe.sources.workdir import materialise
 
 
 def has_token(text: Column) -> Column:
@@ -150,7 +151,9 @@ def screen_response(
         .withColumn("response_spans", F.coalesce(F.col("_r.spans"), empty(REDACTED_SPANS_TYPE)))
         .drop("_r")
     )
-    return rehydrate(hidden, "_hidden", scope, key, vault, keys, out=out).drop("_hidden")
+    # The restore step reads its input three times: store it rather than scan thrice.
+    stored = materialise(hidden, "screened")
+    return rehydrate(stored, "_hidden", scope, key, vault, keys, out=out).drop("_hidden")
 
 
 def expire_scopes(vault: DataFrame, expired: DataFrame) -> DataFrame:
