@@ -136,7 +136,10 @@ def term_glue(terms: Iterable[str]) -> str:
 def letter_cases(c: str) -> set[str]:
     """All characters that equal ``c`` when letter case is ignored."""
     # Letters with a case partner outside their own pair.
-    extra = {"k": "K", "s": "ſ", "å": "Å", "i": "İı", "ß": "ẞ", "µ": "μ", "ω": "Ω"}
+    extra = {
+        "k": "\u212a", "s": "\u017f", "å": "\u212b", "i": "İı",
+        "ß": "\u1e9e", "µ": "\u03bc", "ω": "\u2126",
+    }
     more = extra.get(c.lower(), "") if len(c.lower()) == 1 else ""
     return {v for v in (c, c.lower(), c.upper(), *more) if len(v) == 1}
 
