@@ -8,9 +8,12 @@ it stays inside the row: no explode, no regrouping.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.config import ROUTES, ScanConfig
 from veilframe.functions.crypto import Keyring, with_keys, without_keys
@@ -99,18 +102,55 @@ def format_of(name: str) -> ChatFormat:
 
 
 def parse_body(body: Column, fmt: BodyFormat) -> Column:
-    """The body as a struct, NULL when it is not a JSON object of this shape."""
+    """The body as a struct, NULL when it is not a JSON object of this shape.
+
+    Texts must be JSON strings: content given as, say, a list of parts makes the
+    body unparsed, and it is then treated as raw text.
+    """
     parsed = F.from_json(
         body, f"{fmt.schema}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT}
     )
+    typed = F.from_json(body, _loose(fmt))
+    sound = let(
+        typed, lambda v: reduce(and_, [_all_texts(v[h], rest) for h, rest in map(_split, fmt.paths)])
+    )
     return let(
         parsed,
         lambda p: F.when(
-            body.rlike(r"(?s)\A\s*\{.*\}\s*\z") & p.isNotNull() & p[_CORRUPT].isNull(), p
+            body.rlike(r"(?s)\A\s*\{.*\}\s*\z") & p.isNotNull() & p[_CORRUPT].isNull() & sound, p
         ),
     )
 
 
+def _loose(fmt: BodyFormat) -> T.StructType:
+    """The schema with every text replaced by a variant, which keeps its JSON type."""
+    def swap(node: T.DataType, parts: list[str]) -> T.DataType:
+        if not parts:
+            return T.VariantType()
+        if parts[0] == "*":
+            return T.ArrayType(swap(node.elementType, parts[1:]))
+        return T.StructType(
+            [
+                T.StructField(f.name, swap(f.dataType, parts[1:]) if f.name == parts[0] else f.dataType)
+                for f in node.fields
+            ]
+        )
+
+    schema = T.StructType.fromDDL(fmt.schema)
+    for path in fmt.paths:
+        schema = swap(schema, path.split("."))
+    return schema
+
+
+def _all_texts(node: Column, parts: list[str]) -> Column:
+    """Whether every value at a path is a JSON string, null or missing."""
+    if not parts:
+        return node.isNull() | F.schema_of_variant(node).isin("STRING", "VOID")
+    if parts[0] == "*":
+        return F.coalesce(F.forall(node, lambda x: _all_texts(x, parts[1:])), F.lit(True))
+    return _all_texts(node[parts[0]], parts[1:])
+
+
 def _collect(node: Column, parts: list[str], path: Column) -> Column:
     if not parts:
         return F.when(

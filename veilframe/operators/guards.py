@@ -167,8 +167,11 @@ def is_private_ip(ip: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """Host of a URL without user, port or brackets."""
-    return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?\[?([^/?#:\]]*)", 1)
+    """Host of a URL without user, port or brackets; empty when there is none."""
+    start = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?"
+    bracketed = F.regexp_extract(url, start + r"\[([^\]]*)\]", 1)
+    plain = F.regexp_extract(url, start + r"([^/?#:\[]*)", 1)
+    return F.when(bracketed != "", bracketed).otherwise(plain)
 
 
 def base_domain(url: Column) -> Column:
