@@ -63,7 +63,6 @@ def test_idle_streams_are_released(spark):
     try:
         for _ in range(100):
             query.awaitTermination(0.3)
-            query.processAllAvailable()
             rows = spark.read.schema(units.schema).parquet(out).orderBy("at").collect()
             if "".join(r["text"] for r in rows) == "tail without end":
                 break
