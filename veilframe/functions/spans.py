@@ -19,8 +19,11 @@ SPAN_TYPE = (
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
 MATCHES_TYPE = (
     "array<struct<type:string,confidence:double,detector_name:string,luhn:boolean,"
-    "hits:array<string>,gaps:array<string>>>"
+    "cuts:array<string>>>"
 )
+# Unicode noncharacters: never part of a text meant for exchange, and no
+# pattern or term may match them.
+MARK, _OTHER = "\uffff", "\ufffe"
 _HITS_TYPE = "array<struct<start:int,value:string>>"
 _PIECES_TYPE = "array<struct<start:int,text:string>>"
 
@@ -34,47 +37,58 @@ def empty(array_type: str = SPANS_TYPE) -> Column:
     return F.array().cast(array_type)
 
 
-def _placed(hits: Column, gaps: Column) -> Column:
-    """Matches and the gaps around them as ``array<struct<start,value>>``."""
+def _marked(text: Column, pattern: str) -> Column:
+    """Text cut around every match: gap, match, gap, ..., gap.
+
+    One pass of the pattern sets a mark on both sides of each match, and the
+    marks are cheap to split at.
+    """
+    marks = F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
+    return F.split(marks, MARK, -1)
+
+
+def unmarked(text: Column) -> Column:
+    """Text without the mark character; no length changes."""
+    return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, _OTHER)).otherwise(text)
+
+
+def _placed(cuts: Column) -> Column:
+    """The matches among ``_marked`` cuts as ``array<struct<start,value>>``."""
     return F.aggregate(
-        F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))),
-        F.struct(F.lit(0).alias("pos"), empty(_HITS_TYPE).alias("out")),
-        lambda acc, p: let(
-            acc["pos"] + F.length(p["gap"]),
-            lambda start: F.struct(
-                (start + F.length(p["hit"])).alias("pos"),
+        cuts,
+        F.struct(
+            F.lit(0).alias("pos"), F.lit(False).alias("hit"), empty(_HITS_TYPE).alias("out")
+        ),
+        lambda acc, c: F.struct(
+            (acc["pos"] + F.length(c)).alias("pos"),
+            (~acc["hit"]).alias("hit"),
+            F.when(
+                acc["hit"],
                 F.concat(
-                    acc["out"],
-                    F.array(F.struct(start.alias("start"), p["hit"].alias("value"))),
-                ).alias("out"),
-            ),
+                    acc["out"], F.array(F.struct(acc["pos"].alias("start"), c.alias("value")))
+                ),
+            ).otherwise(acc["out"]).alias("out"),
         ),
         lambda acc: acc["out"],
     )
 
 
 def find_all(text: Column, pattern: str) -> Column:
-    """Every leftmost, non-overlapping match as ``array<struct<start,value>>``.
-
-    The gaps between matches come from ``split`` on the same pattern, so a
-    match starts after all gaps and matches before it.
-    """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return _placed(hits, F.split(text, pattern, -1))
+    """Every leftmost, non-overlapping match as ``array<struct<start,value>>``."""
+    return _placed(_marked(unmarked(text), pattern))
 
 
 def matches(
     text: Column, pattern: str, type_: str, confidence: float, detector_name: str,
     luhn: bool = False, gate: Column | None = None,
 ) -> Column:
-    """One pattern's matches, not yet placed; NULL where ``gate`` is false."""
+    """One pattern's matches in ``unmarked`` text, not yet placed; NULL where ``gate`` is false."""
     found = F.struct(
         F.lit(type_).alias("type"),
         F.lit(float(confidence)).alias("confidence"),
         F.lit(detector_name).alias("detector_name"),
         F.lit(luhn).alias("luhn"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
-        F.split(text, pattern, -1).alias("gaps"),
+        _marked(text, pattern).alias("cuts"),
     )
     return found if gate is None else F.when(gate, found)
 
@@ -86,7 +100,7 @@ def place(found: Column) -> Column:
     """
     def one(m: Column) -> Column:
         kept = F.filter(
-            _placed(m["hits"], m["gaps"]), lambda h: ~m["luhn"] | luhn_valid(h["value"])
+            _placed(m["cuts"]), lambda h: ~m["luhn"] | luhn_valid(h["value"])
         )
         return F.transform(
             kept,

@@ -18,14 +18,17 @@ from pyspark.sql import functions as F
 from veilframe.config import ScanConfig
 from veilframe.functions.patterns import PATTERNS, Pattern
 from veilframe.functions.spans import (
+    MARK,
     MATCHES_TYPE,
     SPANS_TYPE,
     empty,
+    let,
     matches,
     place,
     resolve,
     shift,
     units,
+    unmarked,
 )
 
 MAX_INLINE_TERMS = 200
@@ -79,7 +82,7 @@ class PatternDetector:
         )
 
     def spans(self, text: Column) -> Column:
-        return place(self.matches(text))
+        return let(unmarked(text), lambda t: place(self.matches(t)))
 
 
 class TermDetector:
@@ -111,7 +114,7 @@ class TermDetector:
         return F.when(text.rlike(any_term), F.array(*found)).otherwise(empty(MATCHES_TYPE))
 
     def spans(self, text: Column) -> Column:
-        return place(self.matches(text))
+        return let(unmarked(text), lambda t: place(self.matches(t)))
 
 
 def clean_terms(terms: Iterable[str]) -> tuple[str, ...]:
@@ -119,6 +122,8 @@ def clean_terms(terms: Iterable[str]) -> tuple[str, ...]:
     seen = dict.fromkeys(t.lower() for t in terms)
     if "" in seen:
         raise ValueError("an empty term would match everywhere")
+    if any(MARK in t for t in seen):
+        raise ValueError("a term holds U+FFFF")
     return tuple(seen)
 
 
@@ -168,7 +173,10 @@ def all_spans(text: Column, detectors: Iterable[Detector]) -> Column:
     parts = [empty()]
     for listed, group in groupby(detectors, key=lambda d: hasattr(d, "matches")):
         if listed:
-            parts.append(place(F.concat(*[d.matches(text) for d in group])))
+            known = list(group)
+            parts.append(
+                let(unmarked(text), lambda t: place(F.concat(*[d.matches(t) for d in known])))
+            )
         else:
             parts += [d.spans(text) for d in group]
     return F.concat(*parts)
