@@ -115,7 +115,7 @@ def test_block_summaries_are_exact():
             block = times[k : k + rng.randint(1, 9)]
             k += len(block)
             got += throttle.replay(block, low + (phase - low) % throttle.TOKEN, rate, burst)[0]
-            value = [v for f, v in throttle.phase_map(block, low, rate, burst) if f <= phase][-1]
+            value = [v for f, v in throttle.phase_map(block, low, rate, burst)[0] if f <= phase][-1]
             phase = phase if value is None else value
             cap, cost, floor = throttle.low_step(block, rate, burst)
             low = max(min(low, cap) - cost, floor)

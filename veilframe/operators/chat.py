@@ -221,11 +221,14 @@ def replace_text(body: Column, texts: Column, provider: str, direction: str = "r
     return let(parse_body(body, fmt), lambda p: rebuild(p, body, texts, fmt))
 
 
-def by_provider(provider: Column, build) -> Column:
-    """One expression per distinct format, chosen by the row's provider."""
+def by_provider(provider: Column, build, only: tuple[str, ...] = ()) -> Column:
+    """One expression per distinct format, chosen by the row's provider.
+
+    ``only`` leaves out formats a table is known not to hold.
+    """
     alike: dict[ChatFormat, list[str]] = {}
-    for name, fmt in _FORMATS.items():
-        alike.setdefault(fmt, []).append(name)
+    for name in only or _FORMATS:
+        alike.setdefault(format_of(name), []).append(name)
     chain = None
     for names in alike.values():
         cond, out = provider.isin(*names), build(names[0])
@@ -241,12 +244,15 @@ def split_known(df: DataFrame, provider: str = "provider") -> tuple[DataFrame, D
 
 
 def extract_fields(
-    df: DataFrame, body: str = "body", provider: str = "provider", direction: str = "request"
+    df: DataFrame, body: str = "body", provider: str = "provider", direction: str = "request",
+    only: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add ``fields`` for a table that mixes formats, in a single pass."""
     return df.withColumn(
         "fields",
-        by_provider(F.col(provider), lambda name: extract_text(F.col(body), name, direction)),
+        by_provider(
+            F.col(provider), lambda name: extract_text(F.col(body), name, direction), only
+        ),
     )
 
 
@@ -263,12 +269,13 @@ def redact_bodies(
     body: str = "body",
     provider: str = "provider",
     direction: str = "request",
+    only: tuple[str, ...] = (),
 ) -> DataFrame:
     """Extract, scan, redact and rebuild, all in the row.
 
     Adds ``redacted_body`` and ``spans`` (those of all texts, with tokens).
     """
-    rows = with_keys(extract_fields(df, body, provider, direction), keys)
+    rows = with_keys(extract_fields(df, body, provider, direction, only), keys)
     rows = rows.withColumn(
         "_done",
         F.transform(
@@ -292,6 +299,7 @@ def redact_bodies(
         by_provider(
             F.col(provider),
             lambda name: replace_text(F.col(body), F.col("_texts"), name, direction),
+            only,
         ),
     )
     return without_keys(rows.drop("_done", "_texts", "fields"))

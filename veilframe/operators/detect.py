@@ -9,9 +9,11 @@ piece by piece, which keeps the work linear in the text length.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 from itertools import groupby
 from typing import Protocol, runtime_checkable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,11 +242,17 @@ def scan_column(text: Column, cfg: ScanConfig) -> Column:
     return F.coalesce(F.flatten(found), empty())
 
 
+@lru_cache(maxsize=64)
+def _scan_expression(text: str, cfg: ScanConfig, gateway: int) -> Column:
+    """Building the expression takes thousands of JVM calls; reuse it."""
+    return scan_column(F.col(text), cfg)
+
+
 def scan(df: DataFrame, text: str, cfg: ScanConfig, out: str = "spans") -> DataFrame:
     """Add the spans of ``text``; null and empty text yield an empty array."""
     row_detectors = [d for d in cfg.detectors if d.on_rows]
     if not row_detectors:
-        return df.withColumn(out, scan_column(F.col(text), cfg))
+        return df.withColumn(out, _scan_expression(text, cfg, id(SparkContext._gateway)))
     names = [f"_{out}_{i}" for i in range(len(row_detectors))]
     for name, d in zip(names, row_detectors):
         df = df.withColumn(name, d.spans(F.col(text)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +62,11 @@ def redact_column(text: Column, scope: Column, cfg: ScanConfig) -> Column:
     )
 
 
+@lru_cache(maxsize=64)
+def _redact_expression(text: str, scope: str, cfg: ScanConfig, gateway: int) -> Column:
+    return redact_column(F.col(text), F.col(scope), cfg)
+
+
 def redact(
     df: DataFrame,
     text: str,
@@ -72,7 +80,7 @@ def redact(
     if any(d.on_rows for d in cfg.detectors) or glue_of(cfg) is None:
         return replace_spans(scan(df, text, cfg, out=spans), text, spans, scope, keys, out)
     keyed = with_keys(df, keys)
-    done = keyed.withColumn("_r", redact_column(F.col(text), F.col(scope), cfg))
+    done = keyed.withColumn("_r", _redact_expression(text, scope, cfg, id(SparkContext._gateway)))
     return without_keys(
         done.withColumn(out, F.col("_r.redacted")).withColumn(spans, F.col("_r.spans")).drop("_r")
     )

@@ -23,7 +23,7 @@ the refill since the start of the log, so that only events change them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -52,9 +52,11 @@ def replay(times: list[int], level: int, rate: int, burst: int) -> tuple[list[bo
     return allowed, level
 
 
-def low_step(times: list[int], rate: int, burst: int) -> tuple[int, int, int]:
-    """A block's effect on the low level: ``max(min(level, cap) - cost, floor)``."""
-    full, cap, cost, floor = burst * TOKEN, _HUGE, 0, -_HUGE
+def low_step(
+    times: list[int], rate: int, burst: int, state: tuple[int, int, int] = (_HUGE, 0, -_HUGE)
+) -> tuple[int, int, int]:
+    """Events' effect on the low level: ``max(min(level, cap) - cost, floor)``."""
+    full, (cap, cost, floor) = burst * TOKEN, state
     for t in times:
         refill = rate * t
         top = full - refill
@@ -64,10 +66,18 @@ def low_step(times: list[int], rate: int, burst: int) -> tuple[int, int, int]:
     return cap, cost, floor
 
 
-def phase_map(times: list[int], low: int, rate: int, burst: int) -> list[tuple[int, int | None]]:
-    """A block's effect on the phase: ``(from, constant or None)`` pieces of [0, TOKEN)."""
+Pieces = list[tuple[int, "int | None"]]
+
+
+def phase_map(
+    times: list[int], low: int, rate: int, burst: int, pieces: Pieces | None = None
+) -> tuple[Pieces, int]:
+    """Events' effect on the phase: ``(from, constant or None)`` pieces of [0, TOKEN).
+
+    Also gives the low level after them, to go on from.
+    """
     full = burst * TOKEN
-    pieces: list[tuple[int, int | None]] = [(0, None)]
+    pieces = pieces or [(0, None)]
     for t in times:
         refill = rate * t
         top = full - refill
@@ -78,15 +88,13 @@ def phase_map(times: list[int], low: int, rate: int, burst: int) -> list[tuple[i
         elif room < TOKEN - 1:
             pieces = _overflow(pieces, (low + room + 1) % TOKEN, low % TOKEN, top % TOKEN)
         low = max(low - TOKEN, -refill)
-    return pieces
+    return pieces, low
 
 
-def _overflow(
-    pieces: list[tuple[int, int | None]], begin: int, end: int, constant: int
-) -> list[tuple[int, int | None]]:
+def _overflow(pieces: Pieces, begin: int, end: int, constant: int) -> Pieces:
     """Phases in the circular interval [begin, end) become ``constant``."""
     inside = lambda p: (begin <= p < end) if begin <= end else (p >= begin or p < end)
-    out: list[tuple[int, int | None]] = []
+    out: Pieces = []
     for k, (start, value) in enumerate(pieces):
         stop = pieces[k + 1][0] if k + 1 < len(pieces) else TOKEN
         cuts = [start]
@@ -100,8 +108,37 @@ def _overflow(
     return out
 
 
-def _micros(pdf: pd.DataFrame) -> list[int]:
-    return pdf["_t"].tolist()
+def _ordered(rows: DataFrame, key: str, ident: str) -> DataFrame:
+    """Rows of one (key, block) together and in time order; the sort may spill."""
+    return rows.repartition(F.col(key), F.col(BLOCK)).sortWithinPartitions(key, BLOCK, "_t", ident)
+
+
+def _runs(pdf: pd.DataFrame, key: str) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The (key, block) runs of an ordered batch."""
+    for (k, block), part in pdf.groupby([key, BLOCK], sort=False, dropna=False):
+        yield (None if pd.isna(k) else k, int(block)), part
+
+
+def _summaries(
+    rows: DataFrame, key: str, ident: str, start: Callable, step: Callable, finish: Callable,
+    columns: list[str], schema: str,
+) -> DataFrame:
+    """Fold every (key, block) in order; one row each, whatever its length."""
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for pdf in batches:
+            done = []
+            for group, part in _runs(pdf, key):
+                if group != current:
+                    if current is not None:
+                        done.append((*current, *finish(state)))
+                    current, state = group, start(part)
+                state = step(part["_t"].tolist(), state)
+            yield pd.DataFrame(done, columns=columns)
+        if current is not None:
+            yield pd.DataFrame([(*current, *finish(state))], columns=columns)
+
+    return _ordered(rows, key, ident).mapInPandas(fold, schema)
 
 
 def over_rate(
@@ -135,13 +172,20 @@ def over_rate(
     if not busy.isEmpty():
         every = every.unionByName(_with_levels(hot, key, ts, ident, rate, burst, group_rows))
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", ident], kind="stable")
-        pdf["allowed"], _ = replay(_micros(pdf), int(pdf["_level"].iloc[0]), rate, burst)
-        return pdf[[key, ts, ident, "allowed"]]
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, level = None, 0
+        for pdf in batches:
+            allowed: list[bool] = []
+            for group, part in _runs(pdf, key):
+                if group != current:
+                    current, level = group, int(part["_level"].iloc[0])
+                decisions, level = replay(part["_t"].tolist(), level, rate, burst)
+                allowed += decisions
+            pdf["allowed"] = allowed
+            yield pdf[[key, ts, ident, "allowed"]]
 
     schema = log.select(key, ts, ident).withColumn("allowed", F.lit(True)).schema
-    return every.groupBy(key, BLOCK).applyInPandas(decide, schema)
+    return _ordered(every, key, ident).mapInPandas(decide, schema)
 
 
 def _with_levels(
@@ -156,13 +200,6 @@ def _with_levels(
         BLOCK, F.col(BLOCK).cast("bigint") * F.lit(2**31) + F.col("_part")
     ).drop("_part")
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        cap, cost, floor = low_step(sorted(_micros(pdf)), rate, burst)
-        return pd.DataFrame(
-            {key: [pdf[key].iloc[0]], BLOCK: [pdf[BLOCK].iloc[0]],
-             "cap": [cap], "cost": [cost], "floor": [floor]}
-        )
-
     def chain_low(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(BLOCK)
         low, lows = burst * TOKEN, []
@@ -172,15 +209,6 @@ def _with_levels(
         pdf["_low"] = lows
         return pdf[[key, BLOCK, "_low"]]
 
-    def map_phases(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = int(pdf["_low"].iloc[0])
-        pieces = phase_map(sorted(_micros(pdf)), low, rate, burst)
-        return pd.DataFrame(
-            {key: [pdf[key].iloc[0]], BLOCK: [pdf[BLOCK].iloc[0]], "_low": [low],
-             "froms": [[p[0] for p in pieces]],
-             "values": [[-1 if p[1] is None else p[1] for p in pieces]]}
-        )
-
     def chain_phases(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(BLOCK)
         phase, levels = (burst * TOKEN) % TOKEN, []
@@ -191,17 +219,35 @@ def _with_levels(
         pdf["_level"] = levels
         return pdf[[key, BLOCK, "_level"]]
 
-    steps = blocks.groupBy(key, BLOCK).applyInPandas(
-        summarise, f"{key_ddl}, {BLOCK} bigint, cap bigint, cost bigint, floor bigint"
+    group = f"{key_ddl}, {BLOCK} bigint"
+    steps = _summaries(
+        blocks, key, ident,
+        start=lambda part: (_HUGE, 0, -_HUGE),
+        step=lambda times, state: low_step(times, rate, burst, state),
+        finish=lambda state: state,
+        columns=[key, BLOCK, "cap", "cost", "floor"],
+        schema=f"{group}, cap bigint, cost bigint, floor bigint",
     )
-    lows = steps.groupBy(key).applyInPandas(chain_low, f"{key_ddl}, {BLOCK} bigint, _low bigint")
-    maps = null_safe_join(blocks, lows, [key, BLOCK]).groupBy(key, BLOCK).applyInPandas(
-        map_phases,
-        f"{key_ddl}, {BLOCK} bigint, _low bigint, froms array<bigint>, values array<bigint>",
-    )
-    levels = maps.groupBy(key).applyInPandas(
-        chain_phases, f"{key_ddl}, {BLOCK} bigint, _level bigint"
+    lows = steps.groupBy(key).applyInPandas(chain_low, f"{group}, _low bigint")
+
+    def first_low(part: pd.DataFrame) -> tuple:
+        low = int(part["_low"].iloc[0])
+        return low, None, low
+
+    def advance(times: list[int], state: tuple) -> tuple:
+        low, pieces, at = state
+        return (low, *phase_map(times, at, rate, burst, pieces))
+
+    def pieces_row(state: tuple) -> tuple:
+        low, pieces, _ = state
+        return low, [p[0] for p in pieces], [-1 if p[1] is None else p[1] for p in pieces]
+
+    maps = _summaries(
+        null_safe_join(blocks, lows, [key, BLOCK]), key, ident, first_low, advance, pieces_row,
+        columns=[key, BLOCK, "_low", "froms", "values"],
+        schema=f"{group}, _low bigint, froms array<bigint>, values array<bigint>",
     )
+    levels = maps.groupBy(key).applyInPandas(chain_phases, f"{group}, _level bigint")
     return null_safe_join(blocks, levels, [key, BLOCK])
 
 

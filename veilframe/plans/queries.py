@@ -365,7 +365,9 @@ def chat_extract(provider: str, direction: str) -> Query:
 def chat_replace(provider: str, direction: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _chat_rows(spark, sf_dir, provider, direction)
-        done = chat.redact_bodies(rows, DEFAULT, SAMPLE_KEYS, direction=direction)
+        done = chat.redact_bodies(
+            rows, DEFAULT, SAMPLE_KEYS, direction=direction, only=(provider,)
+        )
         back = done.withColumn(
             "fields", chat.extract_text(F.col("redacted_body"), provider, direction)
         )
@@ -411,7 +413,8 @@ def raw_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("scope").alias("request_id"), F.lit("openai").alias("provider"),
         F.concat(F.lit('{"messages": '), "text").alias("body"),
     )
-    return chat.redact_bodies(rows, DEFAULT, SAMPLE_KEYS).select("doc_id", "redacted_body")
+    done = chat.redact_bodies(rows, DEFAULT, SAMPLE_KEYS, only=("openai",))
+    return done.select("doc_id", "redacted_body")
 
 
 def custom_format(spark: SparkSession, sf_dir: str) -> DataFrame:
