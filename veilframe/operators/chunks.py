@@ -89,34 +89,38 @@ def to_units(
     head = F.length(F.regexp_extract("text", rf"(?s)\A(.*?{left})(?={_WS})", 1))
     upto = F.length(F.regexp_extract("text", rf"(?s)\A(.*{left})(?={_WS})", 1))
     cells = cells.withColumn("_head", head).withColumn("_upto", upto)
-    cells = cells.withColumn("_cut", (F.col("_head") > 0).cast("bigint"))
-    counted = running_total(sequence_blocks(cells, "cell"), [stream], ["cell"], F.col("_cut"), "_seam")
+    cut = F.col("_head") > 0
 
-    def piece(begin: Column, end: Column, seam: Column) -> Column:
+    def piece(back: int, begin: Column, end: Column) -> Column:
         return F.struct(
-            seam.cast("bigint").alias("seam"),
+            F.lit(back).alias("back"),
             (F.col("at") + begin).alias("at"),
             F.substring("text", begin + 1, end - begin).alias("text"),
         )
 
+    # Most of a cell is a unit of its own and is not shuffled again.
+    middle = piece(0, F.col("_head"), F.col("_upto"))
+    middles = cells.filter(cut).select(stream, middle["at"].alias("at"), middle["text"].alias("text"))
+
+    # What lies before the first or after the last cut joins its neighbours': a
+    # seam runs from one cell with a cut to the next such cell.
     size = F.length("text")
-    parts = F.when(
-        F.col("_cut") == 1,
-        F.array(
-            piece(F.lit(0), F.col("_head"), F.col("_seam") - 1),
-            piece(F.col("_head"), F.col("_upto"), F.lit(None)),
-            piece(F.col("_upto"), size, F.col("_seam")),
-        ),
-    ).otherwise(F.array(piece(F.lit(0), size, F.col("_seam"))))
-    split = counted.select(stream, F.inline(parts)).filter(F.length("text") > 0)
-    middles = split.filter(F.col("seam").isNull()).select(stream, "at", "text")
+    edges = cells.select(
+        stream, "cell", cut.cast("bigint").alias("_cut"),
+        F.when(cut, F.array(piece(1, F.lit(0), F.col("_head")), piece(0, F.col("_upto"), size)))
+        .otherwise(F.array(piece(0, F.lit(0), size))).alias("_parts"),
+    )
+    counted = running_total(
+        sequence_blocks(edges, "cell"), [stream], ["cell"], F.col("_cut"), "_seam"
+    )
     seams = (
-        split.filter(F.col("seam").isNotNull())
+        counted.select(stream, "_seam", F.inline("_parts"))
+        .withColumn("seam", F.col("_seam") - F.col("back"))
         .groupBy(stream, "seam")
         .agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
         .select(stream, F.get("p", F.lit(0))["at"].alias("at"), _joined(F.col("p")).alias("text"))
     )
-    return middles.unionByName(seams)
+    return middles.unionByName(seams).filter(F.length("text") > 0)
 
 
 def redact_chunks(
