@@ -126,3 +126,17 @@ def test_latency_histogram_is_cumulative(spark):
     df = spark.createDataFrame([("G", "/", m) for m in (1, 5, 6, 100, 20_000)], "method string, path string, latency_ms bigint")
     rows = {r["le"]: r["cumulative"] for r in metrics.latency_histogram(df).collect()}
     assert rows[0.005] == 2 and rows[0.01] == 3 and rows[0.1] == 4 and rows[10.0] == 4 and rows[float("inf")] == 5
+
+
+@pytest.mark.parametrize("group_rows", [10**6, 5])
+def test_over_rate_with_numeric_and_missing_callers(spark, group_rows):
+    rows = [(i, None if i % 3 == 0 else i % 2, at(i * 100_000)) for i in range(60)]
+    df = spark.createDataFrame(rows, "i bigint, who bigint, ts timestamp")
+    got = throttle.over_rate(df, "who", "ts", "i", rate=1, burst=2, group_rows=group_rows)
+    assert got.schema["who"].dataType.simpleString() == "bigint"
+    allowed = {r["i"]: r["allowed"] for r in got.collect()}
+    assert len(allowed) == 60
+    for who in (None, 0, 1):
+        mine = [(at_ - T0) // timedelta(microseconds=1) for i, w, at_ in rows if w == who]
+        expected, _ = throttle.replay([m for m in mine], 2 * throttle.TOKEN - mine[0], 1, 2)
+        assert [allowed[i] for i, w, _ in rows if w == who] == expected
