@@ -51,5 +51,34 @@ FROM n JOIN g USING (norm)
 """
 
 
+JACCARD_JOIN = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws
+  FROM documents),
+g AS (
+  SELECT DISTINCT doc_id,
+         unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[]
+                     WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                     ELSE list_transform(range(1, len(ws) - 3),
+                                         lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+      FROM g a JOIN g b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT m.a, m.b FROM m JOIN n x ON x.doc_id = m.a JOIN n y ON y.doc_id = m.b
+      WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+l AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
+       least(d.doc_id, coalesce(l.least, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN l ON l.a = d.doc_id
+"""
+
+
 def oracle_queries() -> dict[str, str]:
-    return {"op1_mixing": MIXING, "op4_exact_dedup": EXACT_DEDUP}
+    return {
+        "op1_mixing": MIXING,
+        "op4_exact_dedup": EXACT_DEDUP,
+        "op10_jaccard_join": JACCARD_JOIN,
+    }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilframe.llm import exact_dedup, mixing, sharding
+from veilframe.llm import exact_dedup, jaccard_join, langid, mixing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,9 +35,27 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
 
 
+def fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    found = langid.identify(docs, langid.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(_table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op2_sharding": op2_sharding,
         "op4_exact_dedup": op4_exact_dedup,
+        "op8_language_id": op8_language_id,
+        "op10_jaccard_join": op10_jaccard_join,
     }
