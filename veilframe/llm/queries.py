@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import exact_dedup, jaccard_join, langid, mixing, sharding
+from veilframe.llm import exact_dedup, jaccard_join, langid, mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return (
@@ -31,13 +36,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    vectors = quality.word_vectors(docs)
+    net = quality.train(docs, labels, ~held_out, vectors)
+    return quality.score(docs, vectors, net).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
 
 
-def fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +68,7 @@ def all_queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op2_sharding": op2_sharding,
+        "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
         "op8_language_id": op8_language_id,
         "op10_jaccard_join": op10_jaccard_join,
