@@ -76,9 +76,43 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN l ON l.a = d.doc_id
 """
 
 
+TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATION = rf"""
+WITH lo AS (
+  SELECT doc_id AS id, row_number() OVER () AS rid, true AS doc, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '{TERM}') AS ws FROM documents
+  UNION ALL
+  SELECT item_id, row_number() OVER (), false, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '{TERM}') FROM benchmark),
+wi AS (  -- windows of the items
+  SELECT DISTINCT id AS item_id, least(13, len(ws)) AS width,
+         unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2),
+                               lambda i: array_to_string(ws[i:i + least(13, len(ws)) - 1], ' '))) AS gram
+  FROM lo WHERE NOT doc AND len(ws) > 0),
+wd AS (  -- runs of the documents, of every width in use
+  SELECT rid, width, unnest(range(1, len(ws) - width + 2)) AS pos,
+         unnest(list_transform(range(1, len(ws) - width + 2),
+                               lambda i: array_to_string(ws[i:i + width - 1], ' '))) AS gram
+  FROM lo, (SELECT DISTINCT width FROM wi) WHERE doc AND len(ws) >= width),
+hit AS (SELECT wd.rid, wd.pos, wd.width, wi.item_id FROM wd JOIN wi USING (width, gram)),
+hw AS (SELECT rid, count(DISTINCT p) AS n_hit
+       FROM (SELECT rid, unnest(range(pos, pos + width)) AS p FROM hit) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+       FROM (SELECT DISTINCT rid, cast(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY rid)
+SELECT id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM lo LEFT JOIN hw USING (rid) LEFT JOIN it USING (rid) WHERE doc
+"""
+
+
 def oracle_queries() -> dict[str, str]:
     return {
         "op1_mixing": MIXING,
         "op4_exact_dedup": EXACT_DEDUP,
+        "op7_decontamination": DECONTAMINATION,
         "op10_jaccard_join": JACCARD_JOIN,
     }

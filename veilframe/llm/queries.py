@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import exact_dedup, jaccard_join, langid, mixing, quality, sharding
+from veilframe.llm import decontaminate, exact_dedup, jaccard_join, langid, mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    judged = decontaminate.judge(decontaminate.search(docs, items))
+    return judged.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 3) == 1
@@ -70,6 +83,7 @@ def all_queries() -> dict[str, Query]:
         "op2_sharding": op2_sharding,
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
+        "op7_decontamination": op7_decontamination,
         "op8_language_id": op8_language_id,
         "op10_jaccard_join": op10_jaccard_join,
     }
