@@ -26,6 +26,9 @@ What makes this exact on any data:
   signature has both sides left with k or less. Only such sets are compared
   further, and only across components.
 
+What is left over from the bound is also a filter: a partner shares at least that
+many signatures, so sets that share fewer with all others together have none.
+
 Then two rounds of verification by whole sets: hubs against members, and, after
 contraction into components, what is still in different components. Equal sets
 count once, by a 128-bit digest. Hot signatures are cut down to a hub in each
@@ -56,6 +59,8 @@ from veilframe.sources.workdir import materialise
 HOT = 32
 _FLUSH = 2_000_000  # signatures in hand
 _SEEDS = 16
+_SPARE_AT = 11  # bits of a code below its spare: bands times seeds stay below 2048
+_MOST_SPARE = (1 << 20) - 1
 
 
 @dataclass(frozen=True)
@@ -77,7 +82,7 @@ class Scheme:
     shingle: int = 5
     n2: int = 2
     k2: int = 1
-    slack: float = 2.25
+    slack: float = 1.75
 
     def band_starts(self, largest: int) -> list[int]:
         starts = [1]
@@ -173,19 +178,19 @@ def entries(sizes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, list[Instanc
 
 def all_signatures(
     sets: list[np.ndarray], scheme: Scheme
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(signatures, the entry of each, each entry's set, code and spare).
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(signatures, the entry of each, each entry's set and code), seed by seed.
 
-    ``code`` names instance and seed. With a ``spare`` of 0 or less the entry
-    signs again under the next seed.
+    ``code`` holds band, seed and what the entry has to spare over the bound. With
+    nothing to spare it signs again under the next seed.
     """
     which, inst = entries(np.array([len(s) for s in sets]), scheme)
     for seed in range(_SEEDS):
         if not len(which):
             return
         sigs, owner, spare = signatures(sets, which, inst, seed)
-        code = np.array([x.band * _SEEDS + seed for x in inst], dtype=np.int32)
-        yield sigs, owner, which, code, spare
+        name = np.array([x.band * _SEEDS + seed for x in inst], dtype=np.int32)
+        yield sigs, owner, which, name | (np.clip(spare, 0, _MOST_SPARE).astype(np.int32) << _SPARE_AT)
         again = np.flatnonzero(spare <= 0)
         which, inst = which[again], [inst[i] for i in again]
 
@@ -302,7 +307,7 @@ def _task_signatures(scheme: Scheme, buckets: int):
                     sets.append(s)
                     refs.append(d[0])
             refs = np.array(refs, dtype=np.int64)
-            for sig, owner, which, code, _ in all_signatures(sets, scheme):
+            for sig, owner, which, code in all_signatures(sets, scheme):
                 parts.append((sig, owner, refs[which], code))
                 held += len(sig)
             if held >= _FLUSH:
@@ -371,25 +376,14 @@ def _member_batch(g, code, ref, hub, hot) -> pa.RecordBatch:
 
 
 def _task_vectors(scheme: Scheme):
-    """(node, ref, text) -> (node, ref, elements, codes, spares)."""
+    """(node, ref, text) -> (node, ref, elements)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
             sets = document_sets(batch.column(2), scheme.shingle)
-            codes, spares = [[] for _ in sets], [[] for _ in sets]
-            for _, _, which, code, spare in all_signatures(sets, scheme):
-                for w, c, s in zip(which.tolist(), code.tolist(), spare.tolist(), strict=True):
-                    codes[w].append(c)
-                    spares[w].append(s)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                    pa.array(codes, pa.list_(pa.int32())),
-                    pa.array(spares, pa.list_(pa.int32())),
-                ],
-                names=["node", "ref", "elements", "codes", "spares"],
+                [batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["node", "ref", "elements"],
             )
 
     return run
@@ -425,19 +419,35 @@ def _verified(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_task_verify(percent), "a string, b string")
 
 
+def _promising(members: DataFrame) -> DataFrame:
+    """Members that share as many signatures as a partner would, in groups of two or more.
+
+    A partner shares at least what the entry has to spare.
+    """
+    spare = F.shiftright("code", _SPARE_AT)
+    able = materialise(
+        members.groupBy("ref", "code").agg(F.count(F.lit(1)).alias("shared"))
+        .filter(F.col("shared") >= spare).select("ref", "code"),
+        "able",
+    )
+    left = materialise(members.select("g", "code", "ref").join(able, ["ref", "code"]), "left")
+    groups = (
+        left.groupBy("g").agg(F.min("ref").alias("hub"), F.max("ref").alias("last"),
+                              F.count(F.lit(1)).alias("size"))
+        .filter("hub <> last").select("g", "hub", (F.col("size") > HOT).alias("hot"))
+    )
+    return materialise(left.join(groups, "g"), "promising")
+
+
 def _open_pairs(members: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Pairs still to compare after the first round: (a, b), a < b, not yet compared."""
+    """Pairs still to compare after the first round: (a, b), a < b."""
     names = vectors.select("ref", "node").join(labels, "node", "left")
     named = members.join(names.select("ref", F.coalesce("root", "node").alias("root")), "ref")
-    mixed_groups = (
-        named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                               F.bool_or("hot").alias("any_hot"))
-        .filter("lo <> hi").select("g", "any_hot")
-    )
-    named = materialise(named.drop("hot").join(mixed_groups, "g"), "open-groups")
+    torn = named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    named = materialise(named.join(torn.filter("lo <> hi").select("g"), "g"), "torn")
     # at most HOT members each
     cold = (
-        named.filter("not any_hot").groupBy("g")
+        named.filter("not hot").groupBy("g")
         .agg(F.array_sort(F.collect_set(F.struct("ref", "root"))).alias("m"))
         .select(F.explode("m").alias("x"), "m")
         .select("x", F.explode("m").alias("y"))
@@ -445,12 +455,11 @@ def _open_pairs(members: DataFrame, labels: DataFrame, vectors: DataFrame) -> Da
         .select(F.col("x.ref").alias("a"), F.col("y.ref").alias("b"))
     )
     # only sets left with nothing to spare when the hot signatures are taken away
-    spent = members.filter("hot").groupBy("ref", "code").agg(F.count_distinct("g").alias("spent"))
-    spare = vectors.select("ref", F.explode(F.arrays_zip("codes", "spares")).alias("z")).select(
-        "ref", F.col("z.codes").alias("code"), F.col("z.spares").alias("spare")
+    short = (
+        members.filter("hot").groupBy("ref", "code").agg(F.count_distinct("g").alias("spent"))
+        .filter(F.shiftright("code", _SPARE_AT) - F.col("spent") <= 0).select("ref", "code")
     )
-    short = spent.join(spare, ["ref", "code"]).filter("spare - spent <= 0").select("ref", "code")
-    hot = named.filter("any_hot").join(short, ["ref", "code"], "left_semi")
+    hot = named.filter("hot").join(short, ["ref", "code"], "left_semi")
     hot = hot.select("g", "ref", "root").distinct()
     main = hot.groupBy("g").agg(F.mode("root").alias("main"))
     # members outside the group's main component, against all the others
@@ -470,7 +479,11 @@ def near_components(
     text_col: str = "text",
     scheme: Scheme = Scheme(),
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``."""
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``th``, ``component``.
+
+    ``component_id`` is the smallest id of the component; ``component`` names it
+    also where ids are null (null for an empty set); ``th`` is xxhash64 of the text.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -481,11 +494,13 @@ def near_components(
         "sets",
     )
     keyed = sets.withColumn("node", F.concat_ws(":", "n", "d1", "d2"))
-    buckets = 4 * max(1, source.rdd.getNumPartitions())
-    members = materialise(
-        source.select("text").mapInArrow(_task_signatures(scheme, buckets), _BLOB)
-        .groupBy("bucket").applyInArrow(_task_groups(buckets), _MEMBER),
-        "members",
+    buckets = 2 * max(1, source.rdd.getNumPartitions())
+    members = _promising(
+        materialise(
+            source.select("text").mapInArrow(_task_signatures(scheme, buckets), _BLOB)
+            .groupBy("bucket").applyInArrow(_task_groups(buckets), _MEMBER),
+            "members",
+        )
     )
     # one document's text for each set that has candidates
     chosen = (
@@ -501,10 +516,7 @@ def near_components(
         .select("node", "ref", "text").dropDuplicates(["node"])
     )
     vectors = materialise(
-        texts.mapInArrow(
-            _task_vectors(scheme),
-            "node string, ref long, elements binary, codes array<int>, spares array<int>",
-        ),
+        texts.mapInArrow(_task_vectors(scheme), "node string, ref long, elements binary"),
         "vectors",
     )
     first = materialise(
@@ -523,12 +535,11 @@ def near_components(
         "named",
     )
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_node = named.join(lowest, "root").select("node", "component_id")
-    return (
-        keyed.join(per_node, "node", "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        )
+    per_node = named.join(lowest, "root").select("node", "root", "component_id")
+    return keyed.join(per_node, "node", "left").select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        "th",
+        F.col("root").alias("component"),
     )
