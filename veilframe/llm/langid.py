@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.llm import words
 
@@ -201,39 +202,47 @@ def train(
 
 
 def _task_predict(held, margin: float):
-    """(id, text, letter) -> (id, lang_pred, score, ambiguous)."""
+    """(text, letter, *kept) -> (*kept, language, score, unsure)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
         for batch in words.slices(batches, "text"):
             n = batch.num_rows
             names, scores, unsure = [UNKNOWN] * n, np.zeros(n), np.ones(n, dtype=bool)
-            letter = batch.column(2).to_numpy(zero_copy_only=False)
+            letter = batch.column(1).to_numpy(zero_copy_only=False)
             rows = np.flatnonzero(letter) if model.languages else np.zeros(0, int)
             for at in range(0, len(rows), 256):
                 part = rows[at : at + 256]
-                x = features(np.stack([gram_counts(lowered(batch.column(1)[i].as_py())) for i in part]))
+                x = features(np.stack([gram_counts(lowered(batch.column(0)[i].as_py())) for i in part]))
                 best, score, lead = model.predict(x)
                 for i, b in zip(part, best, strict=True):
                     names[i] = model.languages[b]
                 scores[part], unsure[part] = score, lead < margin
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names), pa.array(scores), pa.array(unsure)],
-                names=["id", "lang_pred", "score", "ambiguous"],
+                [*batch.columns[2:], pa.array(names), pa.array(scores), pa.array(unsure)],
+                names=[*batch.schema.names[2:], "language", "score", "unsure"],
             )
 
     return run
 
 
 def identify(
-    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", margin: float = 0.2
+    docs: DataFrame,
+    model: Model,
+    keep: Sequence[str] = ("doc_id",),
+    text_col: str = "text",
+    margin: float = 0.2,
+    names: Sequence[str] = ("lang_pred", "score", "ambiguous"),
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``lang_pred``, ``score``, ``ambiguous``."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """One row per row of ``docs``: the columns to keep, language, score, and whether
+    the best two are less than ``margin`` apart; the last three by ``names``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(
-        F.col(id_col).alias("id"), text.alias("text"), text.rlike(r"\p{L}").alias("letter")
-    ).mapInArrow(
-        _task_predict(held, margin), f"id {kind}, lang_pred string, score double, ambiguous boolean"
-    ).withColumnRenamed("id", id_col)
+    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    plain = docs.select(text.alias("text"), text.rlike(r"\p{L}").alias("letter"), *kept)
+    schema = T.StructType(
+        [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+        + [T.StructField("language", T.StringType()), T.StructField("score", T.DoubleType()),
+           T.StructField("unsure", T.BooleanType())]
+    )
+    return plain.mapInArrow(_task_predict(held, margin), schema).toDF(*keep, *names)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontaminate, exact_dedup, jaccard_join, langid, mixing, quality, sharding
+from veilframe.llm import decontaminate, exact_dedup, jaccard_join, langid, licenses, mixing, pii_bootstrap, quality, sharding, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,24 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.find(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[
+            pii_bootstrap.count_kind("base", i).alias(f"n_{kind}")
+            for i, kind in enumerate(pii_bootstrap.KINDS)
+        ],
+        F.sha2(pii_bootstrap.spans_text("base").cast("binary"), 256).alias("base_sha256"),
+        pii_bootstrap.spans_text("spans").alias("spans"),
+    )
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("other", "other_doc_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     judged = decontaminate.judge(decontaminate.search(docs, items))
@@ -73,8 +91,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "start", "end", "license", "size", "saved",
+        (F.col("license").isNotNull() & (F.col("missing") == "") & (F.col("extra") == "")).alias("exact"),
+        "missing", "extra",
+    )
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_components(_table(spark, sf_dir, "documents"))
+    found = jaccard_join.near_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def all_queries() -> dict[str, Query]:
@@ -83,7 +111,10 @@ def all_queries() -> dict[str, Query]:
         "op2_sharding": op2_sharding,
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_pii": op5_pii,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_language_id": op8_language_id,
+        "op9_licenses": op9_licenses,
         "op10_jaccard_join": op10_jaccard_join,
     }
