@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         if turn == 1:  # every node has an edge
             labels = to
         else:
-            step = to.withColumnsRenamed({"node": "root", "root": "next"})
+            step = to.select(F.col("node").alias("root"), F.col("root").alias("next"))
             labels = materialise(
                 labels.join(step, "root", "left").select(
                     "node", F.coalesce("next", "root").alias("root")

@@ -57,7 +57,7 @@ TEMPLATES: Mapping[str, str] = {
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
     ),
-    "All rights reserved": "Copyright (c). All rights reserved.",
+    "All rights reserved": "All rights reserved.",
 }
 
 CUE = (
