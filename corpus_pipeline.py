@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import decontaminate, jaccard_join, langid, mixing, sharding
+from veilframe.llm.oracles import PIPELINE
 from veilframe.llm.queries import fold
 from veilframe.sources.workdir import materialise
 
@@ -120,7 +121,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sharding", assign_shards),
 ]
 
-ORACLE_SQL: str | None = None
+ORACLE_SQL: str | None = PIPELINE
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

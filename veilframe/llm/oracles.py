@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from veilframe.llm.sharding import EIGHT, NINE, Node, tree
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 MIXING = rf"""
@@ -129,6 +131,54 @@ FROM lo LEFT JOIN hw USING (rid) LEFT JOIN it USING (rid) WHERE doc
 """
 
 
+def place_sql(key: str, node: Node) -> str:
+    """The shard that a key reaches, as nested choices of the largest draw."""
+    if node.shard is not None:
+        return str(node.shard)
+    if len(node.children) == 1:
+        return place_sql(key, node.children[0])
+    draws = [
+        f"ln((cast('0x' || substr(md5({key} || '|{c.name}'), 1, 13) AS BIGINT) + 0.5::DOUBLE)"
+        f" / {16**13}.0::DOUBLE) / {c.weight}::DOUBLE"
+        for c in node.children
+    ]
+    best = f"list_position([{', '.join(draws)}], list_max([{', '.join(draws)}]))"
+    cases = " ".join(
+        f"WHEN {i} THEN {place_sql(key, c)}" for i, c in enumerate(node.children, start=1)
+    )
+    return f"CASE {best} {cases} END"
+
+
+def _part(query: str, documents: str) -> str:
+    """A query's SQL as a subquery over another table of documents."""
+    return "(" + query.replace("FROM documents", f"FROM {documents}") + ")"
+
+
+_USES = MIXING[: MIXING.rindex("SELECT doc_id, size")] + """
+SELECT doc_id, unnest(range(passes + CASE WHEN least(size, rest - before) * 2 >= size
+                                           AND rest > before AND size > 0 THEN 1 ELSE 0 END)) AS use
+FROM q"""
+
+_KEY = "'shard|' || coalesce(cast(doc_id AS VARCHAR), '')"
+
+#: All stages of the pipeline; ids are taken to be unique, as in the table.
+PIPELINE = f"""
+WITH told AS (SELECT * FROM documents WHERE regexp_matches(text, '\\p{{L}}')),
+stays AS (SELECT * FROM {_part(JACCARD_JOIN, "told")} WHERE doc_id = component_id),
+one AS (SELECT told.* FROM told JOIN stays USING (doc_id)),
+judged AS (SELECT * FROM {_part(DECONTAMINATION, "one")} WHERE NOT contaminated),
+clean AS (SELECT one.* FROM one JOIN judged USING (doc_id)),
+uses AS (SELECT * FROM {_part(_USES, "clean")}),
+used AS (SELECT clean.* FROM clean JOIN uses USING (doc_id)),
+placed AS (SELECT *, 'key' AS law, ({place_sql(_KEY, tree(EIGHT))})::INTEGER AS shard,
+                  ({place_sql(_KEY, tree(NINE))})::INTEGER AS grown_shard FROM used)
+SELECT doc_id, text, lang, source, n_chars, law, shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY md5('shard-slot|' || doc_id)) - 1)::BIGINT AS slot,
+       grown_shard
+FROM placed
+"""
+
+
 def oracle_queries() -> dict[str, str]:
     return {
         "op1_mixing": MIXING,
