@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from veilframe.llm import words
 
 UNKNOWN = "und"
-DIMENSIONS = 1 << 14
+DIMENSIONS = 1 << 13
+_PLACES = 1 << 30
 _ORDERS = (1, 2, 3)
 
 
@@ -68,7 +69,7 @@ def _grams(a: np.ndarray) -> Iterator[np.ndarray]:
         if len(a) < n:
             return
         h = h[: len(a) - n + 1] * np.uint64(0x100000001B3) + x[n - 1 :]
-        yield (words.mixed(h + np.uint64(n)) >> np.uint64(50)).astype(np.int32)
+        yield (words.mixed(h + np.uint64(n)) >> np.uint64(51)).astype(np.int32)
 
 
 _PIECE = 1 << 20
@@ -86,9 +87,10 @@ def gram_counts(raw: bytes) -> np.ndarray:
 
 def features(counts: np.ndarray) -> np.ndarray:
     """Square roots of counts at unit length."""
-    root = np.sqrt(counts).astype(np.float32)
-    norm = np.linalg.norm(root, axis=-1, keepdims=True)
-    return root / np.where(norm > 0, norm, 1)
+    root = np.sqrt(counts, dtype=np.float32)
+    norm = np.sqrt(np.einsum("...i,...i->...", root, root))[..., None]
+    root /= np.where(norm > 0, norm, 1)
+    return root
 
 
 def lowered(text: str) -> bytes:
@@ -121,7 +123,7 @@ class Model:
         return best, p[np.arange(len(p)), best], lead
 
 
-def fit(x: np.ndarray, languages: Sequence[str], rounds: int = 80, seed: int = 5) -> Model:
+def fit(x: np.ndarray, languages: Sequence[str], rounds: int = 60, seed: int = 5) -> Model:
     """Logistic classifiers for all bits at once, by full-batch Adam.
 
     A fifth of the rows is held back to see how far each bit can be trusted.
@@ -174,26 +176,24 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    sample: int = 2400,
+    sample: int = 2000,
 ) -> Model:
     """Fit on about ``sample`` of the rows for which ``learn`` holds."""
     known = docs.filter(learn).filter(
         F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
     )
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    langs = sizes.count()
-    if not langs:
+    # one number per language, as many as the model has codewords
+    sizes = dict(known.groupBy(lang_col).count().collect())
+    if not sizes:
         return fit(np.zeros((0, DIMENSIONS), np.float32), [])
-    each = max(20, sample // langs)
-    share = F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(1.5 * each + 20) / F.col("n"))
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    drawn = (
-        known.select(place.alias("place"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-        .join(sizes.select("lang", share.alias("share")), "lang")
-        .filter(F.col("place") < F.col("share"))
-        .filter(F.col("text").rlike(r"\p{L}"))
-        .select("lang", "text")
+    each = max(20, sample // len(sizes))
+    share = F.create_map(
+        *[F.lit(v) for name, n in sorted(sizes.items()) for v in (name, int(_PLACES * min(1.0, each / n)))]
     )
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(_PLACES))
+    drawn = known.filter(place < share[F.col(lang_col)]).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
+    ).filter(F.col("text").rlike(r"\p{L}"))
     got = drawn.mapInArrow(_task_counts, "lang string, at binary, times binary").toPandas()
     x = np.zeros((len(got), DIMENSIONS), np.float32)
     for i, (at, times) in enumerate(zip(got["at"], got["times"], strict=True)):
