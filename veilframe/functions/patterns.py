@@ -82,7 +82,9 @@ class Pattern:
     look-ahead that spares the engine the costly boundary test elsewhere.
     ``any_of`` lists literals of which a matching text must hold one; ``digits``
     says a match holds a digit. ``glue`` lists the characters that can stand
-    right before white space inside a match.
+    right before white space inside a match, and ``never`` characters, none of
+    them a letter, digit or underscore, that no match holds or tests for beside
+    it; long texts are cut there. Without a stated ``glue`` they stay whole.
     """
 
     name: str
@@ -91,7 +93,8 @@ class Pattern:
     regex: str
     first: str = ""
     any_of: tuple[str, ...] = ()
-    glue: str = ""
+    glue: str | None = None
+    never: str = ""
     luhn: bool = False
     digits: bool = False
 
@@ -118,28 +121,31 @@ class Pattern:
         return reduce(or_, tests) if tests else None
 
 
+#: In no match of the patterns below.
+NEVER = ",;<>{}|[]!?"
+
 PATTERNS = (
-    Pattern("email", "email", 0.95, EMAIL, any_of=("@",)),
-    Pattern("ssn", "ssn", 0.98, SSN, first="0-9", digits=True),
+    Pattern("email", "email", 0.95, EMAIL, any_of=("@",), glue="", never=NEVER),
+    Pattern("ssn", "ssn", 0.98, SSN, first="0-9", glue="", never=NEVER, digits=True),
     Pattern(
         "credit_card", "credit_card", 0.90, CREDIT_CARD,
-        first="3-6", glue="0123456789", luhn=True, digits=True,
+        first="3-6", glue="0123456789", never=NEVER, luhn=True, digits=True,
     ),
     Pattern(
         "phone_us", "phone", 0.85, PHONE_US,
-        first="0-9+(", glue="0123456789)", digits=True,
+        first="0-9+(", glue="0123456789)", never=NEVER, digits=True,
     ),
     Pattern(
         "phone_intl", "phone", 0.80, PHONE_INTL,
-        first="+", any_of=("+",), glue="0123456789", digits=True,
+        first="+", any_of=("+",), glue="0123456789", never=NEVER, digits=True,
     ),
     Pattern(
         "ip_address", "ip_address", 0.75, IP_ADDRESS,
-        first="0-9", digits=True,
+        first="0-9", glue="", never=NEVER, digits=True,
     ),
     Pattern(
         "api_key_generic", "api_key", 0.90, API_KEY,
-        first="as", any_of=("=", ":"), glue="yYnN:=",
+        first="as", any_of=("=", ":"), glue="yYnN:=", never=NEVER,
     ),
-    Pattern("aws_key", "api_key", 0.98, AWS_KEY, any_of=("AKIA",)),
+    Pattern("aws_key", "api_key", 0.98, AWS_KEY, any_of=("AKIA",), glue="", never=NEVER),
 )

@@ -52,24 +52,63 @@ def unmarked(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, _OTHER)).otherwise(text)
 
 
+def before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each whole number of an array, those before it combined, from 0.
+
+    In two levels of about the square root of the array each: an array grown
+    element by element is copied every time.
+    """
+    def grown(items: Column, value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(
+            items,
+            F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("each")),
+            lambda acc, x: F.struct(
+                combine(acc["all"], value(x)).alias("all"),
+                F.concat(acc["each"], F.array(acc["all"])).alias("each"),
+            ),
+        )
+
+    def two_levels(width: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int")),
+            lambda i: grown(F.slice(values, i * width + 1, width), lambda x: x),
+        )
+        return let(
+            blocks,
+            lambda bs: F.flatten(
+                F.zip_with(
+                    bs,
+                    grown(bs, lambda b: b["all"])["each"],
+                    lambda b, far: F.transform(b["each"], lambda near: combine(far, near)),
+                )
+            ),
+        )
+
+    width = F.ceil(F.sqrt(F.size(values))).cast("int")
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(
+        let(width, two_levels)
+    )
+
+
+def _sums_before(values: Column) -> Column:
+    return before(values, lambda a, b: a + b)
+
+
 def _placed(cuts: Column) -> Column:
     """The matches among ``_marked`` cuts as ``array<struct<start,value>>``."""
-    return F.aggregate(
-        cuts,
-        F.struct(
-            F.lit(0).alias("pos"), F.lit(False).alias("hit"), empty(_HITS_TYPE).alias("out")
-        ),
-        lambda acc, c: F.struct(
-            (acc["pos"] + F.length(c)).alias("pos"),
-            (~acc["hit"]).alias("hit"),
-            F.when(
-                acc["hit"],
-                F.concat(
-                    acc["out"], F.array(F.struct(acc["pos"].alias("start"), c.alias("value")))
+    def odd(parts: Column) -> Column:
+        return let(
+            _sums_before(F.transform(parts, F.length)),
+            lambda starts: F.transform(
+                F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)),
+                lambda i: F.struct(
+                    F.get(starts, i).alias("start"), F.get(parts, i).alias("value")
                 ),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
+            ),
+        )
+
+    return let(
+        cuts, lambda parts: F.when(F.size(parts) < 2, empty(_HITS_TYPE)).otherwise(odd(parts))
     )
 
 
@@ -130,9 +169,6 @@ def by_start(spans: Column) -> Column:
     )
 
 
-_RANKED_TYPE = f"struct<start:int,i:int,s:{SPAN_TYPE}>"
-
-
 def _clusters(spans: Column) -> Column:
     """Spans grouped where they touch: an array of arrays, in text order."""
     entries = F.array_sort(
@@ -141,29 +177,26 @@ def _clusters(spans: Column) -> Column:
             lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s.alias("s")),
         )
     )
-    nothing = F.array().cast(f"array<{_RANKED_TYPE}>")
-    return F.aggregate(
-        entries,
-        F.struct(
-            F.lit(0).alias("reach"),
-            nothing.alias("open"),
-            F.array().cast(f"array<array<{_RANKED_TYPE}>>").alias("done"),
-        ),
-        lambda acc, e: F.when(
-            e["start"] < acc["reach"],
-            F.struct(
-                F.greatest(acc["reach"], e["s"]["end"]).alias("reach"),
-                F.concat(acc["open"], F.array(e)).alias("open"),
-                acc["done"].alias("done"),
+
+    def cut(sorted_: Column, reach: Column) -> Column:
+        # a cluster opens where all spans before have ended
+        opens = F.filter(
+            F.sequence(F.lit(0), F.size(sorted_) - 1),
+            lambda i: F.get(sorted_, i)["start"] >= F.get(reach, i),
+        )
+        return let(
+            opens,
+            lambda o: F.transform(
+                o,
+                lambda at, j: F.slice(
+                    sorted_, at + 1, F.coalesce(F.get(o, j + 1), F.size(sorted_)) - at
+                ),
             ),
-        ).otherwise(
-            F.struct(
-                e["s"]["end"].alias("reach"),
-                F.array(e).alias("open"),
-                F.concat(acc["done"], F.array(acc["open"])).alias("done"),
-            )
-        ),
-        lambda acc: F.concat(acc["done"], F.array(acc["open"])),
+        )
+
+    return let(
+        entries,
+        lambda e: let(before(F.transform(e, lambda x: x["s"]["end"]), F.greatest), lambda r: cut(e, r)),
     )
 
 
@@ -228,12 +261,13 @@ def splice(text: Column, spans: Column, replacement: Callable[[Column], Column])
     return let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(body(s)))
 
 
-def units(text: Column, unit_chars: int, glue: str | None) -> Column:
+def units(text: Column, unit_chars: int, glue: str | None, never: str = "") -> Column:
     """Cut text into pieces of about ``unit_chars`` that no match can straddle.
 
     A cut lies before white space whose preceding character is neither white
-    space nor in ``glue``. Pieces concatenate to the text. With ``glue=None``
-    (a detector whose matches are unknown) the text stays whole.
+    space nor in ``glue``, or before a character of ``never``, which no match
+    holds. Pieces concatenate to the text. With ``glue=None`` (a detector whose
+    matches are unknown) the text stays whole.
     """
     whole = F.when(
         F.length(text) > 0,
@@ -241,26 +275,29 @@ def units(text: Column, unit_chars: int, glue: str | None) -> Column:
     ).otherwise(empty(_PIECES_TYPE))
     if glue is None:
         return whole
-    pieces = F.regexp_extract_all(text, F.lit(unit_pattern(unit_chars, glue)), F.lit(0))
-    placed = F.aggregate(
+    pieces = F.regexp_extract_all(text, F.lit(unit_pattern(unit_chars, glue, never)), F.lit(0))
+    placed = let(
         pieces,
-        F.struct(F.lit(0).alias("pos"), empty(_PIECES_TYPE).alias("out")),
-        lambda acc, p: F.struct(
-            (acc["pos"] + F.length(p)).alias("pos"),
-            F.concat(
-                acc["out"], F.array(F.struct(acc["pos"].alias("start"), p.alias("text")))
-            ).alias("out"),
+        lambda ps: F.zip_with(
+            _sums_before(F.transform(ps, F.length)),
+            ps,
+            lambda at, p: F.struct(at.alias("start"), p.alias("text")),
         ),
-        lambda acc: acc["out"],
     )
     return F.when(F.length(text) > unit_chars, placed).otherwise(whole)
 
 
+def _in_class(characters: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(characters)))
+
+
 def cut_class(glue: str) -> str:
-    """Character class of what may stand left of a cut."""
-    escaped = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(glue)))
-    return rf"[^\t\n\f\r {escaped}]"
+    """Character class of what may stand left of a cut at white space."""
+    return rf"[^\t\n\f\r {_in_class(glue)}]"
 
 
-def unit_pattern(unit_chars: int, glue: str) -> str:
-    return rf"(?s)\G(?:.{{{unit_chars},}}?{cut_class(glue)}(?=[\t\n\f\r ])|.+)"
+def unit_pattern(unit_chars: int, glue: str, never: str = "") -> str:
+    here = rf"(?<={cut_class(glue)})(?=[\t\n\f\r ])"
+    if never:
+        here = f"(?:{here}|(?=[{_in_class(never)}]))"
+    return rf"(?s)\G(?:.{{{unit_chars},}}?{here}|.+)"

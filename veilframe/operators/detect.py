@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.config import ScanConfig
-from veilframe.functions.patterns import PATTERNS, Pattern
+from veilframe.functions.patterns import NEVER, PATTERNS, Pattern
 from veilframe.functions.spans import (
     MARK,
     MATCHES_TYPE,
@@ -42,7 +42,8 @@ class Detector(Protocol):
 
     ``glue`` lists the characters that can stand right before white space
     inside one of the detector's matches; ``None`` means unknown, and texts are
-    then scanned whole. ``on_rows`` marks detectors backed by a Python UDF,
+    then scanned whole. ``never``, if there is one, lists characters that no
+    match holds. ``on_rows`` marks detectors backed by a Python UDF,
     which Spark evaluates on a table column but not inside an array function.
     """
 
@@ -63,8 +64,13 @@ class PatternDetector:
         self.patterns = tuple(patterns)
 
     @property
-    def glue(self) -> str:
-        return "".join(p.glue for p in self.patterns)
+    def glue(self) -> str | None:
+        parts = [p.glue for p in self.patterns]
+        return None if None in parts else "".join(parts)
+
+    @property
+    def never(self) -> str:
+        return common(p.never for p in self.patterns)
 
     def at_least(self, confidence: float) -> PatternDetector:
         """Leave out patterns whose fixed score is below the threshold."""
@@ -104,6 +110,10 @@ class TermDetector:
     def glue(self) -> str:
         return term_glue(self.terms)
 
+    @property
+    def never(self) -> str:
+        return "".join(c for c in NEVER if not any(c in t for t in self.terms))
+
     def matches(self, text: Column) -> Column:
         if not self.terms:
             return empty(MATCHES_TYPE)
@@ -119,6 +129,12 @@ class TermDetector:
         return let(unmarked(text), lambda t: place(self.matches(t)))
 
 
+def common(parts: Iterable[str]) -> str:
+    """Characters that all parts hold."""
+    sets = [set(p) for p in parts]
+    return "".join(sorted(set.intersection(*sets))) if sets else ""
+
+
 def clean_terms(terms: Iterable[str]) -> tuple[str, ...]:
     """Lower-cased, distinct, in first-seen order; an empty term is an error."""
     seen = dict.fromkeys(t.lower() for t in terms)
@@ -217,10 +233,15 @@ def glue_of(cfg: ScanConfig) -> str | None:
     return None if any(p is None for p in parts) else "".join(parts)
 
 
+def never_of(cfg: ScanConfig) -> str:
+    """Characters that no detector's match holds."""
+    return common(getattr(d, "never", "") for d in cfg.detectors)
+
+
 def analysed_units(text: Column, cfg: ScanConfig) -> Column:
     """``array<struct<start,text,spans>>``: the pieces of a text and their spans."""
     return F.transform(
-        units(text, cfg.unit_chars, glue_of(cfg)),
+        units(text, cfg.unit_chars, glue_of(cfg), never_of(cfg)),
         lambda u: F.struct(
             u["start"].alias("start"),
             u["text"].alias("text"),
@@ -264,7 +285,7 @@ def raw_spans(text: Column, cfg: ScanConfig) -> Column:
     """All detectors' output joined, before resolution, threshold and allowlist."""
     columns = [d for d in cfg.detectors if not d.on_rows]
     found = F.transform(
-        units(text, cfg.unit_chars, glue_of(cfg)),
+        units(text, cfg.unit_chars, glue_of(cfg), never_of(cfg)),
         lambda u: shift(all_spans(u["text"], columns), u["start"]),
     )
     return F.coalesce(F.flatten(found), empty())
