@@ -95,6 +95,15 @@ def _task_term_counts(held):
     return run
 
 
+def _task_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, id, th) -> (id, th, n_words)."""
+    for batch in words.slices(batches, "text"):
+        sizes = np.diff(words.words(batch.column(0), words.ALNUM).offsets)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(1), batch.column(2), pa.array(sizes)], names=["id", "th", "n_words"]
+        )
+
+
 def _lookup(hashes: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(terms, hashes)
     at[at == len(terms)] = 0
@@ -288,7 +297,9 @@ def search(
         found = _block_matches(source, block, width, slack, id_type)
         if found:
             exact, near = exact.unionByName(found[0]), near.unionByName(found[1])
-    counted = source.select("id", "th", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
+    counted = source.select("text", "id", "th").mapInArrow(
+        _task_sizes, f"id {id_type}, th long, n_words long"
+    )
     return Matches(exact, near, counted)
 
 
