@@ -51,6 +51,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilframe.llm import words
 from veilframe.llm.components import components
@@ -58,6 +59,7 @@ from veilframe.sources.workdir import materialise
 
 HOT = 32
 _FLUSH = 2_000_000  # signatures in hand
+_BLOCK = 65_536  # elements of a block of sets
 _SEEDS = 16
 _SPARE_AT = 11  # bits of a code below its spare: bands times seeds stay below 2048
 _MOST_SPARE = (1 << 20) - 1
@@ -197,8 +199,9 @@ def all_signatures(
 
 # --- in tasks -----------------------------------------------------------------
 
-_BLOB = "bucket int, sigs binary, who binary, refs binary, codes binary, hot binary"
-_MEMBER = "g long, code int, ref long, hub long, hot boolean"
+# Packed: signatures, and per entry how many of them, its ref and its code.
+_BLOB = "bucket int, sigs binary, counts binary, refs binary, codes binary, hot binary"
+_MEMBER = "g long, code int, ref long"
 
 
 def _task_sets(scheme: Scheme):
@@ -239,7 +242,7 @@ def _local(sig, owner, refs, codes) -> tuple[np.ndarray, np.ndarray, list]:
         hub = rows[np.argmin(own)]
         go[rows] = False
         go[hub] = hot[hub] = True
-        members.append((np.full(n, s[at]), codes[owner[rows]], own, np.full(n, own.min())))
+        members.append((np.full(n, s[at]), codes[owner[rows]], own))
     return go, hot, members
 
 
@@ -263,18 +266,18 @@ def _task_signatures(scheme: Scheme, buckets: int):
         refs = np.concatenate([p[2] for p in parts])
         codes = np.concatenate([p[3] for p in parts])
         go, hot, members = _local(sig, owner, refs, codes)
-        out = {"bucket": [], "sigs": [], "who": [], "refs": [], "codes": [], "hot": []}
+        out = {"bucket": [], "sigs": [], "counts": [], "refs": [], "codes": [], "hot": []}
         if members:  # spread over buckets of their own, passed through
-            g, c, r, h = (np.concatenate(x) for x in zip(*members, strict=True))
+            g, c, r = (np.concatenate(x) for x in zip(*members, strict=True))
             g = _group_id(g, buckets)
             for at in range(0, len(g), 100_000):
                 cut = slice(at, at + 100_000)
                 out["bucket"].append(buckets + int(words.mixed(r[cut][:1].view(np.uint64))[0] % np.uint64(buckets)))
                 out["sigs"].append(g[cut].tobytes())
-                out["who"].append(None)
+                out["counts"].append(None)
                 out["refs"].append(r[cut].tobytes())
                 out["codes"].append(c[cut].astype(np.int32).tobytes())
-                out["hot"].append(h[cut].tobytes())
+                out["hot"].append(None)
         sig, owner, hot = sig[go], owner[go], hot[go]
         bucket = _bucket_of(sig, buckets)
         order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
@@ -282,11 +285,11 @@ def _task_signatures(scheme: Scheme, buckets: int):
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
         for lo, hi in zip(edge, edge[1:] + [len(bucket)], strict=True):
             o = owner[lo:hi]
-            new = np.concatenate([[True], o[1:] != o[:-1]])
+            new = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
             own = o[new]
             out["bucket"].append(int(bucket[lo]))
             out["sigs"].append((sig[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
-            out["who"].append((np.cumsum(new) - 1).astype(np.uint32).tobytes())
+            out["counts"].append(np.diff(np.append(new, len(o))).astype(np.uint32).tobytes())
             out["refs"].append(refs[own].tobytes())
             out["codes"].append(codes[own].astype(np.int32).tobytes())
             out["hot"].append(np.flatnonzero(hot[lo:hi]).astype(np.uint32).tobytes())
@@ -320,22 +323,27 @@ def _task_signatures(scheme: Scheme, buckets: int):
 
 
 def _members(sig, ref, code, hot, bucket: int):
-    """Members of the groups of one bucket that hold two sets or more."""
-    order = np.lexsort((ref, sig))
-    sig, ref, code, hot = sig[order], ref[order], code[order], hot[order]
-    same = np.concatenate([[False], sig[1:] == sig[:-1]])
-    again = same & np.concatenate([[False], ref[1:] == ref[:-1]])
-    # a repeated member keeps its mark on the first
-    hot = np.logical_or.reduceat(hot, np.flatnonzero(~again)) if len(hot) else hot
-    sig, ref, code, same = sig[~again], ref[~again], code[~again], same[~again]
-    start = np.flatnonzero(~same)
-    size = np.diff(np.concatenate([start, [len(sig)]]))
-    group = np.repeat(np.arange(len(start)), size)
-    any_hot = np.logical_or.reduceat(hot, start) | (size > HOT) if len(start) else hot
-    keep = ((size > 1) | any_hot)[group]
-    hub = ref[start][group]  # sorted: the smallest
+    """Members of the groups of one bucket that hold two sets or more, or a hot hub."""
+    order = np.argsort(sig)
+    s = sig[order]
+    same = s[1:] == s[:-1]
+    some = hot[order]
+    some[1:] |= same
+    some[:-1] |= same
+    rows = order[some]
+    rows = rows[np.lexsort((ref[rows], sig[rows]))]
+    sig, ref, code, hot = sig[rows], ref[rows], code[rows], hot[rows]
+    again = np.zeros(len(rows), dtype=bool)
+    again[1:] = (sig[1:] == sig[:-1]) & (ref[1:] == ref[:-1])
+    start = np.flatnonzero(~again)
+    hot = np.logical_or.reduceat(hot, start) if len(start) else hot
+    sig, ref, code = sig[start], ref[start], code[start]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else start
+    size = np.diff(np.append(first, len(sig)))
+    any_hot = np.logical_or.reduceat(hot, first) if len(first) else hot
+    keep = np.repeat((size > 1) | any_hot, size)
     g = (np.int64(bucket) << 32) | sig.astype(np.int64)
-    return g[keep], code[keep], ref[keep], hub[keep], any_hot[group][keep]
+    return g[keep], code[keep], ref[keep]
 
 
 def _task_groups(buckets: int):
@@ -349,18 +357,14 @@ def _task_groups(buckets: int):
                 refs = np.frombuffer(row["refs"], np.int64)
                 codes = np.frombuffer(row["codes"], np.int32)
                 if bucket >= buckets:
-                    n = len(refs)
-                    yield _member_batch(
-                        np.frombuffer(row["sigs"], np.int64), codes, refs,
-                        np.frombuffer(row["hot"], np.int64), np.ones(n, dtype=bool),
-                    )
+                    yield _member_batch(np.frombuffer(row["sigs"], np.int64), codes, refs)
                     continue
-                s, who = np.frombuffer(row["sigs"], np.uint32), np.frombuffer(row["who"], np.uint32)
+                s, counts = np.frombuffer(row["sigs"], np.uint32), np.frombuffer(row["counts"], np.uint32)
                 mark = np.zeros(len(s), dtype=bool)
                 mark[np.frombuffer(row["hot"], np.uint32)] = True
                 sig.append(s)
-                ref.append(refs[who])
-                code.append(codes[who])
+                ref.append(np.repeat(refs, counts))
+                code.append(np.repeat(codes, counts))
                 hot.append(mark)
         if sig:
             yield _member_batch(*_members(*map(np.concatenate, (sig, ref, code, hot)), bucket))
@@ -368,10 +372,9 @@ def _task_groups(buckets: int):
     return run
 
 
-def _member_batch(g, code, ref, hub, hot) -> pa.RecordBatch:
+def _member_batch(g, code, ref) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(g), pa.array(code), pa.array(ref), pa.array(hub), pa.array(hot)],
-        names=["g", "code", "ref", "hub", "hot"],
+        [pa.array(g), pa.array(code), pa.array(ref)], names=["g", "code", "ref"]
     )
 
 
@@ -390,16 +393,14 @@ def _task_vectors(scheme: Scheme):
 
 
 def _task_verify(percent: int):
-    """(a, b, ea, eb) -> (a, b, linked pairs only)."""
+    """(na, nb, ea, eb) -> (a, b) for the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1)], names=["a", "b"]
@@ -408,69 +409,184 @@ def _task_verify(percent: int):
     return run
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+
+    def marks(sets: list[np.ndarray], flat: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(both)), dtype=np.float32)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        known = both[at] == flat
+        out[owner[known], at[known]] = 1
+        return out
+
+    if not len(both):
+        return np.zeros((len(left), len(right)), dtype=np.int64)
+    return (marks(left, a) @ marks(right, b).T).astype(np.int64)
+
+
+def _task_blocks(percent: int):
+    """(strays, members), each a list of (node, root, elements) -> linked nodes (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = [batch.column(c)[row].values for c in (0, 1)]
+                node = [np.array(x.field("node").to_pylist()) for x in sides]
+                root = [np.array(x.field("root").to_pylist()) for x in sides]
+                sets = [[np.frombuffer(e.as_buffer(), np.uint64) for e in x.field("elements")] for x in sides]
+                size = [np.array([len(e) for e in x]) for x in sets]
+                both = _overlaps(*sets)
+                union = size[0][:, None] + size[1][None, :] - both
+                i, j = np.nonzero(
+                    (100 * both >= percent * union) & (root[0][:, None] != root[1][None, :])
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[0][i], pa.string()), pa.array(node[1][j], pa.string())], names=["a", "b"]
+                )
+
+    return run
+
+
 # --- the join -----------------------------------------------------------------
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     """The pairs (of refs ``a, b``) that link, as nodes."""
-    a = vectors.select(F.col("ref").alias("a"), F.col("node").alias("na"), F.col("elements").alias("ea"))
-    b = vectors.select(F.col("ref").alias("b"), F.col("node").alias("nb"), F.col("elements").alias("eb"))
-    both = pairs.join(a, "a").join(b, "b").select("na", "nb", "ea", "eb")
-    return both.mapInArrow(_task_verify(percent), "a string, b string")
+    side = lambda x: vectors.select(
+        F.col("ref").alias(x), F.col("node").alias("n" + x), F.col("elements").alias("e" + x)
+    )
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.select("na", "nb", "ea", "eb").mapInArrow(_task_verify(percent), "a string, b string")
+
+
+def _still_apart(cold: DataFrame, first: DataFrame, names: DataFrame) -> DataFrame:
+    """Cold pairs in different components that were not compared."""
+    side = lambda x: names.select(F.col("ref").alias(x), F.col("root").alias("r" + x))
+    return (
+        cold.select("a", "b").join(first, ["a", "b"], "left_anti")
+        .join(side("a"), "a").join(side("b"), "b").filter("ra <> rb").select("a", "b")
+    )
 
 
 def _promising(members: DataFrame) -> DataFrame:
-    """Members that share as many signatures as a partner would, in groups of two or more.
+    """``g, code, ref, size``: members that share as many signatures as a partner
+    would, in groups of two or more.
 
     A partner shares at least what the entry has to spare.
     """
-    spare = F.shiftright("code", _SPARE_AT)
-    able = materialise(
+    able = (
         members.groupBy("ref", "code").agg(F.count(F.lit(1)).alias("shared"))
-        .filter(F.col("shared") >= spare).select("ref", "code"),
-        "able",
+        .filter(F.col("shared") >= F.shiftright("code", _SPARE_AT)).select("ref", "code")
     )
-    left = materialise(members.select("g", "code", "ref").join(able, ["ref", "code"]), "left")
-    groups = (
-        left.groupBy("g").agg(F.min("ref").alias("hub"), F.max("ref").alias("last"),
-                              F.count(F.lit(1)).alias("size"))
-        .filter("hub <> last").select("g", "hub", (F.col("size") > HOT).alias("hot"))
+    # a hot signature's hub comes once from the task and once from the bucket
+    left = materialise(
+        members.join(materialise(able, "able"), ["ref", "code"]).select("g", "code", "ref").distinct(),
+        "left",
     )
-    return materialise(left.join(groups, "g"), "promising")
+    sizes = left.groupBy("g").agg(
+        F.count(F.lit(1)).alias("size"), F.min("ref").alias("lo"), F.max("ref").alias("hi")
+    )
+    return left.join(sizes.filter("lo <> hi").select("g", "size"), "g")
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Pairs still to compare after the first round: (a, b), a < b."""
-    names = vectors.select("ref", "node").join(labels, "node", "left")
-    named = members.join(names.select("ref", F.coalesce("root", "node").alias("root")), "ref")
-    torn = named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    named = materialise(named.join(torn.filter("lo <> hi").select("g"), "g"), "torn")
-    # at most HOT members each
+def _cold_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` that share enough signatures to be partners, and how many.
+
+    Of signatures with at most HOT sets all are counted; of the others either
+    side has ``spent`` some that might be shared too.
+    """
+    spent = (
+        members.filter(F.col("size") > HOT)
+        .groupBy("ref", "code").agg(F.count(F.lit(1)).alias("spent"))
+    )
     cold = (
-        named.filter("not hot").groupBy("g")
-        .agg(F.array_sort(F.collect_set(F.struct("ref", "root"))).alias("m"))
+        members.filter(F.col("size") <= HOT).groupBy("g")
+        .agg(F.array_sort(F.collect_set(F.struct("ref", "code"))).alias("m"))
         .select(F.explode("m").alias("x"), "m")
-        .select("x", F.explode("m").alias("y"))
-        .filter("x.ref < y.ref and x.root <> y.root")
-        .select(F.col("x.ref").alias("a"), F.col("y.ref").alias("b"))
+        .select("x", F.explode(F.filter("m", lambda y: y["ref"] > F.col("x.ref"))).alias("y"))
+        .groupBy(F.col("x.ref").alias("a"), F.col("x.code").alias("ca"),
+                 F.col("y.ref").alias("b"), F.col("y.code").alias("cb"))
+        .agg(F.count(F.lit(1)).alias("shared"))
     )
-    # only sets left with nothing to spare when the hot signatures are taken away
-    short = (
-        members.filter("hot").groupBy("ref", "code").agg(F.count_distinct("g").alias("spent"))
-        .filter(F.shiftright("code", _SPARE_AT) - F.col("spent") <= 0).select("ref", "code")
+    side = lambda x: spent.select(
+        F.col("ref").alias(x), F.col("code").alias("c" + x), F.col("spent").alias("s" + x)
     )
-    hot = named.filter("hot").join(short, ["ref", "code"], "left_semi")
-    hot = hot.select("g", "ref", "root").distinct()
-    main = hot.groupBy("g").agg(F.mode("root").alias("main"))
-    # members outside the group's main component, against all the others
-    stray = hot.join(main, "g").filter("root <> main").select(
-        "g", F.col("ref").alias("x"), F.col("root").alias("rx")
+    least = F.greatest(F.shiftright("ca", _SPARE_AT), F.shiftright("cb", _SPARE_AT))
+    more = F.least(F.coalesce("sa", F.lit(0)), F.coalesce("sb", F.lit(0)))
+    return (
+        cold.join(side("a"), ["a", "ca"], "left").join(side("b"), ["b", "cb"], "left")
+        .filter(F.col("shared") + more >= least)
+        .groupBy("a", "b").agg(F.max("shared").alias("shared"))
     )
-    warm = (
-        stray.join(hot, "g").filter("rx <> root")
-        .select(F.least("x", "ref").alias("a"), F.greatest("x", "ref").alias("b"))
+
+
+def _first_pairs(cold: DataFrame, hot: DataFrame) -> DataFrame:
+    """The pairs most likely to link: each set with the one that shares most with it,
+    and the members of hot signatures with their hub.
+
+    The hub is the member with the most company over all its groups: of near
+    copies, the one in the middle.
+    """
+    both = cold.unionByName(cold.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    best = both.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
+    company = hot.groupBy("ref").agg(F.sum("size").alias("company"))
+    hubs = (
+        hot.select("g", "ref").join(company, "ref")
+        .groupBy("g").agg(F.max(F.struct("company", "ref"))["ref"].alias("hub"))
+    )
+    starred = hot.select("g", "ref").join(hubs, "g").filter("ref <> hub")
+    return (
+        best.unionByName(starred.select(F.col("ref").alias("a"), F.col("hub").alias("b")))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+
+
+def _hot_links(hot: DataFrame, names: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that only hot signatures can show.
+
+    A pair without a cold group shares as many hot ones as either has to spare:
+    only sets with that many are left, and of their hot groups the smallest are
+    enough, all but as many as they have to spare less one. Within these, sets
+    outside their group's main component are compared with all others there, in
+    blocks of about ``_BLOCK`` elements against blocks.
+    """
+    spare = F.greatest(F.shiftright("code", _SPARE_AT), F.lit(1))
+    own = Window.partitionBy("ref", "code")
+    few = (
+        hot.withColumn("nth", F.row_number().over(own.orderBy("size", "g")))
+        .withColumn("spent", F.count(F.lit(1)).over(own))
+        .filter(F.col("nth") <= F.col("spent") - spare + 1)
     )
-    return cold.unionByName(warm).distinct()
+    few = few.join(names.select("ref", "root"), "ref").select("g", "ref", "root").distinct()
+    torn = few.groupBy("g").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.mode("root", deterministic=True).alias("main"),
+    )
+    hot = few.join(torn.filter("lo <> hi").select("g", "main"), "g")
+    sets = materialise(
+        hot.select("main", "ref").distinct()
+        .join(names.select("ref", "node", "root"), "ref")
+        .join(vectors.select("node", "elements"), "node")
+        .withColumn("n", F.octet_length("elements") / 8),
+        "hot-sets",
+    )
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        count = rows.groupBy("main").agg(F.ceil(F.sum("n") / _BLOCK).alias("blocks"))
+        return (
+            rows.join(count, "main")
+            .groupBy("main", F.pmod(F.xxhash64("node"), F.col("blocks")).alias(f"{name}_block"))
+            .agg(F.collect_list(F.struct("node", "root", "elements")).alias(name))
+        )
+
+    strays = materialise(blocks(sets.filter("root <> main"), "strays"), "strays")
+    others = materialise(blocks(sets, "members"), "others")
+    met = strays.join(others, "main").repartition("main", "strays_block", "members_block")
+    return met.select("strays", "members").mapInArrow(_task_blocks(percent), "a string, b string")
 
 
 def near_components(
@@ -495,18 +611,19 @@ def near_components(
     )
     keyed = sets.withColumn("node", F.concat_ws(":", "n", "d1", "d2"))
     buckets = 2 * max(1, source.rdd.getNumPartitions())
-    members = _promising(
-        materialise(
-            source.select("text").mapInArrow(_task_signatures(scheme, buckets), _BLOB)
-            .groupBy("bucket").applyInArrow(_task_groups(buckets), _MEMBER),
-            "members",
-        )
+    grouped = (
+        source.select("text").mapInArrow(_task_signatures(scheme, buckets), _BLOB)
+        .groupBy("bucket").applyInArrow(_task_groups(buckets), _MEMBER)
     )
+    members = _promising(materialise(grouped, "members"))
+    hot = materialise(members.filter(F.col("size") > HOT), "hot")
+    cold = materialise(_cold_pairs(members), "cold")
+    wanted = cold.select(F.explode(F.array("a", "b")).alias("ref")).unionByName(hot.select("ref"))
     # one document's text for each set that has candidates
     chosen = (
         keyed.filter("n > 0").groupBy("node", F.col("d1").alias("ref"))
         .agg(F.min(F.struct("id", "th")).alias("of"))
-        .join(members.select("ref").distinct(), "ref")
+        .join(wanted.distinct(), "ref")
         .select("node", "ref", "of.id", "of.th")
     )
     chosen = materialise(chosen, "chosen")
@@ -519,14 +636,17 @@ def near_components(
         texts.mapInArrow(_task_vectors(scheme), "node string, ref long, elements binary"),
         "vectors",
     )
-    first = materialise(
-        members.filter("ref <> hub").select(F.col("hub").alias("a"), F.col("ref").alias("b")).distinct(),
-        "pairs",
-    )
-    links = materialise(_verified(first, vectors, scheme.percent), "links")
+    first = materialise(_first_pairs(cold, hot), "pairs")
+    links = materialise(_linked(first, vectors, scheme.percent), "links")
     labels = components(links)
-    more = _open_pairs(members, labels, vectors).join(first, ["a", "b"], "left_anti")
-    more = materialise(_verified(materialise(more, "pairs"), vectors, scheme.percent), "links")
+    names = vectors.select("ref", "node").join(labels, "node", "left")
+    names = materialise(names.select("ref", "node", F.coalesce("root", "node").alias("root")), "names")
+    left = materialise(_still_apart(cold, first, names), "pairs")
+    more = materialise(
+        _linked(left, vectors, scheme.percent)
+        .unionByName(_hot_links(hot, names, vectors, scheme.percent)),
+        "links",
+    )
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = keyed.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
