@@ -61,18 +61,29 @@ def hmac_sha256(message: Column) -> Column:
     return F.sha2(F.concat(F.col("_mac_out"), F.unhex(inner)), 256)
 
 
-def encrypt(value: Column, context: Column) -> Column:
-    """AES-GCM with the nonce in front; needs ``with_keys``.
+def framed(*parts: Column) -> Column:
+    """Parts with their lengths in front: different parts never frame alike."""
+    return F.concat(
+        *[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]
+    )
+
+
+def encrypt(value: Column, *context: Column) -> Column:
+    """AES-GCM with the nonce in front, bound to its context; needs ``with_keys``.
 
-    The nonce is a keyed hash of value and context, so a retried task writes
-    the same bytes and a nonce is never shared by two different values.
+    The nonce is a keyed hash of context and value, so a retried task writes the
+    same bytes and two different values never share one. Only the same context
+    decrypts.
     """
-    nonce = F.substring(F.unhex(hmac_sha256(F.concat(F.lit("nonce:"), context, value))), 1, 12)
+    message = F.concat(F.lit("nonce:"), framed(*context, value))
+    nonce = F.substring(F.unhex(hmac_sha256(message)), 1, 12)
     return F.aes_encrypt(
-        value, F.col("_enc_key"), F.lit("GCM"), F.lit("DEFAULT"), nonce
+        value, F.col("_enc_key"), F.lit("GCM"), F.lit("DEFAULT"), nonce, framed(*context)
     )
 
 
-def decrypt(ciphertext: Column) -> Column:
-    """The plain text, or NULL when the bytes are short, altered or foreign."""
-    return F.try_aes_decrypt(ciphertext, F.col("_enc_key"), F.lit("GCM")).cast("string")
+def decrypt(ciphertext: Column, *context: Column) -> Column:
+    """The plain text, or NULL when the bytes are short, altered or of another context."""
+    return F.try_aes_decrypt(
+        ciphertext, F.col("_enc_key"), F.lit("GCM"), F.lit("DEFAULT"), framed(*context)
+    ).cast("string")

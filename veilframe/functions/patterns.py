@@ -14,6 +14,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.functions.tokens import check_type
+
 # --- fixed values: patterns and scores (RE2 syntax) ---------------------------
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
@@ -98,6 +100,9 @@ class Pattern:
     luhn: bool = False
     digits: bool = False
 
+    def __post_init__(self) -> None:
+        check_type(self.type)
+
     @property
     def detector_name(self) -> str:
         return f"regex:{self.name}"

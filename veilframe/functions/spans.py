@@ -38,13 +38,16 @@ def empty(array_type: str = SPANS_TYPE) -> Column:
 
 
 def _marked(text: Column, pattern: str) -> Column:
+    return cut_at(text, F.lit(pattern))
+
+
+def cut_at(text: Column, pattern: Column) -> Column:
     """Text cut around every match: gap, match, gap, ..., gap.
 
     One pass of the pattern sets a mark on both sides of each match, and the
     marks are cheap to split at.
     """
-    marks = F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
-    return F.split(marks, MARK, -1)
+    return F.split(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
 
 def unmarked(text: Column) -> Column:
@@ -94,6 +97,17 @@ def _sums_before(values: Column) -> Column:
     return before(values, lambda a, b: a + b)
 
 
+def own_values(text: Column, spans: Column) -> Column:
+    """Spans found in ``unmarked`` text with their values as the text has them."""
+    return F.when(
+        F.contains(text, F.lit(MARK)),
+        F.transform(
+            spans,
+            lambda s: s.withField("value", F.substring(text, s["start"] + 1, s["end"] - s["start"])),
+        ),
+    ).otherwise(spans)
+
+
 def _placed(cuts: Column) -> Column:
     """The matches among ``_marked`` cuts as ``array<struct<start,value>>``."""
     def odd(parts: Column) -> Column:
@@ -296,8 +310,11 @@ def cut_class(glue: str) -> str:
     return rf"[^\t\n\f\r {_in_class(glue)}]"
 
 
-def unit_pattern(unit_chars: int, glue: str, never: str = "") -> str:
+def cut_here(glue: str, never: str = "") -> str:
+    """Zero-width pattern for a place that no match straddles."""
     here = rf"(?<={cut_class(glue)})(?=[\t\n\f\r ])"
-    if never:
-        here = f"(?:{here}|(?=[{_in_class(never)}]))"
-    return rf"(?s)\G(?:.{{{unit_chars},}}?{here}|.+)"
+    return f"(?:{here}|(?=[{_in_class(never)}]))" if never else here
+
+
+def unit_pattern(unit_chars: int, glue: str, never: str = "") -> str:
+    return rf"(?s)\G(?:.{{{unit_chars},}}?{cut_here(glue, never)}|.+)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,12 +15,23 @@ TOKEN_SUFFIX = "__"
 # --- end of fixed values ------------------------------------------------------
 
 # A type is at most 64 characters and holds no further prefix, so adjacent
-# tokens and a fake prefix in front of a real token are told apart.
+# tokens and a fake prefix in front of a real token are told apart. Detectors with
+# other types are refused by ``check_type`` when they are built.
 TOKEN_PATTERN = (
     r"__PII_(?:(?!__PII_)[a-zA-Z0-9_]){1,64}?_[0-9a-f]{16}_[0-9a-f]{16}__"
 )
 
 
+_TYPE = re.compile(r"(?:(?!__PII_)[a-zA-Z0-9_]){1,64}")
+
+
+def check_type(type_: str) -> str:
+    """The type if tokens can carry it; otherwise an error."""
+    if not _TYPE.fullmatch(type_) or type_.startswith("_PII_"):
+        raise ValueError(f"not a usable type: {type_!r} (1 to 64 letters, digits, underscores)")
+    return type_
+
+
 def _scoped(scope: Column) -> Column:
     """Length-prefixed scope: no two scopes frame to the same text."""
     return F.concat(F.octet_length(scope).cast("string"), F.lit(":"), scope)

@@ -1,34 +1,37 @@
 """Chat-API bodies: pull out the texts worth scanning, put redacted ones back.
 
-A format is a schema and a list of paths per direction; extraction and rebuild
-are derived from those, so a new format is one ``register_format`` call. All of
-it stays inside the row: no explode, no regrouping.
+A format is a list of paths per direction. A body is parsed once, as a variant,
+for what lies at these paths; a content may be a string or a list of parts. To
+rebuild it, only the JSON strings whose text has changed are rewritten, so every
+other field, number and blank stays as it was. JSON of another shape is scanned
+in all its string values, decoded before and encoded after; what isn't JSON at all
+is raw text. All of it stays inside the row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilframe.config import ROUTES, ScanConfig
 from veilframe.functions.crypto import Keyring, with_keys, without_keys
 from veilframe.functions.spans import let
-from veilframe.operators.redact import redact_column
+from veilframe.functions.tokens import TOKEN_PATTERN
+from veilframe.operators.redact import REDACTED_SPANS_TYPE, redact_column
 
 FIELDS_TYPE = "array<struct<path:string,text:string>>"
-_CORRUPT = "_corrupt"
+RAW = "raw"
 
 
 @dataclass(frozen=True)
 class BodyFormat:
-    """``schema`` is DDL; in a path ``*`` stands for every array element."""
+    """Where texts are; ``*`` stands for every array element."""
 
-    schema: str
     paths: tuple[str, ...]
 
 
@@ -43,192 +46,219 @@ class ChatFormat:
         return self.request if direction == "request" else self.response
 
 
-# --- fixed values: body layouts -----------------------------------------------
+# --- fixed values: where the texts are ----------------------------------------
 _CHAT_COMPLETIONS = ChatFormat(
-    request=BodyFormat(
-        "messages array<struct<role:string,content:string>>, model string",
-        ("messages.*.content",),
-    ),
-    response=BodyFormat(
-        "choices array<struct<message:struct<role:string,content:string>,index:int>>, "
-        "error struct<message:string,type:string>",
-        ("choices.*.message.content", "error.message"),
-    ),
+    request=BodyFormat(("messages.*.content",)),
+    response=BodyFormat(("choices.*.message.content", "error.message")),
 )
-_FORMATS: dict[str, ChatFormat] = {
+FORMATS: Mapping[str, ChatFormat] = {
     "openai": _CHAT_COMPLETIONS,
     "azure": _CHAT_COMPLETIONS,
     "anthropic": ChatFormat(
-        request=BodyFormat(
-            "messages array<struct<role:string,content:string>>, model string, system string",
-            ("system", "messages.*.content"),
-        ),
-        response=BodyFormat(
-            "content array<struct<type:string,text:string>>, "
-            "error struct<type:string,message:string>",
-            ("content.*.text", "error.message"),
-        ),
+        request=BodyFormat(("system", "messages.*.content")),
+        response=BodyFormat(("content.*.text", "error.message")),
     ),
     "gemini": ChatFormat(
-        request=BodyFormat(
-            "contents array<struct<role:string,parts:array<struct<text:string>>>>, "
-            "systemInstruction struct<parts:array<struct<text:string>>>",
-            ("systemInstruction.parts.*.text", "contents.*.parts.*.text"),
-        ),
-        response=BodyFormat(
-            "candidates array<struct<content:struct<role:string,"
-            "parts:array<struct<text:string>>>,index:int>>, "
-            "error struct<code:int,message:string,status:string>",
-            ("candidates.*.content.parts.*.text", "error.message"),
-        ),
+        request=BodyFormat(("systemInstruction.parts.*.text", "contents.*.parts.*.text")),
+        response=BodyFormat(("candidates.*.content.parts.*.text", "error.message")),
     ),
 }
 # --- end of fixed values ------------------------------------------------------
 
+Formats = Mapping[str, ChatFormat]
+
 
-def register_format(name: str, request: BodyFormat, response: BodyFormat) -> None:
-    """Add or replace a format."""
-    _FORMATS[name] = ChatFormat(request, response)
+def format_of(name: str, formats: Formats = FORMATS) -> ChatFormat:
+    if name not in formats:
+        raise ValueError(f"unknown provider: {name}")
+    return formats[name]
 
 
-def formats() -> tuple[str, ...]:
-    return tuple(_FORMATS)
+# --- texts of a body ----------------------------------------------------------
 
 
-def format_of(name: str) -> ChatFormat:
-    if name not in _FORMATS:
-        raise ValueError(f"unknown provider: {name}")
-    return _FORMATS[name]
+def _nothing() -> Column:
+    return F.array().cast(FIELDS_TYPE)
 
 
-def parse_body(body: Column, fmt: BodyFormat) -> Column:
-    """The body as a struct, NULL when it is not a JSON object of this shape.
+def _kind(node: Column) -> Column:
+    """``STRING``, ``OBJECT<...>``, ``ARRAY<...>``, ``VOID`` and so on; VOID if missing."""
+    return F.coalesce(F.schema_of_variant(node), F.lit("VOID"))
 
-    Texts must be JSON strings: content given as, say, a list of parts makes the
-    body unparsed, and it is then treated as raw text.
-    """
-    parsed = F.from_json(
-        body, f"{fmt.schema}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT}
-    )
-    typed = F.from_json(body, _loose(fmt))
-    sound = let(
-        typed, lambda v: reduce(and_, [_all_texts(v[h], rest) for h, rest in map(_split, fmt.paths)])
-    )
-    return let(
-        parsed,
-        lambda p: F.when(
-            body.rlike(r"(?s)\A\s*\{.*\}\s*\z") & p.isNotNull() & p[_CORRUPT].isNull() & sound, p
+
+def _is(kind: Column, name: str) -> Column:
+    return F.startswith(kind, F.lit(name))
+
+
+def _items(node: Column) -> Column:
+    return F.try_variant_get(node, "$", "array<variant>")
+
+
+def _member(node: Column, names: list[str]) -> Column:
+    return F.try_variant_get(node, "$." + ".".join(names), "variant")
+
+
+def _step(parts: list[str]) -> tuple[list[str], list[str]]:
+    """The names up to the next ``*``, and what follows."""
+    n = next((i for i, p in enumerate(parts) if p == "*"), len(parts))
+    return parts[:n], parts[n:]
+
+
+def _one(text: Column, path: Column) -> Column:
+    return F.when(
+        F.length(text) > 0, F.array(F.struct(path.alias("path"), text.alias("text")))
+    ).otherwise(_nothing())
+
+
+def _string(node: Column, path: Column) -> Column:
+    return F.when(_is(_kind(node), "STRING"), _one(node.cast("string"), path)).otherwise(_nothing())
+
+
+def _leaf(node: Column, path: Column) -> Column:
+    """A string, or the strings and ``text`` members of a list of parts."""
+    under = lambda i, name="": F.concat(path, F.lit("."), i.cast("string"), F.lit(name))
+    parts = F.transform(
+        _items(node),
+        lambda x, i: F.when(_is(_kind(x), "STRING"), _string(x, under(i))).otherwise(
+            _string(_member(x, ["text"]), under(i, ".text"))
         ),
     )
+    return F.when(_is(_kind(node), "ARRAY"), F.flatten(parts)).otherwise(_string(node, path))
 
 
-def _loose(fmt: BodyFormat) -> T.StructType:
-    """The schema with every text replaced by a variant, which keeps its JSON type."""
-    def swap(node: T.DataType, parts: list[str]) -> T.DataType:
-        if not parts:
-            return T.VariantType()
-        if parts[0] == "*":
-            return T.ArrayType(swap(node.elementType, parts[1:]))
-        return T.StructType(
-            [
-                T.StructField(f.name, swap(f.dataType, parts[1:]) if f.name == parts[0] else f.dataType)
-                for f in node.fields
-            ]
+def _found(node: Column, parts: list[str], path: Column | None = None) -> Column:
+    if not parts:
+        return _leaf(node, path)
+    if parts[0] == "*":
+        each = F.transform(
+            _items(node),
+            lambda x, i: _found(x, parts[1:], F.concat(path, F.lit("."), i.cast("string"))),
         )
+        return F.coalesce(F.flatten(each), _nothing())
+    names, rest = _step(parts)
+    name = F.lit(".".join(names))
+    return _found(_member(node, names), rest, name if path is None else F.concat(path, F.lit("."), name))
+
 
-    schema = T.StructType.fromDDL(fmt.schema)
-    for path in fmt.paths:
-        schema = swap(schema, path.split("."))
-    return schema
+def _plain(node: Column) -> Column:
+    return _kind(node).isin("STRING", "VOID")
 
 
-def _all_texts(node: Column, parts: list[str]) -> Column:
-    """Whether every value at a path is a JSON string, null or missing."""
+def _sound(node: Column, parts: list[str]) -> Column:
+    """Whether what lies at a path has the expected shape or is missing."""
     if not parts:
-        return node.isNull() | F.schema_of_variant(node).isin("STRING", "VOID")
+        listed = F.forall(
+            _items(node),
+            lambda x: _plain(x) | (_is(_kind(x), "OBJECT") & _plain(_member(x, ["text"]))),
+        )
+        return _plain(node) | (_is(_kind(node), "ARRAY") & listed)
     if parts[0] == "*":
-        return F.coalesce(F.forall(node, lambda x: _all_texts(x, parts[1:])), F.lit(True))
-    return _all_texts(node[parts[0]], parts[1:])
+        inner = F.forall(_items(node), lambda x: _sound(x, parts[1:]))
+        return (_kind(node) == "VOID") | (_is(_kind(node), "ARRAY") & inner)
+    names, rest = _step(parts)
+    on_way = reduce(
+        and_,
+        [_is(_kind(_member(node, names[:i]) if i else node), "OBJECT")
+         | (_kind(_member(node, names[:i]) if i else node) == "VOID") for i in range(len(names))],
+    )
+    return on_way & _sound(_member(node, names), rest)
 
 
-def _collect(node: Column, parts: list[str], path: Column) -> Column:
-    if not parts:
-        return F.when(
-            F.length(node) > 0, F.array(F.struct(path.alias("path"), node.alias("text")))
-        ).otherwise(F.array().cast(FIELDS_TYPE))
-    head, rest = parts[0], parts[1:]
-    if head == "*":
-        found = F.transform(
-            node, lambda x, i: _collect(x, rest, F.concat(path, F.lit("."), i.cast("string")))
-        )
-        return F.coalesce(F.flatten(found), F.array().cast(FIELDS_TYPE))
-    return _collect(node[head], rest, F.concat(path, F.lit("." + head)))
+# --- strings of a body --------------------------------------------------------
 
+# Stand in for escaped backslashes and quotes while a body is cut at its quotes;
+# noncharacters, replaced in the rare body that holds them.
+_BACKSLASH, _QUOTE = "\ufdd0", "\ufdd1"
+_KEY_FOLLOWS = r"\A[ \t\n\r]*:"
 
-def _rewrite(node: Column, parts: list[str], path: Column, texts: Column) -> Column:
-    if not parts:
-        return F.coalesce(F.try_element_at(texts, path), node)
-    head, rest = parts[0], parts[1:]
-    if head == "*":
+
+def _cut(body: Column) -> Column:
+    """A body cut at the quotes of its strings: strings have odd places."""
+    safe = F.translate(body, _BACKSLASH + _QUOTE, "\ufffd\ufffd")
+    marked = F.replace(safe, F.lit("\\\\"), F.lit(_BACKSLASH))
+    return F.split(F.replace(marked, F.lit('\\"'), F.lit(_QUOTE)), '"', -1)
+
+
+def _joined(cuts: Column) -> Column:
+    text = F.replace(F.array_join(cuts, '"'), F.lit(_QUOTE), F.lit('\\"'))
+    return F.replace(text, F.lit(_BACKSLASH), F.lit("\\\\"))
+
+
+def _decoded(cut: Column) -> Column:
+    literal = F.concat(F.lit('["'), _joined(F.array(cut)), F.lit('"]'))
+    escaped = cut.rlike(r"[\\" + _BACKSLASH + _QUOTE + "]")
+    return F.when(escaped, F.get(F.from_json(literal, "array<string>"), F.lit(0))).otherwise(cut)
+
+
+def json_string(text: Column) -> Column:
+    """A text as the inside of a JSON string."""
+    literal = F.to_json(F.array(text))
+    return F.substring(literal, F.lit(3), F.length(literal) - 4)
+
+
+def _all_strings(body: Column) -> Column:
+    """Every string value of a JSON text as a field ``json.{place}``; keys are left out."""
+    def fields(cuts: Column) -> Column:
         return F.transform(
-            node,
-            lambda x, i: _rewrite(x, rest, F.concat(path, F.lit("."), i.cast("string")), texts),
+            F.filter(
+                F.sequence(F.lit(1), F.greatest(F.size(cuts) - 2, F.lit(1)), F.lit(2)),
+                lambda i: (i < F.size(cuts) - 1) & ~F.get(cuts, i + 1).rlike(_KEY_FOLLOWS),
+            ),
+            lambda i: F.struct(
+                F.concat(F.lit("json."), i.cast("string")).alias("path"),
+                _decoded(F.get(cuts, i)).alias("text"),
+            ),
         )
-    inner = _rewrite(node[head], rest, F.concat(path, F.lit("." + head)), texts)
-    return F.when(node.isNotNull(), node.withField(head, inner))
 
+    return F.filter(let(_cut(body), fields), lambda f: F.length(f["text"]) > 0)
 
-def _split(path: str) -> tuple[str, list[str]]:
-    head, *rest = path.split(".")
-    return head, rest
 
+def extract_text(
+    body: Column, provider: str, direction: str = "request", formats: Formats = FORMATS
+) -> Column:
+    """``array<struct<path,text>>`` of the texts of a body, non-empty ones."""
+    paths = [p.split(".") for p in format_of(provider, formats).side(direction).paths]
 
-def fields_of(parsed: Column, body: Column, fmt: BodyFormat) -> Column:
-    """``array<struct<path,text>>`` of the non-empty texts; ``raw`` if unparsed."""
-    found = []
-    for path in fmt.paths:
-        head, rest = _split(path)
-        found.append(_collect(parsed[head], rest, F.lit(head)))
-    raw = _collect(body, [], F.lit("raw"))
-    return F.when(parsed.isNotNull(), F.concat(*found)).otherwise(raw)
-
+    def texts(parsed: Column) -> Column:
+        known = _is(_kind(parsed), "OBJECT") & reduce(and_, [_sound(parsed, p) for p in paths])
+        return (
+            F.when(parsed.isNull(), _one(body, F.lit(RAW)))
+            .when(known, F.concat(*[_found(parsed, p) for p in paths]))
+            .otherwise(_all_strings(body))
+        )
 
-def extract_text(body: Column, provider: str, direction: str = "request") -> Column:
-    """The texts of a body in a known format."""
-    fmt = format_of(provider).side(direction)
-    return let(parse_body(body, fmt), lambda p: fields_of(p, body, fmt))
+    return let(F.try_parse_json(body), texts)
 
 
-def rebuild(parsed: Column, body: Column, texts: Column, fmt: BodyFormat) -> Column:
-    """The body with the texts of a path-to-text map put in; fails closed.
+def rebuild(body: Column, changes: Column) -> Column:
+    """The body with every string that is a key of ``changes`` replaced by its value.
 
-    No texts: the body as it came. Unparsed body: the redacted ``raw`` text.
+    Without changes the body comes back as it is. A body that is a key itself (raw
+    text) is replaced as a whole.
     """
-    out = parsed
-    for path in fmt.paths:
-        head, rest = _split(path)
-        out = out.withField(head, _rewrite(out[head], rest, F.lit(head), texts))
-    return (
-        F.when(F.size(texts) == 0, body)
-        .when(parsed.isNotNull(), F.to_json(out.dropFields(_CORRUPT)))
-        .otherwise(F.try_element_at(texts, F.lit("raw")))
+    def change(cut: Column, i: Column) -> Column:
+        new = F.try_element_at(changes, _decoded(cut))
+        return F.when((i % 2 == 1) & new.isNotNull(), json_string(new)).otherwise(cut)
+
+    return F.when(F.size(changes) == 0, body).otherwise(
+        F.coalesce(F.try_element_at(changes, body), _joined(F.transform(_cut(body), change)))
     )
 
 
-def replace_text(body: Column, texts: Column, provider: str, direction: str = "request") -> Column:
-    """Inverse of ``extract_text`` for a path-to-text map."""
-    fmt = format_of(provider).side(direction)
-    return let(parse_body(body, fmt), lambda p: rebuild(p, body, texts, fmt))
+# --- tables of bodies ---------------------------------------------------------
 
 
-def by_provider(provider: Column, build, only: tuple[str, ...] = ()) -> Column:
+def by_provider(
+    provider: Column, build: Callable[[str], Column], only: tuple[str, ...] = (),
+    formats: Formats = FORMATS,
+) -> Column:
     """One expression per distinct format, chosen by the row's provider.
 
     ``only`` leaves out formats a table is known not to hold.
     """
     alike: dict[ChatFormat, list[str]] = {}
-    for name in only or _FORMATS:
-        alike.setdefault(format_of(name), []).append(name)
+    for name in only or formats:
+        alike.setdefault(format_of(name, formats), []).append(name)
     chain = None
     for names in alike.values():
         cond, out = provider.isin(*names), build(names[0])
@@ -236,24 +266,22 @@ def by_provider(provider: Column, build, only: tuple[str, ...] = ()) -> Column:
     return chain
 
 
-def split_known(df: DataFrame, provider: str = "provider") -> tuple[DataFrame, DataFrame]:
+def split_known(
+    df: DataFrame, provider: str = "provider", formats: Formats = FORMATS
+) -> tuple[DataFrame, DataFrame]:
     """Rows whose provider has a format, and the rejected rest with a reason."""
-    known = F.coalesce(F.col(provider).isin(*formats()), F.lit(False))
+    known = F.coalesce(F.col(provider).isin(*formats), F.lit(False))
     rejected = df.filter(~known).withColumn("reason", F.lit("unknown provider"))
     return df.filter(known), rejected
 
 
 def extract_fields(
     df: DataFrame, body: str = "body", provider: str = "provider", direction: str = "request",
-    only: tuple[str, ...] = (),
+    only: tuple[str, ...] = (), formats: Formats = FORMATS,
 ) -> DataFrame:
     """Add ``fields`` for a table that mixes formats, in a single pass."""
-    return df.withColumn(
-        "fields",
-        by_provider(
-            F.col(provider), lambda name: extract_text(F.col(body), name, direction), only
-        ),
-    )
+    build = lambda name: extract_text(F.col(body), name, direction, formats)
+    return df.withColumn("fields", by_provider(F.col(provider), build, only, formats))
 
 
 def explode_fields(df: DataFrame, *keys: str) -> DataFrame:
@@ -261,6 +289,11 @@ def explode_fields(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.inline_outer("fields")).filter(F.col("path").isNotNull())
 
 
+# Stands for a token of the request while a response is scanned; a noncharacter
+# that no pattern matches.
+_HELD = "\ufdd2"
+
+
 def redact_bodies(
     df: DataFrame,
     cfg: ScanConfig,
@@ -270,39 +303,59 @@ def redact_bodies(
     provider: str = "provider",
     direction: str = "request",
     only: tuple[str, ...] = (),
+    formats: Formats = FORMATS,
 ) -> DataFrame:
     """Extract, scan, redact and rebuild, all in the row.
 
-    Adds ``redacted_body`` and ``spans`` (those of all texts, with tokens).
+    Adds ``redacted_body`` and ``spans`` (those of all texts, with tokens; offsets
+    count from the text's start, a token that was there before as one character).
+    Tokens in the texts stay and are not scanned. Without a scope a body with
+    anything to hide becomes NULL.
     """
-    rows = with_keys(extract_fields(df, body, provider, direction, only), keys)
+    rows = with_keys(extract_fields(df, body, provider, direction, only, formats), keys)
+    # step by step: in one expression the lambdas nest deeper than Spark resolves
     rows = rows.withColumn(
         "_done",
         F.transform(
             "fields",
             lambda f: F.struct(
-                f["path"].alias("path"), redact_column(f["text"], F.col(scope), cfg).alias("r")
+                f["text"].alias("text"),
+                redact_column(
+                    F.regexp_replace(f["text"], TOKEN_PATTERN, _HELD), F.col(scope), cfg
+                ).alias("r"),
             ),
         ),
     )
     rows = rows.withColumn(
-        "_texts",
+        "_changes",
         F.map_from_entries(
-            F.transform(
-                F.filter("_done", lambda d: F.size(d["r"]["spans"]) > 0),
-                lambda d: F.struct(d["path"], d["r"]["redacted"]),
+            F.array_distinct(
+                F.transform(
+                    F.filter("_done", lambda d: F.size(d["r"]["spans"]) > 0),
+                    lambda d: F.struct(d["text"], _with_tokens(d["r"]["redacted"], d["text"])),
+                )
             )
         ),
-    ).withColumn("spans", F.flatten(F.transform("_done", lambda d: d["r"]["spans"])))
-    rows = rows.withColumn(
-        "redacted_body",
-        by_provider(
-            F.col(provider),
-            lambda name: replace_text(F.col(body), F.col("_texts"), name, direction),
-            only,
+    ).withColumn(
+        "spans",
+        F.coalesce(
+            F.flatten(F.transform("_done", lambda d: d["r"]["spans"])),
+            F.array().cast(REDACTED_SPANS_TYPE),
         ),
     )
-    return without_keys(rows.drop("_done", "_texts", "fields"))
+    lost = F.exists("_done", lambda d: d["r"]["redacted"].isNull())
+    rows = rows.withColumn("redacted_body", F.when(~lost, rebuild(F.col(body), F.col("_changes"))))
+    return without_keys(rows.drop("_done", "_changes", "fields"))
+
+
+def _with_tokens(redacted: Column, text: Column) -> Column:
+    """Put the tokens of ``text`` back where they were held."""
+    hits = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+    parts = F.arrays_zip(F.split(redacted, _HELD, -1).alias("gap"), hits.alias("token"))
+    whole = F.array_join(
+        F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(p["token"], F.lit("")))), ""
+    )
+    return F.when(F.size(hits) > 0, whole).otherwise(redacted)
 
 
 def route(path: Column, routes=ROUTES) -> Column:

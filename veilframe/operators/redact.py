@@ -27,12 +27,24 @@ def tokenised(spans: Column, scope: Column) -> Column:
     )
 
 
+def split_scoped(df: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a scope, and the rejected rest with a reason.
+
+    Without a scope no token can be made; such texts come back NULL from
+    ``redact`` if they hold anything to hide.
+    """
+    lost = df.filter(F.col(scope).isNull()).withColumn("reason", F.lit("no scope"))
+    return df.filter(F.col(scope).isNotNull()), lost
+
+
 def _one_piece(text: Column, spans: Column, scope: Column) -> Column:
-    """``struct<redacted,spans>`` of one piece of text."""
+    """``struct<redacted,spans>`` of one piece of text; NULL if a token is missing."""
     return let(
         tokenised(spans, scope),
         lambda t: F.struct(
-            splice(text, t, lambda s: s["token"]).alias("redacted"), t.alias("spans")
+            F.when(scope.isNotNull() | (F.size(t) == 0), splice(text, t, lambda s: s["token"]))
+            .alias("redacted"),
+            t.alias("spans"),
         ),
     )
 
@@ -40,7 +52,8 @@ def _one_piece(text: Column, spans: Column, scope: Column) -> Column:
 def redact_column(text: Column, scope: Column, cfg: ScanConfig) -> Column:
     """``struct<redacted,spans>`` as one expression; needs key columns.
 
-    Text without spans comes back untouched, null stays null.
+    Text without spans comes back untouched, null stays null. Text with spans
+    but without a scope becomes NULL: it fails closed.
     """
     pieces = F.transform(
         analysed_units(text, cfg),
@@ -51,7 +64,10 @@ def redact_column(text: Column, scope: Column, cfg: ScanConfig) -> Column:
     return let(
         pieces,
         lambda p: F.struct(
-            F.when(text.isNull(), F.lit(None).cast("string"))
+            F.when(
+                text.isNull() | F.exists(p, lambda u: u["r"]["redacted"].isNull()),
+                F.lit(None).cast("string"),
+            )
             .otherwise(F.array_join(F.transform(p, lambda u: u["r"]["redacted"]), ""))
             .alias("redacted"),
             F.coalesce(
@@ -109,10 +125,10 @@ def build_vault(redacted: DataFrame, scope: str, keys: Keyring, spans: str = "sp
         "scope_id",
         spans="s",
     )
-    values = found.select(
+    values = found.filter(F.col("token").isNotNull()).select(
         "scope_id", "token", F.col("type").alias("pii_type"), "value"
     ).distinct()
-    sealed = encrypt(F.col("value"), F.concat("scope_id", F.lit("|"), "pii_type", F.lit("|")))
+    sealed = encrypt(F.col("value"), F.col("scope_id"), F.col("token"))
     return without_keys(
         with_keys(values, keys).withColumn("ciphertext", sealed).drop("value")
     )

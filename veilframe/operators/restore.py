@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.config import ScanConfig
-from veilframe.functions.crypto import Keyring, decrypt, with_keys, without_keys
-from veilframe.functions.spans import empty, find_all, let, shift
+from veilframe.functions.crypto import Keyring, decrypt, framed, with_keys, without_keys
+from veilframe.functions.spans import empty, find_all, shift
 from veilframe.functions.tokens import TOKEN_PATTERN, TOKEN_PREFIX, token_verifies
+from veilframe.operators.chat import FORMATS, Formats, json_string, redact_bodies
 from veilframe.operators.redact import REDACTED_SPANS_TYPE, redact_column
-from veilframe.sources.workdir import materialise
 
 
 def has_token(text: Column) -> Column:
@@ -20,11 +20,14 @@ def has_token(text: Column) -> Column:
 
 
 def lookup(tokens: DataFrame, vault: DataFrame, keys: Keyring) -> DataFrame:
-    """Plain lookup: adds ``value``, NULL for tokens the vault does not hold."""
-    joined = tokens.join(vault.select("scope_id", "token", "ciphertext"), ["scope_id", "token"], "left")
-    return without_keys(
-        with_keys(joined, keys).withColumn("value", decrypt(F.col("ciphertext"))).drop("ciphertext")
-    )
+    """Plain lookup: adds ``value``, NULL for tokens the vault does not hold.
+
+    A token that the vault holds several times (batches may overlap) is one value.
+    """
+    held = vault.groupBy("scope_id", "token").agg(F.min("ciphertext").alias("ciphertext"))
+    joined = tokens.join(held, ["scope_id", "token"], "left")
+    value = decrypt(F.col("ciphertext"), F.col("scope_id"), F.col("token"))
+    return without_keys(with_keys(joined, keys).withColumn("value", value).drop("ciphertext"))
 
 
 def verified(tokens: DataFrame, keys: Keyring) -> DataFrame:
@@ -38,6 +41,11 @@ def verify_and_lookup(tokens: DataFrame, vault: DataFrame, keys: Keyring) -> Dat
     return lookup(verified(tokens, keys), vault, keys).filter(F.col("value").isNotNull())
 
 
+def _contents(text: str, scope: str) -> Column:
+    """Names scope and text together; rows alike in both are restored alike."""
+    return F.sha2(framed(F.col(scope).cast("string"), F.col(text)).cast("binary"), 256)
+
+
 def rehydrate(
     df: DataFrame,
     text: str,
@@ -46,34 +54,49 @@ def rehydrate(
     vault: DataFrame,
     keys: Keyring,
     out: str = "restored",
+    json: bool = False,
 ) -> DataFrame:
     """Replace every token that verifies and is in the vault of its own scope.
 
-    ``key`` identifies a row. Rows without a token take no part in any shuffle;
-    of the others only ``(key, scope, token)`` goes to the vault join, which is
-    on (scope, token), so one busy scope spreads over all tasks. Restored text
-    is put together in one pass and never searched again.
+    Rows meet their values by a digest of scope and text, so keys may repeat or
+    be null; ``key`` only spreads rows without a token. The text is shuffled once.
+    The vault join is on distinct (scope, token): a token in half of all rows is
+    looked up once, and giving it back is a join with one row per token, which
+    Spark splits. Restored text is put together in one pass and never searched
+    again. With ``json``, texts that are JSON get values as inside a JSON string.
     """
-    key = list(key)
-    with_tokens = df.filter(has_token(F.col(text)))
-    plain = df.filter(F.coalesce(~has_token(F.col(text)), F.lit(True)))
-    found = with_tokens.select(
-        *key,
-        F.col(scope).cast("string").alias("scope_id"),
-        F.explode_outer(
-            F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TOKEN_PATTERN), F.lit(0)))
-        ).alias("token"),
-    ).filter(F.col("token").isNotNull())
-    values = verify_and_lookup(found, vault, keys)
-    per_row = values.groupBy(*key).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_values")
+    eligible = has_token(F.col(text)) & F.col(scope).isNotNull()
+    found = (
+        df.filter(eligible)
+        .select(
+            _contents(text, scope).alias("_contents"),
+            F.col(scope).cast("string").alias("scope_id"),
+            F.explode(
+                F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TOKEN_PATTERN), F.lit(0)))
+            ).alias("token"),
+        )
+        .distinct()
+    )
+    values = verify_and_lookup(found.select("scope_id", "token").distinct(), vault, keys)
+    per_text = (
+        found.join(values, ["scope_id", "token"])
+        .groupBy("_contents")
+        .agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_values"))
     )
-    restored = (
-        with_tokens.join(per_row, key, "left")
+    spread = F.concat(F.lit("-"), F.xxhash64(F.col(text), *[F.col(k) for k in key]).cast("string"))
+    named = df.withColumn("_contents", F.when(eligible, _contents(text, scope)).otherwise(spread))
+    return (
+        named.join(per_text, "_contents", "left")
+        .withColumn("_values", _fitting(F.col(text), F.col("_values")) if json else F.col("_values"))
         .withColumn(out, substitute(F.col(text), F.col("_values")))
-        .drop("_values")
+        .drop("_contents", "_values")
     )
-    return restored.unionByName(plain.withColumn(out, F.col(text)))
+
+
+def _fitting(text: Column, values: Column) -> Column:
+    """Values encoded for a text that is JSON."""
+    encoded = F.transform_values(values, lambda _, v: json_string(v))
+    return F.when(values.isNotNull() & F.try_parse_json(text).isNotNull(), encoded).otherwise(values)
 
 
 def substitute(text: Column, values: Column) -> Column:
@@ -93,39 +116,45 @@ def substitute(text: Column, values: Column) -> Column:
     return F.when(values.isNull(), text).otherwise(whole)
 
 
-def redact_between_tokens(text: Column, scope: Column, cfg: ScanConfig) -> Column:
-    """``redact_column`` for text that already holds tokens; needs key columns.
+def redact_between_tokens(
+    df: DataFrame, text: str, scope: str, cfg: ScanConfig, out: str, spans: str
+) -> DataFrame:
+    """``redact`` for text that already holds tokens; needs key columns.
 
     Only the text between tokens is searched: a token next to, say, ``api_key=``
     is not mistaken for a new key.
     """
-    hits = find_all(text, TOKEN_PATTERN)
-
-    def pieces(found: Column) -> Column:
-        ends = F.transform(found, lambda h: h["start"] + F.length(h["value"]))
-        parts = F.arrays_zip(
+    # step by step: in one expression the lambdas nest deeper than Spark resolves
+    found = df.withColumn("_hits", find_all(F.col(text), TOKEN_PATTERN))
+    ends = F.transform("_hits", lambda h: h["start"] + F.length(h["value"]))
+    cut = found.withColumn(
+        "_gaps",
+        F.arrays_zip(
             F.split(text, TOKEN_PATTERN, -1).alias("gap"),
             F.concat(F.array(F.lit(0)), ends).alias("at"),
-            found["value"].alias("token"),
-        )
-        return F.transform(
-            parts,
+            F.col("_hits")["value"].alias("token"),
+        ),
+    )
+    done = cut.withColumn(
+        "_parts",
+        F.transform(
+            "_gaps",
             lambda p: F.struct(
                 p["at"].alias("at"), p["token"].alias("token"),
-                redact_column(p["gap"], scope, cfg).alias("r"),
+                redact_column(p["gap"], F.col(scope), cfg).alias("r"),
             ),
-        )
-
-    def whole(parts: Column) -> Column:
-        joined = F.transform(
-            parts, lambda p: F.concat(p["r"]["redacted"], F.coalesce(p["token"], F.lit("")))
-        )
-        return F.struct(
-            F.array_join(joined, "").alias("redacted"),
-            F.flatten(F.transform(parts, lambda p: shift(p["r"]["spans"], p["at"]))).alias("spans"),
-        )
-
-    return let(hits, lambda h: let(pieces(h), whole))
+        ),
+    )
+    joined = F.transform(
+        "_parts", lambda p: F.concat(p["r"]["redacted"], F.coalesce(p["token"], F.lit("")))
+    )
+    lost = F.exists("_parts", lambda p: p["r"]["redacted"].isNull())
+    shifted = F.flatten(F.transform("_parts", lambda p: shift(p["r"]["spans"], p["at"])))
+    return (
+        done.withColumn(out, F.when(~lost, F.array_join(joined, "")))
+        .withColumn(spans, F.coalesce(shifted, empty(REDACTED_SPANS_TYPE)))
+        .drop("_hits", "_gaps", "_parts")
+    )
 
 
 def screen_response(
@@ -143,17 +172,30 @@ def screen_response(
     Tokens made for the response are not in the request-side vault, so what the
     scan has just hidden stays hidden. Adds ``response_spans`` as well.
     """
-    done = with_keys(df, keys).withColumn(
-        "_r", redact_between_tokens(F.col(text), F.col(scope), cfg)
-    )
     hidden = without_keys(
-        done.withColumn("_hidden", F.col("_r.redacted"))
-        .withColumn("response_spans", F.coalesce(F.col("_r.spans"), empty(REDACTED_SPANS_TYPE)))
-        .drop("_r")
+        redact_between_tokens(with_keys(df, keys), text, scope, cfg, "_hidden", "response_spans")
     )
-    # The restore step reads its input three times: store it rather than scan thrice.
-    stored = materialise(hidden, "screened")
-    return rehydrate(stored, "_hidden", scope, key, vault, keys, out=out).drop("_hidden")
+    return rehydrate(hidden, "_hidden", scope, key, vault, keys, out=out).drop("_hidden")
+
+
+def screen_bodies(
+    df: DataFrame,
+    key: Sequence[str],
+    cfg: ScanConfig,
+    vault: DataFrame,
+    keys: Keyring,
+    scope: str = "request_id",
+    body: str = "body",
+    provider: str = "provider",
+    only: tuple[str, ...] = (),
+    formats: Formats = FORMATS,
+    out: str = "response",
+) -> DataFrame:
+    """``screen_response`` for response bodies: texts are found, scanned and put back
+    by their format; tokens of the request's own vault are restored."""
+    hidden = redact_bodies(df, cfg, keys, scope, body, provider, "response", only, formats)
+    back = rehydrate(hidden, "redacted_body", scope, key, vault, keys, out=out, json=True)
+    return back.withColumnRenamed("spans", "response_spans").drop("redacted_body")
 
 
 def expire_scopes(vault: DataFrame, expired: DataFrame) -> DataFrame:
