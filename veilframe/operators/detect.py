@@ -8,7 +8,7 @@ piece by piece, which keeps the work linear in the text length.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from functools import lru_cache
 from itertools import groupby
 from typing import Protocol, runtime_checkable
@@ -26,6 +26,7 @@ from veilframe.functions.spans import (
     empty,
     let,
     matches,
+    own_values,
     place,
     resolve,
     shift,
@@ -90,7 +91,8 @@ class PatternDetector:
         )
 
     def spans(self, text: Column) -> Column:
-        return let(unmarked(text), lambda t: place(self.matches(t)))
+        found = let(unmarked(text), lambda t: place(self.matches(t)))
+        return own_values(text, found)
 
 
 class TermDetector:
@@ -103,7 +105,7 @@ class TermDetector:
         self.terms = clean_terms(terms)
         if len(self.terms) > MAX_INLINE_TERMS:
             raise ValueError(
-                f"{len(self.terms)} terms: above {MAX_INLINE_TERMS} use TermTableDetector"
+                f"{len(self.terms)} terms: above {MAX_INLINE_TERMS} use terms.scan_with_terms"
             )
 
     @property
@@ -126,7 +128,8 @@ class TermDetector:
         return F.when(text.rlike(any_term), F.array(*found)).otherwise(empty(MATCHES_TYPE))
 
     def spans(self, text: Column) -> Column:
-        return let(unmarked(text), lambda t: place(self.matches(t)))
+        found = let(unmarked(text), lambda t: place(self.matches(t)))
+        return own_values(text, found)
 
 
 def common(parts: Iterable[str]) -> str:
@@ -186,24 +189,28 @@ class RowDetector:
         return F.coalesce(self._udf(text).cast(SPANS_TYPE), empty())
 
 
-def all_spans(text: Column, detectors: Iterable[Detector]) -> Column:
-    """All detectors' output in order, overlaps included."""
-    parts = [empty()]
-    for listed, group in groupby(detectors, key=lambda d: hasattr(d, "matches")):
+def all_spans(
+    text: Column, detectors: Iterable[Detector], given: Mapping[int, Column] | None = None
+) -> Column:
+    """All detectors' output in their order, overlaps included.
+
+    ``given`` holds the spans of detectors (by place) that were run before.
+    """
+    parts, given = [empty()], given or {}
+    for listed, group in groupby(enumerate(detectors), key=lambda d: hasattr(d[1], "matches")):
         if listed:
-            known = list(group)
-            parts.append(
-                let(unmarked(text), lambda t: place(F.concat(*[d.matches(t) for d in known])))
-            )
+            known = [d for _, d in group]
+            found = let(unmarked(text), lambda t: place(F.concat(*[d.matches(t) for d in known])))
+            parts.append(own_values(text, found))
         else:
-            parts += [d.spans(text) for d in group]
+            parts += [given[i] if i in given else d.spans(text) for i, d in group]
     return F.concat(*parts)
 
 
-def unit_spans(text: Column, cfg: ScanConfig, extra: Iterable[Column] = ()) -> Column:
+def unit_spans(text: Column, cfg: ScanConfig, given: Mapping[int, Column] | None = None) -> Column:
     """Resolved, thresholded, allow-listed spans of one piece of text."""
-    found = all_spans(text, [d for d in _active(cfg) if not d.on_rows])
-    return keep_allowed(above(resolve(F.concat(found, *extra)), cfg.threshold), cfg.allowlist)
+    found = all_spans(text, _active(cfg), given)
+    return keep_allowed(above(resolve(found), cfg.threshold), cfg.allowlist)
 
 
 def _active(cfg: ScanConfig) -> list:
@@ -271,14 +278,13 @@ def _scan_expression(text: str, cfg: ScanConfig, gateway: int) -> Column:
 
 def scan(df: DataFrame, text: str, cfg: ScanConfig, out: str = "spans") -> DataFrame:
     """Add the spans of ``text``; null and empty text yield an empty array."""
-    row_detectors = [d for d in cfg.detectors if d.on_rows]
-    if not row_detectors:
+    on_rows = {i: f"_{out}_{i}" for i, d in enumerate(cfg.detectors) if d.on_rows}
+    if not on_rows:
         return df.withColumn(out, _scan_expression(text, cfg, id(SparkContext._gateway)))
-    names = [f"_{out}_{i}" for i in range(len(row_detectors))]
-    for name, d in zip(names, row_detectors):
-        df = df.withColumn(name, d.spans(F.col(text)))
-    found = unit_spans(F.col(text), cfg, [F.col(n) for n in names])
-    return df.withColumn(out, F.coalesce(found, empty())).drop(*names)
+    for i, name in on_rows.items():
+        df = df.withColumn(name, cfg.detectors[i].spans(F.col(text)))
+    found = unit_spans(F.col(text), cfg, {i: F.col(n) for i, n in on_rows.items()})
+    return df.withColumn(out, F.coalesce(found, empty())).drop(*on_rows.values())
 
 
 def raw_spans(text: Column, cfg: ScanConfig) -> Column:

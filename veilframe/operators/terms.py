@@ -6,17 +6,17 @@ never meets a half-written list and an update never overwrites what it reads.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import dataclasses
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.functions.spans import SPANS_TYPE
-from veilframe.operators.detect import TermDetector, clean_terms
+from veilframe.config import ScanConfig
+from veilframe.functions.spans import cut_at, empty, let, own_values, place, unmarked
+from veilframe.operators.detect import clean_terms, scan
 
 TERM_LOG_SCHEMA = "version bigint, action string, term string"
-MAX_TERMS = 100_000
 
 
 def _append(spark: SparkSession, path: str, rows: list[tuple]) -> None:
@@ -59,77 +59,97 @@ def list_terms(spark: SparkSession, path: str) -> DataFrame:
     return current_terms(_log(spark, path))
 
 
-def detector_for(terms: DataFrame) -> TermDetector | TermTableDetector:
-    """A detector for a term table; its size is checked before it is collected."""
-    rows = terms.select("term").limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms: split the list over several detectors")
-    words = sorted(r["term"] for r in rows)
-    return TermDetector(words) if len(words) <= 50 else TermTableDetector(words)
+_GRAM = 4
+# Letters that equal a plain one when case is ignored, beyond their own pair.
+_ODD_LETTERS, _PLAIN_LETTERS = "\u212a\u017f\u212bİı\u1e9e\u03bc\u2126", "kså" "iiß\u00b5ω"
 
 
-class TermTableDetector:
-    """Term search for long lists: one automaton pass over the text per task.
+def _folded(text: Column) -> Column:
+    """Lower case, so that texts equal up to case become equal."""
+    return F.lower(F.translate(text, _ODD_LETTERS, _PLAIN_LETTERS))
 
-    Same matches as ``TermDetector``: per term leftmost, non-overlapping,
-    ignoring case character by character.
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of 1 to ``_GRAM`` characters of a text, in linear time."""
+    def runs(chars: Column) -> Column:
+        upto = lambda i, n: F.concat_ws("", *[F.get(chars, i + k) for k in range(n)])
+        return F.array_distinct(
+            F.flatten(
+                F.transform(chars, lambda _, i: F.array(*[upto(i, n) for n in range(1, _GRAM + 1)]))
+            )
+        )
+
+    return let(F.split(text, "", -1), runs)
+
+
+def candidate_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """``key, terms``: the terms (column ``term``) whose first characters a text holds.
+
+    Texts and terms meet by hash of short runs of characters: the distinct ones
+    of the text, without the text, and the first one of the term. Neither side
+    is collected; Spark broadcasts the terms if it finds them small.
     """
+    listed = terms.select(_folded(F.col("term")).alias("term")).filter("term <> ''").distinct()
+    listed = listed.withColumn("gram", F.substring("term", 1, _GRAM))
+    return (
+        df.select(key, F.explode(_grams(_folded(F.col(text)))).alias("gram"))
+        .join(listed, "gram")
+        .groupBy(key).agg(F.collect_set("term").alias("terms"))
+    )
+
+
+def _quoted(term: Column) -> Column:
+    """A term as a literal pattern that ignores case."""
+    return F.concat(F.lit("(?iu)\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def term_spans(df: DataFrame, key: str, text: str, terms: DataFrame, out: str = "spans") -> DataFrame:
+    """Add the spans of a term list of any length, overlaps included; ``key`` names a row.
+
+    Each text is searched only for terms it holds, the longest first. It is
+    shuffled once, by key.
+    """
+    near = candidate_terms(df, key, text, terms).select(F.col(key).alias("_key"), "terms")
+    rows = df.join(near, F.col(key) == F.col("_key"), "left")
+    folded, plain = _folded(F.col(text)), unmarked(F.col(text))
+    held = let(
+        folded,
+        lambda f: F.filter(
+            F.coalesce("terms", F.array().cast("array<string>")), lambda t: F.contains(f, t)
+        ),
+    )
+    found = F.transform(
+        F.transform(
+            F.array_sort(F.transform(held, lambda t: F.struct((-F.length(t)).alias("k"), t.alias("t")))),
+            lambda k: k["t"],
+        ),
+        lambda t: F.struct(
+            F.lit("blocklist").alias("type"), F.lit(1.0).alias("confidence"),
+            F.lit("blocklist").alias("detector_name"), F.lit(False).alias("luhn"),
+            cut_at(plain, _quoted(t)).alias("cuts"),
+        ),
+    )
+    spans = F.coalesce(own_values(F.col(text), place(found)), empty())
+    return rows.withColumn(out, spans).drop("_key", "terms")
+
+
+def scan_with_terms(
+    df: DataFrame, key: str, text: str, terms: DataFrame, cfg: ScanConfig, out: str = "spans"
+) -> DataFrame:
+    """``scan`` with a term list of any length, after all other detectors."""
+    rows = term_spans(df, key, text, terms, "_listed")
+    both = dataclasses.replace(cfg, detectors=(*cfg.detectors, Given("blocklist", "_listed")))
+    return scan(rows, text, both, out).drop("_listed")
+
+
+class Given:
+    """Spans that a column of the table already holds."""
 
-    name = "blocklist"
     glue = None
     on_rows = True
 
-    def __init__(self, terms: Iterable[str]) -> None:
-        self.terms = clean_terms(terms)
-        if len(self.terms) > MAX_TERMS:
-            raise ValueError(f"more than {MAX_TERMS} terms")
+    def __init__(self, name: str, column: str) -> None:
+        self.name, self.column = name, column
 
     def spans(self, text: Column) -> Column:
-        return F.coalesce(_term_udf(self.terms)(text), F.array().cast(SPANS_TYPE))
-
-
-def fold(text: str) -> str:
-    """Lower-case without changing the length, so offsets stay valid."""
-    low = text.lower()
-    if len(low) == len(text) and low.isascii():
-        return low
-    return "".join(_fold_char(c) for c in text)
-
-
-def _fold_char(c: str) -> str:
-    if c == "İ":
-        return "i"
-    up = c.upper()
-    low = (up if len(up) == 1 else c).lower()
-    return low if len(low) == 1 else c
-
-
-def _term_udf(terms: tuple[str, ...]):
-    import ahocorasick
-
-    @F.pandas_udf(SPANS_TYPE)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for t in terms:
-            automaton.add_word(fold(t), len(fold(t)))
-        automaton.make_automaton()
-
-        def one(text: str | None) -> list[dict]:
-            ends: dict[str, int] = {}
-            found = []
-            folded = fold(text) if text else ""
-            for last, size in automaton.iter(folded):
-                start = last + 1 - size
-                word = folded[start : last + 1]
-                if start >= ends.get(word, 0):
-                    ends[word] = last + 1
-                    found.append(
-                        dict(type="blocklist", start=start, end=last + 1,
-                             value=text[start : last + 1], confidence=1.0, detector_name="blocklist")
-                    )
-            return found
-
-        for batch in batches:
-            yield batch.map(one)
-
-    return find
+        return F.col(self.column)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.config import ScanConfig
-from veilframe.operators.detect import explode_spans, scan
-from veilframe.operators.terms import detector_for, list_terms
+from veilframe.operators.detect import explode_spans
+from veilframe.operators.terms import list_terms, scan_with_terms
 
 
 def running_counts(
@@ -42,11 +42,7 @@ def scan_with_live_terms(
     Returns a writer; ``write`` receives one row per span.
     """
     def run(batch: DataFrame, epoch: int) -> None:
-        terms = detector_for(list_terms(spark, term_path))
-        cfg = ScanConfig(
-            detectors=(*base.detectors, terms), threshold=base.threshold,
-            allowlist=base.allowlist, unit_chars=base.unit_chars,
-        )
-        write(explode_spans(scan(batch, text, cfg), key), epoch)
+        terms = list_terms(spark, term_path)
+        write(explode_spans(scan_with_terms(batch, key, text, terms, base), key), epoch)
 
     return texts.writeStream.foreachBatch(run)
