@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from veilframe.config import CHUNK_TAIL_CHARS, ScanConfig
 from veilframe.functions.crypto import Keyring
-from veilframe.functions.spans import cut_class
-from veilframe.operators.detect import glue_of
-from veilframe.operators.ordered import BLOCK, running_total, sequence_blocks
+from veilframe.functions.spans import cut_here
+from veilframe.operators.detect import glue_of, never_of
+from veilframe.operators.ordered import BLOCK, null_safe_join, running_total, sequence_blocks
 from veilframe.operators.redact import redact
 
 CELL_CHARS = 65_536
-_WS = r"[\t\n\f\r ]"
 
 
 def split_chunks(text: Column, chars: int) -> Column:
@@ -79,15 +78,17 @@ def to_units(
     chunk: str,
     glue: str,
     cell_chars: int = CELL_CHARS,
+    never: str = "",
 ) -> DataFrame:
     """``stream, at, text``: pieces of a stream that no match can straddle.
 
-    Units are disjoint and cover the stream; a match lies in exactly one.
+    Units are disjoint and cover the stream; a match lies in exactly one. Cuts lie
+    at white space, as ``glue`` allows, and before characters of ``never``.
     """
-    left = cut_class(glue)
+    here = cut_here(glue, never)
     cells = to_cells(chunks, stream, seq, chunk, cell_chars)
-    head = F.length(F.regexp_extract("text", rf"(?s)\A(.*?{left})(?={_WS})", 1))
-    upto = F.length(F.regexp_extract("text", rf"(?s)\A(.*{left})(?={_WS})", 1))
+    head = F.length(F.regexp_extract("text", rf"(?s)\A(.+?){here}", 1))
+    upto = F.length(F.regexp_extract("text", rf"(?s)\A(.+){here}", 1))
     cells = cells.withColumn("_head", head).withColumn("_upto", upto)
     cut = F.col("_head") > 0
 
@@ -141,7 +142,7 @@ def redact_chunks(
     glue = glue_of(cfg)
     if glue is None:
         raise ValueError("chunked redaction needs detectors with known glue")
-    units = to_units(chunks, stream, seq, chunk, glue, cell_chars)
+    units = to_units(chunks, stream, seq, chunk, glue, cell_chars, never_of(cfg))
     scoped = units.withColumn("_scope", F.col(scope or stream).cast("string"))
     return redact(scoped, "text", "_scope", cfg, keys).drop("_scope")
 
@@ -177,7 +178,7 @@ def spans_by_chunk(
 
     left = spans.withColumn("_g", squares(F.col("start"), F.col("end")))
     right = ranges.withColumn("_g", squares(F.col("c_from"), F.col("c_to")))
-    met = left.join(right, [stream, "_g"]).filter(
+    met = null_safe_join(left, right, [stream, "_g"]).filter(
         (F.col("start") < F.col("c_to"))
         & (F.col("c_from") < F.col("end"))
         & (F.col("_g") == F.floor(F.greatest("start", "c_from") / grid))
@@ -246,4 +247,6 @@ def chunk_tails(
         ),
     )
     tails = cells.select(stream, F.inline(F.array_distinct(probes)))
-    return placed.select(stream, seq, "at").join(tails, [stream, "at"]).select(stream, seq, "tail")
+    return null_safe_join(placed.select(stream, seq, "at"), tails, [stream, "at"]).select(
+        stream, seq, "tail"
+    )

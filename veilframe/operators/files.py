@@ -15,9 +15,6 @@ TEXT_SUFFIXES = (
     ".tsv", ".html", ".htm", ".sql", ".env", ".conf", ".ini",
 )
 BASE64_MIN_BYTES = 20
-BASE64_MAX_BYTES = 10 * 1024 * 1024
-BASE64_SAMPLE_BYTES = 1000
-TEXT_SAMPLE_BYTES = 500
 PRINTABLE_SHARE = 0.85
 # --- end of fixed values ------------------------------------------------------
 
@@ -28,10 +25,9 @@ def as_text(content: Column) -> Column:
 
 
 def likely_base64(content: Column) -> Column:
-    sample = F.decode(F.substring(content, 1, BASE64_SAMPLE_BYTES), "ISO-8859-1")
-    return F.octet_length(content).between(BASE64_MIN_BYTES, BASE64_MAX_BYTES) & sample.rlike(
-        r"\A[A-Za-z0-9+/=\n\r]*\z"
-    )
+    """At least 20 bytes, all of them of the base64 alphabet or line breaks."""
+    plain = F.decode(content, "ISO-8859-1")
+    return (F.octet_length(content) >= BASE64_MIN_BYTES) & plain.rlike(r"\A[A-Za-z0-9+/=\n\r]*\z")
 
 
 def decode_base64(content: Column) -> Column:
@@ -42,29 +38,46 @@ def decode_base64(content: Column) -> Column:
 
 
 def likely_text(content: Column) -> Column:
-    """More than 85 % of the first 500 bytes printable; empty is not text."""
-    sample = F.decode(F.substring(content, 1, TEXT_SAMPLE_BYTES), "ISO-8859-1")
-    printable = F.length(F.regexp_replace(sample, r"[^\x20-\x7E\n\r\t]", ""))
+    """More than 85 % of the bytes printable; empty is not text."""
+    plain = F.decode(content, "ISO-8859-1")
+    printable = F.length(F.regexp_replace(plain, r"[^\x20-\x7E\n\r\t]+", ""))
     return F.coalesce(
-        (F.length(sample) > 0) & (printable / F.length(sample) > F.lit(PRINTABLE_SHARE)),
+        (F.length(plain) > 0) & (printable / F.length(plain) > F.lit(PRINTABLE_SHARE)),
         F.lit(False),
     )
 
 
+def _has_text_suffix(path: Column) -> Column:
+    suffixes = "|".join(s[1:] for s in TEXT_SUFFIXES)
+    return F.lower(path).rlike(rf"\.({suffixes})\z")
+
+
 def file_text(path: Column, content: Column) -> Column:
     """Scannable text of a file: by suffix, else decoded base64, else NULL."""
-    suffixes = "|".join(s[1:] for s in TEXT_SUFFIXES)
     decoded = let(decode_base64(content), lambda d: F.when(likely_text(d), as_text(d)))
-    return F.when(F.lower(path).rlike(rf"\.({suffixes})\z"), as_text(content)).when(
-        likely_base64(content), decoded
+    return F.when(_has_text_suffix(path), as_text(content)).when(likely_base64(content), decoded)
+
+
+def skipped_reason(path: Column, content: Column) -> Column:
+    """Why a file has no text; NULL for one that has. Nothing unread counts as clean."""
+    inside = F.when(decode_base64(content).isNull(), "malformed base64").when(
+        ~likely_text(decode_base64(content)), "not text inside base64"
+    )
+    return (
+        F.when(content.isNull(), "no content")
+        .when(_has_text_suffix(path), F.lit(None).cast("string"))
+        .when(likely_base64(content), inside)
+        .otherwise("not text")
     )
 
 
 def scan_files(
     df: DataFrame, cfg: ScanConfig, path: str = "path", content: str = "content"
 ) -> DataFrame:
-    """Add the extracted ``text`` and its ``spans``; the bytes are dropped."""
-    rows = df.withColumn("text", file_text(F.col(path), F.col(content))).drop(content)
+    """Add the extracted ``text``, its ``spans`` and ``skipped_reason``; the bytes go."""
+    why = skipped_reason(F.col(path), F.col(content))
+    rows = df.withColumn("skipped_reason", why)
+    rows = rows.withColumn("text", file_text(F.col(path), F.col(content))).drop(content)
     return scan(rows, "text", cfg)
 
 

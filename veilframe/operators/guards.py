@@ -28,9 +28,6 @@ PRIVATE_V4 = (
 PRIVATE_V6 = ("::/128", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8")
 # --- end of fixed values ------------------------------------------------------
 
-MAX_INLINE_DOMAINS = 1000
-
-
 def injection_id(body: Column) -> Column:
     """1-based number of the first injection pattern that matches, else NULL."""
     return F.coalesce(
@@ -183,13 +180,11 @@ def base_domain(url: Column) -> Column:
 def domain_allowed(host: Column, domains: Iterable[str]) -> Column:
     """Host equals a domain (ignoring case) or ends with ``.domain`` (exact case).
 
-    An empty list allows everything.
+    An empty list allows everything. Long lists belong into ``allowed_by_table``.
     """
     domains = list(domains)
     if not domains:
         return F.lit(True)
-    if len(domains) > MAX_INLINE_DOMAINS:
-        raise ValueError("use allowed_by_table for long domain lists")
     test = F.lower(host).isin(*sorted({d.lower() for d in domains}))
     for d in sorted(set(domains)):
         test = test | F.endswith(host, F.lit("." + d))
@@ -200,8 +195,12 @@ def allowed_by_table(df: DataFrame, host: str, domains: DataFrame, column: str)
     """Rows whose host passes a domain table of any size.
 
     Distinct hosts are exploded to their suffixes and semi-joined by hash, so a
-    host that fills a third of the rows is tested once.
+    host that fills a third of the rows is tested once; giving the outcome back
+    is salted, so that it isn't one task's work either. An empty table passes
+    every row.
     """
+    if domains.isEmpty():
+        return df
     keys = domains.select(
         F.explode(
             F.array(
@@ -219,7 +218,29 @@ def allowed_by_table(df: DataFrame, host: str, domains: DataFrame, column: str)
         .withColumn("k", F.explode(F.concat(F.array(F.concat(F.lit("="), F.lower("h"))), suffixes)))
     )
     good = probes.join(keys, "k", "left_semi").select("h").distinct()
-    return df.join(good, df[host] == good["h"], "left_semi")
+    return semi_join_salted(df, F.col(host), good, "h", "left_semi")
+
+
+SALTS = 16
+
+
+def semi_join_salted(df: DataFrame, value: Column, listed: DataFrame, column: str, how: str) -> DataFrame:
+    """Semi or anti join on a value that may fill a large part of ``df``.
+
+    Rows are dealt to salts by all their columns; the listed values, each needed
+    once per salt, are the small side.
+    """
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if not _is_map(df, c)]), F.lit(SALTS))
+    many = listed.select(
+        F.col(column).alias("_listed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s")
+    )
+    rows = df.withColumn("_value", value).withColumn("_salt", salt.cast("int"))
+    met = rows.join(many, (F.col("_value") == F.col("_listed")) & (F.col("_salt") == F.col("_s")), how)
+    return met.drop("_value", "_salt")
+
+
+def _is_map(df: DataFrame, column: str) -> bool:
+    return "map<" in df.schema[column].dataType.simpleString()
 
 
 def bearer_key(authorization: Column) -> Column:
@@ -232,8 +253,8 @@ def bearer_key(authorization: Column) -> Column:
 
 def admit_keys(df: DataFrame, authorization: str, key_hashes: DataFrame) -> DataFrame:
     """Rows whose bearer key is listed; ``key_hashes`` has a column ``key_hash``."""
-    rows = df.withColumn("key_hash", bearer_key(F.col(authorization)))
-    return rows.join(key_hashes.select("key_hash"), "key_hash", "left_semi").drop("key_hash")
+    key = bearer_key(F.col(authorization))
+    return semi_join_salted(df.filter(key.isNotNull()), key, key_hashes, "key_hash", "left_semi")
 
 
 def reject_keys(df: DataFrame, authorization: str, key_hashes: DataFrame) -> DataFrame:
@@ -242,8 +263,6 @@ def reject_keys(df: DataFrame, authorization: str, key_hashes: DataFrame) -> Dat
     Rows without a bearer key are rejected outright: sent through the join they
     would all hash to one task.
     """
-    rows = df.withColumn("key_hash", bearer_key(F.col(authorization)))
-    unlisted = rows.filter(F.col("key_hash").isNotNull()).join(
-        key_hashes.select("key_hash"), "key_hash", "left_anti"
-    )
-    return unlisted.unionByName(rows.filter(F.col("key_hash").isNull())).drop("key_hash")
+    key = bearer_key(F.col(authorization))
+    unlisted = semi_join_salted(df.filter(key.isNotNull()), key, key_hashes, "key_hash", "left_anti")
+    return unlisted.unionByName(df.filter(key.isNull()))

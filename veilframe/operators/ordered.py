@@ -1,45 +1,27 @@
 """Running totals over ordered rows without one task per key.
 
 A window over one key runs in one task. Where a key may hold a large share of
-all rows, the rows are cut into blocks along their order; a window runs inside
-each (key, block), and a second, small one over the block totals supplies what
-came before.
+all rows, the rows are cut into blocks along their order (a second of time, some
+thousand sequence numbers); a window runs inside each (key, block), and the block
+totals supply what came before, in two levels: within a group of blocks, and
+over the groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = "_block"
-MAX_BLOCKS = 2000
+BLOCK, _GROUP = "_block", "_group"
+BLOCKS_PER_GROUP = 4096
 ROWS_PER_SEQUENCE_BLOCK = 10_000
 
 
-def time_blocks(df: DataFrame, ts: str, blocks: int | None = None) -> DataFrame:
-    """Number rows by time so that every block holds about the same count.
-
-    The bounds are approximate quantiles: at most ``MAX_BLOCKS`` numbers reach
-    the driver, whatever the table size. Equal times share a block.
-    """
-    if blocks is None:
-        blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, min(blocks, MAX_BLOCKS))
-    micros = F.unix_micros(ts).cast("double")
-    inner = [i / blocks for i in range(1, blocks)]
-    cuts: list[float] = []
-    if inner:
-        row = df.agg(F.percentile_approx(micros, inner, 10 * blocks).alias("q")).first()
-        cuts = sorted(set(row["q"] or []))
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) == 2:
-        return df.withColumn(BLOCK, F.lit(0))
-    cutter = Bucketizer(splits=splits, inputCol="_micros", outputCol=BLOCK)
-    numbered = cutter.transform(df.withColumn("_micros", micros)).drop("_micros")
-    return numbered.withColumn(BLOCK, F.col(BLOCK).cast("int"))
+def time_blocks(df: DataFrame, ts: str) -> DataFrame:
+    """One block per second; needs no look at the data."""
+    return df.withColumn(BLOCK, F.floor(F.unix_micros(ts) / 1_000_000).cast("bigint"))
 
 
 def sequence_blocks(df: DataFrame, seq: str, rows: int = ROWS_PER_SEQUENCE_BLOCK) -> DataFrame:
@@ -62,14 +44,21 @@ def running_total(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy(BLOCK)
-        .rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, BLOCK).agg(F.sum("_v").alias("_sum")).withColumn(
+        _GROUP, F.floor(F.col(BLOCK) / BLOCKS_PER_GROUP).cast("bigint")
+    )
+    # NULL blocks come first, as NULL orders do
+    earlier = lambda of, by: (
+        Window.partitionBy(*of).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    groups = (
+        totals.groupBy(*keys, _GROUP).agg(F.sum("_sum").alias("_all"))
+        .withColumn("_far", F.coalesce(F.sum("_all").over(earlier(keys, _GROUP)), F.lit(0)))
+        .drop("_all")
     )
-    totals = rows.groupBy(*keys, BLOCK).agg(F.sum("_v").alias("_sum"))
-    carry = totals.select(
-        *keys, BLOCK, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry")
+    near = F.coalesce(F.sum("_sum").over(earlier([*keys, _GROUP], BLOCK)), F.lit(0))
+    carry = null_safe_join(totals.withColumn("_near", near), groups, [*keys, _GROUP]).select(
+        *keys, BLOCK, (F.col("_near") + F.col("_far")).alias("_carry")
     )
     rows = rows.withColumn("_in", F.sum("_v").over(inside))
     return (

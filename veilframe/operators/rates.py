@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.config import FAILURES_TO_TRIP, MAX_CONCURRENCY
@@ -67,3 +67,30 @@ def failure_runs(
         F.count(F.lit(1)).alias("failures"),
     )
     return runs.filter(F.col("failures") >= at_least).drop("_successes")
+
+
+def over_rate(
+    log: DataFrame, caller: str, ts: str, ident: str, limit: int, seconds: int = 1
+) -> DataFrame:
+    """Every request with how many its caller made in the ``seconds`` up to it.
+
+    Adds ``recent`` (itself included) and ``over``. A caller's requests are dealt
+    to slots of that length, each also to the next one as context, so a busy
+    caller spreads over all tasks.
+    """
+    width = seconds * 1_000_000
+    rows = log.withColumn("_us", F.unix_micros(ts))
+    own = F.floor(F.col("_us") / width)
+    dealt = rows.select(
+        "*", F.explode(F.array(F.struct(own.alias("slot"), F.lit(True).alias("own")),
+                               F.struct((own + 1).alias("slot"), F.lit(False).alias("own")))).alias("_at")
+    )
+    span = (
+        Window.partitionBy(caller, "_at.slot").orderBy("_us").rangeBetween(1 - width, Window.currentRow)
+    )
+    return (
+        dealt.withColumn("recent", F.count(F.lit(1)).over(span))
+        .filter("_at.own")
+        .withColumn("over", F.col("recent") > limit)
+        .drop("_us", "_at")
+    )

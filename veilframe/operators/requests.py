@@ -52,17 +52,24 @@ def header_spans(
 
 
 def query_pairs(url: Column) -> Column:
-    """``array<struct<key,value>>`` in order; undecodable pairs are left out."""
+    """``array<struct<key,value,raw>>`` in order.
+
+    ``raw`` is set, to the whole pair, where key or value can't be decoded (or
+    where a semicolon leaves open what is meant); key and value are then NULL.
+    """
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    parts = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.contains(p, F.lit(";")))
-    pairs = F.transform(
-        parts,
-        lambda p: F.struct(
-            F.try_url_decode(F.regexp_extract(p, "(?s)^([^=]*)", 1)).alias("key"),
-            F.try_url_decode(F.regexp_extract(p, "(?s)^[^=]*=?(.*)$", 1)).alias("value"),
-        ),
-    )
-    return F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
+
+    def pair(p: Column) -> Column:
+        key = F.try_url_decode(F.regexp_extract(p, "(?s)^([^=]*)", 1))
+        value = F.try_url_decode(F.regexp_extract(p, "(?s)^[^=]*=?(.*)$", 1))
+        sound = key.isNotNull() & value.isNotNull() & ~F.contains(p, F.lit(";"))
+        return F.struct(
+            F.when(sound, key).alias("key"),
+            F.when(sound, value).alias("value"),
+            F.when(~sound, p).alias("raw"),
+        )
+
+    return F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
 
 
 def encode_query(text: Column) -> Column:
@@ -71,16 +78,18 @@ def encode_query(text: Column) -> Column:
 
 
 def rewrite_query(url: Column, change: Callable[[Column], Column]) -> Column:
-    """Apply ``change`` to every query value.
+    """Apply ``change`` to every query value, and to pairs that can't be decoded as a whole.
 
-    The URL is rebuilt, sorted by key, only when a value did change.
+    The URL is rebuilt, sorted by key with undecodable pairs last, only when
+    something did change.
     """
     def build(pairs: Column) -> Column:
         changed = F.transform(
             pairs,
             lambda p, i: F.struct(
-                p["key"].alias("key"), i.alias("i"),
-                p["value"].alias("old"), change(p["value"]).alias("new"),
+                p["key"].isNull().alias("last"), p["key"].alias("key"), i.alias("i"),
+                F.coalesce(p["value"], p["raw"]).alias("old"),
+                change(F.coalesce(p["value"], p["raw"])).alias("new"),
             ),
         )
         return let(changed, join)
@@ -89,7 +98,9 @@ def rewrite_query(url: Column, change: Callable[[Column], Column]) -> Column:
         query = F.array_join(
             F.transform(
                 F.array_sort(rows),
-                lambda r: F.concat(encode_query(r["key"]), F.lit("="), encode_query(r["new"])),
+                lambda r: F.when(r["last"], r["new"]).otherwise(
+                    F.concat(encode_query(r["key"]), F.lit("="), encode_query(r["new"]))
+                ),
             ),
             "&",
         )

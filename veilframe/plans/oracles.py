@@ -194,11 +194,11 @@ def fields_sql(provider: str, direction: str, src: str = RICH) -> str:
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE text <> ''"
 
 
-def replaced_sql(provider: str, direction: str) -> str:
-    src = fields_sql(provider, direction)
-    keyed = f"SELECT doc_id || '|' || path AS k, doc_id, path, text FROM ({src})"
-    red = redacted_sql(keyed, "k", "split_part(k, '|', 1)")
-    return f"SELECT doc_id, path, redacted AS text FROM ({red})"
+def replaced_sql(provider: str, direction: str, where: str = "true") -> str:
+    """The whole body, with the redacted text in the text's place."""
+    shape = ("openai" if provider == "azure" else provider, direction)
+    rows = f"SELECT * EXCLUDE (text, redacted), redacted AS text FROM ({REDACTED}) WHERE {where}"
+    return f"SELECT doc_id, cast(to_json({BODY[shape]}) AS varchar) AS redacted_body FROM ({rows})"
 
 
 MIXED = ("openai", "anthropic", "azure", "gemini")
@@ -219,12 +219,15 @@ def audit_sql() -> str:
     spans = kept_sql(f"SELECT k, text FROM ({keyed})", "k")
     found = (f"SELECT cast(split_part(k, '|', 1) AS bigint) AS doc_id, count(*) AS n, "
              f"string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM ({spans}) GROUP BY 1")
+    bodies = " UNION ALL ".join(
+        replaced_sql(name, "request", f"doc_id % 5 = {i}") for i, name in enumerate(MIXED)
+    )
     return f"""
-SELECT scope AS request_id, doc_id AS at, cast(doc_id % 100 AS varchar) AS user_id,
+SELECT scope AS request_id, doc_id AS at, cast(doc_id % 100 AS varchar) AS user_id, redacted_body AS request_redacted,
   CASE doc_id % 5 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'azure' ELSE 'gemini' END AS provider,
   coalesce(n, 0) AS pii_detected, coalesce(types, '') AS pii_types,
   cast(200 AS bigint) AS status_code, cast(strlen(text) AS bigint) AS latency_ms
-FROM ({RICH}) d LEFT JOIN ({found}) f USING (doc_id) WHERE doc_id % 5 <> 4"""
+FROM ({RICH}) d JOIN ({bodies}) b USING (doc_id) LEFT JOIN ({found}) f USING (doc_id)"""
 
 
 # --- request log --------------------------------------------------------------
@@ -312,20 +315,21 @@ SELECT doc_id, doc_id // 10 AS request_id, text,
 
 
 def _printable(text: str) -> str:
-    """Whether more than 85 % of the first 500 bytes are printable ASCII."""
-    pairs = f"regexp_extract_all(substring(hex(encode({text})), 1, 1000), '..')"
+    """Whether more than 85 % of the bytes are printable ASCII."""
+    pairs = f"regexp_extract_all(hex(encode({text})), '..')"
     good = f"list_filter({pairs}, lambda h: (h BETWEEN '20' AND '7E') OR h IN ('09', '0A', '0D'))"
     return f"(len({pairs}) > 0 AND cast(len({good}) AS double) / len({pairs}) > 0.85)"
 
 
-_B64 = ("(strlen(content) BETWEEN 20 AND 10485760 AND "
-        "regexp_full_match(substring(content, 1, 1000), '[A-Za-z0-9+/=\\n\\r]*'))")
+_B64 = "(strlen(content) >= 20 AND regexp_full_match(content, '[A-Za-z0-9+/=\\n\\r]*'))"
 
 
 def file_text_sql() -> str:
     ends = " OR ".join(f"suffix(lower(path), {lit(s)})" for s in TEXT_SUFFIXES)
     return (f"SELECT doc_id, path, CASE WHEN {ends} THEN content "
-            f"WHEN doc_id % 4 = 2 AND {_B64} AND {_printable('text')} THEN text END AS text FROM ({UPLOADS})")
+            f"WHEN doc_id % 4 = 2 AND {_B64} AND {_printable('text')} THEN text END AS text, "
+            f"CASE WHEN {ends} THEN NULL WHEN doc_id % 4 = 2 AND {_B64} THEN CASE WHEN {_printable('text')} "
+            f"THEN NULL ELSE 'not text inside base64' END ELSE 'not text' END AS skipped_reason FROM ({UPLOADS})")
 
 
 OPEN = f"SELECT event_id, ts, ts + to_seconds(latency_ms) AS done FROM ({LOG})"
@@ -350,22 +354,12 @@ def latency_sql() -> str:
     return (f"SELECT method, path, n, cast(sum_ms AS bigint) AS sum_ms, le, cumulative FROM ({union})")
 
 
-def rate_sql(key: str, out: str, rate: int, burst: int) -> str:
-    """Replay event by event; levels in millionths of a token."""
-    full = burst * 1_000_000
-    step = (f"least({full}, r.level + {rate} * (e.us - r.us))")
+def rate_sql(key: str, limit: int, seconds: int) -> str:
+    """How many events a caller has in the last seconds, itself included."""
     return f"""
-WITH RECURSIVE e AS (
-  SELECT {key} AS k, event_id, epoch_us(ts) // 100000 AS us,
-    row_number() OVER (PARTITION BY {key} ORDER BY epoch_us(ts) // 100000, event_id) AS n FROM events),
-r AS (
-  SELECT k, event_id, us, n, {full} - 1000000 AS level, true AS allowed FROM e WHERE n = 1
-  UNION ALL
-  SELECT e.k, e.event_id, e.us, e.n,
-    CASE WHEN {step} >= 1000000 THEN {step} - 1000000 ELSE {step} END,
-    {step} >= 1000000
-  FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)
-SELECT {out} AS {key if out == 'k' else 'caller'}, event_id, allowed FROM r"""
+SELECT {key}, event_id, recent, recent > {limit} AS "over" FROM (
+  SELECT {key}, event_id, count(*) OVER (PARTITION BY {key} ORDER BY epoch_us(ts) // 100000
+    RANGE BETWEEN {seconds * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS recent FROM events)"""
 
 
 CHUNKED = f"""
@@ -511,8 +505,8 @@ UNION ALL SELECT DISTINCT doc_id, 'x' || token, NULL, NULL, NULL FROM ({TOKENS})
             f"SELECT event_id, cast(active AS bigint) AS active FROM ({ACTIVE}) WHERE delta > 0 AND active > 3"
         ),
         "failure_runs": FAILURES,
-        "over_rate": rate_sql("user_id", "k", 1, 5),
-        "over_rate_busy": rate_sql("event_type", "k", 50, 20),
+        "over_rate": rate_sql("user_id", 2, 3),
+        "over_rate_busy": rate_sql("event_type", 50, 1),
         "chunk_tail": (
             f"SELECT doc_id, seq, right(substring(text, 1, seq * {q.CHUNK_CHARS}), 128) AS tail FROM ({CHUNKED})"
         ),
@@ -542,7 +536,10 @@ UNION ALL SELECT scope, NULL, right(text, 128), least(128, length(text)) FROM ({
             "SELECT cast(epoch(date_trunc('day', ts)) AS bigint) AS day_start, event_type, count(*) AS requests "
             "FROM events GROUP BY ALL"
         ),
-        "stream_over_rate": rate_sql("user_id", "cast(k AS varchar)", 1, 5),
+        "stream_over_rate": (
+            "SELECT cast(epoch(date_trunc('day', ts)) AS bigint) AS day_start, cast(user_id AS varchar) AS caller, "
+            "count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 1"
+        ),
         "term_refresh": (
             f"SELECT doc_id, type, cast(s AS bigint) AS span_start, cast(e AS bigint) AS span_end, h AS value "
             f"FROM ({kept_sql(RICH, 'doc_id', allow=())})"

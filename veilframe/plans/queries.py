@@ -25,7 +25,6 @@ from veilframe.operators import (
     requests,
     restore,
     terms,
-    throttle,
 )
 from veilframe.plans import tables
 from veilframe.plans.tables import SAMPLE_KEYS
@@ -43,7 +42,7 @@ LONG_TERMS = (
     "ssn", "key akia", "kia", "mail test",
 )
 ALLOWED_DOMAINS = ("example.com", "example.org", "ththth.example.net")
-FORGED = "__PII_email_aaaaaabbbbbbcccc_0000000000000000__"
+FORGED = "__PII_email_0123456789abcdef_fedcba9876543210__"
 
 # --- shared steps -------------------------------------------------------------
 
@@ -101,9 +100,14 @@ def blocklist_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long list: the terms that matter, and one per order and customer."""
     docs = tables.rich_documents(spark, sf_dir)
-    found = docs.select("doc_id", terms.TermTableDetector(LONG_TERMS).spans(F.col("text")).alias("spans"))
-    rows = _span_rows(found, "doc_id")
+    listed = readers.term_frame(spark, LONG_TERMS)
+    for name, key in (("orders", "o_orderkey"), ("customer", "c_custkey")):
+        keys = tables.table(spark, sf_dir, name, key)
+        listed = listed.unionByName(keys.select(F.expr(f"'{name} ' || cast({key} as string)").alias("term")))
+    near = terms.term_spans(docs, "doc_id", "text", listed)
+    rows = _span_rows(near, "doc_id")
     return rows.select("doc_id", "span_start", "span_end", "value")
 
 
@@ -240,7 +244,7 @@ def verified_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(
                 F.regexp_replace("token", "_[0-9a-f]{16}__$", "_0000000000000000__"),
                 F.regexp_replace("token", "^__PII_", "__PII_x"),
-                F.lit("__PII_email_fakeuuid_fakesig__"),
+                F.lit("__PII_email_nothex_nosig__"),
             )
         ).alias("token"),
     )
@@ -368,10 +372,7 @@ def chat_replace(provider: str, direction: str) -> Query:
         done = chat.redact_bodies(
             rows, DEFAULT, SAMPLE_KEYS, direction=direction, only=(provider,)
         )
-        back = done.withColumn(
-            "fields", chat.extract_text(F.col("redacted_body"), provider, direction)
-        )
-        return chat.explode_fields(back, "doc_id")
+        return done.select("doc_id", "redacted_body")
 
     return query
 
@@ -419,14 +420,12 @@ def raw_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def custom_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A format registered by the user."""
-    side = chat.BodyFormat(
-        "notes array<struct<lines:array<string>>>, title string", ("title", "notes.*.lines.*")
-    )
-    chat.register_format("notes", side, side)
+    side = chat.BodyFormat(("title", "notes.*.lines.*"))
+    formats = {**chat.FORMATS, "notes": chat.ChatFormat(side, side)}
     line = F.struct(F.array("text", F.lit(""), "scope").alias("lines"))
     body = F.to_json(F.struct(F.array(line, line).alias("notes"), F.col("scope").alias("title")))
     rows = tables.rich_documents(spark, sf_dir).select("doc_id", body.alias("body"))
-    rows = rows.withColumn("fields", chat.extract_text(F.col("body"), "notes"))
+    rows = rows.withColumn("fields", chat.extract_text(F.col("body"), "notes", formats=formats))
     return chat.explode_fields(rows, "doc_id")
 
 
@@ -499,7 +498,11 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _uploads(spark, sf_dir)
-    return rows.select("doc_id", "path", files.file_text(F.col("path"), F.col("content")).alias("text"))
+    path, content = F.col("path"), F.col("content")
+    return rows.select(
+        "doc_id", "path", files.file_text(path, content).alias("text"),
+        files.skipped_reason(path, content).alias("skipped_reason"),
+    )
 
 
 def file_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -608,6 +611,7 @@ def _audit_view(entries: DataFrame) -> DataFrame:
         "user_id", "provider",
         F.col("pii_detected").cast("bigint").alias("pii_detected"),
         F.array_join("pii_types", ",").alias("pii_types"),
+        "request_redacted",
         F.col("status_code").cast("bigint").alias("status_code"),
         "latency_ms",
     )
@@ -666,16 +670,14 @@ def _fast_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def over_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = throttle.over_rate(_fast_log(spark, sf_dir), "user_id", "ts", "event_id", rate=1, burst=5)
-    return rows.select("user_id", "event_id", "allowed")
+    rows = rates.over_rate(_fast_log(spark, sf_dir), "user_id", "ts", "event_id", limit=2, seconds=3)
+    return rows.select("user_id", "event_id", "recent", "over")
 
 
 def over_rate_busy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few callers with many events each: replayed in blocks."""
-    rows = throttle.over_rate(
-        _fast_log(spark, sf_dir), "event_type", "ts", "event_id", rate=50, burst=20, group_rows=200
-    )
-    return rows.select("event_type", "event_id", "allowed")
+    """Few callers with many events each."""
+    rows = rates.over_rate(_fast_log(spark, sf_dir), "event_type", "ts", "event_id", limit=50)
+    return rows.select("event_type", "event_id", "recent", "over")
 
 
 # --- chunked text -------------------------------------------------------------
@@ -815,14 +817,21 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_over_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers and days with more requests than allowed, as a stream sees them."""
     events = tables.table_stream(spark, sf_dir, "events", tables.EVENT_SCHEMA)
-    micros = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 100_000)
     log = events.select(
-        F.expr("cast(user_id as string)").alias("caller"), "event_id",
-        F.timestamp_micros(micros.cast("bigint")).alias("ts"),
+        F.expr("cast(user_id as string)").alias("caller"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    counts = counters.running_counts(log, "ts", ["caller"], width="1 day")
+    out = _run_batches(
+        spark, "rates", lambda write: counts.writeStream.outputMode("update").foreachBatch(write)
+    )
+    latest = spark.read.parquet(out).groupBy("window_start", "caller").agg(
+        F.max_by("requests", "epoch").alias("requests")
+    )
+    return latest.filter("requests > 1").select(
+        F.unix_seconds("window_start").alias("day_start"), "caller", "requests"
     )
-    rows = _to_table(spark, throttle.over_rate_stream(log, rate=1, burst=5), "stream-rate")
-    return rows.select("caller", "event_id", "allowed")
 
 
 def term_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
