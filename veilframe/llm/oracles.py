@@ -88,13 +88,13 @@ r AS (
          unnest(list_transform(range(1, len(ws) - 48),
                                lambda i: md5(array_to_string(ws[i:i + 49], ' ')))) AS h
   FROM w WHERE len(ws) >= 50),
-k AS (SELECT h, min(doc_id) AS lo, max(doc_id) AS hi FROM r GROUP BY h HAVING min(doc_id) <> max(doc_id)),
-m AS (SELECT doc_id, s, CASE WHEN doc_id = lo THEN hi ELSE lo END AS other FROM r JOIN k USING (h)),
+k AS (SELECT h FROM r GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, s FROM r JOIN k USING (h)),
 n AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new
       FROM m),
 g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS span FROM n)
 SELECT doc_id, min(s)::BIGINT AS start_word, (max(s) + 50)::BIGINT AS end_word,
-       (max(s) + 50 - min(s))::BIGINT AS n_words, arg_min(other, s) AS other_doc_id
+       (max(s) + 50 - min(s))::BIGINT AS n_words
 FROM g GROUP BY doc_id, span
 """
 

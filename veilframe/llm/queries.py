@@ -68,7 +68,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
-    return found.withColumnRenamed("other", "other_doc_id")
+    return found.select("doc_id", "start_word", "end_word", "n_words")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
