@@ -58,15 +58,20 @@ def test_untouched_and_unparsed_bodies(spark, keys):
         ("f", "openai", '{"messages": "a@b.com"}'),
         ("g", "openai", None),
         ("h", "openai", '{"messages": [{"role": "u", "content": [{"text": "a@b.com"}]}]}'),
+        ("j", "openai", '{"messages": [{"content": "hi"}]} {"x": "a@b.com"}'),
+        ("k", "openai", '{"messages": [{"content": "a\\u0040b.com \\"q\\" \\\\n"}], "t": 1.50, "tools": [{"n": 1}]}'),
         ("i", "gemini", '{"contents": [{"parts": [{"text": null}, {"text": 5}], "x": "a@b.com"}]}'),
     ]
     df = spark.createDataFrame(rows, "request_id string, provider string, body string")
     got = {r["request_id"]: r for r in chat.redact_bodies(df, CFG, keys).collect()}
     for k in "ade":
         assert got[k]["redacted_body"] == dict((r[0], r[2]) for r in rows)[k]
-    for k in "bcfhi":
+    for k in "bcfhijk":
         assert "a@b.com" not in got[k]["redacted_body"] and "__PII_email_" in got[k]["redacted_body"]
     assert got["g"]["redacted_body"] is None
+    other = json.loads(got["k"]["redacted_body"])
+    assert other["tools"] == [{"n": 1}] and '"t": 1.50' in got["k"]["redacted_body"]
+    assert other["messages"][0]["content"].endswith('__ "q" \\n')
     assert json.loads(got["h"]["redacted_body"])["messages"][0]["content"][0]["text"].startswith("__PII_")
 
 
@@ -237,3 +242,24 @@ def test_audit_rows(spark, keys):
     row = entries.select("*", audit.rfc3339("timestamp").alias("at")).first()
     assert row["pii_detected"] == 1 and row["pii_types"] == ["email"] and row["user_id"] == ""
     assert "a@b.com" not in row["request_redacted"] and row["at"] == "2023-11-14T22:13:20Z"
+
+
+def test_response_bodies_hide_new_values_and_restore_old_ones(spark, keys):
+    from veilframe.operators import redact, restore
+
+    said = spark.createDataFrame([("r1", 'say "x" to a@b.com')], "request_id string, text string")
+    asked = redact.redact(said, "text", "request_id", CFG, keys)
+    vault = redact.build_vault(asked, "request_id", keys)
+    token = asked.first()["spans"][0]["token"]
+    body = {"choices": [{"message": {"content": f'api_key: {token} and \u00e9 "n@w.org"'}, "index": 0}], "id": 7}
+    sent = spark.createDataFrame(
+        [("r1", "openai", json.dumps(body)), ("r1", "openai", f"broken {token}"), (None, "openai", json.dumps(body))],
+        "request_id string, provider string, body string",
+    )
+    got = restore.screen_bodies(sent, ["request_id"], CFG, vault, keys).collect()
+    by = {(r["request_id"], r["body"][0]): r for r in got}
+    back = json.loads(by["r1", "{"]["response"])
+    assert back["id"] == 7 and back["choices"][0]["message"]["content"].startswith('api_key: a@b.com and \u00e9 "__PII_email_')
+    assert "n@w.org" not in by["r1", "{"]["response"]
+    assert by["r1", "b"]["response"] == "broken a@b.com"
+    assert by[None, "{"]["response"] is None

@@ -17,15 +17,7 @@ ROUTES = (
     ("/azure", "azure"),
     ("/gemini", "gemini"),
 )
-BASE_URLS = (
-    "https://api.openai.com",
-    "https://api.anthropic.com",
-    "https://your-resource.openai.azure.com",
-    "https://generativelanguage.googleapis.com",
-)
 FAILURES_TO_TRIP = 5
-RATE_PER_SECOND = 1000
-RATE_BURST = 2000
 MAX_CONCURRENCY = 10_000
 LATENCY_BUCKETS_SECONDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 # --- end of fixed values ------------------------------------------------------
@@ -37,13 +29,15 @@ class ScanConfig:
 
     ``detectors`` is ordered: on equal confidence the earlier detector wins an
     overlap. ``allowlist`` entries exempt a span whose whole value equals one of
-    them, ignoring case.
+    them, ignoring case. Texts of more than ``watched_chars`` are scanned like all
+    others and can be told by ``detect.oversize``.
     """
 
     detectors: tuple = ()
     threshold: float = CONFIDENCE_THRESHOLD
     allowlist: tuple[str, ...] = ()
     unit_chars: int = 4096
+    watched_chars: int = 1_000_000
 
     def __post_init__(self) -> None:
         if not self.detectors:

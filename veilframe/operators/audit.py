@@ -34,10 +34,6 @@ def audit_entries(redacted: DataFrame) -> DataFrame:
     )
 
 
-def elapsed_ms(start: str, end: str):
-    return F.unix_millis(F.col(end)) - F.unix_millis(F.col(start))
-
-
 def rfc3339(ts: str):
     """UTC time as text to the second, e.g. ``2024-01-01T00:00:07Z``."""
     return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(ts).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -1,6 +1,6 @@
 """Chat-API bodies: pull out the texts worth scanning, put redacted ones back.
 
-A format is a list of paths per direction. A body is parsed once, as a variant,
+A format is a list of paths per direction. A body is parsed as a variant
 for what lies at these paths; a content may be a string or a list of parts. To
 rebuild it, only the JSON strings whose text has changed are rewritten, so every
 other field, number and blank stays as it was. JSON of another shape is scanned
@@ -196,6 +196,19 @@ def json_string(text: Column) -> Column:
     return F.substring(literal, F.lit(3), F.length(literal) - 4)
 
 
+def parsed_body(body: Column) -> Column:
+    """The body as a variant, NULL unless all of it is one JSON value.
+
+    Spark's parser stops after the first value. What could follow one in a list
+    and what could in an object have only the comma in common, and with that the
+    list has two elements: so a body that parses in both is a single value.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"b":'), body, F.lit("}")))
+    one = lambda v: F.when(F.size(_items(v)) == 1, F.try_variant_get(v, "$[0]", "variant"))
+    return F.when(member.isNotNull(), let(listed, one))
+
+
 def _all_strings(body: Column) -> Column:
     """Every string value of a JSON text as a field ``json.{place}``; keys are left out."""
     def fields(cuts: Column) -> Column:
@@ -227,7 +240,7 @@ def extract_text(
             .otherwise(_all_strings(body))
         )
 
-    return let(F.try_parse_json(body), texts)
+    return let(parsed_body(body), texts)
 
 
 def rebuild(body: Column, changes: Column) -> Column:

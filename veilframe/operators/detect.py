@@ -287,6 +287,11 @@ def scan(df: DataFrame, text: str, cfg: ScanConfig, out: str = "spans") -> DataF
     return df.withColumn(out, F.coalesce(found, empty())).drop(*on_rows.values())
 
 
+def oversize(text: Column, cfg: ScanConfig) -> Column:
+    """Whether a text is longer than the configuration's watch mark; never a reason to skip it."""
+    return F.coalesce(F.length(text) > cfg.watched_chars, F.lit(False))
+
+
 def raw_spans(text: Column, cfg: ScanConfig) -> Column:
     """All detectors' output joined, before resolution, threshold and allowlist."""
     columns = [d for d in cfg.detectors if not d.on_rows]

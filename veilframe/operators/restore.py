@@ -11,7 +11,7 @@ from veilframe.config import ScanConfig
 from veilframe.functions.crypto import Keyring, decrypt, framed, with_keys, without_keys
 from veilframe.functions.spans import empty, find_all, shift
 from veilframe.functions.tokens import TOKEN_PATTERN, TOKEN_PREFIX, token_verifies
-from veilframe.operators.chat import FORMATS, Formats, json_string, redact_bodies
+from veilframe.operators.chat import FORMATS, Formats, json_string, parsed_body, redact_bodies
 from veilframe.operators.redact import REDACTED_SPANS_TYPE, redact_column
 
 
@@ -96,7 +96,7 @@ def rehydrate(
 def _fitting(text: Column, values: Column) -> Column:
     """Values encoded for a text that is JSON."""
     encoded = F.transform_values(values, lambda _, v: json_string(v))
-    return F.when(values.isNotNull() & F.try_parse_json(text).isNotNull(), encoded).otherwise(values)
+    return F.when(values.isNotNull() & parsed_body(text).isNotNull(), encoded).otherwise(values)
 
 
 def substitute(text: Column, values: Column) -> Column:

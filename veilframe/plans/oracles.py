@@ -6,7 +6,7 @@ their JDK form.
 
 from __future__ import annotations
 
-from veilframe.config import BASE_URLS, BLOCKED_TERMS, LATENCY_BUCKETS_SECONDS, SAFE_VALUES
+from veilframe.config import BLOCKED_TERMS, LATENCY_BUCKETS_SECONDS, SAFE_VALUES
 from veilframe.functions.patterns import INJECTION_PATTERNS, PATTERNS
 from veilframe.operators.files import TEXT_SUFFIXES
 from veilframe.operators.guards import PRIVATE_V4
@@ -230,6 +230,44 @@ SELECT scope AS request_id, doc_id AS at, cast(doc_id % 100 AS varchar) AS user_
 FROM ({RICH}) d JOIN ({bodies}) b USING (doc_id) LEFT JOIN ({found}) f USING (doc_id)"""
 
 
+def answers_sql() -> str:
+    """Responses: the request's text restored, and the provider's own address hidden."""
+    fresh = "'fresh' || cast(doc_id AS varchar) || '@new.example.org'"
+    parts = []
+    for i, name in enumerate(MIXED):
+        shape = ("openai" if name == "azure" else name, "response")
+        said = f"text || ' reply to ' || {token_sql('scope', lit('email'), fresh)}"
+        rows = f"SELECT doc_id, scope, {said} AS text FROM ({RICH}) WHERE doc_id % 5 = {i}"
+        parts.append(
+            f"SELECT doc_id, scope AS request_id, cast(to_json({BODY[shape]}) AS varchar) AS response, "
+            f"cast(1 AS bigint) AS new_values FROM ({rows})"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def sent_sql() -> str:
+    """Request bodies of all providers as they are, unknown ones as plain text."""
+    parts = [
+        f"SELECT doc_id, {lit(name)} AS provider, cast(to_json({BODY[('openai' if name == 'azure' else name, 'request')]}) "
+        f"AS varchar) AS body FROM ({RICH}) WHERE doc_id % 5 = {i}"
+        for i, name in enumerate(MIXED)
+    ]
+    parts.append(f"SELECT doc_id, 'other' AS provider, text AS body FROM ({RICH}) WHERE doc_id % 5 = 4")
+    return " UNION ALL ".join(parts)
+
+
+_PAIR = r"\bthe [a-z]+ing\b"
+PAIRS = f"""
+SELECT doc_id, cast(sum(length(piece)) OVER w - length(h) AS bigint) AS span_start,
+  cast(sum(length(piece)) OVER w AS bigint) AS span_end, h AS value FROM (
+  SELECT doc_id, n, h, string_split(cut, chr(1))[n] || h AS piece FROM (
+    SELECT doc_id, regexp_replace(text, '{_PAIR}', chr(1), 'g') AS cut,
+      unnest(regexp_extract_all(text, '{_PAIR}')) AS h,
+      unnest(range(1, len(regexp_extract_all(text, '{_PAIR}')) + 1)) AS n FROM documents))
+WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)"""
+
+FLAT = f"SELECT doc_id, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text FROM ({RICH})"
+
 # --- request log --------------------------------------------------------------
 
 LOG = (f"SELECT event_id, ts, {t.REQUEST_ID} AS request_id, cast(user_id AS varchar) AS user_id, "
@@ -544,9 +582,44 @@ UNION ALL SELECT scope, NULL, right(text, 128), least(128, length(text)) FROM ({
             f"SELECT doc_id, type, cast(s AS bigint) AS span_start, cast(e AS bigint) AS span_end, h AS value "
             f"FROM ({kept_sql(RICH, 'doc_id', allow=())})"
         ),
+        "response_bodies": f"SELECT doc_id, response, new_values FROM ({answers_sql()})",
+        "request_to_audit": (
+            f"SELECT a.*, response, new_values, cast(NULL AS varchar) AS action FROM ({audit_sql()}) a "
+            f"JOIN ({answers_sql()}) USING (request_id)"
+        ),
+        "body_source": (
+            "SELECT cast(doc_id AS varchar) AS request_id, provider, CASE WHEN doc_id % 7 <> 0 THEN body END AS body, "
+            f"CASE WHEN doc_id % 7 = 0 THEN 'unreadable body' END AS reason FROM ({sent_sql()})"
+        ),
+        "file_source": f"SELECT doc_id, text, cast(strlen(text) + 1 AS bigint) AS bytes FROM ({FLAT})",
+        "redacted_sink": f"SELECT doc_id, redacted FROM ({REDACTED})",
+        "oversize_text": (
+            f"SELECT doc_id, length(text) > 5000 AS oversize, coalesce(n, 0) AS found FROM ({RICH}) LEFT JOIN "
+            f"(SELECT doc_id, count(*) AS n FROM ({kept_sql(RICH, 'doc_id')}) GROUP BY doc_id) USING (doc_id)"
+        ),
+        "dense_text": (
+            f"SELECT doc_id, cast({q.DENSE} AS bigint) AS found, "
+            f"cast({q.DENSE} * length('/u' || cast(doc_id AS varchar) || '@dense.example') AS bigint) AS last_end "
+            "FROM documents"
+        ),
+        "adversarial_text": (
+            "SELECT page_id, 'x' || cast(page_id AS varchar) || '@long.example' AS value FROM pages"
+        ),
+        "unstated_glue": PAIRS,
+        "private_ip_v6": (
+            "SELECT request_id, CASE event_id % 6 WHEN 0 THEN '::1' WHEN 1 THEN 'fd00::' || event_id % 1000 "
+            "WHEN 2 THEN '2001:db8:0:1::' || event_id % 1000 WHEN 3 THEN '::ffff:10.0.' || event_id % 256 || '.1' "
+            "WHEN 4 THEN '::ffff:8.8.' || event_id % 256 || '.1' ELSE 'fe80::1' END AS ip, "
+            f"event_id % 6 NOT IN (2, 4) AS private FROM ({LOG})"
+        ),
+        "sse_redact": (
+            "SELECT doc_id, unnest(range(0, 4)) AS seq, unnest(['id: ' || scope, ': ping', 'data: ' || redacted, '']) "
+            f"AS line FROM ({redacted_sql(FLAT, 'doc_id', SCOPE)}) JOIN (SELECT doc_id, scope FROM ({RICH})) USING (doc_id)"
+        ),
         "term_log": (
             "SELECT DISTINCT 'customer ' || o_custkey AS term FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey > "
             "(SELECT coalesce(max(o_orderkey), -1) FROM orders WHERE o_orderstatus = 'P')"
         ),
     })
+    out["metrics_sink"] = out["detections_by_type"]
     return out

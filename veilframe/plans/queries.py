@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.config import LATENCY_BUCKETS_SECONDS, ScanConfig, default_config
-from veilframe.functions.patterns import PATTERNS
+from veilframe.functions.patterns import PATTERNS, Pattern
 from veilframe.functions.spans import SPANS_TYPE
 from veilframe.functions.tokens import parse_token
 from veilframe.operators import (
@@ -429,6 +430,57 @@ def custom_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.explode_fields(rows, "doc_id")
 
 
+def _vault_of_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = chat.redact_bodies(_known_chats(spark, sf_dir), DEFAULT, SAMPLE_KEYS)
+    return materialise(redact.build_vault(done, "request_id", SAMPLE_KEYS), "vault")
+
+
+def _known_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, _ = chat.split_known(_mixed_chats(spark, sf_dir))
+    return known
+
+
+def _replies(asked: DataFrame) -> DataFrame:
+    """Each provider answers with what it was sent, and with an address of its own."""
+    fresh = F.expr("' reply to fresh' || cast(doc_id as string) || '@new.example.org'")
+    said = F.array_join(F.transform(F.filter("fields", lambda f: F.length(f["text"]) > 40), lambda f: f["text"]), " ")
+    rows = asked.withColumn("text", F.concat(said, fresh)).withColumn("scope", F.col("request_id"))
+    body = chat.by_provider(F.col("provider"), lambda name: chat_body(name, "response"))
+    return rows.select("doc_id", "request_id", "provider", body.alias("body"))
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Redacted requests as sent, and the screened, restored responses to them."""
+    sent = chat.redact_bodies(_known_chats(spark, sf_dir), DEFAULT, SAMPLE_KEYS)
+    asked = chat.extract_fields(
+        sent.select("doc_id", "request_id", "provider", F.col("redacted_body").alias("body"))
+    )
+    screened = restore.screen_bodies(
+        _replies(asked), ["doc_id"], DEFAULT, _vault_of_requests(spark, sf_dir), SAMPLE_KEYS
+    )
+    return sent, screened
+
+
+def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response bodies: new values hidden, the request's own restored, the rest as it was."""
+    _, screened = _answered(spark, sf_dir)
+    return screened.select(
+        "doc_id", "response", F.size("response_spans").cast("bigint").alias("new_values")
+    )
+
+
+def request_to_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flow: guard, extract, redact, rebuild, respond, restore, audit."""
+    sent, screened = _answered(spark, sf_dir)
+    guarded = guards.flag_injection(sent, "body", "flag")
+    entries = audit.audit_entries(guarded)
+    answers = screened.select(
+        "request_id", "response", F.size("response_spans").cast("bigint").alias("new_values")
+    )
+    actions = guarded.select("request_id", "action")
+    return _audit_view(entries).join(answers, "request_id").join(actions, "request_id")
+
+
 # --- request metadata ---------------------------------------------------------
 
 
@@ -731,6 +783,111 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_sse(spark, path).select("is_data", "data", "value")
 
 
+def body_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies written as JSON lines and read back; rows without one are set aside."""
+    path = shared_dir(spark, "bodies")
+    rows = _mixed_chats(spark, sf_dir)
+    empty_ = F.when(F.col("doc_id") % 7 != 0, F.col("body"))
+    rows.select("request_id", "provider", empty_.alias("body")).write.json(path)
+    good, lost = readers.reject_unreadable(readers.read_bodies(spark, path))
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(lost)
+
+
+def file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as one file each and read as bytes."""
+    path = shared_dir(spark, "files")
+    docs = tables.rich_documents(spark, sf_dir)
+    flat = F.regexp_replace("text", r"[\r\n]+", " ")
+    docs.select("doc_id", flat.alias("value")).write.partitionBy("doc_id").text(path)
+    rows = readers.read_files(spark, path, glob="*.txt")
+    doc_id = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint")
+    text = F.regexp_replace(files.file_text(F.col("path"), F.col("content")), r"\n\z", "")
+    return rows.select(doc_id.alias("doc_id"), text.alias("text"), F.col("length").alias("bytes"))
+
+
+def redacted_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the columns on the keep-list reach the sink."""
+    path = shared_dir(spark, "redacted-sink")
+    sinks.write_redacted(_redacted(spark, sf_dir), path, keep=["doc_id", "redacted"])
+    return spark.read.parquet(path)
+
+
+def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written twice: a counter table is replaced, not added to."""
+    path = shared_dir(spark, "metrics")
+    for _ in range(2):
+        sinks.write_metrics(detections_by_type(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+def oversize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long texts are told, and scanned like all others."""
+    cfg = dataclasses.replace(DEFAULT, watched_chars=5000)
+    docs = tables.rich_documents(spark, sf_dir)
+    scanned = detect.scan(docs, "text", cfg)
+    return scanned.select(
+        "doc_id", detect.oversize(F.col("text"), cfg).alias("oversize"),
+        F.size("spans").cast("bigint").alias("found"),
+    )
+
+
+def dense_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values one after another without white space."""
+    docs = tables.documents(spark, sf_dir)
+    packed = F.expr(f"repeat('/u' || cast(doc_id as string) || '@dense.example', {DENSE})")
+    spans = detect.scan(docs.select("doc_id", packed.alias("text")), "text", DEFAULT)
+    return spans.select(
+        "doc_id", F.size("spans").cast("bigint").alias("found"),
+        F.element_at("spans", -1)["end"].cast("bigint").alias("last_end"),
+    )
+
+
+DENSE = 400
+
+
+def adversarial_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long run of letters before each page: the worst case for the e-mail pattern."""
+    pages = tables.table(spark, sf_dir, "pages", "page_id", "url")
+    run = F.concat(F.lit("@"), F.repeat(F.lit("a"), F.lit(60_000)), F.lit(" x"), "page_id", F.lit("@long.example"))
+    spans = detect.scan(pages.select("page_id", run.alias("text")), "text", DEFAULT)
+    return spans.select("page_id", F.transform("spans", lambda s: s["value"])[0].alias("value"))
+
+
+def unstated_glue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern that says nothing about white space, over texts of all lengths."""
+    cfg = ScanConfig(detectors=(detect.PatternDetector((Pattern("pair", "pair", 0.9, r"\bthe [a-z]+ing\b"),)),))
+    rows = _span_rows(detect.scan(tables.documents(spark, sf_dir), "text", cfg), "doc_id")
+    return rows.select("doc_id", "span_start", "span_end", "value")
+
+
+def private_ip_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = tables.request_log(spark, sf_dir)
+    ip = F.expr(
+        "case event_id % 6 when 0 then '::1' when 1 then 'fd00::' || cast(event_id % 1000 as string)"
+        " when 2 then '2001:db8:0:1::' || cast(event_id % 1000 as string)"
+        " when 3 then '::ffff:10.0.' || cast(event_id % 256 as string) || '.1'"
+        " when 4 then '::ffff:8.8.' || cast(event_id % 256 as string) || '.1' else 'fe80::1' end"
+    )
+    return log.select("request_id", ip.alias("ip"), guards.is_private_ip(ip).alias("private"))
+
+
+def sse_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event streams, one file each: data lines redacted, all lines in place."""
+    docs = tables.rich_documents(spark, sf_dir)
+    flat = F.regexp_replace("text", r"[\r\n]+", " ")
+    event = F.concat(F.lit("id: "), "scope", F.lit("\n: ping\ndata: "), flat, F.lit("\n"))
+    path = shared_dir(spark, "sse-streams")
+    docs.select("doc_id", event.alias("value")).write.partitionBy("doc_id").text(path)
+    lines = readers.read_sse_streams(spark, path)
+    doc_id = F.regexp_extract("stream_id", r"doc_id=(\d+)", 1)
+    lines = lines.withColumn("scope", doc_id)
+    done = redact.redact(lines, "data", "scope", DEFAULT, SAMPLE_KEYS, out="redacted")
+    line = F.when(F.col("is_data"), F.concat(F.lit("data: "), "redacted")).otherwise(F.col("value"))
+    return done.select(
+        doc_id.cast("bigint").alias("doc_id"), F.col("seq").cast("bigint").alias("seq"), line.alias("line")
+    )
+
+
 # --- streams ------------------------------------------------------------------
 
 
@@ -891,6 +1048,8 @@ def all_queries() -> dict[str, Query]:
         chunk_tail, stream_redact_batch, spans_by_chunk, sse_lines,
         stream_redact, stream_rehydrate, stream_windows, stream_counters, stream_over_rate,
         term_refresh, term_log,
+        response_bodies, request_to_audit, body_source, file_source, redacted_sink, metrics_sink,
+        oversize_text, dense_text, adversarial_text, unstated_glue, private_ip_v6, sse_redact,
     )
     out.update({q.__name__: q for q in plain})
     return out

@@ -47,6 +47,21 @@ def read_sse(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return sse_lines(reader.format("text").load(path))
 
 
+def read_sse_streams(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Event-stream files line by line, in order: ``stream_id, seq`` and ``sse_lines``.
+
+    A file is one stream and is read as a whole, so its lines keep their places.
+    """
+    reader = spark.readStream if stream else spark.read
+    whole = reader.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
+    body = F.regexp_replace("value", "\n\\z", "")
+    lines = whole.select(
+        F.col("_metadata.file_path").alias("stream_id"),
+        F.posexplode(F.split(body, "\r?\n", -1)).alias("seq", "value"),
+    )
+    return sse_lines(lines)
+
+
 def sse_text(lines: DataFrame, data: str, line: str = "value") -> DataFrame:
     """Inverse of ``sse_lines``: the outgoing lines."""
     return lines.select(
