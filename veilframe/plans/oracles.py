@@ -562,8 +562,7 @@ UNION ALL SELECT DISTINCT doc_id, 'x' || token, NULL, NULL, NULL FROM ({TOKENS})
         ),
         "stream_redact": f"SELECT cast(doc_id AS varchar) AS stream_id, * EXCLUDE (doc_id) FROM ({PLACED})",
         "stream_rehydrate": (
-            "SELECT scope AS stream_id, cast(0 AS bigint) AS at, cast(length(text) AS bigint) AS chars, "
-            f"text AS restored FROM ({RICH}) WHERE text <> ''"
+            f"SELECT scope AS stream_id, text AS restored FROM ({RICH}) WHERE text <> ''"
         ),
         "stream_windows": f"""
 SELECT cast(doc_id AS varchar) AS stream_id, seq,

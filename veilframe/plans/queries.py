@@ -6,7 +6,7 @@ import dataclasses
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.config import LATENCY_BUCKETS_SECONDS, ScanConfig, default_config
@@ -899,6 +899,28 @@ def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MICRO_BATCHES = 4
+
+
+def _arriving(spark: SparkSession, texts: DataFrame, stream: str, text: str) -> DataFrame:
+    """Texts as a chunk stream in several micro-batches, every text spread over all of them.
+
+    Chunks are short, so values lie across chunks and across batches.
+    """
+    rows = stream_chunks.numbered_chunks(texts, stream, text, CHUNK_CHARS)
+    last = F.max(F.col("seq")).over(Window.partitionBy("stream_id"))
+    dealt = materialise(
+        rows.withColumn("batch", F.floor(F.col("seq") * MICRO_BATCHES / (last + 1))), "arriving"
+    )
+    path = shared_dir(spark, "chunk-stream")
+    for batch in range(MICRO_BATCHES):  # one file each, in order of time
+        part = dealt.filter(F.col("batch") == batch).drop("batch").coalesce(1)
+        part.write.mode("append").parquet(path)
+    return (
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    )
+
+
 def _to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there, into a file sink, and read the sink."""
     path = shared_dir(spark, name)
@@ -928,7 +950,7 @@ def _run_batches(spark: SparkSession, name: str, make) -> str:
 
 
 def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = stream_chunks.numbered_chunks(_document_stream(spark, sf_dir), "scope", "text", CHUNK_CHARS)
+    stream = _arriving(spark, tables.rich_documents(spark, sf_dir), "scope", "text")
     units = stream_chunks.redact_stream(stream, DEFAULT, SAMPLE_KEYS)
     rows = chunks.stream_spans(_to_table(spark, units, "stream-redact"), "stream_id")
     return rows.select(
@@ -939,20 +961,18 @@ def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted documents arrive in chunks and leave restored."""
     done, vault = _stored(spark, sf_dir)
-    path = shared_dir(spark, "replies")
-    done.select("scope", "redacted").write.parquet(path)
-    replies = spark.readStream.schema("scope string, redacted string").parquet(path)
-    stream = stream_chunks.numbered_chunks(replies, "scope", "redacted", CHUNK_CHARS)
+    stream = _arriving(spark, done.select("scope", "redacted"), "scope", "redacted")
     out = _run_batches(
         spark, "restored",
         lambda write: stream_chunks.rehydrate_stream(stream, lambda: vault, SAMPLE_KEYS, write),
     )
     rows = spark.read.parquet(out)
-    return rows.select("stream_id", "at", F.length("restored").cast("bigint").alias("chars"), "restored")
+    whole = rows.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("at", "restored"))).alias("u"))
+    return whole.select("stream_id", F.array_join("u.restored", "").alias("restored"))
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = stream_chunks.numbered_chunks(_document_stream(spark, sf_dir), "scope", "text", CHUNK_CHARS)
+    stream = _arriving(spark, tables.rich_documents(spark, sf_dir), "scope", "text")
     windows = _to_table(spark, stream_chunks.overlap_windows(stream), "stream-windows")
     return windows.select(
         "stream_id", "seq", "window", F.col("overlap").cast("bigint").alias("overlap")

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilframe.config import CHUNK_TAIL_CHARS, ScanConfig
 from veilframe.functions.crypto import Keyring
-from veilframe.operators.detect import glue_of
+from veilframe.operators.detect import glue_of, never_of
 from veilframe.operators.redact import redact
 from veilframe.operators.restore import rehydrate
 
@@ -29,9 +29,10 @@ def _python_class(glue: str) -> str:
     return f"[^\\t\\n\\f\\r {re.escape(''.join(sorted(set(glue))))}]"
 
 
-def value_cut(glue: str) -> str:
+def value_cut(glue: str, never: str = "") -> str:
     """Pattern whose last match ends where no detected value can straddle."""
-    return _python_class(glue) + r"(?=[\t\n\f\r ])"
+    here = _python_class(glue) + r"(?=[\t\n\f\r ])"
+    return f"(?:{here}|(?=[{re.escape(never)}]))" if never else here
 
 
 # A token consists of word characters, so any other character ends one.
@@ -106,7 +107,7 @@ def redact_stream(
     glue = glue_of(cfg)
     if glue is None:
         raise ValueError("stream redaction needs detectors with known glue")
-    units = hold_back(chunks, value_cut(glue), idle_ms)
+    units = hold_back(chunks, value_cut(glue, never_of(cfg)), idle_ms)
     return redact(units, "text", "stream_id", cfg, keys)
 
 
