@@ -89,3 +89,25 @@ def test_spans_map_back_to_chunks(spark, keys):
     met = chunks.spans_by_chunk(spans, table, "stream", "seq", "chunk", grid=5).orderBy("seq").collect()
     pieces = "".join(streams["s"][r["seq"]][r["chunk_start"] : r["chunk_end"]] for r in met)
     assert pieces == "a.long.name@example.org"
+
+
+def test_rows_without_a_stream_are_kept(spark):
+    rows = [(None, 0, "abc "), (None, 1, "def"), ("s", 0, "xyz")]
+    df = spark.createDataFrame(rows, "stream string, seq bigint, chunk string")
+    got = {(r["stream"], r["seq"]): r["tail"] for r in chunks.chunk_tails(df, "stream", "seq", "chunk").collect()}
+    assert got == {(None, 0): "", (None, 1): "abc ", ("s", 0): ""}
+    spans = spark.createDataFrame(
+        [(None, "t", "d", "k", 2, 6)], "stream string, type string, detector_name string, token string, start bigint, end bigint"
+    )
+    met = chunks.spans_by_chunk(spans, df, "stream", "seq", "chunk").collect()
+    assert sorted((r["seq"], r["chunk_start"], r["chunk_end"]) for r in met) == [(0, 2, 4), (1, 0, 2)]
+
+
+def test_streams_are_also_cut_where_no_pattern_goes_on(spark):
+    """No white space at all: without such cuts the stream would be one seam."""
+    text = ",".join(f"u{i}@mail.example" for i in range(900))
+    rows = [("s", i, text[i * 100 : (i + 1) * 100]) for i in range(-(-len(text) // 100))]
+    df = spark.createDataFrame(rows, "stream string, seq bigint, chunk string")
+    units = chunks.to_units(df, "stream", "seq", "chunk", "", cell_chars=1000, never=",").orderBy("at").collect()
+    assert "".join(u["text"] for u in units) == text
+    assert max(len(u["text"]) for u in units) < 1100

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.config import ScanConfig, default_config
+from veilframe.functions.crypto import Keyring
 from veilframe.functions.tokens import TOKEN_PATTERN
 from veilframe.operators import detect, redact, terms
 from veilframe.sources import readers, sinks
@@ -12,6 +13,7 @@ from veilframe.streaming import chunks, counters
 
 CFG = default_config()
 CHUNKS = "stream_id string, seq bigint, chunk string, is_last boolean"
+KEYS = Keyring(mac_key=b"m" * 32, enc_key=b"e" * 32)
 
 
 def batches_of(spark, schema, *batches):
@@ -162,3 +164,28 @@ def test_sources_and_sinks(spark, keys):
     for _ in range(2):
         sinks.write_metrics(spark.createDataFrame([("email", 1)], "type string, n int"), metrics_path)
     assert spark.read.parquet(metrics_path).count() == 1
+
+
+def test_event_stream_files_keep_their_lines_in_order(spark, tmp_path):
+    for name, text in (("a", "id: 1\n\ndata: x a@b.com\n: ping\n"), ("b", "data: 123-45-6789\r\ndata: y")):
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
+    got = readers.read_sse_streams(spark, str(tmp_path))
+    done = redact.redact(got.withColumn("scope", F.lit("s")), "data", "scope", CFG, KEYS)
+    lines = sorted(
+        (r["stream_id"][-5:], r["seq"], r["is_data"], r["value"], r["redacted"]) for r in done.collect()
+    )
+    assert [x[:4] for x in lines] == [
+        ("a.txt", 0, False, "id: 1"), ("a.txt", 1, False, ""), ("a.txt", 2, True, "data: x a@b.com"),
+        ("a.txt", 3, False, ": ping"), ("b.txt", 0, True, "data: 123-45-6789"), ("b.txt", 1, True, "data: y"),
+    ]
+    assert lines[2][4].startswith("x __PII_email_") and lines[4][4].startswith("__PII_ssn_")
+    assert lines[0][4] is None
+    assert run(spark, readers.read_sse_streams(spark, str(tmp_path), stream=True)).count() == 6
+
+
+def test_folders_of_a_session_are_released(spark):
+    path = shared_dir(spark, "short-lived")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert spark.sparkContext.applicationId in path
