@@ -199,7 +199,9 @@ def _same_document(a: DataFrame, b: DataFrame):
     return (a["th"] == b["th"]) & a["id"].eqNullSafe(b["id"])
 
 
-def _block_matches(source: DataFrame, block: Block, width: int, slack: int, id_type: str) -> tuple[DataFrame, DataFrame] | None:
+def _block_matches(
+    source: DataFrame, block: Block, width: int, slack: int, id_type: str
+) -> tuple[DataFrame, DataFrame] | None:
     """Exact and proximity matches of one block."""
     spark = source.sparkSession
     hold = spark.sparkContext.broadcast

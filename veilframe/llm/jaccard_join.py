@@ -58,7 +58,8 @@ from veilframe.llm.components import components
 from veilframe.sources.workdir import materialise
 
 HOT = 32
-_FLUSH = 2_000_000  # signatures in hand
+_FLUSH = 1_000_000  # signatures in hand
+_SLICE = 3 << 20  # bytes of text in hand
 _BLOCK = 65_536  # elements of a block of sets
 _SEEDS = 16
 _SPARE_AT = 11  # bits of a code below its spare: bands times seeds stay below 2048
@@ -114,10 +115,6 @@ def digest(elements: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def _seeded(elements: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    return words.mixed(elements ^ salt)
-
-
 def signatures(
     sets: list[np.ndarray], which: np.ndarray, inst: list[Instance], seed: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +131,7 @@ def signatures(
     sizes = np.array([len(sets[w]) for w in which], dtype=np.int64)
     elements = np.concatenate([sets[w] for w in which])
     owner = np.repeat(np.arange(len(which)), sizes)
-    x = _seeded(elements, salt[owner])
+    x = words.mixed(elements ^ salt[owner])
     first = np.concatenate([[0], np.cumsum(n1)])  # first partition of each entry
     part = first[owner] + ((x >> np.uint64(32)).astype(np.int64) % n1[owner])
     cell = part * n2 + (x & np.uint64(0xFFFFFFFF)).astype(np.int64) % n2
@@ -302,7 +299,7 @@ def _task_signatures(scheme: Scheme, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, seen = [], 0, set()
-        for batch in words.slices(batches, "text"):
+        for batch in words.slices(batches, "text", _SLICE):
             sets, refs = [], []
             for s in document_sets(batch.column(0), scheme.shingle):
                 if len(s) and (d := digest(s)) not in seen:

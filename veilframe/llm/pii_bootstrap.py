@@ -299,7 +299,10 @@ def find(
     best = F.struct(F.col("sure"), (-F.col("m.kind")).alias("first"))
     added = (
         scanned.select("row", F.explode("maybe").alias("m"))
-        .join(learnt.filter(F.col("sure") >= certainty), [F.col("m.kind") == learnt["kind"], F.col("m.context") == learnt["context"]])
+        .join(
+            learnt.filter(F.col("sure") >= certainty),
+            [F.col("m.kind") == learnt["kind"], F.col("m.context") == learnt["context"]],
+        )
         .groupBy("row", "m.start", "m.end")
         .agg(F.max(best).alias("best"))
         .groupBy("row")

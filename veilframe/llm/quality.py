@@ -39,8 +39,6 @@ RATES = 6
 WIDTH = 2 * DIM + RATES
 _MARKS = 6  # +1 and -1 in an index vector
 
-_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-
 
 def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """For each row the places of its marks, and their signs."""

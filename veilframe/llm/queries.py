@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontaminate, exact_dedup, jaccard_join, langid, licenses, mixing, pii_bootstrap, quality, sharding, suffix_dedup
+from veilframe.llm import (
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    langid,
+    licenses,
+    mixing,
+    pii_bootstrap,
+    quality,
+    sharding,
+    suffix_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
