@@ -13,6 +13,7 @@ from veilframe.functions.spans import empty, find_all, shift
 from veilframe.functions.tokens import TOKEN_PATTERN, TOKEN_PREFIX, token_verifies
 from veilframe.operators.chat import FORMATS, Formats, json_string, parsed_body, redact_bodies
 from veilframe.operators.redact import REDACTED_SPANS_TYPE, redact_column
+from veilframe.sources.workdir import materialise
 
 
 def has_token(text: Column) -> Column:
@@ -157,6 +158,16 @@ def redact_between_tokens(
     )
 
 
+def _stored(hidden: DataFrame, key: Sequence[str], scope: str, text: str, spans: str) -> DataFrame:
+    """Key, scope, hidden text and spans without values, written once.
+
+    Restoring reads its input twice; no raw value is stored.
+    """
+    kept = F.transform(spans, lambda s: s.dropFields("value")).alias("response_spans")
+    names = dict.fromkeys([*key, scope])
+    return materialise(hidden.select(*names, F.col(text).alias("_hidden"), kept), "screened")
+
+
 def screen_response(
     df: DataFrame,
     text: str,
@@ -170,12 +181,14 @@ def screen_response(
     """Hide values that are new in a response, then restore the request's own.
 
     Tokens made for the response are not in the request-side vault, so what the
-    scan has just hidden stays hidden. Adds ``response_spans`` as well.
+    scan has just hidden stays hidden. Gives key, scope, ``response`` and
+    ``response_spans`` (without values).
     """
     hidden = without_keys(
-        redact_between_tokens(with_keys(df, keys), text, scope, cfg, "_hidden", "response_spans")
+        redact_between_tokens(with_keys(df, keys), text, scope, cfg, "_hidden", "_spans")
     )
-    return rehydrate(hidden, "_hidden", scope, key, vault, keys, out=out).drop("_hidden")
+    stored = _stored(hidden, key, scope, "_hidden", "_spans")
+    return rehydrate(stored, "_hidden", scope, key, vault, keys, out=out).drop("_hidden")
 
 
 def screen_bodies(
@@ -194,8 +207,8 @@ def screen_bodies(
     """``screen_response`` for response bodies: texts are found, scanned and put back
     by their format; tokens of the request's own vault are restored."""
     hidden = redact_bodies(df, cfg, keys, scope, body, provider, "response", only, formats)
-    back = rehydrate(hidden, "redacted_body", scope, key, vault, keys, out=out, json=True)
-    return back.withColumnRenamed("spans", "response_spans").drop("redacted_body")
+    stored = _stored(hidden, key, scope, "redacted_body", "spans")
+    return rehydrate(stored, "_hidden", scope, key, vault, keys, out=out, json=True).drop("_hidden")
 
 
 def expire_scopes(vault: DataFrame, expired: DataFrame) -> DataFrame:

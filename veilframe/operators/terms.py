@@ -69,31 +69,44 @@ def _folded(text: Column) -> Column:
     return F.lower(F.translate(text, _ODD_LETTERS, _PLAIN_LETTERS))
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of 1 to ``_GRAM`` characters of a text, in linear time."""
-    def runs(chars: Column) -> Column:
-        upto = lambda i, n: F.concat_ws("", *[F.get(chars, i + k) for k in range(n)])
-        return F.array_distinct(
-            F.flatten(
-                F.transform(chars, lambda _, i: F.array(*[upto(i, n) for n in range(1, _GRAM + 1)]))
-            )
+def _grams(text: Column, widths: Iterable[int]) -> Column:
+    """The distinct runs of some numbers of characters of a text, in linear time."""
+    def of_width(chars: Column, n: int) -> Column:
+        return F.transform(
+            chars, lambda _, i: F.concat_ws("", *[F.get(chars, i + k) for k in range(n)])
         )
 
+    def runs(chars: Column) -> Column:
+        each = [of_width(chars, n) for n in widths]
+        return F.array_distinct(each[0] if len(each) == 1 else F.concat(*each))
+
     return let(F.split(text, "", -1), runs)
 
 
 def candidate_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """``key, terms``: the terms (column ``term``) whose first characters a text holds.
+    """``key, terms``: the terms (column ``term``) of whose runs of characters a text
+    holds the one that is rarest in the list.
 
     Texts and terms meet by hash of short runs of characters: the distinct ones
-    of the text, without the text, and the first one of the term. Neither side
-    is collected; Spark broadcasts the terms if it finds them small.
+    of the text, without the text, and one of each term, so that a beginning which
+    many terms share brings no crowd. Neither side is collected; Spark broadcasts
+    the terms if it finds them small.
     """
     listed = terms.select(_folded(F.col("term")).alias("term")).filter("term <> ''").distinct()
-    listed = listed.withColumn("gram", F.substring("term", 1, _GRAM))
+    width = F.least(F.length("term"), F.lit(_GRAM))
+    widths = sorted(r[0] for r in listed.select(width).distinct().collect())  # at most _GRAM
+    if not widths:
+        return df.select(key, F.array().cast("array<string>").alias("terms")).limit(0)
+    grams = F.filter(_grams(F.col("term"), widths), lambda g: F.length(g) == width)
+    runs = listed.select("term", F.explode(grams).alias("gram"))
+    often = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    rarest = (
+        runs.join(often, "gram").groupBy("term")
+        .agg(F.min(F.struct("often", "gram"))["gram"].alias("gram"))
+    )
     return (
-        df.select(key, F.explode(_grams(_folded(F.col(text)))).alias("gram"))
-        .join(listed, "gram")
+        df.select(key, F.explode(_grams(_folded(F.col(text)), widths)).alias("gram"))
+        .join(rarest, "gram")
         .groupBy(key).agg(F.collect_set("term").alias("terms"))
     )
 
