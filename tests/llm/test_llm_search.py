@@ -310,6 +310,17 @@ def test_contexts_find_what_patterns_miss(make):
         assert got[i]["base"] == got[i]["spans"] and len(got[i]["base"]) == 2
 
 
+def test_all_backed_contexts_are_used_however_few_a_pass_counts(make):
+    rows = []
+    for c in range(6):  # each context a little better backed than the one before
+        rows += [(100 * c + i, f"so ask{c} for{c} u{c}x{i}@mail{i}.example today") for i in range(5 + c)]
+        rows.append((1000 + c, f"so ask{c} for{c} someone{c}@localhost today"))
+    for patterns in (1, 4, 1000):
+        got = pii_bootstrap.find(make(rows), patterns=patterns).collect()
+        found = {r["doc_id"]: len(r["spans"]) for r in got}
+        assert found == {i: 1 for i, _ in rows}, patterns
+
+
 def test_pii_of_odd_rows(make, odd):
     got = pii_bootstrap.find(make(odd)).collect()
     assert len(got) == len(odd) and all(r["base"] == [] == r["spans"] for r in got)

@@ -10,9 +10,9 @@ identifier-like spans that the base patterns reject (an address without a
 top-level domain, a number without ``+``, a card with a wrong check digit) into
 finds. Base spans always stay.
 
-One pass over the texts yields all spans, and a second one counts how often the
-patterns occur; only hashes of values and contexts are stored, never values. The
-second pass knows at most ``patterns`` patterns a kind, those with the most seeds.
+One pass over the texts yields all spans; further ones count how often the
+patterns occur, about ``patterns`` of them in each, until all that have enough
+seeds are counted. Only hashes of values and contexts are stored, never values.
 
 Defined results: null and empty texts have no spans; null and repeated ids are
 rows of their own; ties between kinds go to the surer pattern, then to the kind
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +192,7 @@ def _task_context_counts(held):
         total = np.zeros(len(chosen), dtype=np.int64)
         for batch in words.slices(batches, "text"):
             found = words.words(batch.column(0), words.BLANKS)
-            if len(found.hashes) < 3:
+            if len(found.hashes) < 3 or not len(chosen):
                 continue
             owner = found.owner()
             keys = _pairs(found.hashes)[:-1][owner[2:] == owner[:-2]]  # a word must follow
@@ -247,24 +248,26 @@ def _learn(
 ) -> DataFrame | None:
     """Scored patterns with at least ``support`` different seeds."""
     seeds = scanned.select(F.explode("seeds").alias("s")).select("s.*")
-    backed = (
+    backed = materialise(
         seeds.groupBy("kind", "context").agg(F.count_distinct("value").alias("backing"))
-        .filter(F.col("backing") >= support)
+        .filter(F.col("backing") >= support),
+        "backed",
     )
-    chosen = [
-        r["context"]
-        for kind in range(len(KINDS))
-        for r in backed.filter(F.col("kind") == kind)
-        .orderBy(F.desc("backing"), "context").limit(patterns).select("context").collect()
-    ]
-    if not chosen:
+    contexts = backed.select("context").distinct()
+    count = -(-contexts.count() // patterns)
+    if not count:
         return None
-    held = source.sparkSession.sparkContext.broadcast(np.unique(np.array(chosen, dtype=np.int64)))
-    totals = materialise(
-        source.select("text").mapInArrow(_task_context_counts(held), "context long, n long")
-        .groupBy("context").agg(F.sum("n").alias("n")),
-        "contexts",
-    )
+    counted = []
+    for nth in range(count):  # what goes to every task has a bound
+        chosen = contexts.filter(F.pmod("context", F.lit(count)) == nth).toArrow()
+        held = source.sparkSession.sparkContext.broadcast(np.sort(chosen["context"].to_numpy()))
+        counted.append(materialise(
+            source.select("text").mapInArrow(_task_context_counts(held), "context long, n long")
+            .groupBy("context").agg(F.sum("n").alias("n")),
+            "contexts",
+        ))
+        held.unpersist()
+    totals = reduce(DataFrame.unionByName, counted)
     maybe = scanned.select(F.explode("maybe").alias("m")).select("m.kind", "m.context", "m.value")
     sure = score_patterns(seeds, maybe, totals, rounds, smoothing)
     return sure.join(backed.select("kind", "context"), ["kind", "context"])
@@ -276,7 +279,7 @@ def find(
     text_col: str = "text",
     support: int = 5,
     certainty: float = 0.6,
-    patterns: int = 10_000,
+    patterns: int = 1_000_000,
     rounds: int = 3,
     smoothing: float = 2.0,
 ) -> DataFrame:
@@ -284,6 +287,7 @@ def find(
 
     ``base`` holds what the base patterns find, ``spans`` also what contexts add;
     both by start, then kind. Offsets count code points, ends are exclusive.
+    ``patterns`` bounds the contexts counted in one pass, not those used.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
