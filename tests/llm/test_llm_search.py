@@ -321,6 +321,18 @@ def test_all_backed_contexts_are_used_however_few_a_pass_counts(make):
         assert found == {i: 1 for i, _ in rows}, patterns
 
 
+def test_short_addresses_and_far_words_have_candidates():
+    text = "host 256.1.2.3, 1.2.3.999 or 300.1.1.1. not 1.2.3 nor 256.1.2.3.4 x256.1.2.3"
+    found = pii_bootstrap.candidates(text, pii_bootstrap.base_spans(text))
+    assert [text[a:b] for a, b, kinds in found if pii_bootstrap.IP in kinds] == [
+        "256.1.2.3", "1.2.3.999", "300.1.1.1"
+    ]
+    far = "no " + "x" * 900 + " at" + " " * 300 + "(" * 500 + "256.1.2.3,1.2.3.999"
+    starts = [far.index("256"), far.index("1.2.3.999")]
+    assert pii_bootstrap.words_before(far, starts) == ["x" * 900 + " at"] * 2
+    assert pii_bootstrap.words_before("a " + "b" * 300 + "@c", [2, 202]) == [None, None]
+
+
 def test_pii_of_odd_rows(make, odd):
     got = pii_bootstrap.find(make(odd)).collect()
     assert len(got) == len(odd) and all(r["base"] == [] == r["spans"] for r in got)

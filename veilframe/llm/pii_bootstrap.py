@@ -46,8 +46,10 @@ _DIGIT = re.compile(r"[0-9]")
 # what else looks like an identifier
 _HANDLE = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9][A-Za-z0-9.-]*")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,}(?![0-9A-Za-z])")
+_ADDRESS = re.compile(r"(?<![0-9A-Za-z])(?<![0-9]\.)[0-9]++(?:\.[0-9]++){3}(?![0-9A-Za-z])(?!\.[0-9])")
+_WORD = re.compile(r"[^ \t-\r]+")
 _BEFORE = re.compile(r"([^ \t-\r]+)[ \t-\r]+([^ \t-\r]+)[ \t-\r]+[^ \t-\r]*\Z")
-_REACH = 200  # characters in which the two words before a span must lie
+_REACH = 200  # characters that are tried before the words of the whole text
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -104,11 +106,10 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, tuple[int, .
     found = []
     if "@" in text or "(at)" in text or "[at]" in text:
         found += [(m.start(), m.end(), (EMAIL,)) for m in _HANDLE.finditer(text)]
+    found += [(m.start(), m.end(), (IP,)) for m in _ADDRESS.finditer(text)]
     for m in _NUMBER.finditer(text):
         n = len(_digits(m[0]))
         kinds = []
-        if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", m[0]):
-            kinds.append(IP)
         if 14 <= n <= 19:
             kinds.append(CARD)
         if n <= 15:
@@ -118,13 +119,25 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, tuple[int, .
     return [c for c in found if all(c[1] <= s or e <= c[0] for s, _, e in base)]
 
 
-def words_before(text: str, start: int) -> str | None:
-    """The two whole words before the word in which a span starts."""
-    lo = max(0, start - _REACH)
-    m = _BEFORE.search(text[lo:start])
-    if not m or (m.start() == 0 and lo > 0):
-        return None
-    return f"{m[1]} {m[2]}"
+def words_before(text: str, starts: list[int]) -> list[str | None]:
+    """The two whole words before the word in which each span starts."""
+    out, places, known = [], None, {}
+    for start in starts:
+        lo = max(0, start - _REACH)
+        m = _BEFORE.search(text[lo:start])
+        if m and (m.start() > 0 or lo == 0):
+            out.append(f"{m[1]} {m[2]}")
+        elif lo == 0:
+            out.append(None)
+        else:  # words that reach further back
+            if places is None:
+                places = np.fromiter((w.start() for w in _WORD.finditer(text)), np.int64)
+            at = int(np.searchsorted(places, start, side="right")) - 1
+            if at not in known:
+                two = [_WORD.match(text, places[i])[0] for i in (at - 2, at - 1)] if at >= 2 else None
+                known[at] = two and " ".join(two)
+            out.append(known[at])
+    return out
 
 
 def _pairs(hashes: np.ndarray) -> np.ndarray:
@@ -133,12 +146,12 @@ def _pairs(hashes: np.ndarray) -> np.ndarray:
 
 
 def context_keys(contexts: list[str | None]) -> list[int | None]:
-    known = [c for c in contexts if c]
+    known = list(dict.fromkeys(c for c in contexts if c))
     if not known:
         return [None] * len(contexts)
     found = words.words(pa.array(known), words.BLANKS)
-    keys = iter(_pairs(found.hashes)[::2].tolist())  # two words each
-    return [next(keys) if c else None for c in contexts]
+    keys = dict(zip(known, _pairs(found.hashes)[::2].tolist(), strict=True))  # two words each
+    return [keys[c] if c else None for c in contexts]
 
 
 def _value_key(value: str) -> int:
@@ -167,7 +180,7 @@ def _task_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             more = candidates(text, base)
             spans.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
-            keys = context_keys([words_before(text, s[0]) for s in [*base, *more]])
+            keys = context_keys(words_before(text, [s[0] for s in [*base, *more]]))
             seeds.append([
                 {"kind": k, "context": c, "value": _value_key(text[a:b])}
                 for (a, k, b), c in zip(base, keys, strict=False) if c is not None
