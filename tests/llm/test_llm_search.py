@@ -369,6 +369,26 @@ def test_license_blocks(make, odd):
     assert licenses.scan(make([])).count() == 0
 
 
+def test_every_notice_of_a_run_has_a_row(make):
+    names = sorted(licenses.TEMPLATES)
+    lines = [licenses.TEMPLATES[n] for n in names]
+    rows = [
+        (1, "Released under the MIT License. Licensed under CC BY 4.0."),
+        (2, "Released under the MIT License and licensed under CC BY 4.0."),
+        (3, "\n".join(lines)),
+        (4, "\n".join(f"Copyright 2020 author {i}.\n" + " ".join(lines) for i in range(40))),
+    ]
+    got = {i: [] for i, _ in rows}
+    for r in licenses.scan(make(rows)).orderBy("start").collect():
+        got[r["doc_id"]].append(r)
+    assert [(r["license"], r["missing"], r["extra"]) for r in got[1]] == [("MIT", "", ""), ("CC-BY-4.0", "", "")]
+    assert [(r["license"], r["missing"], r["extra"]) for r in got[2]] == [("MIT", "", "and"), ("CC-BY-4.0", "", "")]
+    assert [(r["license"], r["missing"], r["extra"]) for r in got[3]] == [(n, "", "") for n in names]
+    assert [r["license"] for r in got[4]] == [None, *names] * 40
+    text = dict(rows)[4]
+    assert all(text[r["start"] : r["end"]] in lines for r in got[4] if r["license"])
+
+
 def test_digest_of_nothing_is_that_of_an_empty_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
     assert len(PROSE.split()) == 120

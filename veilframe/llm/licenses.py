@@ -1,19 +1,24 @@
 """License notices by conditional compression.
 
-Sentences and lines that hold a cue word form candidate blocks. A block is
-compressed by itself and once with each template as a zstandard raw dictionary;
-the template that saves the largest part of the block's size ranks first. Word by
-word comparison then confirms the winner: the template's words that are missing
-from the block and the words that the block has besides say how it differs, and
-a notice is confirmed if at least ``share`` of the template's words are there in
-order and no other template of the family has fewer differences.
+Sentences and lines that hold a cue word are candidates. In neighbouring ones every
+template is aligned: a place is kept if at least ``share`` of the template's words
+are there in order, each word that is put in costing an eighth of one that is missing. A place is compressed by
+itself and once with each template as a zstandard raw dictionary; a template that
+saves nearly as much of its size as the best one is confirmed there, the one that
+explains most words first. Its words are taken out and the rest is judged again,
+until nothing is confirmed: one row per notice, with the rest of the sentences or
+lines that it lies in, up to the next notice.
+
+Neighbouring sentences with a cue in which no notice lies form a block, which is
+judged as a whole. The missing words of a template and the words besides say how
+a row differs from it.
 
 Everything happens per row; Spark reads, filters by cue and spreads the rows.
 
-Defined results: null and empty texts have no blocks; repeated rows each yield
-theirs; equal savings go to the template with fewer differences and then to the
-first by name; a block that no template explains has a null license; an empty
-table gives an empty table; other columns are not read.
+Defined results: null and empty texts have no rows; repeated rows each yield
+theirs; of templates that explain equally many words the one with fewer words put
+in wins and then the first by name; a block that no template explains has a null
+license; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import re
 from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -65,24 +71,22 @@ CUE = (
     r"redistribution and use|warranty|CC[ -]BY|CC0|SPDX|\(c\) ?[0-9]{4}|©"
 )
 _CUE = re.compile(CUE)
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
+# "v. 2.0" does not end a sentence
+_SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)(?!(?<=\b[vV]\.)\s[0-9])|(?=\n)|\Z)")
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-_LONGEST = 4000  # characters of a block; a longer run of cues becomes several blocks
+_LONGEST = 4000  # characters of a block without a notice; a longer run becomes several
+_GAP = 8  # words put in that count as much as a missing one
+_PART = 4096  # words that are aligned at once
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Runs of neighbouring sentences or lines with a cue."""
-    out: list[list[int]] = []
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Sentences, or lines of them, that are not blank."""
+    out = []
     for m in _SENTENCE.finditer(text):
-        if not _CUE.search(m[0]):
-            continue
         lead = len(m[0]) - len(m[0].lstrip())
-        start, end = m.start() + lead, m.end()
-        if out and not text[out[-1][1] : start].strip() and end - out[-1][0] <= _LONGEST:
-            out[-1][1] = end
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
+        if lead < len(m[0]):
+            out.append((m.start() + lead, m.end()))
+    return out
 
 
 class Scanner:
@@ -91,6 +95,9 @@ class Scanner:
     def __init__(self, templates: Mapping[str, str], level: int = 3):
         self.names = sorted(templates)
         self.words = {n: _WORD.findall(templates[n].lower()) for n in self.names}
+        self.numbers = {w: i for i, w in enumerate(sorted({w for t in self.words.values() for w in t}))}
+        self.coded = {n: [self.numbers[w] for w in t] for n, t in self.words.items()}
+        self.longest = (_GAP + 1) * max(map(len, self.coded.values()))  # words of any alignment
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.given = {
             n: zstandard.ZstdCompressor(
@@ -139,6 +146,113 @@ class Scanner:
             "missing": " ".join(missing), "extra": " ".join(extra),
         }
 
+    def explain(self, block: str, name: str) -> dict:
+        """How a block differs from the license that is confirmed in it."""
+        size, ranked = self.savings(block)
+        missing, extra = self.differences(block, name)
+        return {
+            "license": name, "size": size, "saved": dict((n, s) for s, n in ranked)[name],
+            "missing": " ".join(missing), "extra": " ".join(extra),
+        }
+
+    def alignments(self, codes: np.ndarray, name: str, share: float) -> list[tuple[int, int, int]]:
+        """(start, end, missing words) of places, clear of each other, with enough of a template."""
+        ours, n = self.coded[name], len(codes)
+        # cost above, how far the start lies from the end of the text below: of equal costs the nearest
+        step = np.arange(n + 1) << 32
+        best = n - np.arange(n + 1)
+        for word in ours:
+            new = best + (_GAP << 32)
+            hit = np.flatnonzero(codes == word)
+            new[hit + 1] = np.minimum(new[hit + 1], best[hit])
+            best = np.minimum.accumulate(new - step) + step
+        cost, start = best >> 32, n - (best & 0xFFFFFFFF)
+        matched = (_GAP * len(ours) + np.arange(n + 1) - start - cost) // (_GAP + 1)
+        ends = np.flatnonzero((len(ours) - matched <= (1 - share) * len(ours)) & (matched > 0))
+        out, used = [], np.zeros(n, dtype=bool)
+        for end in ends[np.argsort(cost[ends], kind="stable")]:
+            if not used[start[end] : end].any():
+                used[start[end] : end] = True
+                out.append((int(start[end]), int(end), len(ours) - int(matched[end])))
+        return out
+
+    def _winners(self, text, word, lo, hi, runs, share: float, close: float) -> list[tuple[int, int, str]]:
+        """(first word, word after the last, license) of notices in a stretch of words, in order."""
+        found = set()
+        for at in range(lo, hi, _PART):
+            codes = word[at : min(hi, at + _PART + self.longest), 2]
+            present = set(codes.tolist())
+            for name in self.names:
+                ours = self.coded[name]
+                if sum(w in present for w in ours) < share * len(ours):
+                    continue
+                for a, b, missing in self.alignments(codes, name, share):
+                    a, b = at + a, at + b
+                    extra = b - a - (len(ours) - missing)
+                    if extra <= len(ours) or runs[a] == runs[b - 1] >= 0:
+                        found.add((2 * missing - len(ours), extra, name, a, b))
+        out, used = [], np.zeros(hi - lo, dtype=bool)
+        for _, _, name, a, b in sorted(found):
+            if used[a - lo : b - lo].any():
+                continue
+            _, ranked = self.savings(text[word[a, 0] : word[b - 1, 1]])
+            saved = dict((n, s) for s, n in ranked)[name]
+            if saved > 0 and saved >= ranked[0][0] - close:
+                used[a - lo : b - lo] = True
+                out.append((a, b, name))
+        return sorted(out)
+
+    def notices(self, text: str, share: float, close: float) -> list[tuple[int, int, str | None]]:
+        """(start, end, license) of all notices, and blocks with a cue but no notice."""
+        cues = [m.span() for m in _CUE.finditer(text)]
+        if not cues:
+            return []
+        starts, ends = np.array(sentences(text)).T
+        cued = np.zeros(len(starts), dtype=bool)
+        for a, b in cues:
+            cued[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b)] = True
+        word = np.fromiter(
+            (x for m in _WORD.finditer(text)
+             for x in (m.start(), m.end(), self.numbers.get(m[0].lower(), -1))),
+            np.int64,
+        ).reshape(-1, 3)
+        # neighbouring sentences with a cue have one number, others -1
+        owner = np.searchsorted(starts, word[:, 0], side="right") - 1
+        runs = np.where(cued, np.cumsum(~cued), -1)[owner]
+        todo: list[list[int]] = []
+        for a, b in zip(np.searchsorted(word[:, 0], starts[cued]), np.searchsorted(word[:, 0], ends[cued]), strict=True):
+            a, b = int(a), int(b)
+            if todo and a <= todo[-1][1]:
+                todo[-1][1] = b
+            else:
+                todo.append([a, b])
+        won = []
+        while todo:
+            lo, hi = todo.pop()
+            new = self._winners(text, word, lo, hi, runs, share, close)
+            won += new
+            edges = [lo, *[x for a, b, _ in new for x in (a, b)], hi]
+            todo += [[a, b] for a, b in zip(edges[::2], edges[1::2], strict=True) if new and a < b]
+        won.sort()
+        out, done = [], 0
+        for i, (a, b, name) in enumerate(won):
+            left, right = owner[a], owner[b - 1]
+            start = int(starts[left]) if starts[left] >= done else int(word[a, 0])
+            end = int(ends[right])
+            if i + 1 < len(won):
+                end = min(end, int(word[won[i + 1][0], 0]))
+            done = start + len(text[start:end].rstrip())
+            cued[left : right + 1] = False
+            out.append((start, done, name))
+        last = -2
+        for i in np.flatnonzero(cued).tolist():
+            if i == last + 1 and ends[i] - out[-1][0] <= _LONGEST:
+                out[-1] = (out[-1][0], int(ends[i]), None)
+            else:
+                out.append((int(starts[i]), int(ends[i]), None))
+            last = i
+        return sorted(out, key=lambda x: x[:2])
+
 
 _FOUND = (
     "start long, end long, license string, size long, saved double, missing string, extra string"
@@ -146,21 +260,24 @@ _FOUND = (
 
 
 def _task_scan(templates: Mapping[str, str], share: float, close: float):
-    """(text, id) -> one row per block."""
+    """(text, id) -> one row per notice or block without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, known = Scanner(templates), {}
         for batch in words.slices(batches, "text"):
             rows, found = [], []
             for i, text in enumerate(batch.column(0).to_pylist()):
-                for a, b in blocks(text):
+                for a, b, name in scanner.notices(text, share, close):
                     block = text[a:b]
-                    if block not in known:
+                    if (block, name) not in known:
                         if len(known) >= 10_000:
                             known.clear()
-                        known[block] = scanner.judge(block, share, close)
+                        known[block, name] = (
+                            scanner.explain(block, name) if name
+                            else scanner.judge(block, share, close)
+                        )
                     rows.append(i)
-                    found.append({"start": a, "end": b} | known[block])
+                    found.append({"start": a, "end": b} | known[block, name])
             kinds = {
                 "start": pa.int64(), "end": pa.int64(), "license": pa.string(), "size": pa.int64(),
                 "saved": pa.float64(), "missing": pa.string(), "extra": pa.string(),
@@ -182,7 +299,7 @@ def scan(
     share: float = 0.75,
     close: float = 0.25,
 ) -> DataFrame:
-    """One row per candidate block: id, start, end (code points), license (null if
+    """One row per notice, and per block with a cue but no notice: id, start, end (code points), license (null if
     no template explains it), size, saved (share of the compressed size), and the
     missing and extra words."""
     kind = docs.schema[id_col].dataType.simpleString()
