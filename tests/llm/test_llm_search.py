@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from itertools import combinations
 
 import pytest
@@ -389,6 +390,25 @@ def test_every_notice_of_a_run_has_a_row(make):
     assert all(text[r["start"] : r["end"]] in lines for r in got[4] if r["license"])
 
 
+def test_wrapped_and_commented_notices(make):
+    rows, want = [], {}
+    for sign in ("", " * ", "# ", "// ", "-- ", "dnl "):
+        for width in (20, 60, 70, 80):
+            for name, text in licenses.TEMPLATES.items():
+                wrapped = textwrap.wrap(
+                    f"This file is a part of the frob toolkit, see there. {text}", width,
+                    break_long_words=False, break_on_hyphens=False,
+                )
+                full = "\n".join(sign + line for line in ["All about frobs.", "", *wrapped, "", "Frobs follow."])
+                want[len(rows)] = name
+                rows.append((len(rows), full))
+    got = {i: [] for i in want}
+    for r in licenses.scan(make(rows)).collect():
+        got[r["doc_id"]].append((r["license"], r["missing"]))
+    for i, name in want.items():
+        assert got[i] == [(name, "")], rows[i][1]
+
+
 def test_digest_of_nothing_is_that_of_an_empty_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
     assert len(PROSE.split()) == 120

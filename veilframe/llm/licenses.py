@@ -1,13 +1,15 @@
 """License notices by conditional compression.
 
-Sentences and lines that hold a cue word are candidates. In neighbouring ones every
-template is aligned: a place is kept if at least ``share`` of the template's words
-are there in order, each word that is put in costing an eighth of one that is missing. A place is compressed by
+Sentences and lines that hold a cue word are candidates. In the words within reach
+of them, over line ends and comment signs, every template is aligned: a place is
+kept if at least ``share`` of the template's words are there in order, each word
+that is put in costing an eighth of one that is missing. A place is compressed by
 itself and once with each template as a zstandard raw dictionary; a template that
 saves nearly as much of its size as the best one is confirmed there, the one that
 explains most words first. Its words are taken out and the rest is judged again,
 until nothing is confirmed: one row per notice, with the rest of the sentences or
-lines that it lies in, up to the next notice.
+lines that it lies in, up to the next notice. A notice that leaves the neighbouring
+sentences with a cue may have as many words put in as its template has.
 
 Neighbouring sentences with a cue in which no notice lies form a block, which is
 judged as a whole. The missing words of a template and the words besides say how
@@ -66,13 +68,20 @@ TEMPLATES: Mapping[str, str] = {
     "All rights reserved": "All rights reserved.",
 }
 
+# words of a cue may lie on two lines
+_BETWEEN = r"[ \t\r\n#*/;%!>|-]++(?:(?:dnl|rem)[ \t]++)?"
 CUE = (
-    r"(?i)licen[sc]e|copyright|copyleft|public domain|rights reserved|permission is hereby|"
-    r"redistribution and use|warranty|CC[ -]BY|CC0|SPDX|\(c\) ?[0-9]{4}|©"
+    rf"(?i)licen[sc]e|copyright|copyleft|public{_BETWEEN}domain|rights{_BETWEEN}reserved|"
+    rf"permission{_BETWEEN}is{_BETWEEN}hereby|redistribution{_BETWEEN}and{_BETWEEN}use|"
+    r"warranty|CC[ -]BY|CC0|SPDX|\(c\) ?[0-9]{4}|©"
 )
 _CUE = re.compile(CUE)
 # "v. 2.0" does not end a sentence
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)(?!(?<=\b[vV]\.)\s[0-9])|(?=\n)|\Z)")
+# a line end and the comment signs of the next line
+_WRAP = re.compile(
+    r"(?<![ \t])[ \t]*\r?\n[ \t]*(?:(?:[#*;%!>|]+|//+|--+|/\*+|<!--|dnl\b|(?i:rem)\b)[ \t]*)*"
+)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _LONGEST = 4000  # characters of a block without a notice; a longer run becomes several
 _GAP = 8  # words put in that count as much as a missing one
@@ -195,7 +204,7 @@ class Scanner:
         for _, _, name, a, b in sorted(found):
             if used[a - lo : b - lo].any():
                 continue
-            _, ranked = self.savings(text[word[a, 0] : word[b - 1, 1]])
+            _, ranked = self.savings(_WRAP.sub(" ", text[word[a, 0] : word[b - 1, 1]]))
             saved = dict((n, s) for s, n in ranked)[name]
             if saved > 0 and saved >= ranked[0][0] - close:
                 used[a - lo : b - lo] = True
@@ -221,7 +230,7 @@ class Scanner:
         runs = np.where(cued, np.cumsum(~cued), -1)[owner]
         todo: list[list[int]] = []
         for a, b in zip(np.searchsorted(word[:, 0], starts[cued]), np.searchsorted(word[:, 0], ends[cued]), strict=True):
-            a, b = int(a), int(b)
+            a, b = max(0, int(a) - self.longest), min(len(word), int(b) + self.longest)
             if todo and a <= todo[-1][1]:
                 todo[-1][1] = b
             else:
@@ -273,7 +282,7 @@ def _task_scan(templates: Mapping[str, str], share: float, close: float):
                         if len(known) >= 10_000:
                             known.clear()
                         known[block, name] = (
-                            scanner.explain(block, name) if name
+                            scanner.explain(_WRAP.sub(" ", block), name) if name
                             else scanner.judge(block, share, close)
                         )
                     rows.append(i)
