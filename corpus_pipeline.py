@@ -48,7 +48,10 @@ def _id_key() -> Column:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the model learns from their own labels."""
+    """Documents with a language; the model learns from their own labels.
+
+    Only ``und`` goes: the texts without a letter, if any label can be learnt.
+    """
     plain = _neutral(docs)
     model = langid.train(plain, fold(F.col("doc_id"), 3) != 1)
     told = langid.identify(plain, model, keep=plain.columns, names=("__lang", "__score", "__unsure"))
