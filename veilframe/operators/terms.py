@@ -83,9 +83,15 @@ def _grams(text: Column, widths: Iterable[int]) -> Column:
     return let(F.split(text, "", -1), runs)
 
 
+def _digest(key: str, text: str) -> Column:
+    """What tells rows without a key apart."""
+    return F.when(F.col(key).isNull(), F.xxhash64(text))
+
+
 def candidate_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """``key, terms``: the terms (column ``term``) of whose runs of characters a text
-    holds the one that is rarest in the list.
+    """``key, _digest, terms``: the terms (column ``term``) of whose runs of characters a
+    text holds the one that is rarest in the list. Rows without a key have a digest of
+    their text instead.
 
     Texts and terms meet by hash of short runs of characters: the distinct ones
     of the text, without the text, and one of each term, so that a beginning which
@@ -96,7 +102,9 @@ def candidate_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> Dat
     width = F.least(F.length("term"), F.lit(_GRAM))
     widths = sorted(r[0] for r in listed.select(width).distinct().collect())  # at most _GRAM
     if not widths:
-        return df.select(key, F.array().cast("array<string>").alias("terms")).limit(0)
+        return df.select(
+            key, _digest(key, text).alias("_digest"), F.array().cast("array<string>").alias("terms")
+        ).limit(0)
     grams = F.filter(_grams(F.col("term"), widths), lambda g: F.length(g) == width)
     runs = listed.select("term", F.explode(grams).alias("gram"))
     often = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
@@ -105,9 +113,13 @@ def candidate_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> Dat
         .agg(F.min(F.struct("often", "gram"))["gram"].alias("gram"))
     )
     return (
-        df.select(key, F.explode(_grams(_folded(F.col(text)), widths)).alias("gram"))
+        df.select(
+            F.col(key).alias("key"), _digest(key, text).alias("_digest"),
+            F.explode(_grams(_folded(F.col(text)), widths)).alias("gram"),
+        )
         .join(rarest, "gram")
-        .groupBy(key).agg(F.collect_set("term").alias("terms"))
+        .groupBy("key", "_digest").agg(F.collect_set("term").alias("terms"))
+        .withColumnRenamed("key", key)
     )
 
 
@@ -122,8 +134,11 @@ def term_spans(df: DataFrame, key: str, text: str, terms: DataFrame, out: str =
     Each text is searched only for terms it holds, the longest first. It is
     shuffled once, by key.
     """
-    near = candidate_terms(df, key, text, terms).select(F.col(key).alias("_key"), "terms")
-    rows = df.join(near, F.col(key) == F.col("_key"), "left")
+    near = candidate_terms(df, key, text, terms).select(
+        F.col(key).alias("_key"), "_digest", "terms"
+    )
+    same = F.col(key).eqNullSafe(F.col("_key")) & _digest(key, text).eqNullSafe(F.col("_digest"))
+    rows = df.join(near, same, "left")
     folded, plain = _folded(F.col(text)), unmarked(F.col(text))
     held = let(
         folded,
@@ -143,7 +158,7 @@ def term_spans(df: DataFrame, key: str, text: str, terms: DataFrame, out: str =
         ),
     )
     spans = F.coalesce(own_values(F.col(text), place(found)), empty())
-    return rows.withColumn(out, spans).drop("_key", "terms")
+    return rows.withColumn(out, spans).drop("_key", "_digest", "terms")
 
 
 def scan_with_terms(
