@@ -7,6 +7,7 @@ from veilframe.config import ScanConfig, default_config
 from veilframe.functions.crypto import Keyring
 from veilframe.functions.tokens import TOKEN_PATTERN
 from veilframe.operators import detect, redact, terms
+from veilframe.plans import queries as plans
 from veilframe.sources import readers, sinks
 from veilframe.sources.workdir import shared_dir
 from veilframe.streaming import chunks, counters
@@ -189,3 +190,19 @@ def test_folders_of_a_session_are_released(spark):
     assert spark.read.parquet(path).count() == 3
     assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
     assert spark.sparkContext.applicationId in path
+
+
+def test_batches_arrive_in_as_many_files_as_their_rows_need(spark, monkeypatch):
+    texts = spark.createDataFrame(
+        [(f"s{i}", f"word{i} " * (20 + i)) for i in range(30)], "scope string, text string"
+    )
+    got = {}
+    for rows in (5, 1_000_000):
+        monkeypatch.setattr(plans, "ROWS_PER_FILE", rows, raising=False)
+        stream = plans._arriving(spark, texts, "scope", "text")
+        chunk_rows = stream.select("stream_id", "seq", F.input_file_name().alias("file"))
+        files = plans._to_table(spark, chunk_rows, "files").select("file").distinct().count()
+        windows = plans._to_table(spark, chunks.overlap_windows(stream), "windows")
+        got[rows] = files, sorted(map(tuple, windows.collect()), key=str)
+    assert got[1_000_000][0] == plans.MICRO_BATCHES < got[5][0]
+    assert got[5][1] == got[1_000_000][1]

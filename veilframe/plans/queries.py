@@ -900,6 +900,7 @@ def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MICRO_BATCHES = 4
+ROWS_PER_FILE = 100_000  # chunks on average; a stream's chunks of a batch are in one file
 
 
 def _arriving(spark: SparkSession, texts: DataFrame, stream: str, text: str) -> DataFrame:
@@ -913,11 +914,12 @@ def _arriving(spark: SparkSession, texts: DataFrame, stream: str, text: str) ->
         rows.withColumn("batch", F.floor(F.col("seq") * MICRO_BATCHES / (last + 1))), "arriving"
     )
     path = shared_dir(spark, "chunk-stream")
-    for batch in range(MICRO_BATCHES):  # one file each, in order of time
-        part = dealt.filter(F.col("batch") == batch).drop("batch").coalesce(1)
+    files = max(1, -(-dealt.count() // (MICRO_BATCHES * ROWS_PER_FILE)))
+    for batch in range(MICRO_BATCHES):  # in order of time
+        part = dealt.filter(F.col("batch") == batch).drop("batch").repartition(files, "stream_id")
         part.write.mode("append").parquet(path)
     return (
-        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
     )
 
 
