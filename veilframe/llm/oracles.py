@@ -179,6 +179,93 @@ FROM placed
 """
 
 
+#: The table of CRC-32, and the checksum of an ASCII string by it.
+_CRC_TABLE = """list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
+    lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+
+def crc32_sql(text: str, table: str) -> str:
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''),"
+        f" lambda c: ascii(c)::BIGINT)),"
+        f" lambda a, b: xor(a >> 8, {table}[(xor(a, b) & 255) + 1])), 4294967295)"
+    )
+
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+REPAIR = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS tab),
+k AS (
+  SELECT conv_id, coalesce('i' || conv_id, 'n') AS ck, turn, coalesce(role, ' ') AS role,
+         coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(cast(conv_id AS VARCHAR), ' ') || ':' || coalesce(cast(turn AS VARCHAR), ' ')", "tab")}
+           % 20 AS kind FROM conversations, crc),
+dm AS (
+  SELECT ck, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+  FROM k WHERE kind <> 0),
+dg AS (SELECT *, sha256(len(role) || ':' || role || text) AS digest, rtrim(text, {_BLANKS}) AS tail,
+              left(role, 1) AS ini FROM dm),
+po AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY turn NULLS FIRST, digest) - 1 AS pos,
+              count(*) OVER (PARTITION BY ck) AS n FROM dg),
+fa AS (SELECT *, CASE WHEN tail = '' THEN 'b'
+                      WHEN row_number() OVER (PARTITION BY ck, digest ORDER BY pos) > 1 THEN 'd'
+                      WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+              lag(ini) OVER (PARTITION BY ck ORDER BY pos) AS was FROM po),
+st AS (  -- what it costs to keep a row, or to re-role it, as s, u, a
+  SELECT *, CASE WHEN fault IN ('b', 'd') THEN 1000000000 WHEN fault = 't' THEN 5 ELSE 0 END AS base,
+         (CASE WHEN ini = 's' THEN 0 ELSE 1000000000 END)::BIGINT AS s0,
+         (CASE WHEN ini = 'u' THEN 0 ELSE 1 END)::BIGINT AS u0,
+         (CASE WHEN ini = 'a' THEN 0 ELSE 1 END)::BIGINT AS a0 FROM fa),
+b(ck, pos, f0, f1, f2, f3) AS (  -- least cost to the end: nothing, s, u, a came last
+  SELECT DISTINCT ck, n, 0::BIGINT, 10::BIGINT, 5::BIGINT, 0::BIGINT FROM st
+  UNION ALL
+  SELECT ck, pos, least(h0, h2 + 5, h3 + 10), least(h1, h2 + 5, h3 + 10), least(h2, h3 + 5), least(h3, h2 + 5)
+  FROM (SELECT st.ck, st.pos, least(2 + f0, base + s0 + f1, base + u0 + f2) AS h0,
+               least(2 + f1, base + u0 + f2) AS h1, least(2 + f2, base + a0 + f3) AS h2,
+               least(2 + f3, base + u0 + f2) AS h3
+        FROM b JOIN st ON st.ck = b.ck AND st.pos = b.pos - 1)),
+fv AS (SELECT ck, pos, [f0, f1, f2, f3] AS f FROM b),
+m AS (  -- per row and state the ASCII-least edit of least cost
+  SELECT x.ck, x.pos, q, nx,
+         CASE WHEN x.n = x.pos THEN CASE WHEN x.f[q + 1] = 0 THEN '' ELSE 'I' END
+              WHEN 2 + y.f[q + 1] = x.f[q + 1] THEN 'D'
+              WHEN 5 + x.f[nx + 1] = x.f[q + 1] THEN 'I'
+              WHEN q = 0 AND ini = 's' AND base + y.f[2] = x.f[q + 1] THEN 'S'
+              WHEN ini = CASE nx WHEN 2 THEN 'u' ELSE 'a' END AND base + y.f[nx + 1] = x.f[q + 1] THEN 'K'
+              ELSE 'R' END AS edit, role, text
+  FROM (SELECT fv.ck, fv.pos, fv.f, t.n, q, CASE q WHEN 2 THEN 3 ELSE 2 END AS nx
+        FROM fv JOIN (SELECT DISTINCT ck, n FROM st) t USING (ck), range(4) r(q)) x
+  LEFT JOIN fv y ON y.ck = x.ck AND y.pos = x.pos + 1
+  LEFT JOIN st ON st.ck = x.ck AND st.pos = x.pos),
+w(ck, step, pos, q, audit, lines) AS (
+  SELECT DISTINCT ck, 0, 0::BIGINT, 0::BIGINT, '', []::VARCHAR[] FROM st
+  UNION ALL
+  SELECT w.ck, step + 1, CASE edit WHEN 'I' THEN w.pos ELSE w.pos + 1 END,
+         CASE edit WHEN 'D' THEN w.q WHEN 'S' THEN 1 ELSE nx END,
+         audit || CASE edit WHEN 'S' THEN 'K' ELSE edit END,
+         CASE edit WHEN 'D' THEN lines
+                   WHEN 'I' THEN list_append(lines, CASE nx WHEN 2 THEN 'user:' ELSE 'assistant:' END)
+                   WHEN 'R' THEN list_append(lines, CASE nx WHEN 2 THEN 'user:' ELSE 'assistant:' END || text)
+                   ELSE list_append(lines, role || ':' || text) END
+  FROM w JOIN m ON m.ck = w.ck AND m.pos = w.pos AND m.q = w.q WHERE edit <> ''),
+e AS (SELECT ck, arg_max(audit, step) AS audit, arg_max(lines, step) AS lines FROM w GROUP BY ck),
+c AS (SELECT ck, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+             count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (pos > 0 AND was || ini NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM st GROUP BY ck)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(fv.f[1], 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, ck FROM k) o LEFT JOIN c USING (ck) LEFT JOIN e USING (ck)
+LEFT JOIN fv ON fv.ck = o.ck AND fv.pos = 0
+"""
+
+
 def oracle_queries() -> dict[str, str]:
     return {
         "op1_mixing": MIXING,
@@ -186,4 +273,5 @@ def oracle_queries() -> dict[str, str]:
         "op6_suffix_dedup": SUFFIX_DEDUP,
         "op7_decontamination": DECONTAMINATION,
         "op10_jaccard_join": JACCARD_JOIN,
+        "op13_conversation_repair": REPAIR,
     }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import (
+    conv_repair,
     decontaminate,
     exact_dedup,
     jaccard_join,
@@ -18,7 +19,9 @@ from veilframe.llm import (
     quality,
     sharding,
     suffix_dedup,
+    token_ids,
 )
+from veilframe.sources.workdir import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,6 +119,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = shared_dir(spark, "corpus-ids")
+    token_ids.write_ids(docs, path)
+    return token_ids.read_documents(spark, path, docs.schema["doc_id"].dataType).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32"
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conv_repair.repair_all(conv_repair.damage(rows), rows)
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
@@ -128,4 +145,6 @@ def all_queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_licenses": op9_licenses,
         "op10_jaccard_join": op10_jaccard_join,
+        "op12_token_ids": op12_token_ids,
+        "op13_conversation_repair": op13_conversation_repair,
     }
