@@ -27,8 +27,8 @@ position of every 256th 1 (4 bytes each) and counts bits from there.
 **Encoding.** A text is cut before white space that follows something else. No
 token of a byte-level vocabulary reaches over such a place, so the ids of the
 pieces, one after another, are the ids of the whole text. Each distinct piece of
-a slice goes to the tokenizers library once; short pieces are remembered for the
-slices after it.
+a slice goes to the tokenizers library once, words many at a time with line feeds
+between them; the first pieces that a worker meets are remembered.
 
 Defined results: null text is empty, an empty text is the end id alone; rows
 whose id is null come first; rows equal in id are ordered by their text's hash and
@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,7 +200,7 @@ class Block:
 
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
-_SHORT, _REMEMBERED, _WINDOW = 48, 300_000, 8 << 20
+_REMEMBERED, _JOINED, _WINDOW = 400_000, 200, 8 << 20
 
 
 def _unsure(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -224,27 +225,58 @@ class Encoder:
         self._tokenizer.no_truncation()
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self._known: dict[bytes, np.ndarray] = {}
-
-    def _pieces(self, raw: bytes, distinct: list[bytes]) -> list[np.ndarray]:
-        """Ids of each distinct piece."""
+        # what stands between two words of one call: it never merges with a word
+        line = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        self._line = line[0] if len(line) == 1 else None
+        # known pieces by number, and where the ids of each begin in one array
+        self._known: dict[bytes, int] = {}
+        self._flat = array(self.dtype.char)
+        self._begins = array("q", [0])
+
+    def _numbers(self, distinct: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each distinct piece, and the pieces that were new."""
         known = self._known
         new = [p for p in distinct if p not in known]
         texts = [p.decode("utf-8", "replace") for p in new]
-        fresh: dict[bytes, np.ndarray] = {}
-        for lo in range(0, len(texts), 20_000):
-            found = self._tokenizer.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False)
-            for piece, e in zip(new[lo : lo + 20_000], found, strict=True):
-                fresh[piece] = np.array(e.ids, dtype=self.dtype)
-        out = [known[p] if p in known else fresh[p] for p in distinct]
-        room = _REMEMBERED - len(known)
-        for piece, ids in fresh.items():
-            if room <= 0:
-                break
-            if len(piece) <= _SHORT:
-                known[piece] = ids
-                room -= 1
-        return out
+        words = [i for i, t in enumerate(texts) if t[:1] == " " and t.split() == [t[1:]]] if self._line else []
+        joined = [words[lo : lo + _JOINED] for lo in range(0, len(words), _JOINED)]
+        held = set(words)
+        single = [[i] for i in range(len(texts)) if i not in held]
+        while joined or single:
+            groups, joined = joined or single, []
+            if groups is single:
+                single = []
+            for lo in range(0, len(groups), 2_000):
+                some = groups[lo : lo + 2_000]
+                found = self._tokenizer.encode_batch_fast(
+                    ["\n".join(map(texts.__getitem__, g)) for g in some], add_special_tokens=False
+                )
+                for group, e in zip(some, found, strict=True):
+                    ids = np.array(e.ids, dtype=self.dtype)
+                    if len(group) == 1:
+                        sizes = [len(ids)]
+                    else:
+                        marks = np.flatnonzero(ids == self._line)
+                        sizes = (np.diff(marks, prepend=-1, append=len(ids)) - 1).tolist()
+                        ids = np.delete(ids, marks)
+                    if len(sizes) != len(group):  # a vocabulary that joins line feeds: one by one
+                        single += [[i] for i in group]
+                        continue
+                    for i, size in zip(group, sizes, strict=True):
+                        known[new[i]] = len(self._begins) - 1
+                        self._begins.append(self._begins[-1] + size)
+                    self._flat.frombytes(ids.tobytes())
+        return np.fromiter(map(known.__getitem__, distinct), dtype=np.int64, count=len(distinct)), new
+
+    def _forget(self, new: list[bytes]) -> None:
+        """Keep the first pieces seen, and no long ones."""
+        if len(self._known) <= _REMEMBERED and len(self._flat) <= _REMEMBERED * 8:
+            return
+        first = len(self._begins) - 1 - len(new)
+        for piece in new:
+            del self._known[piece]
+        del self._flat[self._begins[first] :]
+        del self._begins[first + 1 :]
 
     def _window(self, raw: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces between cuts, and how many ids lie before each cut."""
@@ -253,14 +285,17 @@ class Encoder:
         pieces = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(raw)]
         ).dictionary_encode()
-        found = self._pieces(raw, pieces.dictionary.to_pylist())
-        which = pieces.indices.to_numpy()
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.concatenate(found) if found else np.zeros(0, dtype=self.dtype)
-        begins = np.cumsum(sizes) - sizes
-        each = sizes[which]
-        before = np.concatenate([[0], np.cumsum(each)])
-        return flat[np.repeat(begins[which] - before[:-1], each) + np.arange(before[-1])], before
+        numbers, new = self._numbers(pieces.dictionary.to_pylist())
+        # views of growing arrays would lock them
+        flat = np.array(self._flat, dtype=self.dtype)
+        begins = np.array(self._begins, dtype=np.int64)
+        which = numbers[pieces.indices.to_numpy()]
+        each = np.diff(begins)[which]
+        before = np.zeros(len(each) + 1, dtype=np.int64)
+        np.cumsum(each, out=before[1:])
+        ids = flat[np.repeat(begins[which] - before[:-1], each) + np.arange(before[-1])]
+        self._forget(new)
+        return ids, before
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and where each text's end."""
@@ -320,7 +355,7 @@ def _task_blocks(
             np.concatenate(texts),
         )
 
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", _WINDOW):
         ids, ends = encoder.encode(batch.column(batch.schema.get_field_index("text")))
         name = batch.column(batch.schema.get_field_index("id"))
         ids = np.insert(ids, ends, end_id)
