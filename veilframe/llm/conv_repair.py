@@ -509,7 +509,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
-def repair(rows: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
+def repair(rows: DataFrame, chunk_bytes: int = 1 << 15) -> DataFrame:
     """Per conversation that has rows: faults, cost, audit and the repaired text's hash.
 
     ``rows`` has conv_id, turn, role and text. Columns: conv_id as ``ck`` (see
@@ -559,7 +559,7 @@ def repair(rows: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
     return solved.join(gaps, "ck").select("ck", "gaps", *names[1:])
 
 
-def repair_all(rows: DataFrame, ids: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
+def repair_all(rows: DataFrame, ids: DataFrame, chunk_bytes: int = 1 << 15) -> DataFrame:
     """``repair`` with a row for every conv_id of ``ids``, also those without rows."""
     every = ids.select("conv_id").distinct().withColumn("ck", conversation_key(F.col("conv_id")))
     found = repair(rows, chunk_bytes)

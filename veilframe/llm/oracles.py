@@ -192,6 +192,36 @@ def crc32_sql(text: str, table: str) -> str:
     )
 
 
+TRIE = rf"""
+WITH crc AS (SELECT {_CRC_TABLE} AS tab),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL),
+d AS (SELECT conv_id, turn, sha256(len(role) || ':' || role || text) AS dg,
+             len(regexp_extract_all(text, '{WORD}'))::BIGINT AS words FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) - 1 AS pos FROM d),
+c AS (SELECT conv_id, n, {crc32_sql("cast(conv_id AS VARCHAR)", "tab")} % 4 AS h, conv_id - conv_id % 20 AS base
+      FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id), crc),
+s AS (SELECT c.conv_id, o.pos, o.dg, o.words FROM c JOIN o ON o.conv_id = c.base WHERE o.pos < c.h
+      UNION ALL
+      SELECT c.conv_id, o.pos - c.h + least(c.h, coalesce(b.n, 0)), o.dg, o.words
+      FROM c JOIN o USING (conv_id) LEFT JOIN c b ON b.conv_id = c.base WHERE o.pos >= c.h),
+p AS (SELECT conv_id, pos + 1 AS depth, words,
+             string_agg(dg, '') OVER (PARTITION BY conv_id ORDER BY pos) AS name FROM s
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+l AS (SELECT conv_id, max(depth) AS len FROM p GROUP BY conv_id),
+n AS (SELECT name, depth, min(conv_id) AS conv, count(*) AS n_convs, max(words) AS words,
+             sha256(coalesce(string_agg(cast(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                             FILTER (depth = len), '')) AS ends
+      FROM p JOIN l USING (conv_id) GROUP BY name, depth),
+k AS (SELECT left(name, 64 * (depth - 1)::INTEGER) AS name, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (name)),
+u AS (SELECT p.name, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved
+      FROM v JOIN p ON p.conv_id = v.conv AND p.depth <= v.depth GROUP BY p.name)
+SELECT v.conv AS conv_id, v.depth, m.conv AS parent_conv_id, v.n_convs, v.n_children,
+       u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN u USING (name) LEFT JOIN n m ON v.depth > 0 AND m.name = left(v.name, 64 * (v.depth - 1)::INTEGER)
+"""
+
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 REPAIR = f"""
@@ -273,5 +303,6 @@ def oracle_queries() -> dict[str, str]:
         "op6_suffix_dedup": SUFFIX_DEDUP,
         "op7_decontamination": DECONTAMINATION,
         "op10_jaccard_join": JACCARD_JOIN,
+        "op11_prefix_trie": TRIE,
         "op13_conversation_repair": REPAIR,
     }

@@ -50,7 +50,7 @@ ROOT = "root"
 WORD = r"[^\x20\x09-\x0D]+"
 _REACH = 256  # pieces in one group of a graft
 _SALTS = 256
-_IDS = 1 << 16  # width of a range of ids that is strung together
+_IDS = 1 << 10  # width of a range of ids that is strung together
 
 
 def _sha(*parts: Column) -> Column:
@@ -288,7 +288,7 @@ def _grafted(valued: DataFrame, hung: DataFrame, nodes: DataFrame, levels: int,
         )
         sent = cut.select("conv", F.explode(groups).alias("group"), *_SUMS)
         above = paths.withColumn("group", F.floor(F.col("blk") / group).cast("long")).select("conv", "group", "start")
-        # a piece's group may hold parts of other problems only if it is shorter than one: it never is
+        # groups are no longer than a half and begin with one, so they hold the upper half alone
         added = above.join(sent, ["conv", "group"]).groupBy("start").agg(*[F.sum(v).alias(f"more_{v}") for v in _SUMS])
         with_conv = materialise(
             with_conv.join(added, "start", "left").select(

@@ -16,6 +16,7 @@ from veilframe.llm import (
     licenses,
     mixing,
     pii_bootstrap,
+    prefix_trie,
     quality,
     sharding,
     suffix_dedup,
@@ -119,6 +120,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.borrow_heads(turns))
+
+
 def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = shared_dir(spark, "corpus-ids")
@@ -145,6 +151,7 @@ def all_queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_licenses": op9_licenses,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_token_ids": op12_token_ids,
         "op13_conversation_repair": op13_conversation_repair,
     }
