@@ -7,14 +7,18 @@ never meets a half-written list and an update never overwrites what it reads.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.config import ScanConfig
-from veilframe.functions.spans import cut_at, empty, let, own_values, place, unmarked
+from veilframe.functions.spans import SPANS_TYPE, empty
 from veilframe.operators.detect import clean_terms, scan
+from veilframe.operators.term_index import TermIndex, span_arrays
 
 TERM_LOG_SCHEMA = "version bigint, action string, term string"
 
@@ -59,106 +63,84 @@ def list_terms(spark: SparkSession, path: str) -> DataFrame:
     return current_terms(_log(spark, path))
 
 
-_GRAM = 4
-# Letters that equal a plain one when case is ignored, beyond their own pair.
-_ODD_LETTERS, _PLAIN_LETTERS = "\u212a\u017f\u212bİı\u1e9e\u03bc\u2126", "kså" "iiß\u00b5ω"
+#: Bounds of one block of a term list: its index is sent to the workers.
+BLOCK_TERMS, BLOCK_CHARS = 500_000, 8_000_000
 
 
-def _folded(text: Column) -> Column:
-    """Lower case, so that texts equal up to case become equal."""
-    return F.lower(F.translate(text, _ODD_LETTERS, _PLAIN_LETTERS))
+def _blocks(terms: DataFrame, most_terms: int) -> tuple[DataFrame, int]:
+    """The distinct terms, and in how many blocks of bounded size they go."""
+    listed = terms.select("term").filter("term <> ''").distinct()
+    n, chars = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    return listed, max(-(-n // most_terms), -(-chars // BLOCK_CHARS))
 
 
-def _grams(text: Column, widths: Iterable[int]) -> Column:
-    """The distinct runs of some numbers of characters of a text, in linear time."""
-    def of_width(chars: Column, n: int) -> Column:
-        return F.transform(
-            chars, lambda _, i: F.concat_ws("", *[F.get(chars, i + k) for k in range(n)])
-        )
+def _index(spark: SparkSession, listed: DataFrame, block: int, blocks: int):
+    """One block's index, broadcast; a block is bounded, whatever the length of the list."""
+    own = listed.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block) if blocks > 1 else listed
+    return spark.sparkContext.broadcast(TermIndex.of(r["term"] for r in own.collect()))
 
-    def runs(chars: Column) -> Column:
-        each = [of_width(chars, n) for n in widths]
-        return F.array_distinct(each[0] if len(each) == 1 else F.concat(*each))
 
-    return let(F.split(text, "", -1), runs)
+def _with_column(df: DataFrame, text: str, out: str, shared) -> DataFrame:
+    """The rows with the spans of one block's terms: a narrow pass, nothing is shuffled."""
+    rows = df.drop(out)
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T._parse_datatype_string(SPANS_TYPE))])
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = None
+        for batch, spans in span_arrays(shared.value, batches, text, "blocklist", "blocklist"):
+            names = names or [*batch.schema.names, out]
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans], names=names)
 
-def _digest(key: str, text: str) -> Column:
-    """What tells rows without a key apart."""
-    return F.when(F.col(key).isNull(), F.xxhash64(text))
+    return rows.mapInArrow(find, schema)
 
 
-def candidate_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """``key, _digest, terms``: the terms (column ``term``) of whose runs of characters a
-    text holds the one that is rarest in the list. Rows without a key have a digest of
-    their text instead.
-
-    Texts and terms meet by hash of short runs of characters: the distinct ones
-    of the text, without the text, and one of each term, so that a beginning which
-    many terms share brings no crowd. Neither side is collected; Spark broadcasts
-    the terms if it finds them small.
-    """
-    listed = terms.select(_folded(F.col("term")).alias("term")).filter("term <> ''").distinct()
-    width = F.least(F.length("term"), F.lit(_GRAM))
-    widths = sorted(r[0] for r in listed.select(width).distinct().collect())  # at most _GRAM
-    if not widths:
-        return df.select(
-            key, _digest(key, text).alias("_digest"), F.array().cast("array<string>").alias("terms")
-        ).limit(0)
-    grams = F.filter(_grams(F.col("term"), widths), lambda g: F.length(g) == width)
-    runs = listed.select("term", F.explode(grams).alias("gram"))
-    often = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    rarest = (
-        runs.join(often, "gram").groupBy("term")
-        .agg(F.min(F.struct("often", "gram"))["gram"].alias("gram"))
-    )
-    return (
-        df.select(
-            F.col(key).alias("key"), _digest(key, text).alias("_digest"),
-            F.explode(_grams(_folded(F.col(text)), widths)).alias("gram"),
-        )
-        .join(rarest, "gram")
-        .groupBy("key", "_digest").agg(F.collect_set("term").alias("terms"))
-        .withColumnRenamed("key", key)
-    )
-
-
-def _quoted(term: Column) -> Column:
-    """A term as a literal pattern that ignores case."""
-    return F.concat(F.lit("(?iu)\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-
-
-def term_spans(df: DataFrame, key: str, text: str, terms: DataFrame, out: str = "spans") -> DataFrame:
-    """Add the spans of a term list of any length, overlaps included; ``key`` names a row.
+def term_spans(
+    df: DataFrame, key: str, text: str, terms: DataFrame, out: str = "spans",
+    block_terms: int = BLOCK_TERMS,
+) -> DataFrame:
+    """Add the spans of a term list of any length, overlaps included, the longest term first.
 
-    Each text is searched only for terms it holds, the longest first. It is
-    shuffled once, by key.
+    ``terms`` has a column ``term``; ``key`` names a row. A list of one block (half
+    a million terms) is searched for where the texts are, in Arrow batches, and no text
+    is shuffled. A longer one takes a pass over the texts per block; then only
+    finds are gathered, by key, and meet the texts in one join. Memory is one
+    block's index and a few million characters per worker.
     """
-    near = candidate_terms(df, key, text, terms).select(
-        F.col(key).alias("_key"), "_digest", "terms"
+    spark = df.sparkSession
+    listed, blocks = _blocks(terms, block_terms)
+    if blocks == 0:
+        return df.withColumn(out, empty())
+    if blocks == 1:
+        return _with_column(df, text, out, _index(spark, listed, 0, 1))
+    digest = F.xxhash64(F.col(text))
+    plain = df.select(F.col(key).alias("_key"), digest.alias("_digest"), F.col(text).alias("_text"))
+    each = [
+        _with_column(plain, "_text", "_spans", _index(spark, listed, b, blocks))
+        .filter(F.size("_spans") > 0)
+        .select("_key", "_digest", F.lit(b).alias("_block"), "_spans")
+        for b in range(blocks)
+    ]
+    # rows that are equal find the same
+    found = reduce(DataFrame.unionByName, each).groupBy("_key", "_digest", "_block").agg(
+        F.first("_spans").alias("_spans")
     )
-    same = F.col(key).eqNullSafe(F.col("_key")) & _digest(key, text).eqNullSafe(F.col("_digest"))
-    rows = df.join(near, same, "left")
-    folded, plain = _folded(F.col(text)), unmarked(F.col(text))
-    held = let(
-        folded,
-        lambda f: F.filter(
-            F.coalesce("terms", F.array().cast("array<string>")), lambda t: F.contains(f, t)
-        ),
-    )
-    found = F.transform(
-        F.transform(
-            F.array_sort(F.transform(held, lambda t: F.struct((-F.length(t)).alias("k"), t.alias("t")))),
-            lambda k: k["t"],
-        ),
-        lambda t: F.struct(
-            F.lit("blocklist").alias("type"), F.lit(1.0).alias("confidence"),
-            F.lit("blocklist").alias("detector_name"), F.lit(False).alias("luhn"),
-            cut_at(plain, _quoted(t)).alias("cuts"),
+    spans = F.flatten(F.collect_list("_spans"))
+    ordered = F.transform(
+        F.array_sort(
+            F.transform(
+                spans,
+                lambda s: F.struct(
+                    (s["start"] - s["end"]).alias("n"), F.lower(s["value"]).alias("v"),
+                    s["start"].alias("at"), s.alias("s"),
+                ),
+            )
         ),
+        lambda x: x["s"],
     )
-    spans = F.coalesce(own_values(F.col(text), place(found)), empty())
-    return rows.withColumn(out, spans).drop("_key", "_digest", "terms")
+    merged = found.groupBy("_key", "_digest").agg(ordered.alias("_spans"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & digest.eqNullSafe(F.col("_digest"))
+    rows = df.drop(out).join(merged, same, "left")
+    return rows.withColumn(out, F.coalesce("_spans", empty())).drop("_key", "_digest", "_spans")
 
 
 def scan_with_terms(
