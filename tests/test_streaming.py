@@ -1,3 +1,4 @@
+import datetime
 import re
 
 import pytest
@@ -206,3 +207,60 @@ def test_batches_arrive_in_as_many_files_as_their_rows_need(spark, monkeypatch):
         got[rows] = files, sorted(map(tuple, windows.collect()), key=str)
     assert got[1_000_000][0] == plans.MICRO_BATCHES < got[5][0]
     assert got[5][1] == got[1_000_000][1]
+
+
+TIMED = CHUNKS + ", ts timestamp"
+
+
+def joined(rows, column="text"):
+    return "".join(r[column] for r in sorted((r for r in rows if r["at"] is not None), key=lambda r: r["at"]))
+
+
+def test_chunks_in_any_order_over_batches(spark, keys):
+    text = "Write a@b.com, ssn 123-45-6789, or call. " * 6
+    parts = [("a", i, text[i * 7 : i * 7 + 7], (i + 1) * 7 >= len(text)) for i in range(-(-len(text) // 7))]
+    mixed = sorted(parts, key=lambda r: hash(("seed", r[1] * 2654435761 % 97)))
+    stream = batches_of(spark, CHUNKS, mixed[:9], mixed[9:20] + mixed[:3], mixed[20:], mixed[5:8])
+    rows = run(spark, chunks.redact_stream_with_rejects(stream, CFG, keys, keep_ends=True)).collect()
+    taken = [r for r in rows if r["reason"] is None]
+    assert re.sub(TOKEN_PATTERN, "<>", joined(taken, "redacted")) == "Write <>, ssn <>, or call. " * 6
+    again = sorted(r["seq"] for r in rows if r["reason"] == "repeated")
+    assert again == sorted(r[1] for r in mixed[:3] + mixed[5:8])
+    assert {r["reason"] for r in rows} == {None, "repeated"}
+
+
+def test_missing_chunks_are_given_up_after_patience(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    stream = batches_of(
+        spark, TIMED,
+        [("a", 0, "one ", False, at(0)), ("a", 2, "three ", False, at(1))],
+        [("a", 3, "four ", False, at(30))],
+        [("a", 1, "two ", False, at(31)), ("a", 4, "five", True, at(32)), ("a", 9, "beyond", False, at(33))],
+    )
+    rows = run(spark, chunks.sequenced(stream, chunks.value_cut(""), patience_ms=10_000, keep_ends=True)).collect()
+    assert joined(rows) == "one three four five"
+    refused = {(r["seq"], r["text"], r["reason"]) for r in rows if r["reason"]}
+    assert refused == {(1, "two ", "late"), (9, "beyond", "repeated")}
+    windows = run(spark, chunks.overlap_windows(stream, 4, patience_ms=10_000, keep_ends=True)).collect()
+    got = [(r["seq"], r["window"]) for r in windows]
+    assert sorted(got, key=str) == sorted(
+        [(0, "one "), (2, "three "), (3, "ree four "), (4, "our five"), (None, "five")], key=str
+    )
+
+
+def test_vault_rows_after_their_tokens(spark, keys):
+    texts = spark.createDataFrame([("a", "mail a@b.com, ssn 123-45-6789."), ("b", "c@d.org")], "scope string, text string")
+    done = redact.redact(texts, "text", "scope", CFG, keys)
+    vault = [tuple(r) for r in redact.build_vault(done, "scope", keys).select("scope_id", "token", "ciphertext").collect()]
+    replies = {r["scope"]: r["redacted"] for r in done.collect()}
+    forged = "__PII_email_" + "0" * 16 + "_" + "1" * 16 + "__"
+    rows = [("a", 0, replies["a"][:20], False, None), ("a", 1, replies["a"][20:], True, None),
+            ("b", 0, replies["b"] + " and " + forged, True, datetime.datetime(2024, 1, 1))]
+    late = ("b", 7, "", False, datetime.datetime(2024, 1, 2))
+    stream = batches_of(spark, TIMED, rows, [rows[0]], [rows[0]], [late])
+    entries = batches_of(spark, "scope_id string, token string, ciphertext binary", [], vault[:1], vault[1:], [])
+    out = run(spark, chunks.rehydrate_with_vault_stream(stream, entries, keys, patience_ms=1000)).collect()
+    for scope, want in (("a", "mail a@b.com, ssn 123-45-6789."), ("b", "c@d.org and " + forged)):
+        assert joined([r for r in out if r["stream_id"] == scope], "restored") == want
+    assert {r["complete"] for r in out if r["stream_id"] == "a"} == {True}
+    assert False in {r["complete"] for r in out if r["stream_id"] == "b"}

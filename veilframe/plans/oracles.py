@@ -561,6 +561,14 @@ UNION ALL SELECT DISTINCT doc_id, 'x' || token, NULL, NULL, NULL FROM ({TOKENS})
             f"SELECT 'id: ' || scope FROM ({RICH}) UNION ALL SELECT 'event: message' FROM ({RICH}))"
         ),
         "stream_redact": f"SELECT cast(doc_id AS varchar) AS stream_id, * EXCLUDE (doc_id) FROM ({PLACED})",
+        "stream_redact_shuffled": f"SELECT cast(doc_id AS varchar) AS stream_id, * EXCLUDE (doc_id) FROM ({PLACED})",
+        "stream_rejects": (
+            "SELECT cast(doc_id AS varchar) AS stream_id, cast(seq AS bigint) AS seq, 'repeated' AS reason "
+            f"FROM ({CHUNKED}) WHERE (doc_id + seq) % 7 = 0"
+        ),
+        "stream_late_vault": (
+            f"SELECT scope AS stream_id, text AS restored, true AS complete FROM ({RICH}) WHERE text <> ''"
+        ),
         "stream_rehydrate": (
             f"SELECT scope AS stream_id, text AS restored FROM ({RICH}) WHERE text <> ''"
         ),

@@ -903,6 +903,18 @@ MICRO_BATCHES = 4
 ROWS_PER_FILE = 100_000  # chunks on average; a stream's chunks of a batch are in one file
 
 
+def _delivered(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """Rows with a column ``batch`` as a stream of that many micro-batches, in that order."""
+    dealt = materialise(rows, "arriving")
+    plain = dealt.drop("batch")
+    path = shared_dir(spark, "chunk-stream")
+    files = max(1, -(-dealt.count() // (MICRO_BATCHES * ROWS_PER_FILE)))
+    for batch in range(MICRO_BATCHES):  # in order of time
+        part = dealt.filter(F.col("batch") == batch).drop("batch").repartition(files, key)
+        part.write.mode("append").parquet(path)
+    return spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def _arriving(spark: SparkSession, texts: DataFrame, stream: str, text: str) -> DataFrame:
     """Texts as a chunk stream in several micro-batches, every text spread over all of them.
 
@@ -910,17 +922,18 @@ def _arriving(spark: SparkSession, texts: DataFrame, stream: str, text: str) ->
     """
     rows = stream_chunks.numbered_chunks(texts, stream, text, CHUNK_CHARS)
     last = F.max(F.col("seq")).over(Window.partitionBy("stream_id"))
-    dealt = materialise(
-        rows.withColumn("batch", F.floor(F.col("seq") * MICRO_BATCHES / (last + 1))), "arriving"
-    )
-    path = shared_dir(spark, "chunk-stream")
-    files = max(1, -(-dealt.count() // (MICRO_BATCHES * ROWS_PER_FILE)))
-    for batch in range(MICRO_BATCHES):  # in order of time
-        part = dealt.filter(F.col("batch") == batch).drop("batch").repartition(files, "stream_id")
-        part.write.mode("append").parquet(path)
-    return (
-        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
-    )
+    batch = F.floor(F.col("seq") * MICRO_BATCHES / (last + 1))
+    return _delivered(spark, rows.withColumn("batch", batch), "stream_id")
+
+
+def _shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' chunks in any order over micro-batches; every seventh comes twice."""
+    texts = tables.rich_documents(spark, sf_dir)
+    rows = stream_chunks.numbered_chunks(texts, "scope", "text", CHUNK_CHARS)
+    place = F.xxhash64("stream_id", "seq")
+    batch = lambda n: F.pmod(place + n, F.lit(MICRO_BATCHES))
+    again = rows.filter("(cast(stream_id as bigint) + seq) % 7 = 0").withColumn("batch", batch(1))
+    return _delivered(spark, rows.withColumn("batch", batch(0)).unionByName(again), "stream_id")
 
 
 def _to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -960,6 +973,42 @@ def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_redact_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``stream_redact``, from chunks that come out of order and twice."""
+    units = stream_chunks.redact_stream(
+        _shuffled(spark, sf_dir), DEFAULT, SAMPLE_KEYS, keep_ends=True
+    )
+    rows = chunks.stream_spans(_to_table(spark, units, "stream-shuffled"), "stream_id")
+    return rows.select(
+        "stream_id", "type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "token"
+    )
+
+
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that a stream refused, told from its text."""
+    rows = stream_chunks.redact_stream_with_rejects(
+        _shuffled(spark, sf_dir), DEFAULT, SAMPLE_KEYS, keep_ends=True
+    )
+    found = _to_table(spark, rows.select("stream_id", "seq", "reason"), "stream-rejects")
+    return found.filter("reason is not null")
+
+
+def stream_late_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted documents leave restored though the vault's rows come in later batches than their tokens."""
+    done, vault = _stored(spark, sf_dir)
+    texts = _arriving(spark, done.select("scope", "redacted"), "scope", "redacted")
+    entries = vault.select("scope_id", "token", "ciphertext").withColumn(
+        "batch", 1 + F.pmod(F.xxhash64("token"), F.lit(MICRO_BATCHES - 1))
+    )
+    late = _delivered(spark, entries, "scope_id")
+    restored = stream_chunks.rehydrate_with_vault_stream(texts, late, SAMPLE_KEYS)
+    rows = _to_table(spark, restored, "stream-late-vault")
+    whole = rows.groupBy("stream_id").agg(
+        F.array_sort(F.collect_list(F.struct("at", "restored"))).alias("u"), F.every("complete").alias("complete")
+    )
+    return whole.select("stream_id", F.array_join("u.restored", "").alias("restored"), "complete")
+
+
 def stream_rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted documents arrive in chunks and leave restored."""
     done, vault = _stored(spark, sf_dir)
@@ -1068,7 +1117,7 @@ def all_queries() -> dict[str, Query]:
         audit_entries, audit_sink, requests_by_status, latency_histogram, peak_concurrency,
         over_concurrency, failure_runs, over_rate, over_rate_busy,
         chunk_tail, stream_redact_batch, spans_by_chunk, sse_lines,
-        stream_redact, stream_rehydrate, stream_windows, stream_counters, stream_over_rate,
+        stream_redact, stream_redact_shuffled, stream_rejects, stream_rehydrate, stream_late_vault, stream_windows, stream_counters, stream_over_rate,
         term_refresh, term_log,
         response_bodies, request_to_audit, body_source, file_source, redacted_sink, metrics_sink,
         oversize_text, dense_text, adversarial_text, unstated_glue, private_ip_v6, sse_redact,

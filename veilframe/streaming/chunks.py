@@ -7,8 +7,9 @@ column expressions as a batch table. Python sees chunk borders, not values.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,12 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilframe.config import CHUNK_TAIL_CHARS, ScanConfig
-from veilframe.functions.crypto import Keyring
+from veilframe.functions.crypto import Keyring, decrypt, with_keys, without_keys
+from veilframe.functions.tokens import TOKEN_PATTERN, token_verifies
 from veilframe.operators.detect import glue_of, never_of
 from veilframe.operators.redact import redact
-from veilframe.operators.restore import rehydrate
-
-UNIT_SCHEMA = "stream_id string, at bigint, text string"
+from veilframe.operators.restore import rehydrate, substitute
+from veilframe.streaming.order import Held, rejected
+
+SEQUENCED_SCHEMA = "stream_id string, at bigint, text string, seq bigint, reason string"
+VALUED_SCHEMA = (
+    "stream_id string, at bigint, text string, "
+    "entries array<struct<token:string,ciphertext:string>>, complete boolean"
+)
 WINDOW_SCHEMA = "stream_id string, seq bigint, window string, overlap int"
 
 
@@ -47,70 +54,121 @@ def _last_cut(text: str, cut: re.Pattern, known: int) -> int:
     return end
 
 
-def hold_back(
-    chunks: DataFrame, cut: str, idle_ms: int | None = None
-) -> DataFrame:
-    """Chunks ``stream_id, seq, chunk, is_last`` to units ``stream_id, at, text``.
+def _rows(frames: Iterator[pd.DataFrame]) -> list[tuple]:
+    """(seq, chunk, is_last, milliseconds) of the chunks that came, in order of seq."""
+    batch = pd.concat(list(frames))
+    times = batch["ts"] if "ts" in batch else pd.Series([None] * len(batch), index=batch.index)
+    ms = [None if pd.isna(t) else int(pd.Timestamp(t).timestamp() * 1000) for t in times]
+    rows = zip(batch["seq"], batch["chunk"], batch["is_last"], ms, strict=True)
+    return sorted(rows, key=lambda r: int(r[0]))
 
-    Units concatenate to the stream. ``is_last`` releases the rest, as does
-    ``idle_ms`` without a new chunk when given. Chunks are taken in order of
-    ``seq`` within a micro-batch and in arrival order across them.
-    """
-    timeout = (
-        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    )
 
-    def step(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        pattern = re.compile(cut)
-        held, at = state.get if state.exists else ("", 0)
-        rows: list[tuple] = []
-        if state.hasTimedOut:
-            state.remove()
-            if held:
-                yield _units(key, [(at, held)])
-            return
-        batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        known, parts, last = len(held), [held], False
-        for chunk, is_last in zip(batch["chunk"], batch["is_last"]):
-            if chunk:
-                parts.append(chunk)
-            last = last or bool(is_last)
-        text = "".join(parts)
-        end = len(text) if last else _last_cut(text, pattern, known)
+def _cut_units(held: Held, pattern: re.Pattern, patience: int | None, give_up: bool) -> list[tuple[int, str]]:
+    """Units that can leave, by what the sequence has ready."""
+    units = []
+
+    def take() -> None:
+        parts = [chunk for _, chunk in held.sequence.ready() if chunk]
+        known = len(held.text)
+        held.text = "".join([held.text, *parts])
+        end = len(held.text) if held.sequence.finished else _last_cut(held.text, pattern, known)
         if end:
-            rows.append((at, text[:end]))
-            at += end
-        if last:
+            units.append(held.release(end))
+
+    take()
+    while (give_up or held.sequence.overdue(patience)) and held.sequence.waiting:
+        if held.text:  # nothing can span a gap
+            units.append(held.release(len(held.text)))
+        held.sequence.skip()
+        take()
+    if give_up and held.text:
+        units.append(held.release(len(held.text)))
+    return units
+
+
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
+def sequenced(
+    chunks: DataFrame, cut: str, idle_ms: int | None = None, patience_ms: int | None = None,
+    keep_ends: bool = False,
+) -> DataFrame:
+    """Chunks ``stream_id, seq, chunk, is_last`` (and ``ts``) to ``stream_id, at, text, seq, reason``.
+
+    Rows without a reason are units, which concatenate to the stream: ``seq`` counts
+    from 0, and a chunk is taken when all before it have been, in whatever order and
+    micro-batch they come. ``is_last`` releases the rest. A chunk waits for missing
+    ones for ``patience_ms`` of the stream's event time (its latest ``ts``), or until
+    nothing has come for ``idle_ms``; then the text goes on after the gap, as if
+    the missing chunks were empty. Rows with a reason were refused: ``repeated`` (their
+    place is taken, or beyond the end) or ``late`` (they were given up before). Their
+    text is their own, their ``at`` null.
+
+    State per stream is the text after the last cut and the chunks that wait. It goes
+    at the end of the stream or, with ``keep_ends``, outlives it, so that repeats are
+    still known as such: until nothing has come for ``idle_ms``, or as long as the query
+    runs. A query with ``idle_ms`` always has another micro-batch to look for idle
+    streams, so it does not end by itself (``availableNow``).
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = Held.load(state.get[0] if state.exists else None)
+        refused = []
+        if not state.hasTimedOut:
+            refused = rejected(_rows(frames), held.sequence)
+        units = _cut_units(held, re.compile(cut), patience_ms, state.hasTimedOut)
+        if state.hasTimedOut or (held.sequence.finished and not keep_ends):
             state.remove()
         else:
-            state.update((text[end:], at))
+            state.update((held.dump(),))
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
+        rows = [(key[0], at, text, None, None) for at, text in units]
+        rows += [(key[0], None, text, seq, why) for seq, text, why in refused]
         if rows:
-            yield _units(key, rows)
+            frame = pd.DataFrame(rows, columns=["stream_id", "at", "text", "seq", "reason"])
+            yield frame.astype({"at": "Int64", "seq": "Int64"})
 
     return chunks.groupBy("stream_id").applyInPandasWithState(
-        step, UNIT_SCHEMA, "held string, at bigint", "append", timeout
+        step, SEQUENCED_SCHEMA, "held string", "append", _timeout(idle_ms)
     )
 
 
-def _units(key: tuple, rows: Iterable[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(key[0], at, text) for at, text in rows], columns=["stream_id", "at", "text"])
+def hold_back(
+    chunks: DataFrame, cut: str, idle_ms: int | None = None, patience_ms: int | None = None,
+    keep_ends: bool = False,
+) -> DataFrame:
+    """The units of ``sequenced`` alone, ``stream_id, at, text``."""
+    units = sequenced(chunks, cut, idle_ms, patience_ms, keep_ends)
+    return units.filter("reason is null").select("stream_id", "at", "text")
 
 
-def redact_stream(
-    chunks: DataFrame, cfg: ScanConfig, keys: Keyring, idle_ms: int | None = None
-) -> DataFrame:
-    """Redact a chunk stream; a value split over chunks is found whole."""
+def _value_cut(cfg: ScanConfig) -> str:
     glue = glue_of(cfg)
     if glue is None:
         raise ValueError("stream redaction needs detectors with known glue")
-    units = hold_back(chunks, value_cut(glue, never_of(cfg)), idle_ms)
+    return value_cut(glue, never_of(cfg))
+
+
+def redact_stream(
+    chunks: DataFrame, cfg: ScanConfig, keys: Keyring, idle_ms: int | None = None,
+    patience_ms: int | None = None, keep_ends: bool = False,
+) -> DataFrame:
+    """Redact a chunk stream; a value split over chunks is found whole, in whatever order they come."""
+    units = hold_back(chunks, _value_cut(cfg), idle_ms, patience_ms, keep_ends)
     return redact(units, "text", "stream_id", cfg, keys)
 
 
+def redact_stream_with_rejects(
+    chunks: DataFrame, cfg: ScanConfig, keys: Keyring, idle_ms: int | None = None,
+    patience_ms: int | None = None, keep_ends: bool = False,
+) -> DataFrame:
+    """``redact_stream`` with the refused chunks as rows of their own (``seq, reason``), redacted too."""
+    rows = sequenced(chunks, _value_cut(cfg), idle_ms, patience_ms, keep_ends)
+    return redact(rows, "text", "stream_id", cfg, keys)
+
+
 def rehydrate_stream(
     chunks: DataFrame, vault: Callable[[], DataFrame], keys: Keyring, write: Callable[[DataFrame, int], None],
     idle_ms: int | None = None,
@@ -129,33 +187,131 @@ def rehydrate_stream(
     return units.writeStream.foreachBatch(restore)
 
 
-def overlap_windows(chunks: DataFrame, chars: int = CHUNK_TAIL_CHARS) -> DataFrame:
+def _wait_for_values(idle_ms: int | None, patience_ms: int | None):
+    """State function over chunks and vault entries of one stream."""
+    cut, token = re.compile(TOKEN_CUT), re.compile(TOKEN_PATTERN)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        raw = json.loads(state.get[0]) if state.exists else {"held": None, "vault": {}, "units": []}
+        held, vault, units = Held.load(raw["held"]), raw["vault"], raw["units"]
+        if not state.hasTimedOut:
+            batch = pd.concat(list(frames))
+            entries = batch[batch["token"].notna()]
+            vault.update(zip(entries["token"], entries["ciphertext"], strict=True))
+            chunks = batch[batch["token"].isna()]
+            if len(chunks):
+                rejected(_rows(iter([chunks])), held.sequence)
+        for at, text in _cut_units(held, cut, patience_ms, state.hasTimedOut):
+            units.append([at, text, held.sequence.clock])
+        rows, waiting = [], []
+        for at, text, since in units:
+            tokens = dict.fromkeys(token.findall(text))
+            known = [(t, vault[t]) for t in tokens if t in vault]
+            clock = held.sequence.clock
+            tired = patience_ms is not None and since is not None and since + patience_ms < clock
+            if len(known) == len(tokens) or tired or state.hasTimedOut:
+                rows.append((key[0], at, text, known, len(known) == len(tokens)))
+            else:
+                waiting.append([at, text, since])
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((json.dumps({"held": held.dump(), "vault": vault, "units": waiting}),))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
+        if rows:
+            frame = pd.DataFrame(rows, columns=["stream_id", "at", "text", "entries", "complete"])
+            frame["entries"] = [[{"token": t, "ciphertext": c} for t, c in e] for e in frame["entries"]]
+            yield frame
+
+    return step
+
+
+def rehydrate_with_vault_stream(
+    chunks: DataFrame, vault: DataFrame, keys: Keyring, idle_ms: int | None = None,
+    patience_ms: int | None = None,
+) -> DataFrame:
+    """Restore a chunk stream from a vault that is a stream as well: ``stream_id, at, restored, complete``.
+
+    ``vault`` has scope_id, token and ciphertext; scopes are streams. A piece of text
+    leaves once the vault entries of all its tokens have come, from whichever side
+    they come first, so a token that is seen before its value is restored as well.
+    One whose entry never comes is let go, unrestored and not ``complete``, after
+    ``patience_ms`` of the stream's event time or ``idle_ms`` without news of the
+    stream, which also ends its state (without ``idle_ms`` it stays as long as the query
+    runs). Python sees tokens and ciphertexts; signatures
+    are checked and values decrypted by column expressions.
+    """
+    given = {f.name for f in chunks.schema.fields}
+    ts = F.col("ts") if "ts" in given else F.lit(None).cast("timestamp")
+    news = chunks.select(
+        "stream_id", "seq", "chunk", "is_last", ts.alias("ts"),
+        F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("ciphertext"),
+    ).unionByName(
+        vault.select(
+            F.col("scope_id").alias("stream_id"), F.lit(None).cast("bigint").alias("seq"),
+            F.lit(None).cast("string").alias("chunk"), F.lit(False).alias("is_last"),
+            F.lit(None).cast("timestamp").alias("ts"), "token",
+            F.base64("ciphertext").alias("ciphertext"),
+        )
+    )
+    held = news.groupBy("stream_id").applyInPandasWithState(
+        _wait_for_values(idle_ms, patience_ms), VALUED_SCHEMA, "held string", "append", _timeout(idle_ms)
+    )
+    scope = F.col("stream_id")
+    good = F.filter("entries", lambda e: token_verifies(scope, e["token"]))
+    values = F.map_from_entries(
+        F.transform(good, lambda e: F.struct(e["token"], decrypt(F.unbase64(e["ciphertext"]), scope, e["token"])))
+    )
+    done = with_keys(held, keys).withColumn("_values", values)
+    return without_keys(done.withColumn("restored", substitute(F.col("text"), F.col("_values")))).select(
+        "stream_id", "at", "restored", "complete"
+    )
+
+
+def overlap_windows(
+    chunks: DataFrame, chars: int = CHUNK_TAIL_CHARS, idle_ms: int | None = None,
+    patience_ms: int | None = None, keep_ends: bool = False,
+) -> DataFrame:
     """Every chunk with the last ``chars`` characters before it in front.
 
-    Gives ``stream_id, seq, window, overlap``; ``is_last`` frees the state and
-    emits the held tail as a final window with ``seq`` NULL.
+    Gives ``stream_id, seq, window, overlap``; ``is_last`` emits the held tail as a
+    final window with ``seq`` NULL. Chunks are taken in order of ``seq``, as in
+    ``sequenced``; nothing goes over a gap, and refused chunks give no window.
     """
-    def step(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        (tail,) = state.get if state.exists else ("",)
-        batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        out, last = [], False
-        for seq, chunk, is_last in zip(batch["seq"], batch["chunk"], batch["is_last"]):
-            window = tail + (chunk or "")
-            out.append((key[0], seq, window, len(tail)))
-            tail = window[-chars:]
-            last = last or bool(is_last)
-        if last:
-            out.append((key[0], None, tail, len(tail)))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = Held.load(state.get[0] if state.exists else None)
+        sequence, done, out = held.sequence, held.sequence.finished, []
+        if not state.hasTimedOut:
+            rejected(_rows(frames), sequence)
+
+        def take() -> None:
+            for seq, chunk in sequence.ready():
+                window = held.text + chunk
+                out.append((key[0], seq, window, len(held.text)))
+                held.text = window[-chars:]
+
+        take()
+        while (state.hasTimedOut or sequence.overdue(patience_ms)) and sequence.waiting:
+            held.text = ""
+            sequence.skip()
+            take()
+        ended = (sequence.finished and not done) or (state.hasTimedOut and not done)
+        if ended:
+            out.append((key[0], None, held.text, len(held.text)))
+            held.text = ""
+        if state.hasTimedOut or (sequence.finished and not keep_ends):
             state.remove()
         else:
-            state.update((tail,))
+            state.update((held.dump(),))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         frame = pd.DataFrame(out, columns=["stream_id", "seq", "window", "overlap"])
         yield frame.astype({"seq": "Int64"})
 
     return chunks.groupBy("stream_id").applyInPandasWithState(
-        step, WINDOW_SCHEMA, "tail string", "append", GroupStateTimeout.NoTimeout
+        step, WINDOW_SCHEMA, "held string", "append", _timeout(idle_ms)
     )
 
 
