@@ -235,6 +235,32 @@ def keep_allowed(spans: Column, allowlist: Iterable[str]) -> Column:
     return F.filter(spans, lambda s: ~F.array_contains(listed, F.lower(s["value"])))
 
 
+def keep_unlisted(df: DataFrame, spans: str, allowed: DataFrame, column: str = "value") -> DataFrame:
+    """Drop spans whose whole value, ignoring case, is in a table of any length.
+
+    The table form of ``keep_allowed``, for scanned rows before they are redacted.
+    Rows with the same values are one set; distinct sets meet the table value by
+    value, and only what is listed comes back, dealt by salts. Texts are joined once,
+    rows without spans are spread. Null entries allow nothing; an empty table drops
+    nothing.
+    """
+    from veilframe.operators.guards import left_join_salted
+
+    values = F.array_sort(F.array_distinct(F.transform(spans, lambda s: F.lower(s["value"]))))
+    name = F.when(F.size(spans) > 0, F.sha2(F.to_json(values).cast("binary"), 256))
+    listed = allowed.select(F.lower(column).alias("_v")).filter("_v is not null").distinct()
+    sets = df.select(name.alias("_set"), values.alias("_vs")).filter("_set is not null")
+    safe = (
+        sets.groupBy("_set").agg(F.first("_vs").alias("_vs"))  # one name, one set of values
+        .select("_set", F.explode("_vs").alias("_v"))
+        .join(listed, "_v")
+        .groupBy("_set").agg(F.collect_list("_v").alias("_safe"))
+    )
+    met = left_join_salted(df, name, safe, "_set")
+    kept = F.filter(spans, lambda s: ~F.array_contains("_safe", F.lower(s["value"])))
+    return met.withColumn(spans, F.when(F.col("_safe").isNull(), F.col(spans)).otherwise(kept)).drop("_safe")
+
+
 def glue_of(cfg: ScanConfig) -> str | None:
     parts = [d.glue for d in cfg.detectors]
     return None if any(p is None for p in parts) else "".join(parts)

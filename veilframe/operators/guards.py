@@ -163,6 +163,65 @@ def is_private_ip(ip: Column) -> Column:
     ).otherwise(let(_v4_number(ip), in_v4))
 
 
+def _bits(hex_digits: Column) -> Column:
+    """Hex digits as zeros and ones."""
+    return F.array_join(
+        F.transform(F.split(hex_digits, ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), ""
+    )
+
+
+def address_bits(ip: Column) -> Column:
+    """An address as 128 zeros and ones, IPv4 as ``::ffff:a.b.c.d``; NULL if malformed."""
+    v4 = let(_v4_number(ip), lambda n: F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex(n)), 8, "0")))
+    digits = F.when(F.contains(ip, F.lit(":")), _v6_hex(ip)).otherwise(v4)
+    return let(digits, lambda d: F.when(d.isNotNull(), _bits(d)))
+
+
+def label_by_range(
+    df: DataFrame, ip: str, ranges: DataFrame, out: str = "label", cidr: str = "cidr", label: str = "label"
+) -> DataFrame:
+    """Add the label of the longest range that holds an address; NULL if none does.
+
+    ``ranges`` is a table of any length, v4 and v6 (``base/bits``, or a single
+    address). Distinct addresses give one key per prefix length in use (129 at
+    most) and meet the ranges in one hash join. The found labels go back to the rows
+    dealt by salts, so an address in a third of all rows is not one task's work.
+    Malformed ranges hold nothing; of equal ranges the least label counts.
+    """
+    parts = F.split(F.col(cidr), "/")
+    base, given = F.get(parts, 0), F.expr(f"try_cast(get(split(`{cidr}`, '/'), 1) as int)")
+    v4 = ~F.contains(base, F.lit(":"))
+    whole = F.when(v4, 32).otherwise(128)
+    n = F.when(F.size(parts) == 1, whole).when((F.size(parts) == 2) & given.between(0, whole), given)
+    prefixes = (
+        ranges.select(address_bits(base).alias("bits"), (n + F.when(v4, 96).otherwise(0)).alias("n"), F.col(label).alias("_label"))
+        .filter("bits is not null and n is not null")
+        .groupBy(F.substring("bits", F.lit(1), F.col("n")).alias("prefix"), "n")
+        .agg(F.min("_label").alias("_label"))
+    )
+    lengths = sorted(r[0] for r in prefixes.select("n").distinct().collect())  # at most 129
+    if not lengths:
+        return df.withColumn(out, F.lit(None).cast(ranges.schema[label].dataType))
+    addresses = df.select(F.col(ip).alias("_ip")).distinct().withColumn("bits", address_bits(F.col("_ip")))
+    keys = addresses.filter("bits is not null").select(
+        "_ip", "bits", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")
+    ).select("_ip", "n", F.substring("bits", F.lit(1), F.col("n")).alias("prefix"))
+    found = keys.join(prefixes, ["prefix", "n"]).groupBy("_ip").agg(F.max_by("_label", "n").alias("_label"))
+    rows = left_join_salted(df.drop(out), F.col(ip), found, "_ip")
+    return rows.withColumnRenamed("_label", out)
+
+
+def left_join_salted(df: DataFrame, value: Column, right: DataFrame, key: str) -> DataFrame:
+    """A left join with a table of distinct keys, its rows dealt to salts; the key is dropped."""
+    columns = [c for c in df.columns if not _is_map(df, c)]
+    salt = F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+    many = right.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    # rows without a value meet nothing: they are dealt as evenly by their salt's sign
+    rows = df.withColumn("_value", value).withColumn("_salt", F.when(value.isNull(), -1 - F.xxhash64(*columns) % 4096).otherwise(salt).cast("int"))
+    met = rows.join(many, (F.col("_value") == F.col(key)) & (F.col("_salt") == F.col("_s")), "left")
+    return met.drop("_value", "_salt", "_s", key)
+
+
 def host_of(url: Column) -> Column:
     """Host of a URL without user, port or brackets; empty when there is none."""
     start = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?"

@@ -436,6 +436,10 @@ def oracle_queries() -> dict[str, str]:
         "threshold_filter": spans_view(allow=()),
         "confidence_filter": f"SELECT * FROM ({spans_view(**EVERYTHING)}) WHERE confidence >= 0.95",
         "allowlist_filter": spans_view(),
+        "allowlist_table": (
+            f"SELECT doc_id, {SPAN_COLUMNS} FROM ({kept_sql(RICH, 'doc_id')}) WHERE lower(h) NOT IN "
+            "(SELECT 'akia' || lpad(cast(c_custkey AS varchar), 16, 'a') FROM customer)"
+        ),
         "custom_detector": spans_view(threshold=0.0, allow=(), terms=(), more=(hex40,)),
         "detections_by_type": (
             "SELECT type, detector_name, count(*) AS detections FROM "
@@ -523,6 +527,18 @@ UNION ALL SELECT DISTINCT doc_id, 'x' || token, NULL, NULL, NULL FROM ({TOKENS})
             f"SELECT 'blocked' AS action, count(*) AS requests FROM ({injection_sql()}) WHERE pattern_id IS NOT NULL"
         ),
         "private_ip": f"SELECT request_id, remote_addr, ({_v4_between()}) AS private FROM ({LOG})",
+        "address_ranges": f"""
+WITH r AS (
+  SELECT 10::BIGINT * 16777216 + (c_custkey % 256) * 65536 + (c_custkey // 256 % 256) * 256 AS low, 24 AS n,
+         'customer ' || c_custkey AS label FROM customer
+  UNION ALL SELECT 10::BIGINT * 16777216 + n_nationkey * 8 * 65536, 13, 'nation ' || n_nationkey FROM nation
+  UNION ALL SELECT 172::BIGINT * 16777216 + 16 * 65536, 12, 'inner' UNION ALL SELECT 192::BIGINT * 16777216 + 168 * 65536, 16, 'home'),
+a AS (SELECT request_id, remote_addr, cast(split_part(remote_addr, '.', 1) AS bigint) * 16777216
+        + cast(split_part(remote_addr, '.', 2) AS bigint) * 65536
+        + cast(split_part(remote_addr, '.', 3) AS bigint) * 256 AS ip FROM ({LOG})),
+d AS (SELECT ip, arg_max(label, n) AS network FROM (SELECT DISTINCT ip FROM a)
+      JOIN r ON ip // cast(2 ** (32 - n) AS bigint) = low // cast(2 ** (32 - n) AS bigint) GROUP BY ip)
+SELECT request_id, remote_addr, network FROM a LEFT JOIN d USING (ip)""",
         "domain_allow": f"SELECT page_id, host, ({ALLOWED}) AS allowed FROM ({HOSTS})",
         "domain_allow_table": f"SELECT page_id FROM ({HOSTS}) WHERE {ALLOWED}",
         "base_domain": (

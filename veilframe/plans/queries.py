@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilframe.config import ScanConfig, default_config
+from veilframe.config import SAFE_VALUES, ScanConfig, default_config
 from veilframe.functions.patterns import PATTERNS, Pattern
 from veilframe.functions.spans import SPANS_TYPE
 from veilframe.functions.tokens import parse_token
@@ -153,6 +153,15 @@ def allowlist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_rows(_scanned(spark, sf_dir, DEFAULT), "doc_id")
 
 
+def allowlist_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values allowed by a table: one key per customer, and the usual ones."""
+    keys = tables.table(spark, sf_dir, "customer", "c_custkey")
+    allowed = keys.select(F.expr("'akia' || lpad(cast(c_custkey as string), 16, 'a')").alias("value"))
+    allowed = allowed.unionByName(spark.createDataFrame([(v,) for v in SAFE_VALUES], "value string"))
+    found = materialise(_scanned(spark, sf_dir, default_config(allowlist=())), "scanned")
+    return _span_rows(detect.keep_unlisted(found, "spans", allowed), "doc_id")
+
+
 def custom_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user-supplied pandas UDF next to the built-in patterns."""
     @F.pandas_udf(SPANS_TYPE)
@@ -601,6 +610,21 @@ def private_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers' addresses by the longest range of a table with a range per customer."""
+    own = tables.table(spark, sf_dir, "customer", "c_custkey").select(
+        F.expr("'10.' || (c_custkey % 256) || '.' || (c_custkey div 256 % 256) || '.0/24'").alias("cidr"),
+        F.expr("'customer ' || c_custkey").alias("label"),
+    )
+    wide = tables.table(spark, sf_dir, "nation", "n_nationkey").select(
+        F.expr("'10.' || (n_nationkey * 8) || '.0.0/13'").alias("cidr"),
+        F.expr("'nation ' || n_nationkey").alias("label"),
+    )
+    rest = spark.createDataFrame([("172.16.0.0/12", "inner"), ("192.168.0.0/16", "home"), ("fd00::/8", "local")], "cidr string, label string")
+    log = tables.request_log(spark, sf_dir).select("request_id", "remote_addr")
+    return guards.label_by_range(log, "remote_addr", own.unionByName(wide).unionByName(rest), out="network")
+
+
 def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tables.table(spark, sf_dir, "pages", "page_id", "url")
     return pages.select("page_id", "url", guards.host_of(F.col("url")).alias("host"))
@@ -1105,14 +1129,14 @@ def all_queries() -> dict[str, Query]:
             out[f"chat_replace_{provider}_{direction}"] = chat_replace(provider, direction)
     plain: Iterable[Query] = (
         blocklist_scan, term_table_scan, scan_pages, byte_offsets, merged_spans, resolve_overlaps,
-        threshold_filter, confidence_filter, allowlist_filter, custom_detector,
+        threshold_filter, confidence_filter, allowlist_filter, allowlist_table, custom_detector,
         detections_by_type, detections_by_type_rich, detections_per_request, types_found,
         redact_text, redacted_spans, leak_check, vault_lookup, vault_count, token_parse,
         verified_lookup, rehydrate_roundtrip, forged_token_rejected, response_scan, expire_scopes,
         chat_dispatch, dispatch_rejects, route_provider, raw_fallback, custom_format,
         header_scan, header_spans, url_query_scan, correlation_id,
         file_text_extract, file_sniff, upload_totals,
-        prompt_injection_flag, prompt_injection_block, injection_counts, private_ip,
+        prompt_injection_flag, prompt_injection_block, injection_counts, private_ip, address_ranges,
         domain_allow, domain_allow_table, base_domain, size_limit, key_admission, key_rejection,
         audit_entries, audit_sink, requests_by_status, latency_histogram, peak_concurrency,
         over_concurrency, failure_runs, over_rate, over_rate_busy,
