@@ -22,7 +22,9 @@ listed first; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 from functools import reduce
 
 import numpy as np
@@ -44,7 +46,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 # what else looks like an identifier
-_HANDLE = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9][A-Za-z0-9.-]*")
+_MARK = re.compile(r"@|\(at\)|\[at\]")
+_AFTER = re.compile(r"[A-Za-z0-9][A-Za-z0-9.-]*")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,}(?![0-9A-Za-z])")
 _ADDRESS = re.compile(r"(?<![0-9A-Za-z])(?<![0-9]\.)[0-9]++(?:\.[0-9]++){3}(?![0-9A-Za-z])(?!\.[0-9])")
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -101,11 +104,36 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def handles(text: str) -> list[tuple[int, int]]:
+    """What is written like an address around ``@`` or its spelt forms, from each mark to both sides."""
+    out, done = [], 0
+    for m in _MARK.finditer(text):
+        left = m.start()
+        while left > done and text[left - 1] in _LOCAL:
+            left -= 1
+        if left < m.start() and (right := _AFTER.match(text, m.end())):
+            done = right.end()
+            out.append((left, done))
+    return out
+
+
+def clear_of(base: list[Span]) -> Callable[[int, int], bool]:
+    """Whether a span touches none of the base spans (sorted by start)."""
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))
+
+    def clear(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before == 0 or reach[before - 1] <= start
+
+    return clear
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, tuple[int, ...]]]:
     """(start, end, kinds it could be) of identifier-like spans clear of base spans."""
     found = []
     if "@" in text or "(at)" in text or "[at]" in text:
-        found += [(m.start(), m.end(), (EMAIL,)) for m in _HANDLE.finditer(text)]
+        found += [(a, b, (EMAIL,)) for a, b in handles(text)]
     found += [(m.start(), m.end(), (IP,)) for m in _ADDRESS.finditer(text)]
     for m in _NUMBER.finditer(text):
         n = len(_digits(m[0]))
@@ -116,7 +144,8 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, tuple[int, .
             kinds.append(PHONE)
         if kinds:
             found.append((m.start(), m.end(), tuple(kinds)))
-    return [c for c in found if all(c[1] <= s or e <= c[0] for s, _, e in base)]
+    clear = clear_of(base)
+    return [c for c in found if clear(c[0], c[1])]
 
 
 def words_before(text: str, starts: list[int]) -> list[str | None]:
