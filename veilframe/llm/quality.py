@@ -246,9 +246,10 @@ def train(
         F.broadcast(known), "id"
     )
     held = docs.sparkSession.sparkContext.broadcast(vectors)
+    kind = rows.schema["id"].dataType.simpleString()
     got = (
         rows.select("text", "id", "label")
-        .mapInArrow(_task_pool(held, 2), "pooled binary, id bigint, label double")
+        .mapInArrow(_task_pool(held, 2), f"pooled binary, id {kind}, label double")
         .orderBy(F.xxhash64("id"), "id", "pooled").limit(2 * sample)
         .toPandas()
     )
