@@ -4,16 +4,19 @@ Test items are taken in blocks of about ``block_words`` words, so that what goes
 to every task has a bound. Per block:
 
 1. count how often the block's terms occur in the whole corpus;
-2. choose the rarest two terms of every window of ``width`` item words (of the
-   whole item if it is shorter); a window with a term that never occurs is out;
+2. choose the rarest two of the terms that occur, in every window of ``width`` item
+   words (of the whole item if it is shorter); of equally rare ones the first. A window
+   with a term that never occurs can be no phrase match, but a proximity match;
 3. store the postings of these terms: (term, document, positions);
 4. shift each posting by the term's place in the item and intersect: postings of
    one item that fall on one diagonal of one document are a candidate;
 5. compare the candidates' words with the item's, run by run. A run of a window's
    length or more is an exact phrase match.
 
-Postings that are near in the document but on neighbouring diagonals (words put
-in or left out between them) are proximity matches.
+Proximity matches: at least two chosen places of an item meet on one diagonal of a document
+(words replaced), or on two diagonals, one after the other and at most ``slack`` words apart
+(words put in or left out between them), with more places than either has alone. ``judge``
+counts an item as near where it has no phrase match.
 
 Words are compared by 64-bit hashes. A frequent term's postings are spread by
 document before they meet; the text of candidates only is read again.
@@ -111,15 +114,16 @@ def _lookup(hashes: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def choose_probes(block: Block, terms: np.ndarray, counts: np.ndarray, width: int) -> pd.DataFrame:
-    """(term, item, place, need): the rarest terms of all windows that can occur."""
+    """(term, item, place, need): the rarest terms that occur, of all windows with enough of them."""
     out = set()
     for nth, item in enumerate(block.items):
         size = min(width, len(item))
         often = counts[np.searchsorted(terms, item)]
         for start in range(len(item) - size + 1):
             window = often[start : start + size]
-            if window.min() > 0:
-                for place in np.argsort(window, kind="stable")[:PROBES]:
+            there = np.flatnonzero(window)
+            if len(there) >= min(PROBES, size):
+                for place in there[np.argsort(window[there], kind="stable")[:PROBES]]:
                     out.add((nth, start + int(place), min(PROBES, size)))
     rows = [(int(np.searchsorted(terms, block.items[n][p])), n, p, need) for n, p, need in sorted(out)]
     return pd.DataFrame(rows, columns=["term", "item", "place", "need"]).astype("int32")
@@ -250,7 +254,7 @@ def _block_matches(
     )
     names = spark.createDataFrame(pd.DataFrame({"item": range(len(block.ids)), "name": block.ids}).astype({"item": "int32"}))
     near = (
-        candidates.filter("close").join(names, "item")
+        candidates.join(names, "item")
         .select("id", "th", F.col("name").alias("item"), F.col("diagonal").cast("long").alias("start"))
     )
     per_doc = candidates.filter("full").groupBy("id", "th").agg(
@@ -319,19 +323,25 @@ def _covered(spans: str):
 
 
 def judge(found: Matches, percent: int = 5) -> DataFrame:
-    """One row per row of the corpus: id, th, n_words, n_hit, items, n_near, contaminated."""
+    """One row per row of the corpus: id, th, n_words, n_hit, items, near, n_near,
+    contaminated.
+
+    ``near`` holds the items with a proximity match that are not in ``items``; both are sorted.
+    """
+    none = F.array().cast("array<string>")
     hits = found.exact.groupBy("id", "th").agg(
         _covered(F.collect_set(F.struct("start", "end"))).alias("n_hit"),
         F.array_sort(F.collect_set("item")).alias("items"),
     )
-    near = found.near.groupBy("id", "th").agg(F.count_distinct("item").alias("n_near"))
+    near = found.near.groupBy("id", "th").agg(F.collect_set("item").alias("near"))
     both = found.docs.join(hits, _same_document(found.docs, hits), "left").select(
         found.docs["id"], found.docs["th"], "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("items", none).alias("items"),
     )
     return both.join(near, _same_document(both, near), "left").select(
         both["id"], both["th"], "n_words", "n_hit", "items",
-        F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        F.array_sort(F.array_except(F.coalesce("near", none), "items")).alias("near"),
+        F.size(F.array_except(F.coalesce("near", none), "items")).cast("long").alias("n_near"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent)).alias("contaminated"),
     )

@@ -131,6 +131,37 @@ FROM lo LEFT JOIN hw USING (rid) LEFT JOIN it USING (rid) WHERE doc
 """
 
 
+#: Proximity as well: the two rarest words that occur, of every window, on near diagonals.
+PROXIMITY = (
+    DECONTAMINATION[: DECONTAMINATION.rindex("SELECT id AS doc_id")].rstrip()
+    + """,
+dw AS (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM lo WHERE doc),
+iw AS (SELECT rid AS item, id, len(ws) AS len, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS place
+       FROM lo WHERE NOT doc AND len(ws) > 0),
+often AS (SELECT w, count(*) AS n FROM dw WHERE w IN (SELECT w FROM iw) GROUP BY w),
+slot AS (SELECT item, id, place, w, n, least(2, len) AS need,
+                unnest(range(greatest(1, place - least(13, len) + 1), least(place, len - least(13, len) + 1) + 1)) AS win
+         FROM iw JOIN often USING (w)),
+best AS (SELECT *, row_number() OVER (PARTITION BY item, win ORDER BY n, place) AS nth,
+                count(*) OVER (PARTITION BY item, win) AS there FROM slot),
+probe AS (SELECT DISTINCT item, id, place, w, need FROM best WHERE nth <= 2 AND there >= need),
+diag AS (SELECT rid, item, id, need, pos - place AS d, list(DISTINCT place) AS places
+         FROM dw JOIN probe USING (w) GROUP BY ALL),
+pair AS (SELECT *, lag(d) OVER v AS d0, lag(places) OVER v AS p0 FROM diag
+         WINDOW v AS (PARTITION BY rid, item ORDER BY d)),
+cand AS (SELECT DISTINCT rid, coalesce(cast(id AS VARCHAR), '') AS item_id FROM pair
+         WHERE len(places) >= need
+            OR (d - d0 <= 3 AND len(list_distinct(list_concat(places, p0))) > greatest(len(places), len(p0))
+                AND len(list_distinct(list_concat(places, p0))) >= need)),
+nr AS (SELECT rid, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near
+       FROM (SELECT * FROM cand EXCEPT SELECT rid, coalesce(cast(item_id AS VARCHAR), '') FROM hit) GROUP BY rid)
+"""
+    + DECONTAMINATION[DECONTAMINATION.rindex("SELECT id AS doc_id") :]
+    .replace("\nFROM lo LEFT JOIN", ",\n       coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(near, '')) AS near_sha256"
+             "\nFROM lo LEFT JOIN nr USING (rid) LEFT JOIN")
+)
+
+
 def place_sql(key: str, node: Node) -> str:
     """The shard that a key reaches, as nested choices of the largest draw."""
     if node.shard is not None:
@@ -301,7 +332,7 @@ def oracle_queries() -> dict[str, str]:
         "op1_mixing": MIXING,
         "op4_exact_dedup": EXACT_DEDUP,
         "op6_suffix_dedup": SUFFIX_DEDUP,
-        "op7_decontamination": DECONTAMINATION,
+        "op7_decontamination": PROXIMITY,
         "op10_jaccard_join": JACCARD_JOIN,
         "op11_prefix_trie": TRIE,
         "op13_conversation_repair": REPAIR,

@@ -96,6 +96,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         "contaminated",
+        "n_near",
+        F.sha2(F.array_join("near", ",").cast("binary"), 256).alias("near_sha256"),
     )
 
 
