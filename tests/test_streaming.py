@@ -1,4 +1,5 @@
 import datetime
+import random
 import re
 
 import pytest
@@ -185,6 +186,34 @@ def test_event_stream_files_keep_their_lines_in_order(spark, tmp_path):
     assert run(spark, readers.read_sse_streams(spark, str(tmp_path), stream=True)).count() == 6
 
 
+def test_large_stream_files_are_split_and_keep_their_order(spark, tmp_path):
+    rng = random.Random(5)
+    want, streams = [], []
+    for name in ("a", "b", "c"):
+        text, head, seq, ends = [], 0, 0, "\r\n" if name == "b" else "\n"
+        header = None
+        for n in range(0 if name == "c" else 4000):
+            value = rng.choice(["", ": ping", "data: é" + "x" * rng.randrange(60), f"id: {name}{n}"])
+            text.append(value)
+            want.append((f"{name}.txt", n, value))
+            if value.startswith("id: "):
+                head, header = n, value
+            streams.append((f"{name}.txt#{head}", header, n - head, value))
+        (tmp_path / f"{name}.txt").write_bytes("".join(v + ends for v in text).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = readers.read_sse_streams(spark, str(tmp_path)).collect()
+        assert readers.ordered_lines(spark, str(tmp_path)).select("file", "_split").distinct().count() > 20
+        within = readers.read_sse_streams(spark, str(tmp_path), header="id: ").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    name = lambda r: r["stream_id"].rsplit("/", 1)[1]
+    assert sorted((name(r), r["seq"], r["value"]) for r in got) == want
+    key = lambda x: (x[0], x[2])
+    assert sorted(((name(r), r["header"], r["seq"], r["value"]) for r in within), key=key) == sorted(streams, key=key)
+
+
 def test_folders_of_a_session_are_released(spark):
     path = shared_dir(spark, "short-lived")
     spark.range(3).write.parquet(path)

@@ -896,20 +896,17 @@ def private_ip_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sse_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event streams, one file each: data lines redacted, all lines in place."""
+    """Event streams, many to a file: data lines redacted, all lines in place."""
     docs = tables.rich_documents(spark, sf_dir)
     flat = F.regexp_replace("text", r"[\r\n]+", " ")
     event = F.concat(F.lit("id: "), "scope", F.lit("\n: ping\ndata: "), flat, F.lit("\n"))
     path = shared_dir(spark, "sse-streams")
-    docs.select("doc_id", event.alias("value")).write.partitionBy("doc_id").text(path)
-    lines = readers.read_sse_streams(spark, path)
-    doc_id = F.regexp_extract("stream_id", r"doc_id=(\d+)", 1)
-    lines = lines.withColumn("scope", doc_id)
+    docs.select(event.alias("value")).filter("value is not null").write.text(path)
+    lines = readers.read_sse_streams(spark, path, header="id: ")
+    lines = lines.withColumn("scope", F.expr("substring(header, 5)"))
     done = redact.redact(lines, "data", "scope", DEFAULT, SAMPLE_KEYS, out="redacted")
     line = F.when(F.col("is_data"), F.concat(F.lit("data: "), "redacted")).otherwise(F.col("value"))
-    return done.select(
-        doc_id.cast("bigint").alias("doc_id"), F.col("seq").cast("bigint").alias("seq"), line.alias("line")
-    )
+    return done.select(F.col("scope").cast("bigint").alias("doc_id"), "seq", line.alias("line"))
 
 
 # --- streams ------------------------------------------------------------------

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilframe.sources.workdir import materialise
+
 BODY_SCHEMA = "request_id string, provider string, body string"
 _DATA = "data: "
 
@@ -47,19 +49,82 @@ def read_sse(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return sse_lines(reader.format("text").load(path))
 
 
-def read_sse_streams(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all files below a folder with their places: ``file, line, value``.
+
+    A large file is read in splits by many tasks. Within a split, lines come in
+    order; what lies before a split is the sum of the earlier splits' line counts.
+    A line belongs to the split in which it begins. Lines end with a line feed, and
+    a carriage return before it goes; an empty file has no lines. The lines are
+    stored once, as a second reading could be split in another way.
+    """
+    lines = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", True).load(path)
+    placed = materialise(
+        lines.select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("_split"),
+            F.monotonically_increasing_id().alias("_at"),
+            F.regexp_replace("value", "\r\\z", "").alias("value"),
+        ),
+        "lines",
+    )
+    earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = placed.groupBy("file", "_split").agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines")
+    ).select("file", "_split", "_first", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(splits, ["file", "_split"]).select(
+        "file", "_split", (F.col("_before") + F.col("_at") - F.col("_first")).alias("line"), "value"
+    )
+
+
+def read_sse_streams(
+    spark: SparkSession, path: str, stream: bool = False, header: str | None = None
+) -> DataFrame:
     """Event-stream files line by line, in order: ``stream_id, seq`` and ``sse_lines``.
 
-    A file is one stream and is read as a whole, so its lines keep their places.
+    A file is one stream, unless lines that begin with ``header`` are given as the
+    starts of streams: then ``stream_id`` has the number of the first line behind the
+    file's name, and a column ``header`` holds that line (null before the first).
+    Batch reading splits large files (``ordered_lines``). As a stream
+    (``stream=True``, without ``header``) a file is read as a whole.
     """
-    reader = spark.readStream if stream else spark.read
-    whole = reader.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
-    body = F.regexp_replace("value", "\n\\z", "")
-    lines = whole.select(
-        F.col("_metadata.file_path").alias("stream_id"),
-        F.posexplode(F.split(body, "\r?\n", -1)).alias("seq", "value"),
+    if stream:
+        if header is not None:
+            raise ValueError("streams within files are told in batch reading only")
+        whole = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+        body = F.regexp_replace("value", "\r?\n\\z", "")
+        return sse_lines(
+            whole.load(path).filter("value <> ''").select(
+                F.col("_metadata.file_path").alias("stream_id"),
+                F.posexplode(F.split(body, "\r?\n", -1)).alias("seq", "value"),
+            )
+        )
+    lines = ordered_lines(spark, path)
+    if header is None:
+        return sse_lines(
+            lines.select(F.col("file").alias("stream_id"), F.col("line").cast("int").alias("seq"), "value")
+        )
+    return sse_lines(_streams_within(lines, header))
+
+
+def _streams_within(lines: DataFrame, header: str) -> DataFrame:
+    """Each line with the last header at or before it: inside its split, else of an earlier one."""
+    of_split = Window.partitionBy("file", "_split").orderBy("line")
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.when(F.startswith("value", F.lit(header)), F.struct("line", "value"))
+    marked = lines.withColumn("_head", begins)
+    carried = marked.groupBy("file", "_split").agg(F.max("_head").alias("_head")).select(
+        "file", "_split", F.max("_head").over(before).alias("_carried")
+    )
+    head = F.coalesce(F.max("_head").over(of_split), F.col("_carried"))
+    told = marked.join(carried, ["file", "_split"]).withColumn("_head", head)
+    first = F.coalesce(F.col("_head.line"), F.lit(0))
+    return told.select(
+        F.concat("file", F.lit("#"), first).alias("stream_id"),
+        F.col("_head.value").alias("header"),
+        (F.col("line") - first).alias("seq"),
+        "value",
     )
-    return sse_lines(lines)
 
 
 def sse_text(lines: DataFrame, data: str, line: str = "value") -> DataFrame:
