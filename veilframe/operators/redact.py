@@ -114,8 +114,8 @@ def replace_spans(
     )
 
 
-def build_vault(redacted: DataFrame, scope: str, keys: Keyring, spans: str = "spans") -> DataFrame:
-    """``scope_id, token, pii_type, ciphertext``: one row per value and scope.
+def vault_values(redacted: DataFrame, scope: str, spans: str = "spans") -> DataFrame:
+    """``scope_id, token, pii_type, value``: one row per value and scope.
 
     Equal values collapse before the shuffle (partial distinct), so a value
     repeated through a hot scope costs one row per task.
@@ -125,9 +125,14 @@ def build_vault(redacted: DataFrame, scope: str, keys: Keyring, spans: str = "sp
         "scope_id",
         spans="s",
     )
-    values = found.filter(F.col("token").isNotNull()).select(
+    return found.filter(F.col("token").isNotNull()).select(
         "scope_id", "token", F.col("type").alias("pii_type"), "value"
     ).distinct()
+
+
+def build_vault(redacted: DataFrame, scope: str, keys: Keyring, spans: str = "spans") -> DataFrame:
+    """``scope_id, token, pii_type, ciphertext``: ``vault_values``, encrypted."""
+    values = vault_values(redacted, scope, spans)
     sealed = encrypt(F.col("value"), F.col("scope_id"), F.col("token"))
     return without_keys(
         with_keys(values, keys).withColumn("ciphertext", sealed).drop("value")

@@ -482,6 +482,13 @@ UNION ALL SELECT DISTINCT doc_id, 'x' || token, NULL, NULL, NULL FROM ({TOKENS})
             f"SELECT DISTINCT scope_ AS scope_id, token, type AS pii_type FROM ({TOKENS}) "
             "WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
         ),
+        "vault_retention": (
+            "SELECT scope_id, token, pii_type, scope_date, NOT gone AS stored, NOT gone AS readable, "
+            "bool_or(gone) OVER (PARTITION BY scope_date) AS rewritten FROM (SELECT DISTINCT scope_ AS scope_id, "
+            f"token, type AS pii_type, '2024-01-' || lpad(cast(1 + doc_id % {q.DAYS} AS varchar), 2, '0') AS scope_date, "
+            f"doc_id % {q.DAYS} < {q.ENDED_DAYS} AND doc_id IN (SELECT doc_id FROM labels "
+            f"WHERE toxic = 1) AS gone FROM ({TOKENS}))"
+        ),
         "chat_dispatch": f"SELECT doc_id, provider, path, text FROM ({mixed_fields()})",
         "dispatch_rejects": (
             "SELECT doc_id, 'other' AS provider, 'unknown provider' AS reason FROM documents WHERE doc_id % 5 = 4"
@@ -644,5 +651,6 @@ UNION ALL SELECT scope, NULL, right(text, 128), least(128, length(text)) FROM ({
             "(SELECT coalesce(max(o_orderkey), -1) FROM orders WHERE o_orderstatus = 'P')"
         ),
     })
+    out["metrics_merge"] = out["latency_histogram"]
     out["metrics_sink"] = out["detections_by_type"]
     return out

@@ -25,6 +25,7 @@ from veilframe.operators import (
     redact,
     requests,
     restore,
+    retention,
     terms,
 )
 from veilframe.plans import tables
@@ -299,6 +300,39 @@ def expire_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore.expire_scopes(vault, expired).select("scope_id", "token", "pii_type")
 
 
+DAYS, ENDED_DAYS = 16, 2
+
+
+def vault_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic documents' scopes end in the oldest days of a stored vault.
+
+    Per value: whether it is still stored, whether its file was replaced, and
+    whether an old copy of the vault can still be read with the salts that are left.
+    """
+    done = _redacted(spark, sf_dir)
+    salts = materialise(retention.new_scope_keys(done, "scope"), "salts")
+    day = F.expr(f"'2024-01-' || lpad(cast(1 + cast(scope_id as bigint) % {DAYS} as string), 2, '0')")
+    vault = retention.build_scoped_vault(done, "scope", salts, SAMPLE_KEYS).withColumn("scope_date", day)
+    path = shared_dir(spark, "vault-days")
+    sinks.write_vault(vault, path, "scope_date")
+    file = F.col("_metadata.file_path")
+    copy = materialise(spark.read.parquet(path).withColumn("file", file), "vault-copy")
+    toxic = tables.table(spark, sf_dir, "labels", "doc_id", "toxic").filter("toxic = 1")
+    expired = toxic.select(F.col("doc_id").cast("string").alias("scope_id")).filter(
+        f"cast(scope_id as bigint) % {DAYS} < {ENDED_DAYS}"
+    )
+    retention.expire_stored(spark, path, expired)
+    left = materialise(retention.drop_scope_keys(salts, expired), "salts-left")
+    now = spark.read.parquet(path).select("scope_id", "token", file.alias("now"))
+    files = now.select(F.col("now").alias("file"), F.lit(False).alias("rewritten")).distinct()
+    seen = retention.lookup(copy.drop("ciphertext"), copy, left, SAMPLE_KEYS)
+    return seen.join(now, ["scope_id", "token"], "left").join(files, "file", "left").select(
+        "scope_id", "token", "pii_type", F.col("scope_date").cast("string").alias("scope_date"),
+        F.col("now").isNotNull().alias("stored"), F.col("value").isNotNull().alias("readable"),
+        F.coalesce("rewritten", F.lit(True)).alias("rewritten"),
+    )
+
+
 # --- chat bodies --------------------------------------------------------------
 
 
@@ -844,6 +878,29 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def metrics_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A latency histogram added up over micro-batches, each delivered twice, with a compaction between."""
+    log = tables.request_log(spark, sf_dir).select("method", "path", "latency_ms", "event_id")
+    rows = log.withColumn("batch", F.pmod(F.xxhash64("event_id"), F.lit(MICRO_BATCHES)))
+    stream = _delivered(spark, rows, "event_id")
+    table = sinks.CounterTable(
+        shared_dir(spark, "counters"),
+        "method string, path string, n bigint, sum_ms bigint, le double, cumulative bigint",
+        ("n", "sum_ms", "cumulative"),
+    )
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        counts = metrics.latency_histogram(batch)
+        table.add(counts, epoch)
+        if epoch % 2:
+            table.compact(spark, epoch)
+        table.add(counts, epoch)
+
+    writer = stream.writeStream.foreachBatch(write).trigger(availableNow=True)
+    _finish(writer.option("checkpointLocation", table.path + "-checkpoint").start())
+    return table.read(spark)
+
+
 def oversize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long texts are told, and scanned like all others."""
     cfg = dataclasses.replace(DEFAULT, watched_chars=5000)
@@ -1130,6 +1187,7 @@ def all_queries() -> dict[str, Query]:
         detections_by_type, detections_by_type_rich, detections_per_request, types_found,
         redact_text, redacted_spans, leak_check, vault_lookup, vault_count, token_parse,
         verified_lookup, rehydrate_roundtrip, forged_token_rejected, response_scan, expire_scopes,
+        vault_retention,
         chat_dispatch, dispatch_rejects, route_provider, raw_fallback, custom_format,
         header_scan, header_spans, url_query_scan, correlation_id,
         file_text_extract, file_sniff, upload_totals,
@@ -1140,7 +1198,7 @@ def all_queries() -> dict[str, Query]:
         chunk_tail, stream_redact_batch, spans_by_chunk, sse_lines,
         stream_redact, stream_redact_shuffled, stream_rejects, stream_rehydrate, stream_late_vault, stream_windows, stream_counters, stream_over_rate,
         term_refresh, term_log,
-        response_bodies, request_to_audit, body_source, file_source, redacted_sink, metrics_sink,
+        response_bodies, request_to_audit, body_source, file_source, redacted_sink, metrics_sink, metrics_merge,
         oversize_text, dense_text, adversarial_text, unstated_glue, private_ip_v6, sse_redact,
     )
     out.update({q.__name__: q for q in plain})

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
@@ -45,3 +47,73 @@ def write_vault(vault: DataFrame, path: str, scope_date: str | None = None) -> N
     """
     writer = vault.write.mode("append")
     (writer.partitionBy(scope_date) if scope_date else writer).parquet(path)
+
+
+@dataclass(frozen=True)
+class CounterTable:
+    """Counters that add up over micro-batches, each batch counted once.
+
+    ``schema`` names labels and counts (DDL), ``counts`` the columns that are summed;
+    cumulative histogram buckets are counts too, their bound is a label. A batch is
+    a folder named by its epoch, so a batch that is replayed replaces itself.
+    ``compact`` sums the epochs up to one into one table; later replays of those are
+    ignored. What a compaction has replaced stays until the next one, for readers
+    under way. One table takes the epochs of one stream, and one writer at a time.
+    """
+
+    path: str
+    schema: str
+    counts: tuple[str, ...]
+
+    def _numbers(self, spark: SparkSession, kind: str) -> list[int]:
+        """The finished folders of a kind, by number."""
+        jvm = spark.sparkContext._jvm
+        base = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done = files.globStatus(jvm.org.apache.hadoop.fs.Path(base, "n=*/_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName()[2:]) for f in done)
+
+    def _remove(self, spark: SparkSession, kind: str, numbers: list[int]) -> None:
+        jvm = spark.sparkContext._jvm
+        for n in numbers:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/n={n}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _sums(self, parts: DataFrame) -> DataFrame:
+        labels = [c for c in parts.columns if c not in self.counts]
+        summed = parts.groupBy(*labels).agg(*[F.sum(c).alias(c) for c in self.counts])
+        return summed.select(*parts.columns)
+
+    def add(self, batch: DataFrame, epoch: int) -> None:
+        """Add a batch's counts; for ``foreachBatch``."""
+        spark = batch.sparkSession
+        if epoch > max(self._numbers(spark, "totals"), default=-1):
+            names = spark.createDataFrame([], self.schema).columns
+            self._sums(batch.select(*names)).write.mode("overwrite").parquet(f"{self.path}/epochs/n={epoch}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The totals of all epochs."""
+        through = max(self._numbers(spark, "totals"), default=-1)
+        parts = [f"{self.path}/epochs/n={n}" for n in self._numbers(spark, "epochs") if n > through]
+        if through >= 0:
+            parts.append(f"{self.path}/totals/n={through}")
+        if not parts:
+            return spark.createDataFrame([], self.schema)
+        return self._sums(spark.read.schema(self.schema).parquet(*parts))
+
+    def compact(self, spark: SparkSession, through: int) -> None:
+        """Sum the epochs up to ``through``, which must all have been added."""
+        totals = self._numbers(spark, "totals")
+        last = max(totals, default=-1)
+        if through <= last:
+            return
+        epochs = self._numbers(spark, "epochs")
+        parts = [f"{self.path}/epochs/n={n}" for n in epochs if last < n <= through]
+        if last >= 0:
+            parts.append(f"{self.path}/totals/n={last}")
+        if not parts:
+            return
+        done = self._sums(spark.read.schema(self.schema).parquet(*parts))
+        done.write.mode("overwrite").parquet(f"{self.path}/totals/n={through}")
+        self._remove(spark, "epochs", [n for n in epochs if n <= last])
+        self._remove(spark, "totals", [n for n in totals if n < last])
