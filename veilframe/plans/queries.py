@@ -879,10 +879,14 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A latency histogram added up over micro-batches, each delivered twice, with a compaction between."""
-    log = tables.request_log(spark, sf_dir).select("method", "path", "latency_ms", "event_id")
-    rows = log.withColumn("batch", F.pmod(F.xxhash64("event_id"), F.lit(MICRO_BATCHES)))
-    stream = _delivered(spark, rows, "event_id")
+    """A latency histogram added up over micro-batches of the event files.
+
+    Every batch comes twice, and once more after its compaction.
+    """
+    files = len(tables.table(spark, sf_dir, "events").inputFiles())
+    events = tables.table_stream(
+        spark, sf_dir, "events", tables.EVENT_SCHEMA, files=-(-files // MICRO_BATCHES)
+    )
     table = sinks.CounterTable(
         shared_dir(spark, "counters"),
         "method string, path string, n bigint, sum_ms bigint, le double, cumulative bigint",
@@ -892,11 +896,11 @@ def metrics_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(batch: DataFrame, epoch: int) -> None:
         counts = metrics.latency_histogram(batch)
         table.add(counts, epoch)
-        if epoch % 2:
-            table.compact(spark, epoch)
+        table.add(counts, epoch)
+        table.compact(spark, epoch)
         table.add(counts, epoch)
 
-    writer = stream.writeStream.foreachBatch(write).trigger(availableNow=True)
+    writer = tables.requests_of(events).writeStream.foreachBatch(write).trigger(availableNow=True)
     _finish(writer.option("checkpointLocation", table.path + "-checkpoint").start())
     return table.read(spark)
 
