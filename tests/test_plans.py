@@ -19,6 +19,7 @@ SOME = (
     "chat_dispatch", "chat_replace_gemini_request", "url_query_scan", "file_text_extract",
     "prompt_injection_flag", "private_ip", "domain_allow_table", "audit_sink", "failure_runs",
     "over_rate_busy", "chunk_tail", "spans_by_chunk", "stream_redact", "term_log",
+    "sse_redact", "vault_retention", "metrics_merge",
 )
 QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
 
