@@ -231,6 +231,18 @@ def test_size_and_keys(spark):
     assert ids(guards.reject_keys(calls, "a", listed)) == [2, 3, 4]
 
 
+@pytest.mark.parametrize("join", [guards.admit_keys, guards.reject_keys])
+def test_key_lists_are_not_broadcast(spark, join):
+    calls = spark.range(300).selectExpr("id", "case when id % 3 > 0 then 'Bearer k1' else concat('Bearer k', id) end as a")
+    listed = spark.range(1, 100).select(F.sha2(F.expr("concat('k', id)"), 256).alias("key_hash"))
+    met = join(calls, "a", listed)
+    got = sorted(r["id"] for r in met.collect())
+    known = [i for i in range(300) if i % 3 or 1 <= i < 100]
+    assert got == (known if join is guards.admit_keys else sorted(set(range(300)) - set(known)))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "sequence(" not in plan
+
+
 def test_audit_rows(spark, keys):
     body = json.dumps(BODIES["openai", "request"])
     df = spark.createDataFrame([("r1", "openai", body, None, 200, 12)],

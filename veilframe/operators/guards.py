@@ -286,16 +286,19 @@ SALTS = 16
 def semi_join_salted(df: DataFrame, value: Column, listed: DataFrame, column: str, how: str) -> DataFrame:
     """Semi or anti join on a value that may fill a large part of ``df``.
 
-    Rows are dealt to salts by all their columns; the listed values, each needed
-    once per salt, are the small side.
+    Rows are dealt to salts by all their columns. The distinct (value, salt) pairs,
+    few for a busy value, meet the list first, so that it is never repeated per
+    salt; what is found goes back to the rows. There are never more pairs than rows.
+    Nothing is broadcast, as Spark can't tell the size of hashed or salted values
+    from the files they come from.
     """
     salt = F.pmod(F.xxhash64(*[c for c in df.columns if not _is_map(df, c)]), F.lit(SALTS))
-    many = listed.select(
-        F.col(column).alias("_listed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s")
-    )
     rows = df.withColumn("_value", value).withColumn("_salt", salt.cast("int"))
-    met = rows.join(many, (F.col("_value") == F.col("_listed")) & (F.col("_salt") == F.col("_s")), how)
-    return met.drop("_value", "_salt")
+    pairs = rows.select(F.col("_value").alias("_v"), F.col("_salt").alias("_s")).distinct()
+    values = listed.select(F.col(column).alias("_listed"))
+    met = pairs.join(values.hint("merge"), F.col("_v") == F.col("_listed"), "left_semi")
+    same = (F.col("_value") == F.col("_v")) & (F.col("_salt") == F.col("_s"))
+    return rows.join(met.hint("merge"), same, how).drop("_value", "_salt")
 
 
 def _is_map(df: DataFrame, column: str) -> bool:
