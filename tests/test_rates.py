@@ -92,6 +92,18 @@ def test_over_rate(spark, seconds):
         assert (r["recent"], r["over"]) == (len(near), len(near) > 3)
 
 
+def test_over_rate_of_a_busy_caller_is_a_running_sum(spark):
+    df = spark.range(4000).selectExpr("id", "'hot' as who", "timestamp_micros((id div 2) * 600) as ts")
+    rows = rates.over_rate(df, "who", "ts", "id", limit=100)
+    window = 1_000_000
+    times = [(i // 2) * 600 for i in range(4000)]
+    for r in rows.collect():
+        assert r["recent"] == sum(1 for t in times if 0 <= times[r["id"]] - t < window)
+    # a frame that slides is counted anew for every row
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -" not in plan and "unboundedpreceding$(), currentrow$()" in plan
+
+
 def test_latency_histogram_is_cumulative(spark):
     df = spark.createDataFrame([("G", "/", m) for m in (1, 5, 6, 100, 20_000)], "method string, path string, latency_ms bigint")
     rows = {r["le"]: r["cumulative"] for r in metrics.latency_histogram(df).collect()}

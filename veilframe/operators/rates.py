@@ -75,21 +75,31 @@ def over_rate(
     """Every request with how many its caller made in the ``seconds`` up to it.
 
     Adds ``recent`` (itself included) and ``over``. A caller's requests are dealt
-    to slots of that length, each also to the next one as context, so a busy
-    caller spreads over all tasks.
+    to slots of that length, so a busy caller spreads over all tasks. Each counts
+    from the start of the next slot too, until it is ``seconds`` old: a running sum
+    of comings and goings, linear in the requests of a slot.
     """
     width = seconds * 1_000_000
     rows = log.withColumn("_us", F.unix_micros(ts))
     own = F.floor(F.col("_us") / width)
+    goes = F.col("_us") + width
     dealt = rows.select(
-        "*", F.explode(F.array(F.struct(own.alias("slot"), F.lit(True).alias("own")),
-                               F.struct((own + 1).alias("slot"), F.lit(False).alias("own")))).alias("_at")
-    )
-    span = (
-        Window.partitionBy(caller, "_at.slot").orderBy("_us").rangeBetween(1 - width, Window.currentRow)
+        "*",
+        F.explode(
+            F.array(
+                F.struct(own.alias("slot"), F.col("_us").alias("at"), F.lit(1).alias("delta"), F.lit(True).alias("own")),
+                F.struct(
+                    (own + 1).alias("slot"), goes.alias("at"),
+                    F.when(goes.isNull(), 0).otherwise(-1).alias("delta"), F.lit(False).alias("own"),
+                ),
+            )
+        ).alias("_at"),
     )
+    slot = Window.partitionBy(caller, "_at.slot")
+    so_far = slot.orderBy("_at.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = F.count(F.when(~F.col("_at.own"), 1)).over(slot)
     return (
-        dealt.withColumn("recent", F.count(F.lit(1)).over(span))
+        dealt.withColumn("recent", carried + F.sum("_at.delta").over(so_far))
         .filter("_at.own")
         .withColumn("over", F.col("recent") > limit)
         .drop("_us", "_at")
