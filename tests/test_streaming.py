@@ -92,6 +92,21 @@ def test_stream_restoration_against_the_live_vault(spark, keys):
     assert text == "mail a@b.com, ssn 123-45-6789"
 
 
+def test_restoration_steps_the_state_once_a_batch(spark, keys):
+    vault = spark.range(0).selectExpr("'a' as scope_id", "'t' as token", "'p' as pii_type", "cast('c' as binary) as ciphertext")
+    stream = batches_of(spark, CHUNKS, [("a", 0, "some text, ", False)], [("a", 1, "and more", True)])
+    plans_, got = [], []
+
+    def write(batch, epoch):
+        plans_.append(batch._jdf.queryExecution().analyzed().toString())
+        got.extend(batch.collect())
+
+    run_batches(spark, chunks.rehydrate_stream(stream, lambda: vault, keys, write))
+    assert "".join(r["restored"] for r in sorted(got, key=lambda r: r["at"])) == "some text, and more"
+    # restoring reads its input twice: stored files, not the rows that come out of the state
+    assert plans_ and all(p.count("parquet") >= 2 for p in plans_)
+
+
 def test_overlap_windows(spark):
     stream = batches_of(
         spark, CHUNKS, [("a", 0, "abcdef", False)], [("a", 1, "gh", False), ("a", 2, "ij", False)], [("a", 3, "", True)]

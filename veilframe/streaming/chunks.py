@@ -22,6 +22,7 @@ from veilframe.functions.tokens import TOKEN_PATTERN, token_verifies
 from veilframe.operators.detect import glue_of, never_of
 from veilframe.operators.redact import redact
 from veilframe.operators.restore import rehydrate, substitute
+from veilframe.sources.workdir import materialise
 from veilframe.streaming.order import Held, rejected
 
 SEQUENCED_SCHEMA = "stream_id string, at bigint, text string, seq bigint, reason string"
@@ -176,12 +177,14 @@ def rehydrate_stream(
     """Restore tokens in a chunk stream; returns a started-by-caller writer.
 
     Each micro-batch joins the vault as it is then (``vault`` is called per
-    batch) and hands ``stream_id, at, restored`` to ``write``.
+    batch) and hands ``stream_id, at, restored`` to ``write``. Its units are stored
+    first: restoring reads them twice, and the state is stepped once.
     """
     units = hold_back(chunks, TOKEN_CUT, idle_ms)
 
     def restore(batch: DataFrame, epoch: int) -> None:
-        done = rehydrate(batch, "text", "stream_id", ["stream_id", "at"], vault(), keys)
+        stored = materialise(batch, "units")
+        done = rehydrate(stored, "text", "stream_id", ["stream_id", "at"], vault(), keys)
         write(done.select("stream_id", "at", "restored"), epoch)
 
     return units.writeStream.foreachBatch(restore)
