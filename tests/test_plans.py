@@ -69,3 +69,23 @@ def test_scan_plans_have_no_shuffle_and_no_python(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Python" not in text
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
+
+
+def test_files_are_written_by_all_tasks(spark, tmp_path):
+    import re
+
+    from veilframe.sources import readers
+
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('text', id) as text", "'en' as lang", "'s' as source", "5L as n_chars")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, read = [], readers.read_files
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would join so few rows
+    try:
+        readers.read_files = lambda *a, **k: seen.append(read(*a, **k)) or seen[0]
+        rows = QUERIES["file_source"](spark, str(tmp_path)).collect()
+    finally:
+        readers.read_files = read
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(r["doc_id"] for r in rows) == list(range(40))
+    tasks = {re.search(r"part-(\d+)", r["path"])[1] for r in seen[0].select("path").collect()}
+    assert len(tasks) > 1
