@@ -107,6 +107,13 @@ def test_restoration_steps_the_state_once_a_batch(spark, keys):
     assert plans_ and all(p.count("parquet") >= 2 for p in plans_)
 
 
+def test_rows_of_a_stream_as_a_frame():
+    frame = chunks._frame([("a", None, "x", 3), ("a", 2**60 + 1, None, None)], ("s", "at", "text", "seq"), ("at", "seq"))
+    assert frame["at"].isna().tolist() == [True, False] and frame["at"][1] == 2**60 + 1
+    assert frame["seq"][0] == 3 and frame["seq"].isna().tolist() == [False, True]
+    assert frame["text"].tolist() == ["x", None] and str(frame["at"].dtype) == "Int64"
+
+
 def test_overlap_windows(spark):
     stream = batches_of(
         spark, CHUNKS, [("a", 0, "abcdef", False)], [("a", 1, "gh", False), ("a", 2, "ij", False)], [("a", 3, "", True)]

@@ -57,13 +57,20 @@ def _last_cut(text: str, cut: re.Pattern, known: int) -> int:
 
 def _rows(frames: Iterator[pd.DataFrame]) -> list[tuple]:
     """(seq, chunk, is_last, milliseconds) of the chunks that came, in order of seq."""
-    batch = pd.concat(list(frames))
-    times = batch["ts"] if "ts" in batch else pd.Series([None] * len(batch), index=batch.index)
-    ms = [None if pd.isna(t) else int(pd.Timestamp(t).timestamp() * 1000) for t in times]
-    rows = zip(batch["seq"], batch["chunk"], batch["is_last"], ms, strict=True)
+    rows = []
+    for batch in frames:
+        times = batch["ts"] if "ts" in batch else [None] * len(batch)
+        ms = [None if pd.isna(t) else int(pd.Timestamp(t).timestamp() * 1000) for t in times]
+        rows += zip(batch["seq"].tolist(), batch["chunk"].tolist(), batch["is_last"].tolist(), ms, strict=True)
     return sorted(rows, key=lambda r: int(r[0]))
 
 
+def _frame(rows: list[tuple], columns: tuple[str, ...], whole: tuple[str, ...]) -> pd.DataFrame:
+    """Rows as a frame; ``whole`` are numbers that may be missing. Made once per stream and batch, so column by column."""
+    each = dict(zip(columns, map(list, zip(*rows, strict=True)), strict=True))
+    return pd.DataFrame({c: pd.array(v, "Int64") if c in whole else pd.Series(v, dtype=object) for c, v in each.items()})
+
+
 def _cut_units(held: Held, pattern: re.Pattern, patience: int | None, give_up: bool) -> list[tuple[int, str]]:
     """Units that can leave, by what the sequence has ready."""
     units = []
@@ -128,8 +135,7 @@ def sequenced(
         rows = [(key[0], at, text, None, None) for at, text in units]
         rows += [(key[0], None, text, seq, why) for seq, text, why in refused]
         if rows:
-            frame = pd.DataFrame(rows, columns=["stream_id", "at", "text", "seq", "reason"])
-            yield frame.astype({"at": "Int64", "seq": "Int64"})
+            yield _frame(rows, ("stream_id", "at", "text", "seq", "reason"), ("at", "seq"))
 
     return chunks.groupBy("stream_id").applyInPandasWithState(
         step, SEQUENCED_SCHEMA, "held string", "append", _timeout(idle_ms)
@@ -310,8 +316,8 @@ def overlap_windows(
             state.update((held.dump(),))
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
-        frame = pd.DataFrame(out, columns=["stream_id", "seq", "window", "overlap"])
-        yield frame.astype({"seq": "Int64"})
+        if out:
+            yield _frame(out, ("stream_id", "seq", "window", "overlap"), ("seq", "overlap"))
 
     return chunks.groupBy("stream_id").applyInPandasWithState(
         step, WINDOW_SCHEMA, "held string", "append", _timeout(idle_ms)
