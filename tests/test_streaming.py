@@ -315,3 +315,33 @@ def test_vault_rows_after_their_tokens(spark, keys):
         assert joined([r for r in out if r["stream_id"] == scope], "restored") == want
     assert {r["complete"] for r in out if r["stream_id"] == "a"} == {True}
     assert False in {r["complete"] for r in out if r["stream_id"] == "b"}
+
+
+def test_streams_share_states(spark, keys):
+    first = [(s, 0, "mail a@", False) for s in ("a", "b", "c", None)]
+    second = [("b", 1, "b.co now", True), ("a", 1, "b.co or", False), ("d", 0, "x ssn 123-45-6789", True)]
+    third = [(None, 1, "b.co.", True), ("a", 2, " ssn 123-45-6789", True)]
+    stream = batches_of(spark, CHUNKS, first, second, third)
+    units = chunks.sequenced(stream, chunks.value_cut(""), buckets=1)
+    out = shared_dir(spark, "out")
+    query = (
+        units.writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", out + "-cp").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 1
+    rows = spark.read.schema(units.schema).parquet(out).collect()
+    want = {"a": "mail a@b.co or ssn 123-45-6789", "b": "mail a@b.co now", "d": "x ssn 123-45-6789", None: "mail a@b.co."}
+    got = {s: joined([r for r in rows if r["stream_id"] == s]) for s in {r["stream_id"] for r in rows}}
+    assert got == want | {"c": "mail"}  # which has not ended
+
+
+def test_texts_are_cut_once(spark, capsys):
+    texts = spark.createDataFrame([("a", "0123456789" * 3), ("b", ""), ("c", None), (None, "xyz\nz")], "id string, text string")
+    rows = chunks.numbered_chunks(texts, "id", "text", 8)
+    rows.explain()
+    assert capsys.readouterr().out.count("regexp_extract_all") == 1
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(
+        [("a", 0, "01234567", False), ("a", 1, "89012345", False), ("a", 2, "67890123", False),
+         ("a", 3, "456789", True), (None, 0, "xyz\nz", True)], key=str
+    )

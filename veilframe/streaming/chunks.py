@@ -1,8 +1,9 @@
 """Chunked text as a stream.
 
-State per stream holds only the text after the last place no match can
+What is kept of a stream is only the text after the last place no match can
 straddle; everything before it leaves as a unit and is scanned by the same
-column expressions as a batch table. Python sees chunk borders, not values.
+column expressions as a batch table. Many streams share a state, so that Python
+is called per bucket of streams. Python sees chunk borders, not values.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilframe.config import CHUNK_TAIL_CHARS, ScanConfig
 from veilframe.functions.crypto import Keyring, decrypt, with_keys, without_keys
+from veilframe.functions.spans import let
 from veilframe.functions.tokens import TOKEN_PATTERN, token_verifies
 from veilframe.operators.detect import glue_of, never_of
 from veilframe.operators.redact import redact
@@ -55,18 +58,28 @@ def _last_cut(text: str, cut: re.Pattern, known: int) -> int:
     return end
 
 
-def _rows(frames: Iterator[pd.DataFrame]) -> list[tuple]:
-    """(seq, chunk, is_last, milliseconds) of the chunks that came, in order of seq."""
-    rows = []
+def _milliseconds(times: list) -> list[int | None]:
+    return [None if pd.isna(t) else int(pd.Timestamp(t).timestamp() * 1000) for t in times]
+
+
+def _news(frames: Iterator[pd.DataFrame]) -> dict[str | None, list[tuple]]:
+    """By stream, what came: (seq, chunk, is_last, milliseconds), and token, ciphertext if there are such."""
+    came: dict[str | None, list[tuple]] = {}
     for batch in frames:
-        times = batch["ts"] if "ts" in batch else [None] * len(batch)
-        ms = [None if pd.isna(t) else int(pd.Timestamp(t).timestamp() * 1000) for t in times]
-        rows += zip(batch["seq"].tolist(), batch["chunk"].tolist(), batch["is_last"].tolist(), ms, strict=True)
-    return sorted(rows, key=lambda r: int(r[0]))
+        ms = _milliseconds(batch["ts"].tolist()) if "ts" in batch else [None] * len(batch)
+        more = [batch[c].tolist() for c in ("token", "ciphertext") if c in batch]
+        rows = zip(batch["seq"].tolist(), batch["chunk"].tolist(), batch["is_last"].tolist(), ms, *more, strict=True)
+        for stream, row in zip(batch["stream_id"].tolist(), rows, strict=True):
+            came.setdefault(stream, []).append(row)
+    return came
+
+
+def _in_order(rows: list[tuple]) -> list[tuple]:
+    return sorted((r[:4] for r in rows), key=lambda r: int(r[0]))
 
 
 def _frame(rows: list[tuple], columns: tuple[str, ...], whole: tuple[str, ...]) -> pd.DataFrame:
-    """Rows as a frame; ``whole`` are numbers that may be missing. Made once per stream and batch, so column by column."""
+    """Rows as a frame; ``whole`` are numbers that may be missing. Made once per bucket and batch, so column by column."""
     each = dict(zip(columns, map(list, zip(*rows, strict=True)), strict=True))
     return pd.DataFrame({c: pd.array(v, "Int64") if c in whole else pd.Series(v, dtype=object) for c, v in each.items()})
 
@@ -98,9 +111,53 @@ def _timeout(idle_ms: int | None) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
 
 
+#: States of a query. Streams are dealt to them, so a micro-batch calls Python so many
+#: times at most, however many streams there are; fixed for the life of a checkpoint.
+BUCKETS = 1024
+Step = Callable[[str | None, list[tuple] | None, str | None], tuple[str | None, list[tuple]]]
+
+
+def _stepped(
+    news: DataFrame, step: Step, schema: str, whole: tuple[str, ...], idle_ms: int | None, buckets: int
+) -> DataFrame:
+    """Run ``step`` once per micro-batch and stream with news, or without any for ``idle_ms``.
+
+    ``step`` takes the stream, its rows (None: it is idle) and what it kept, and gives
+    what to keep (None: nothing) and its output rows. A state holds what all streams of
+    a bucket keep, each with the time from which it is idle; streams without news are
+    passed on as they are.
+    """
+    names = tuple(T.StructType.fromDDL(schema).names)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs() if idle_ms else 0
+        kept = {s: (held, until) for s, held, until in json.loads(state.get[0])} if state.exists else {}
+        came = _news(frames)
+        idle = [s for s, (_, until) in kept.items() if idle_ms and until < now and s not in came]
+        rows: list[tuple] = []
+        for stream in [*came, *idle]:
+            held, out = step(stream, came.get(stream), kept.pop(stream, (None, 0))[0])
+            rows += out
+            if held is not None:
+                kept[stream] = held, now + (idle_ms or 0)
+        if kept:
+            state.update((json.dumps([(s, held, until) for s, (held, until) in kept.items()]),))
+            if idle_ms:
+                state.setTimeoutDuration(max(1, min(until for _, until in kept.values()) - now))
+        else:
+            state.remove()
+        if rows:
+            yield _frame(rows, names, whole)
+
+    dealt = news.withColumn("_bucket", F.pmod(F.xxhash64("stream_id"), F.lit(buckets)))
+    return dealt.groupBy("_bucket").applyInPandasWithState(
+        run, schema, "held string", "append", _timeout(idle_ms)
+    )
+
+
 def sequenced(
     chunks: DataFrame, cut: str, idle_ms: int | None = None, patience_ms: int | None = None,
-    keep_ends: bool = False,
+    keep_ends: bool = False, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Chunks ``stream_id, seq, chunk, is_last`` (and ``ts``) to ``stream_id, at, text, seq, reason``.
 
@@ -113,33 +170,27 @@ def sequenced(
     place is taken, or beyond the end) or ``late`` (they were given up before). Their
     text is their own, their ``at`` null.
 
-    State per stream is the text after the last cut and the chunks that wait. It goes
+    Kept of a stream is the text after the last cut and the chunks that wait. It goes
     at the end of the stream or, with ``keep_ends``, outlives it, so that repeats are
     still known as such: until nothing has come for ``idle_ms``, or as long as the query
     runs. A query with ``idle_ms`` always has another micro-batch to look for idle
     streams, so it does not end by itself (``availableNow``).
+
+    Streams share ``buckets`` states; a state is rewritten when one of its streams has news.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = Held.load(state.get[0] if state.exists else None)
-        refused = []
-        if not state.hasTimedOut:
-            refused = rejected(_rows(frames), held.sequence)
-        units = _cut_units(held, re.compile(cut), patience_ms, state.hasTimedOut)
-        if state.hasTimedOut or (held.sequence.finished and not keep_ends):
-            state.remove()
-        else:
-            state.update((held.dump(),))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        rows = [(key[0], at, text, None, None) for at, text in units]
-        rows += [(key[0], None, text, seq, why) for seq, text, why in refused]
-        if rows:
-            yield _frame(rows, ("stream_id", "at", "text", "seq", "reason"), ("at", "seq"))
+    pattern = re.compile(cut)
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(
-        step, SEQUENCED_SCHEMA, "held string", "append", _timeout(idle_ms)
-    )
+    def step(stream: str | None, came: list[tuple] | None, kept: str | None) -> tuple[str | None, list[tuple]]:
+        held, idle = Held.load(kept), came is None
+        refused = [] if idle else rejected(_in_order(came), held.sequence)
+        units = _cut_units(held, pattern, patience_ms, idle)
+        rows = [(stream, at, text, None, None) for at, text in units]
+        rows += [(stream, None, text, seq, why) for seq, text, why in refused]
+        ends = idle or (held.sequence.finished and not keep_ends)
+        return None if ends else held.dump(), rows
+
+    return _stepped(chunks, step, SEQUENCED_SCHEMA, ("at", "seq"), idle_ms, buckets)
 
 
 def hold_back(
@@ -196,21 +247,17 @@ def rehydrate_stream(
     return units.writeStream.foreachBatch(restore)
 
 
-def _wait_for_values(idle_ms: int | None, patience_ms: int | None):
-    """State function over chunks and vault entries of one stream."""
+def _wait_for_values(patience_ms: int | None) -> Step:
+    """Step over chunks and vault entries of one stream."""
     cut, token = re.compile(TOKEN_CUT), re.compile(TOKEN_PATTERN)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        raw = json.loads(state.get[0]) if state.exists else {"held": None, "vault": {}, "units": []}
-        held, vault, units = Held.load(raw["held"]), raw["vault"], raw["units"]
-        if not state.hasTimedOut:
-            batch = pd.concat(list(frames))
-            entries = batch[batch["token"].notna()]
-            vault.update(zip(entries["token"], entries["ciphertext"], strict=True))
-            chunks = batch[batch["token"].isna()]
-            if len(chunks):
-                rejected(_rows(iter([chunks])), held.sequence)
-        for at, text in _cut_units(held, cut, patience_ms, state.hasTimedOut):
+    def step(stream: str | None, came: list[tuple] | None, kept: str | None) -> tuple[str | None, list[tuple]]:
+        raw = json.loads(kept) if kept is not None else {"held": None, "vault": {}, "units": []}
+        held, vault, units, idle = Held.load(raw["held"]), raw["vault"], raw["units"], came is None
+        if not idle:
+            vault.update((r[4], r[5]) for r in came if r[4] is not None)
+            rejected(_in_order([r for r in came if r[4] is None]), held.sequence)
+        for at, text in _cut_units(held, cut, patience_ms, idle):
             units.append([at, text, held.sequence.clock])
         rows, waiting = [], []
         for at, text, since in units:
@@ -218,27 +265,21 @@ def _wait_for_values(idle_ms: int | None, patience_ms: int | None):
             known = [(t, vault[t]) for t in tokens if t in vault]
             clock = held.sequence.clock
             tired = patience_ms is not None and since is not None and since + patience_ms < clock
-            if len(known) == len(tokens) or tired or state.hasTimedOut:
-                rows.append((key[0], at, text, known, len(known) == len(tokens)))
+            if len(known) == len(tokens) or tired or idle:
+                entries = [{"token": t, "ciphertext": c} for t, c in known]
+                rows.append((stream, at, text, entries, len(known) == len(tokens)))
             else:
                 waiting.append([at, text, since])
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            state.update((json.dumps({"held": held.dump(), "vault": vault, "units": waiting}),))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        if rows:
-            frame = pd.DataFrame(rows, columns=["stream_id", "at", "text", "entries", "complete"])
-            frame["entries"] = [[{"token": t, "ciphertext": c} for t, c in e] for e in frame["entries"]]
-            yield frame
+        if idle:
+            return None, rows
+        return json.dumps({"held": held.dump(), "vault": vault, "units": waiting}), rows
 
     return step
 
 
 def rehydrate_with_vault_stream(
     chunks: DataFrame, vault: DataFrame, keys: Keyring, idle_ms: int | None = None,
-    patience_ms: int | None = None,
+    patience_ms: int | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Restore a chunk stream from a vault that is a stream as well: ``stream_id, at, restored, complete``.
 
@@ -264,9 +305,7 @@ def rehydrate_with_vault_stream(
             F.base64("ciphertext").alias("ciphertext"),
         )
     )
-    held = news.groupBy("stream_id").applyInPandasWithState(
-        _wait_for_values(idle_ms, patience_ms), VALUED_SCHEMA, "held string", "append", _timeout(idle_ms)
-    )
+    held = _stepped(news, _wait_for_values(patience_ms), VALUED_SCHEMA, ("at",), idle_ms, buckets)
     scope = F.col("stream_id")
     good = F.filter("entries", lambda e: token_verifies(scope, e["token"]))
     values = F.map_from_entries(
@@ -280,7 +319,7 @@ def rehydrate_with_vault_stream(
 
 def overlap_windows(
     chunks: DataFrame, chars: int = CHUNK_TAIL_CHARS, idle_ms: int | None = None,
-    patience_ms: int | None = None, keep_ends: bool = False,
+    patience_ms: int | None = None, keep_ends: bool = False, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Every chunk with the last ``chars`` characters before it in front.
 
@@ -289,50 +328,37 @@ def overlap_windows(
     ``sequenced``; nothing goes over a gap, and refused chunks give no window.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = Held.load(state.get[0] if state.exists else None)
+    def step(stream: str | None, came: list[tuple] | None, kept: str | None) -> tuple[str | None, list[tuple]]:
+        held, idle = Held.load(kept), came is None
         sequence, done, out = held.sequence, held.sequence.finished, []
-        if not state.hasTimedOut:
-            rejected(_rows(frames), sequence)
+        if not idle:
+            rejected(_in_order(came), sequence)
 
         def take() -> None:
             for seq, chunk in sequence.ready():
                 window = held.text + chunk
-                out.append((key[0], seq, window, len(held.text)))
+                out.append((stream, seq, window, len(held.text)))
                 held.text = window[-chars:]
 
         take()
-        while (state.hasTimedOut or sequence.overdue(patience_ms)) and sequence.waiting:
+        while (idle or sequence.overdue(patience_ms)) and sequence.waiting:
             held.text = ""
             sequence.skip()
             take()
-        ended = (sequence.finished and not done) or (state.hasTimedOut and not done)
-        if ended:
-            out.append((key[0], None, held.text, len(held.text)))
+        if (sequence.finished or idle) and not done:
+            out.append((stream, None, held.text, len(held.text)))
             held.text = ""
-        if state.hasTimedOut or (sequence.finished and not keep_ends):
-            state.remove()
-        else:
-            state.update((held.dump(),))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        if out:
-            yield _frame(out, ("stream_id", "seq", "window", "overlap"), ("seq", "overlap"))
+        return None if idle or (sequence.finished and not keep_ends) else held.dump(), out
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(
-        step, WINDOW_SCHEMA, "held string", "append", _timeout(idle_ms)
-    )
+    return _stepped(chunks, step, WINDOW_SCHEMA, ("seq", "overlap"), idle_ms, buckets)
 
 
 def numbered_chunks(texts: DataFrame, stream: str, text: str, chars: int) -> DataFrame:
     """Cut whole texts into the chunk rows the operators above read."""
     cut = F.regexp_extract_all(F.col(text), F.lit(rf"(?s).{{1,{chars}}}"), F.lit(0))
+    # a text is cut once: each chunk carries whether it is the last
+    marked = let(cut, lambda c: F.transform(c, lambda t, i: F.struct(t.alias("chunk"), (i == F.size(c) - 1).alias("is_last"))))
     rows = texts.select(
-        F.col(stream).cast("string").alias("stream_id"),
-        F.size(cut).alias("_n"),
-        F.posexplode(cut).alias("seq", "chunk"),
-    )
-    return rows.select(
-        "stream_id", F.col("seq").cast("bigint").alias("seq"), "chunk",
-        (F.col("seq") == F.col("_n") - 1).alias("is_last"),
-    )
+        F.col(stream).cast("string").alias("stream_id"), F.posexplode_outer(marked).alias("seq", "_c")
+    ).filter("_c is not null")
+    return rows.select("stream_id", F.col("seq").cast("bigint").alias("seq"), "_c.chunk", "_c.is_last")
