@@ -71,10 +71,10 @@ def before(values: Column, combine: Callable[[Column, Column], Column]) -> Colum
             ),
         )
 
-    def two_levels(width: Column) -> Column:
+    def two_levels(all_: Column, width: Column) -> Column:
         blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int")),
-            lambda i: grown(F.slice(values, i * width + 1, width), lambda x: x),
+            F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / width).cast("int")),
+            lambda i: grown(F.slice(all_, i * width + 1, width), lambda x: x),
         )
         return let(
             blocks,
@@ -87,10 +87,14 @@ def before(values: Column, combine: Callable[[Column, Column], Column]) -> Colum
             ),
         )
 
-    width = F.ceil(F.sqrt(F.size(values))).cast("int")
-    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(
-        let(width, two_levels)
-    )
+    def each(all_: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        return F.when(F.size(all_) == 0, F.array().cast("array<int>")).otherwise(
+            let(width, lambda w: two_levels(all_, w))
+        )
+
+    # the blocks all slice it, so it is worked out first
+    return let(values, each)
 
 
 def _sums_before(values: Column) -> Column:
