@@ -213,7 +213,10 @@ def _task_predict(held, margin: float):
             rows = np.flatnonzero(letter) if model.languages else np.zeros(0, int)
             for at in range(0, len(rows), 256):
                 part = rows[at : at + 256]
-                x = features(np.stack([gram_counts(lowered(batch.column(0)[i].as_py())) for i in part]))
+                x = np.empty((len(part), DIMENSIONS), np.float32)  # one table, not one of each count and its copy
+                for row, i in zip(x, part, strict=True):
+                    row[:] = gram_counts(lowered(batch.column(0)[i].as_py()))
+                x = features(x)
                 best, score, lead = model.predict(x)
                 for i, b in zip(part, best, strict=True):
                     names[i] = model.languages[b]
