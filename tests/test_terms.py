@@ -83,3 +83,15 @@ def test_rows(spark, block):
 def test_no_terms(spark):
     df = spark.createDataFrame([(1, "some text", "own")], ROWS)
     assert terms.term_spans(df, "i", "text", spark.createDataFrame([], "term string")).first()["spans"] == []
+
+
+def test_a_long_list_takes_one_pass_over_the_texts(spark):
+    """However long the list, texts are read by one Python pass and joined once."""
+    names = spark.range(5000).selectExpr("'Term ' || id as term")
+    texts = [f"x TERM {i * 37} and term {i} term" for i in range(60)] + ["term 4", "term"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = terms.term_spans(df, "i", "text", names, block_terms=50)
+    assert got._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    listed = [f"term {i}" for i in range(5000)]
+    for r in got.collect():
+        assert [(s["start"], s["end"], s["value"]) for s in r["spans"]] == plain(r["text"], listed)

@@ -224,6 +224,138 @@ class TermIndex:
         return start[keep], term[keep]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+#: Bits of a filter: at least, at most (128 MB), and per term in between.
+LEAST_BITS, MOST_BITS, BITS_A_TERM = 16, 30, 16
+_WHOLES = 4
+BUCKET = 1 << 15  # bits that go together while a filter is built
+
+
+@dataclass(frozen=True)
+class TermFilter:
+    """A bit table that lets through where a term of a list may stand, whatever the list's length.
+
+    A term has a bit by its last run of characters (``WIDTHS``), one by that and its
+    length, and ``_WHOLES`` by all its characters. No term is missed; what else passes
+    is for a join with the list to tell. Its size is bounded: beyond ``MOST_BITS`` it lets
+    more through.
+    """
+
+    lengths: tuple[int, ...]  # of terms, sorted
+    size: int  # two to this power are the bits
+    bits: np.ndarray
+
+    @staticmethod
+    def size_for(terms: int) -> int:
+        return min(MOST_BITS, max(LEAST_BITS, (BITS_A_TERM * terms).bit_length()))
+
+    @staticmethod
+    def of_run(run: np.ndarray, size: int) -> np.ndarray:
+        return (run >> np.uint64(64 - size)).astype(np.int64)
+
+    @staticmethod
+    def of_length(run: np.ndarray, lengths, size: int) -> np.ndarray:
+        more = np.asarray(lengths).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return (_mixed(run ^ more) >> np.uint64(64 - size)).astype(np.int64)
+
+    @staticmethod
+    def of_whole(whole: np.ndarray, i: int, size: int) -> np.ndarray:
+        more = np.uint64((0xA0761D6478BD642F * (i + 1)) % 2**64)
+        return (_mixed(whole + more) >> np.uint64(64 - size)).astype(np.int64)
+
+    @classmethod
+    def buckets(cls, batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+        """Folded terms to ``bucket, bits``: the parts of the bit table that they set."""
+        table = np.zeros(1 << (size - 3), dtype=np.uint8)
+        for batch in _slices(batches, "term", 4 << 20):
+            plain = batch.column(batch.schema.get_field_index("term")).to_pylist()
+            lengths = np.array([len(t) for t in plain], dtype=np.int64)
+            starts = np.cumsum(lengths) - lengths
+            sums = _sums(np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32))
+            wide = np.array(WIDTHS)[np.searchsorted(WIDTHS, lengths, side="right") - 1]
+            run, whole = _hash(sums, starts + lengths - wide, wide), _hash(sums, starts, lengths)
+            for at in (cls.of_run(run, size), cls.of_length(run, lengths, size),
+                       *(cls.of_whole(whole, i, size) for i in range(_WHOLES))):
+                np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        parts = table.reshape(-1, BUCKET >> 3)
+        used = np.flatnonzero(parts.any(axis=1))
+        for lo in range(0, len(used), 1024):
+            some = used[lo : lo + 1024]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some), pa.array([parts[b].tobytes() for b in some], pa.binary())], names=["bucket", "bits"]
+            )
+
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    def _window(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums, n, out = _sums(codes), len(codes), []
+        of_width: dict[int, list[int]] = {}
+        for length in self.lengths:
+            of_width.setdefault(max(w for w in WIDTHS if w <= length), []).append(length)
+        for width, lengths in of_width.items():
+            if n < width:
+                continue
+            runs = _hash(sums, np.arange(n - width + 1), width)
+            at = np.flatnonzero(self._set(self.of_run(runs, self.size)))
+            runs = runs[at]
+            for length in lengths:
+                some = self._set(self.of_length(runs, length, self.size)) & (at + width >= length)
+                start = at[some] + width - length
+                whole = _hash(sums, start, length)
+                for i in range(_WHOLES):
+                    fits = self._set(self.of_whole(whole, i, self.size))
+                    start, whole = start[fits], whole[fits]
+                out.append((start, np.full(len(start), length)))
+        none = np.zeros(0, dtype=np.int64)
+        return tuple(np.concatenate([none, *(o[i] for o in out)]) for i in (0, 1))
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, length) of all places that pass, by start."""
+        starts, lengths = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for lo in range(0, len(codes) if self.lengths else 0, _WINDOW):
+            start, length = self._window(codes[lo : lo + _WINDOW + self.lengths[-1] - 1])
+            own = start < _WINDOW
+            starts.append(start[own] + lo)
+            lengths.append(length[own])
+        start, length = np.concatenate(starts), np.concatenate(lengths)
+        order = np.argsort(start, kind="stable")
+        return start[order], length[order]
+
+    def candidates(
+        self, batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20
+    ) -> Iterator[tuple[pa.RecordBatch, list[int], list[tuple[str, int, int, str]]]]:
+        """Batches with the row and (folded, start, end, value) of what may be a term.
+
+        Those of equal characters do not overlap: they are taken from the left.
+        """
+        between = np.array([_BETWEEN], dtype=np.uint32)
+        for batch in _slices(batches, column, most):
+            texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            parts, bounds = [], [0]
+            for text in texts:
+                codes = folded(text) if text else np.zeros(0, dtype=np.uint32)
+                parts += [codes, between]
+                bounds.append(bounds[-1] + len(codes) + 1)
+            codes, begins = np.concatenate(parts), np.array(bounds, dtype=np.int64)
+            start, length = self.find(codes)
+            row = np.searchsorted(begins, start, side="right") - 1
+            inside = start + length < begins[row + 1]  # before what stands between texts
+            rows, found, free = [], [], {}
+            for r, at, n in zip(row[inside].tolist(), start[inside].tolist(), length[inside].tolist(), strict=True):
+                term = codes[at : at + n].astype("<u4").tobytes().decode("utf-32-le")
+                if free.get((r, term), 0) <= at:
+                    free[r, term] = at + n
+                    here = at - bounds[r]
+                    rows.append(r)
+                    found.append((term, here, here + n, texts[r][here : here + n]))
+            yield batch, rows, found
+
+
 _SPAN = pa.struct(
     [
         ("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()),

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import dataclasses
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from veilframe.config import ScanConfig
 from veilframe.functions.spans import SPANS_TYPE, empty
 from veilframe.operators.detect import clean_terms, scan
-from veilframe.operators.term_index import TermIndex, span_arrays
+from veilframe.operators.term_index import BUCKET, TermFilter, TermIndex, folded, span_arrays
+from veilframe.sources.workdir import materialise
 
 TERM_LOG_SCHEMA = "version bigint, action string, term string"
 
@@ -63,21 +64,58 @@ def list_terms(spark: SparkSession, path: str) -> DataFrame:
     return current_terms(_log(spark, path))
 
 
-#: Bounds of one block of a term list: its index is sent to the workers.
+#: Bounds of a term list whose index is sent to the workers.
 BLOCK_TERMS, BLOCK_CHARS = 500_000, 8_000_000
 
 
-def _blocks(terms: DataFrame, most_terms: int) -> tuple[DataFrame, int]:
-    """The distinct terms, and in how many blocks of bounded size they go."""
-    listed = terms.select("term").filter("term <> ''").distinct()
-    n, chars = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
-    return listed, max(-(-n // most_terms), -(-chars // BLOCK_CHARS))
+def _index(spark: SparkSession, listed: DataFrame):
+    """The index of a list of bounded size, broadcast."""
+    return spark.sparkContext.broadcast(TermIndex.of(r["term"] for r in listed.collect()))
+
 
+def _folded(listed: DataFrame) -> DataFrame:
+    """The distinct terms as they are compared."""
 
-def _index(spark: SparkSession, listed: DataFrame, block: int, blocks: int):
-    """One block's index, broadcast; a block is bounded, whatever the length of the list."""
-    own = listed.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block) if blocks > 1 else listed
-    return spark.sparkContext.broadcast(TermIndex.of(r["term"] for r in own.collect()))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = ["".join(map(chr, folded(t).tolist())) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(plain, pa.string())], names=["term"])
+
+    return listed.mapInArrow(fold, "term string").distinct()
+
+
+def _filter(spark: SparkSession, terms: DataFrame, n: int):
+    """The bit table of a list of any length, broadcast; its size is bounded."""
+    size = TermFilter.size_for(n)
+    parts = (
+        terms.mapInArrow(lambda batches: TermFilter.buckets(batches, size), "bucket bigint, bits binary")
+        .groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    )
+    bits = np.zeros(1 << (size - 3), dtype=np.uint8)
+    for part in parts.toLocalIterator():
+        at = part["bucket"] * (BUCKET >> 3)
+        bits[at : at + (BUCKET >> 3)] = np.frombuffer(part["bits"], np.uint8)
+    lengths = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect())
+    return spark.sparkContext.broadcast(TermFilter(tuple(lengths), size, bits))
+
+
+def _candidates(plain: DataFrame, shared) -> DataFrame:
+    """``_key, _digest, term, start, end, value`` of what may be a term: a narrow pass."""
+    key = plain.schema["_key"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows, found in shared.value.candidates(batches, "_text"):
+            term, start, end, value = zip(*found, strict=True) if found else ((),) * 4
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(term, pa.string()),
+                 pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(value, pa.string())],
+                names=["_key", "_digest", "term", "start", "end", "value"],
+            )
+
+    return plain.mapInArrow(
+        find, f"_key {key}, _digest bigint, term string, start int, end int, value string"
+    )
 
 
 def _with_column(df: DataFrame, text: str, out: str, shared) -> DataFrame:
@@ -100,44 +138,32 @@ def term_spans(
 ) -> DataFrame:
     """Add the spans of a term list of any length, overlaps included, the longest term first.
 
-    ``terms`` has a column ``term``; ``key`` names a row. A list of one block (half
-    a million terms) is searched for where the texts are, in Arrow batches, and no text
-    is shuffled. A longer one takes a pass over the texts per block; then only
-    finds are gathered, by key, and meet the texts in one join. Memory is one
-    block's index and a few million characters per worker.
+    ``terms`` has a column ``term``; ``key`` names a row. A list of up to half a
+    million terms is searched for where the texts are, by an index, in Arrow batches, and no
+    text is shuffled. A longer one takes one pass over the texts as well: a bit table of
+    bounded size lets through what may be a term, a join with the list tells what is, and only
+    that is gathered, by key, and meets the texts in one join. Memory is the index, or
+    the table (128 MB at most), and a few million characters per worker.
     """
     spark = df.sparkSession
-    listed, blocks = _blocks(terms, block_terms)
-    if blocks == 0:
+    listed = terms.select("term").filter("term <> ''").distinct()
+    n, chars = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    if n == 0:
         return df.withColumn(out, empty())
-    if blocks == 1:
-        return _with_column(df, text, out, _index(spark, listed, 0, 1))
+    if n <= block_terms and chars <= BLOCK_CHARS:
+        return _with_column(df, text, out, _index(spark, listed))
+    known = materialise(_folded(listed), "terms")
     digest = F.xxhash64(F.col(text))
     plain = df.select(F.col(key).alias("_key"), digest.alias("_digest"), F.col(text).alias("_text"))
-    each = [
-        _with_column(plain, "_text", "_spans", _index(spark, listed, b, blocks))
-        .filter(F.size("_spans") > 0)
-        .select("_key", "_digest", F.lit(b).alias("_block"), "_spans")
-        for b in range(blocks)
-    ]
-    # rows that are equal find the same
-    found = reduce(DataFrame.unionByName, each).groupBy("_key", "_digest", "_block").agg(
-        F.first("_spans").alias("_spans")
+    hits = _candidates(plain, _filter(spark, known, n)).join(known, "term", "left_semi")
+    # the longest first; rows that are equal find the same
+    place = F.struct((F.col("start") - F.col("end")).alias("n"), "term", "start", "end", "value")
+    span = lambda p: F.struct(
+        F.lit("blocklist"), p["start"], p["end"], p["value"], F.lit(1.0), F.lit("blocklist")
     )
-    spans = F.flatten(F.collect_list("_spans"))
-    ordered = F.transform(
-        F.array_sort(
-            F.transform(
-                spans,
-                lambda s: F.struct(
-                    (s["start"] - s["end"]).alias("n"), F.lower(s["value"]).alias("v"),
-                    s["start"].alias("at"), s.alias("s"),
-                ),
-            )
-        ),
-        lambda x: x["s"],
+    merged = hits.groupBy("_key", "_digest").agg(
+        F.transform(F.array_sort(F.collect_set(place)), span).cast(SPANS_TYPE).alias("_spans")
     )
-    merged = found.groupBy("_key", "_digest").agg(ordered.alias("_spans"))
     same = F.col(key).eqNullSafe(F.col("_key")) & digest.eqNullSafe(F.col("_digest"))
     rows = df.drop(out).join(merged, same, "left")
     return rows.withColumn(out, F.coalesce("_spans", empty())).drop("_key", "_digest", "_spans")
