@@ -473,11 +473,6 @@ def custom_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.explode_fields(rows, "doc_id")
 
 
-def _vault_of_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = chat.redact_bodies(_known_chats(spark, sf_dir), DEFAULT, SAMPLE_KEYS)
-    return materialise(redact.build_vault(done, "request_id", SAMPLE_KEYS), "vault")
-
-
 def _known_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, _ = chat.split_known(_mixed_chats(spark, sf_dir))
     return known
@@ -492,21 +487,23 @@ def _replies(asked: DataFrame) -> DataFrame:
     return rows.select("doc_id", "request_id", "provider", body.alias("body"))
 
 
-def _answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Redacted requests as sent, and the screened, restored responses to them."""
-    sent = chat.redact_bodies(_known_chats(spark, sf_dir), DEFAULT, SAMPLE_KEYS)
+def _answered(requests_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Redacted requests as sent, and the screened, restored responses to them.
+
+    The redacted requests are written once: vault, responses and audit all read them.
+    """
+    sent = materialise(chat.redact_bodies(requests_, DEFAULT, SAMPLE_KEYS).drop("body"), "sent")
+    vault = materialise(redact.build_vault(sent, "request_id", SAMPLE_KEYS), "vault")
     asked = chat.extract_fields(
         sent.select("doc_id", "request_id", "provider", F.col("redacted_body").alias("body"))
     )
-    screened = restore.screen_bodies(
-        _replies(asked), ["doc_id"], DEFAULT, _vault_of_requests(spark, sf_dir), SAMPLE_KEYS
-    )
+    screened = restore.screen_bodies(_replies(asked), ["doc_id"], DEFAULT, vault, SAMPLE_KEYS)
     return sent, screened
 
 
 def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response bodies: new values hidden, the request's own restored, the rest as it was."""
-    _, screened = _answered(spark, sf_dir)
+    _, screened = _answered(_known_chats(spark, sf_dir))
     return screened.select(
         "doc_id", "response", F.size("response_spans").cast("bigint").alias("new_values")
     )
@@ -514,13 +511,13 @@ def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_to_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow: guard, extract, redact, rebuild, respond, restore, audit."""
-    sent, screened = _answered(spark, sf_dir)
-    guarded = guards.flag_injection(sent, "body", "flag")
-    entries = audit.audit_entries(guarded)
+    guarded = guards.flag_injection(_known_chats(spark, sf_dir), "body", "flag")
+    sent, screened = _answered(guarded.drop("pattern_id", "matched"))
+    entries = audit.audit_entries(sent)
     answers = screened.select(
         "request_id", "response", F.size("response_spans").cast("bigint").alias("new_values")
     )
-    actions = guarded.select("request_id", "action")
+    actions = sent.select("request_id", "action")
     return _audit_view(entries).join(answers, "request_id").join(actions, "request_id")
 
 
