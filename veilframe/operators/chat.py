@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from veilframe.config import ROUTES, ScanConfig
 from veilframe.functions.crypto import Keyring, with_keys, without_keys
 from veilframe.functions.spans import let
-from veilframe.functions.tokens import TOKEN_PATTERN
+from veilframe.functions.tokens import TOKEN_PATTERN, TOKEN_PREFIX
 from veilframe.operators.redact import REDACTED_SPANS_TYPE, redact_column
 
 FIELDS_TYPE = "array<struct<path:string,text:string>>"
@@ -172,16 +172,24 @@ _BACKSLASH, _QUOTE = "\ufdd0", "\ufdd1"
 _KEY_FOLLOWS = r"\A[ \t\n\r]*:"
 
 
+def _swapped(text: Column, old: str, new: str) -> Column:
+    """``replace`` by a literal pattern: that one compares at every byte."""
+    pattern = "".join(f"\\x{{{ord(c):x}}}" for c in old)
+    changed = F.regexp_replace(text, pattern, new.replace("\\", "\\\\"))
+    return F.when(F.contains(text, F.lit(old)), changed).otherwise(text)
+
+
 def _cut(body: Column) -> Column:
     """A body cut at the quotes of its strings: strings have odd places."""
-    safe = F.translate(body, _BACKSLASH + _QUOTE, "\ufffd\ufffd")
-    marked = F.replace(safe, F.lit("\\\\"), F.lit(_BACKSLASH))
-    return F.split(F.replace(marked, F.lit('\\"'), F.lit(_QUOTE)), '"', -1)
+    odd = F.contains(body, F.lit(_BACKSLASH)) | F.contains(body, F.lit(_QUOTE))
+    safe = F.when(odd, F.translate(body, _BACKSLASH + _QUOTE, "\ufffd\ufffd")).otherwise(body)
+    marked = let(safe, lambda t: _swapped(t, "\\\\", _BACKSLASH))
+    return let(marked, lambda t: F.split(_swapped(t, '\\"', _QUOTE), '"', -1))
 
 
 def _joined(cuts: Column) -> Column:
-    text = F.replace(F.array_join(cuts, '"'), F.lit(_QUOTE), F.lit('\\"'))
-    return F.replace(text, F.lit(_BACKSLASH), F.lit("\\\\"))
+    quoted = let(F.array_join(cuts, '"'), lambda t: _swapped(t, _QUOTE, '\\"'))
+    return let(quoted, lambda t: _swapped(t, _BACKSLASH, "\\\\"))
 
 
 def _decoded(cut: Column) -> Column:
@@ -203,9 +211,9 @@ def parsed_body(body: Column) -> Column:
     and what could in an object have only the comma in common, and with that the
     list has two elements: so a body that parses in both is a single value.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    listed = _items(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))))
     member = F.try_parse_json(F.concat(F.lit('{"b":'), body, F.lit("}")))
-    one = lambda v: F.when(F.size(_items(v)) == 1, F.try_variant_get(v, "$[0]", "variant"))
+    one = lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0)))
     return F.when(member.isNotNull(), let(listed, one))
 
 
@@ -329,13 +337,14 @@ def redact_bodies(
     # step by step: in one expression the lambdas nest deeper than Spark resolves
     rows = rows.withColumn(
         "_done",
+        # the held text in a step of its own: redacting uses it several times
         F.transform(
-            "fields",
+            F.transform(
+                "fields",
+                lambda f: F.struct(f["text"].alias("text"), _without_tokens(f["text"]).alias("held")),
+            ),
             lambda f: F.struct(
-                f["text"].alias("text"),
-                redact_column(
-                    F.regexp_replace(f["text"], TOKEN_PATTERN, _HELD), F.col(scope), cfg
-                ).alias("r"),
+                f["text"].alias("text"), redact_column(f["held"], F.col(scope), cfg).alias("r")
             ),
         ),
     )
@@ -361,6 +370,12 @@ def redact_bodies(
     return without_keys(rows.drop("_done", "_changes", "fields"))
 
 
+def _without_tokens(text: Column) -> Column:
+    """The text with one character in place of each token."""
+    held = F.regexp_replace(text, TOKEN_PATTERN, _HELD)
+    return F.when(F.contains(text, F.lit(TOKEN_PREFIX)), held).otherwise(text)
+
+
 def _with_tokens(redacted: Column, text: Column) -> Column:
     """Put the tokens of ``text`` back where they were held."""
     hits = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
