@@ -24,6 +24,8 @@ MATCHES_TYPE = (
 # Unicode noncharacters: never part of a text meant for exchange, and no
 # pattern or term may match them.
 MARK, _OTHER = "\uffff", "\ufffe"
+# Arrays of up to so many numbers are summed up in one level.
+_FEW = 32
 _HITS_TYPE = "array<struct<start:int,value:string>>"
 _PIECES_TYPE = "array<struct<start:int,text:string>>"
 
@@ -58,8 +60,8 @@ def unmarked(text: Column) -> Column:
 def before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """For each whole number of an array, those before it combined, from 0.
 
-    In two levels of about the square root of the array each: an array grown
-    element by element is copied every time.
+    Long arrays in two levels of about the square root of the array each: an array
+    grown element by element is copied every time.
     """
     def grown(items: Column, value: Callable[[Column], Column]) -> Column:
         return F.aggregate(
@@ -89,7 +91,7 @@ def before(values: Column, combine: Callable[[Column, Column], Column]) -> Colum
 
     def each(all_: Column) -> Column:
         width = F.ceil(F.sqrt(F.size(all_))).cast("int")
-        return F.when(F.size(all_) == 0, F.array().cast("array<int>")).otherwise(
+        return F.when(F.size(all_) <= _FEW, grown(all_, lambda x: x)["each"]).otherwise(
             let(width, lambda w: two_levels(all_, w))
         )
 
@@ -168,7 +170,9 @@ def place(found: Column) -> Column:
             ),
         )
 
-    return F.flatten(F.transform(F.array_compact(found), one))
+    # one part is a text without a match
+    hit = F.filter(found, lambda m: m.isNotNull() & (F.size(m["cuts"]) > 1))
+    return F.flatten(F.transform(hit, one))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -273,7 +277,7 @@ def splice(text: Column, spans: Column, replacement: Callable[[Column], Column])
         return build
 
     def body(all_: Column) -> Column:
-        tail = F.substring(text, F.element_at(all_, -1)["end"] + 1, F.length(text))
+        tail = F.substring(text, F.element_at(all_, -1)["end"] + 1, F.octet_length(text))
         return F.concat(F.array_join(F.transform(all_, piece(all_)), ""), tail)
 
     return let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(body(s)))
@@ -288,7 +292,7 @@ def units(text: Column, unit_chars: int, glue: str | None, never: str = "") -> C
     matches are unknown) the text stays whole.
     """
     whole = F.when(
-        F.length(text) > 0,
+        F.octet_length(text) > 0,
         F.array(F.struct(F.lit(0).alias("start"), text.alias("text"))),
     ).otherwise(empty(_PIECES_TYPE))
     if glue is None:
@@ -302,7 +306,9 @@ def units(text: Column, unit_chars: int, glue: str | None, never: str = "") -> C
             lambda at, p: F.struct(at.alias("start"), p.alias("text")),
         ),
     )
-    return F.when(F.length(text) > unit_chars, placed).otherwise(whole)
+    # bytes first: they need no count
+    long = (F.octet_length(text) > unit_chars) & (F.length(text) > unit_chars)
+    return F.when(long, placed).otherwise(whole)
 
 
 def _in_class(characters: str) -> str:
