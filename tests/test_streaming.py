@@ -191,6 +191,25 @@ def test_sources_and_sinks(spark, keys):
     assert spark.read.parquet(metrics_path).count() == 1
 
 
+def test_files_of_many_keys_share_folders_and_tasks(spark, tmp_path):
+    path = f"file:{tmp_path}/files"
+    rows = [(i, f"text {i}") for i in range(200)] + [(7, "text 7"), (8, None), (None, "x")]
+    sinks.write_files(spark.createDataFrame(rows, "k long, t string"), path, "k", "t")
+    folders = {p.parent for p in tmp_path.glob("files/**/*.txt")}
+    assert all(f.name.startswith("part-") for f in folders)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        files = readers.read_files(spark, path, glob="*.txt")
+        assert files.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        got = {r["path"].split("k=")[1]: bytes(r["content"]) for r in files.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {f"{i}.txt": f"text {i}\n".encode() for i in range(200)}
+    want |= {"7.txt": b"text 7\n" * 2, "__HIVE_DEFAULT_PARTITION__.txt": b"x\n"}
+    assert got.pop("8.txt") in (b"text 8\n\n", b"\ntext 8\n")
+    assert got == {k: v for k, v in want.items() if k != "8.txt"}
+
+
 def test_event_stream_files_keep_their_lines_in_order(spark, tmp_path):
     for name, text in (("a", "id: 1\n\ndata: x a@b.com\n: ping\n"), ("b", "data: 123-45-6789\r\ndata: y")):
         (tmp_path / f"{name}.txt").write_bytes(text.encode())

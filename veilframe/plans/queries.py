@@ -849,17 +849,11 @@ def body_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as one file each and read as bytes.
-
-    Dealt to all tasks, whatever the splits of the table; the tasks, not the driver, put
-    their files in place.
-    """
+    """Documents written as one file each and read as bytes."""
     path = shared_dir(spark, "files")
     docs = tables.rich_documents(spark, sf_dir)
     flat = F.regexp_replace("text", r"[\r\n]+", " ")
-    dealt = docs.select("doc_id", flat.alias("value")).repartition("doc_id")
-    writer = dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    writer.partitionBy("doc_id").text(path)
+    sinks.write_files(docs.select("doc_id", flat.alias("value")), path, "doc_id", "value")
     rows = readers.read_files(spark, path, glob="*.txt")
     doc_id = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint")
     text = F.regexp_replace(files.file_text(F.col("path"), F.col("content")), r"\n\z", "")

@@ -11,6 +11,7 @@ from veilframe.sources.workdir import materialise
 
 BODY_SCHEMA = "request_id string, provider string, body string"
 _DATA = "data: "
+FILES_A_TASK = 512
 
 
 def read_bodies(
@@ -28,11 +29,20 @@ def reject_unreadable(bodies: DataFrame, body: str = "body") -> tuple[DataFrame,
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Files with their bytes: ``path, content, length``."""
+    """Files with their bytes: ``path, content, length``.
+
+    Spark counts a small file as 4 MB and gives a task a few of them; here it takes up to
+    ``FILES_A_TASK``, and no more bytes on average than a split has.
+    """
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    return reader.load(path).select("path", "content", "length")
+    found = reader.load(path)
+    listed = found._jdf.queryExecution().analyzed().relation().location()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = -(-listed.allFiles().size() // FILES_A_TASK) + -(-listed.sizeInBytes() // split)
+    rows = found.select("path", "content", "length")
+    return rows.coalesce(max(tasks, 2 * spark.sparkContext.defaultParallelism))
 
 
 def sse_lines(lines: DataFrame, line: str = "value") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -34,6 +38,57 @@ def write_redacted(redacted: DataFrame, path: str, keep: Sequence[str]) -> None:
     redacted.select(*keep).write.mode("error").parquet(path)
 
 
+def write_files(rows: DataFrame, path: str, key: str, text: str) -> None:
+    """A text file for each value of ``key``, named ``<key>=<value>``, with a line for each row.
+
+    Rows are dealt to all tasks, whatever the splits of the table, and each task puts its
+    files in place. Hadoop starts a process for each local folder or file it makes, so
+    on a mounted folder (``file:``) Python opens them, in one folder a task. In other stores
+    Spark writes them, in one folder a key.
+    """
+    spark = rows.sparkSession
+    dealt = rows.select(key, F.coalesce(text, F.lit("")).alias("value")).repartition(key)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getScheme() != "file":
+        writer = dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        return writer.partitionBy(key).text(path)
+    os.makedirs(base := place.toUri().getPath())
+    name = F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit(_NO_KEY)))
+    named = dealt.sortWithinPartitions(key).select(name.alias("name"), F.col("value").cast("binary"))
+    done = named.mapInArrow(lambda batches: _put_files(batches, base), "n long")
+    done.write.format("noop").mode("overwrite").save()
+
+
+_NO_KEY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _put_files(batches: Iterator[pa.RecordBatch], base: str) -> Iterator[pa.RecordBatch]:
+    """Write lines in order of their files' names; a file appears when it is whole."""
+    task = TaskContext.get()
+    folder = f"{base}/part-{task.partitionId():05d}"
+    partial = f"{folder}/.{task.taskAttemptId()}"
+    os.makedirs(folder, exist_ok=True)
+    out, now, n = None, None, 0
+    for batch in batches:
+        for name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if name != now:
+                n += _put(out, partial, folder, now)
+                out, now = open(partial, "wb"), name
+            out.write(value)
+            out.write(b"\n")
+    n += _put(out, partial, folder, now)
+    yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+
+def _put(out, partial: str, folder: str, name: str | None) -> int:
+    if out is None:
+        return 0
+    out.close()
+    os.replace(partial, f"{folder}/{quote(name, safe='=')}.txt")
+    return 1
+
+
 def write_metrics(counters: DataFrame, path: str) -> None:
     """Replace a counter table."""
     counters.write.mode("overwrite").parquet(path)
