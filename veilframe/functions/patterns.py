@@ -7,6 +7,7 @@ same matches.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -76,6 +77,16 @@ def to_jdk(pattern: str) -> str:
     return "".join(out)
 
 
+def edge_test(patterns: Sequence[Pattern]) -> list[str]:
+    """A cheap regex that texts with a match of one of the patterns satisfy, if all begin at ``\\b``.
+
+    A match's first character is one of ``first``, and no word character with another before it.
+    """
+    if not all(p.first and p.regex.startswith(r"\b") for p in patterns):
+        return []
+    return [f"[{''.join(p.first for p in patterns)}](?<![{_WORD}]{{2}})"]
+
+
 @dataclass(frozen=True)
 class Pattern:
     """One detection pattern.

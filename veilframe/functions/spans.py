@@ -6,6 +6,8 @@ Offsets are 0-based code points, end exclusive.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ MATCHES_TYPE = (
 # Unicode noncharacters: never part of a text meant for exchange, and no
 # pattern or term may match them.
 MARK, _OTHER = "\uffff", "\ufffe"
-# Arrays of up to so many numbers are summed up in one level.
-_FEW = 32
+# So many numbers are summed up in one expression.
+_BLOCK = 8
 _HITS_TYPE = "array<struct<start:int,value:string>>"
 _PIECES_TYPE = "array<struct<start:int,text:string>>"
 
@@ -60,42 +62,40 @@ def unmarked(text: Column) -> Column:
 def before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """For each whole number of an array, those before it combined, from 0.
 
-    Long arrays in two levels of about the square root of the array each: an array
-    grown element by element is copied every time.
+    An array grown element by element is copied every time. So blocks of ``_BLOCK`` are combined
+    in one expression each, and so are their totals; only the totals of those grow an array.
     """
-    def grown(items: Column, value: Callable[[Column], Column]) -> Column:
+    def grown(items: Column) -> Column:
         return F.aggregate(
             items,
             F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("each")),
             lambda acc, x: F.struct(
-                combine(acc["all"], value(x)).alias("all"),
+                combine(acc["all"], x).alias("all"),
                 F.concat(acc["each"], F.array(acc["all"])).alias("each"),
             ),
-        )
+        )["each"]
 
-    def two_levels(all_: Column, width: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / width).cast("int")),
-            lambda i: grown(F.slice(all_, i * width + 1, width), lambda x: x),
-        )
-        return let(
-            blocks,
-            lambda bs: F.flatten(
-                F.zip_with(
-                    bs,
-                    grown(bs, lambda b: b["all"])["each"],
-                    lambda b, far: F.transform(b["each"], lambda near: combine(far, near)),
-                )
-            ),
+    def totals(items: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int"))
+        return F.transform(
+            blocks, lambda i: reduce(combine, [F.get(items, i * _BLOCK + k) for k in range(_BLOCK)])
         )
 
+    def spread(far: Column, items: Column) -> Column:
+        """What is before each item, from what is before each block; behind the last item anything."""
+        def block(f: Column, i: Column) -> Column:
+            inner = [F.get(items, i * _BLOCK + k) for k in range(_BLOCK - 1)]
+            return F.array(*accumulate([f, *inner], combine))
+
+        return F.flatten(F.transform(far, block))
+
     def each(all_: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(all_))).cast("int")
-        return F.when(F.size(all_) <= _FEW, grown(all_, lambda x: x)["each"]).otherwise(
-            let(width, lambda w: two_levels(all_, w))
+        far = let(totals(all_), lambda ts: spread(grown(totals(ts)), ts))
+        return F.when(F.size(all_) <= _BLOCK, grown(all_)).otherwise(
+            F.slice(spread(far, all_), F.lit(1), F.size(all_))
         )
 
-    # the blocks all slice it, so it is worked out first
+    # the blocks all read it, so it is worked out first
     return let(values, each)
 
 
@@ -117,14 +117,15 @@ def own_values(text: Column, spans: Column) -> Column:
 def _placed(cuts: Column) -> Column:
     """The matches among ``_marked`` cuts as ``array<struct<start,value>>``."""
     def odd(parts: Column) -> Column:
-        return let(
-            _sums_before(F.transform(parts, F.length)),
-            lambda starts: F.transform(
-                F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)),
-                lambda i: F.struct(
-                    F.get(starts, i).alias("start"), F.get(parts, i).alias("value")
-                ),
-            ),
+        gap = lambda i: F.length(F.get(parts, i * 2))
+        hit = lambda i: F.get(parts, i * 2 + 1)
+        both = F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1),
+            lambda i: gap(i) + F.length(hit(i)),
+        )
+        return F.transform(
+            _sums_before(both),
+            lambda at, i: F.struct((at + gap(i)).alias("start"), hit(i).alias("value")),
         )
 
     return let(
@@ -256,7 +257,15 @@ def resolve(spans: Column) -> Column:
             ),
         )
     )
-    return let(spans, lambda s: F.when(F.size(s) < 2, s).otherwise(chosen(s)))
+    return let(spans, lambda s: F.when((F.size(s) < 2) | _apart(s), s).otherwise(chosen(s)))
+
+
+def _apart(spans: Column) -> Column:
+    """Whether spans are in text order and each begins where the one before has ended, or later."""
+    return F.forall(
+        F.sequence(F.lit(1), F.size(spans) - 1),
+        lambda i: F.get(spans, i)["start"] >= F.get(spans, i - 1)["end"],
+    )
 
 
 def shift(spans: Column, offset: Column) -> Column:
@@ -306,8 +315,9 @@ def units(text: Column, unit_chars: int, glue: str | None, never: str = "") -> C
             lambda at, p: F.struct(at.alias("start"), p.alias("text")),
         ),
     )
-    # bytes first: they need no count
+    # bytes first: they need no count; most texts show a place for a cut at once, some hold none
     long = (F.octet_length(text) > unit_chars) & (F.length(text) > unit_chars)
+    long &= text.rlike(rf"[\t\n\f\r {_in_class(never)}]")
     return F.when(long, placed).otherwise(whole)
 
 

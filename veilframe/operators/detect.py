@@ -9,8 +9,9 @@ piece by piece, which keeps the work linear in the text length.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import groupby
+from operator import and_
 from typing import Protocol, runtime_checkable
 
 from pyspark import SparkContext
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.config import ScanConfig
-from veilframe.functions.patterns import NEVER, PATTERNS, Pattern
+from veilframe.functions.patterns import NEVER, PATTERNS, Pattern, edge_test
 from veilframe.functions.spans import (
     MARK,
     MATCHES_TYPE,
@@ -79,10 +80,14 @@ class PatternDetector:
 
     def matches(self, text: Column) -> Column:
         parts = [empty(MATCHES_TYPE)]
-        # Neighbours that need a digit share one test; list order is kept.
+        # Neighbours that need a digit share their tests; list order is kept.
         for digits, group in groupby(self.patterns, key=lambda p: p.digits):
-            found = F.array(*[self._one(text, p) for p in group])
-            parts.append(F.when(text.rlike("[0-9]"), found).otherwise(parts[0]) if digits else found)
+            near = list(group)
+            found = F.array(*[self._one(text, p) for p in near])
+            if digits:
+                can = reduce(and_, [text.rlike(r) for r in ["[0-9]", *edge_test(near)]])
+                found = F.when(can, found).otherwise(parts[0])
+            parts.append(found)
         return F.concat(*parts)
 
     def _one(self, text: Column, p: Pattern) -> Column:
